@@ -5,25 +5,71 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from penumbra.llm import sharding
+from penumbra.llm.exact_dedup import exact_duplicates
 from penumbra.llm.near_dedup import near_duplicates
+from penumbra.llm.personal_data import KINDS, find_personal_data, span_list
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 40 shards whose counts differ by one at most."""
+    return sharding.shard_documents(_documents(spark, sf_dir), shards=40, seed=2)
+
+
+def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of equal texts of all documents."""
+    return exact_duplicates(_documents(spark, sf_dir))
+
+
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of all documents; the counts are of base spans."""
+    found = find_personal_data(_documents(spark, sf_dir))
+    base = F.filter("spans", lambda s: s["base"])
+    kinds = F.transform(base, lambda s: s["kind"])
+    counts = [(F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{k}") for k in KINDS]
+    return found.select(
+        "doc_id",
+        *counts,
+        F.sha2(span_list(base), 256).alias("base_sha256"),
+        span_list(F.col("spans")).alias("spans"),
+        F.size(F.filter("spans", lambda s: ~s["base"])).cast("long").alias("n_added"),
+    )
+
+
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of all documents: three-word shingles, similarity 0.85."""
     return near_duplicates(_documents(spark, sf_dir), width=3, percent=85)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_sharding": op2_sharding,
+    "op8_exact_dedup": op8_exact_dedup,
+    "op9_pii": op9_pii,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
 }
 
 WORDS_SQL = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
 
+
+
+def _feistel_sql(source: str, seed: int) -> str:
+    """One pass of the permutation network over column p of ``source``, with sides a, b beside it."""
+    sql = f"SELECT * EXCLUDE (p), p // b AS l, p % b AS r FROM ({source})"
+    for i in range(sharding.ROUNDS):
+        one, other, side = ("l", "r", "a") if i % 2 == 0 else ("r", "l", "b")
+        m, n = sharding.MULTIPLIERS[i], sharding.MULTIPLIERS[(i + 1) % sharding.ROUNDS]
+        k = (seed * 7919 + i * 104729) % sharding.MODULUS
+        x = f"(({other} % {sharding.MODULUS} + {k}) % {sharding.MODULUS} * {m} + 12345) % {sharding.MODULUS} * {n} % {sharding.SECOND_MODULUS} % {side}"
+        sql = f"SELECT * REPLACE (({one} + {x}) % {side} AS {one}) FROM ({sql})"
+    return f"SELECT * EXCLUDE (l, r), l * b + r AS p FROM ({sql})"
+
+
 ORACLE_SQL: dict[str, str] = {
     "op7_minhash_near_dedup": f"""
 WITH RECURSIVE words AS (SELECT doc_id, {WORDS_SQL} AS w FROM documents),
@@ -41,5 +87,31 @@ reach AS (
 component AS (SELECT node AS doc_id, min(r) AS component_id FROM reach GROUP BY node)
 SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept
 FROM component LEFT JOIN sizes USING (doc_id)
+""",
+    "op2_sharding": f"""
+WITH RECURSIVE crc AS (
+  SELECT list_transform(range(256), lambda i: list_reduce([i::BIGINT] || [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[],
+    lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS tab),
+bytes AS (
+  SELECT doc_id, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: ('0x' || h)::BIGINT) AS bs FROM documents),
+slim AS (
+  SELECT doc_id, len(bs) + 16 AS size,
+    xor(list_reduce([4294967295::BIGINT] || bs, lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295) AS text_crc32
+  FROM bytes, crc),
+dims AS (
+  SELECT count(*) AS n, ceil(sqrt(count(*)))::BIGINT AS a, ((count(*) + ceil(sqrt(count(*)))::BIGINT - 1) // ceil(sqrt(count(*)))::BIGINT) AS b FROM slim),
+ranked AS (
+  SELECT slim.*, n, a, b, row_number() OVER (ORDER BY doc_id, size, text_crc32) - 1 AS row_number FROM slim, dims),
+walk AS (
+  {_feistel_sql("SELECT *, row_number AS p FROM ranked", 2)}
+  UNION ALL
+  {_feistel_sql("SELECT * FROM walk WHERE p >= n", 2)})
+SELECT doc_id, size::BIGINT AS size, text_crc32, 'rows' AS law, (p % 40)::INTEGER AS shard, p // 40 AS slot, NULL::INTEGER AS grown_shard, row_number
+FROM walk WHERE p < n
+""",
+    "op8_exact_dedup": """
+SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept,
+  sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 """,
 }
