@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from penumbra.llm import sharding
+from penumbra.llm import bpe, packing, sharding, token_files
 from penumbra.llm.exact_dedup import exact_duplicates
 from penumbra.llm.near_dedup import near_duplicates
 from penumbra.llm.personal_data import KINDS, find_personal_data, span_list
@@ -22,6 +23,33 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_documents(spark, sf_dir), shards=40, seed=2)
 
 
+def op3_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents written as token files and read back."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    folder, manifest = token_files.write_token_files(_documents(spark, sf_dir), path, end_id=2)
+    read = token_files.read_token_files(folder, manifest)
+    return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 2048 tokens."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    packed = packing.pack_documents(_documents(spark, sf_dir), path, end_id=0, window=2048)
+    return packed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+
+
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents encoded and decoded with a rank file."""
+    path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    coded = bpe.decode_documents(bpe.encode_documents(_documents(spark, sf_dir), path, pattern), path, pattern)
+    return coded.select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of equal texts of all documents."""
     return exact_duplicates(_documents(spark, sf_dir))
@@ -49,6 +77,9 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sharding": op2_sharding,
+    "op3_token_output": op3_token_output,
+    "op4_packing": op4_packing,
+    "op6_byte_bpe": op6_byte_bpe,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_pii": op9_pii,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
