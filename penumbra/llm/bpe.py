@@ -23,9 +23,11 @@ from penumbra.llm.common import open_fs, text_or_empty
 from penumbra.llm.tokens import PieceEncoder, slices
 
 #: Pre-tokens that a worker remembers, and their longest length in characters.
-CACHE_TOKENS, CACHE_CHARS = 400_000, 48
-#: Ranks under one bit of the upper bitmap.
-BLOCK = 1024
+CACHE_TOKENS, CACHE_CHARS = 200_000, 48
+#: Neighbour pairs that a worker remembers between pre-tokens.
+CACHE_PAIRS = 1_000_000
+#: Ranks under one bit of the upper bitmap: 1 << SHIFT.
+SHIFT, MASK = 10, 1023
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -35,38 +37,6 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f.read().splitlines()) if token}
 
 
-class RankQueue:
-    """Positions by merge rank; the smallest rank first, and in it the leftmost position."""
-
-    __slots__ = ("upper", "blocks", "buckets")
-
-    def __init__(self):
-        self.upper, self.blocks, self.buckets = 0, {}, {}
-
-    def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket:
-            heappush(bucket, position)
-            return
-        self.buckets[rank] = [position]
-        block = rank // BLOCK
-        self.blocks[block] = self.blocks.get(block, 0) | 1 << rank % BLOCK
-        self.upper |= 1 << block
-
-    def pop(self) -> tuple[int, int]:
-        block = (self.upper & -self.upper).bit_length() - 1
-        bits = self.blocks[block]
-        rank = block * BLOCK + (bits & -bits).bit_length() - 1
-        bucket = self.buckets[rank]
-        position = heappop(bucket)
-        if not bucket:
-            bits &= bits - 1
-            self.blocks[block] = bits
-            if not bits:
-                self.upper &= self.upper - 1
-        return rank, position
-
-
 class BytePairEncoder:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks, self.find = ranks, regex.compile(pattern).findall
@@ -77,44 +47,71 @@ class BytePairEncoder:
         self.pairs: dict[int, int] = {}
         self.known: dict[str, bytes] = {}
 
-    def _pair(self, a: int, b: int) -> int:
-        """The rank that two neighbours merge to; -1 if they don't merge."""
-        key = a << 32 | b
-        rank = self.pairs.get(key)
-        if rank is None:
-            rank = self.ranks.get(self.table[a] + self.table[b], -1)
-            if len(self.pairs) > 1_000_000:
-                self.pairs.clear()
-            self.pairs[key] = rank
+    def _pair(self, key: int) -> int:
+        """The rank that two neighbours merge to, -1 if they don't merge; from now on known."""
+        rank = self.pairs[key] = self.ranks.get(self.table[key >> 32] + self.table[key & 0xFFFFFFFF], -1)
         return rank
 
     def merge(self, data: bytes) -> list[int]:
-        """The ids of one pre-token's bytes."""
+        """The ids of one pre-token's bytes.
+
+        The rank queue: ``buckets`` holds a heap of positions by rank, ``blocks`` a bitmap of the
+        filled buckets among 1 << SHIFT ranks, ``upper`` a bitmap of the filled blocks.
+        """
         whole = self.ranks.get(data)
         if whole is not None:
             return [whole]
-        n = len(data)
+        n, known, pair = len(data), self.pairs, self._pair
         tokens = [self.single[b] for b in data]
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        pair, queue = self._pair, RankQueue()
+        upper, blocks, buckets = 0, {}, {}
+        fresh = []
         for i in range(n - 1):
-            if (rank := pair(tokens[i], tokens[i + 1])) >= 0:
-                queue.push(rank, i)
-        while queue.upper:
-            rank, i = queue.pop()
+            key = tokens[i] << 32 | tokens[i + 1]
+            rank = known[key] if key in known else pair(key)
+            if rank >= 0:
+                fresh.append((rank, i))
+        while True:
+            for rank, i in fresh:
+                if bucket := buckets.get(rank):
+                    heappush(bucket, i)
+                    continue
+                buckets[rank] = [i]
+                block = rank >> SHIFT
+                blocks[block] = blocks.get(block, 0) | 1 << (rank & MASK)
+                upper |= 1 << block
+            if not upper:
+                break
+            block = (upper & -upper).bit_length() - 1
+            bits = blocks[block]
+            rank = (block << SHIFT) + (bits & -bits).bit_length() - 1
+            bucket = buckets[rank]
+            i = heappop(bucket)
+            if not bucket:
+                blocks[block] = bits = bits & (bits - 1)
+                if not bits:
+                    upper &= upper - 1
+            fresh = []
             j = after[i]
             # Stale: the position was merged away, or its pair is another one by now.
-            if tokens[i] < 0 or j >= n or pair(tokens[i], tokens[j]) != rank:
+            if tokens[i] < 0 or j >= n or known.get(tokens[i] << 32 | tokens[j], -2) != rank:
                 continue
             tokens[i], tokens[j] = rank, -1
             k = after[i] = after[j]
             if k < n:
                 before[k] = i
-                if (right := pair(rank, tokens[k])) >= 0:
-                    queue.push(right, i)
+                key = rank << 32 | tokens[k]
+                right = known[key] if key in known else pair(key)
+                if right >= 0:
+                    fresh.append((right, i))
             h = before[i]
-            if h >= 0 and (left := pair(tokens[h], rank)) >= 0:
-                queue.push(left, h)
+            if h >= 0:
+                key = tokens[h] << 32 | rank
+                left = known[key] if key in known else pair(key)
+                if left >= 0:
+                    fresh.append((left, h))
+        if len(known) > CACHE_PAIRS:
+            known.clear()
         return [t for t in tokens if t >= 0]
 
     def encode(self, strings: Iterable[str]) -> Iterator[bytes]:

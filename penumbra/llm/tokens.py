@@ -13,8 +13,8 @@ import re
 from array import array
 from collections.abc import Callable, Iterable
 
-#: Pieces that a worker remembers, and the longest piece that it remembers.
-CACHE_PIECES, CACHE_CHARS = 500_000, 48
+#: Pieces in one of the two generations that a worker remembers, and the longest piece remembered.
+CACHE_PIECES, CACHE_CHARS = 400_000, 48
 
 _UNSAFE = re.compile(r"(?<!\S) | (?!\S)")
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
@@ -25,41 +25,53 @@ def pieces(text: str) -> list[str]:
     return _SAFE.split(text) if _UNSAFE.search(text) else text.split(" ")
 
 
+class Generations:
+    """A bounded memory of pieces. A full young generation becomes the old one; what is asked for
+    again comes back into the young one, so that frequent pieces stay."""
+
+    def __init__(self):
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def missing(self, wanted: set[str]) -> list[str]:
+        """Those of ``wanted`` that neither generation has; all others are in the young one afterwards."""
+        absent = [w for w in wanted if w not in self.young]
+        if len(self.young) + len(absent) > CACHE_PIECES:
+            self.old, self.young = self.young, {}
+            absent = list(wanted)
+        old, young, out = self.old, self.young, []
+        for w in absent:
+            if (ids := old.get(w)) is None:
+                out.append(w)
+            else:
+                young[w] = ids
+        return out
+
+    def add(self, found: dict[str, bytes]) -> dict[str, bytes]:
+        self.young.update(found)
+        return self.young
+
+
 class PieceEncoder:
     """Encodes texts by pieces. ``encode`` gives the ids of each of some strings as bytes, as
     unsigned 32-bit integers of this machine."""
 
     def __init__(self, encode: Callable[[list[str]], Iterable[bytes]]):
-        self.encode, self.first, self.rest = encode, {}, {}
-
-    def _learn(self, cache: dict[str, bytes], wanted: set[str], lead: str) -> dict[str, bytes]:
-        """What ``cache`` lacks; long pieces are not kept."""
-        missing = [w for w in wanted if w not in cache]
-        if not missing:
-            return {}
-        found = dict(zip(missing, self.encode([lead + w for w in missing]), strict=True))
-        if len(cache) + len(found) > CACHE_PIECES:
-            found |= {w: cache[w] for w in wanted if w in cache}
-            cache.clear()
+        self.encode, self.first, self.rest = encode, Generations(), Generations()
+
+    def _ids(self, cache: Generations, wanted: set[str], lead: str) -> dict[str, bytes]:
+        """A dictionary with all that is wanted: the young generation, or a copy with long pieces."""
+        missing = cache.missing(wanted)
+        found = dict(zip(missing, self.encode([lead + w for w in missing]), strict=True)) if missing else {}
         long = {w: b for w, b in found.items() if len(w) > CACHE_CHARS}
-        cache.update((w, b) for w, b in found.items() if w not in long)
-        return long
+        young = cache.add({w: b for w, b in found.items() if w not in long} if long else found)
+        return young | long if long else young
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         cut = [pieces(t) for t in texts]
-        heads = self._learn(self.first, {c[0] for c in cut}, "")
-        tails = self._learn(self.rest, set().union(*(c[1:] for c in cut)), " ")
-        first, rest = self.first, self.rest
-        if heads:
-            first = first | heads
-        out = []
-        for c in cut:
-            if tails and not all(map(rest.__contains__, c[1:])):
-                body = [rest[w] if w in rest else tails[w] for w in c[1:]]
-            else:
-                body = map(rest.__getitem__, c[1:])
-            out.append(first[c[0]] + b"".join(body))
-        return out
+        first = self._ids(self.first, {c[0] for c in cut}, "")
+        rest = self._ids(self.rest, set().union(*(c[1:] for c in cut)), " ").__getitem__
+        return [first[c[0]] + b"".join(map(rest, c[1:])) for c in cut]
 
 
 _encoders: dict[str, PieceEncoder] = {}
