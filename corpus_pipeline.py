@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from penumbra.llm import exact_dedup, packing, personal_data, toxicity
 from penumbra.llm.common import shared_folder
 from penumbra.llm.near_dedup import near_duplicates
 
@@ -14,13 +16,47 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose id is in ``kept``; null ids match null ids."""
+    kept = kept.select(F.col("doc_id").alias("kept_id")).distinct()
+    return docs.select(*COLUMNS).join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that the model calls toxic go. It learns from the labelled rows of ``docs``."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    scored = toxicity.score(docs, toxicity.fit(docs, labels))
+    return _only(docs, scored.where("predicted = 0"))
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the row with the largest id stays; of repeated rows of that id, one."""
+    kept = exact_dedup.exact_duplicates(docs).where("kept")
+    return _only(docs, kept).dropDuplicates(["doc_id", "text"])
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays: five-word shingles, similarity 0.8."""
-    kept = near_duplicates(docs, width=5, percent=80).where("kept").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+    return _only(docs, near_duplicates(docs, width=5, percent=80).where("kept"))
+
+
+def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data in the texts is replaced by its kind; every row stays."""
+    return personal_data.redact(docs.select(*COLUMNS)).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The texts as packed sequences of at most 2048 tokens: one row a piece, with its ids."""
+    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=0, window=2048)
 
 
-STAGES: list[tuple[str, Stage]] = [("near_dedup", near_dedup)]
+STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", drop_toxic),
+    ("exact_dedup", drop_copies),
+    ("near_dedup", drop_near_copies),
+    ("pii", redact_personal_data),
+    ("packing", pack),
+]
 
 #: Signatures, trained models and packing have no SQL form; the tests compare with brute force.
 ORACLE_SQL: str | None = None
