@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from penumbra.llm import bpe, packing, sharding, token_files, toxicity
 from penumbra.llm.exact_dedup import exact_duplicates
+from penumbra.llm.language_model import score_documents
 from penumbra.llm.near_dedup import near_duplicates
 from penumbra.llm.personal_data import KINDS, find_personal_data, span_list
 
@@ -82,6 +83,11 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_documents(spark, sf_dir), width=3, percent=85)
 
 
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-probabilities of all documents under the bigram automaton and under its root."""
+    return score_documents(_documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sharding": op2_sharding,
     "op3_token_output": op3_token_output,
@@ -91,6 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_pii": op9_pii,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
+    "op10_lm_scoring": op10_lm_scoring,
 }
 
 WORDS_SQL = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
