@@ -13,12 +13,18 @@ from penumbra.llm.exact_dedup import exact_duplicates
 from penumbra.llm.language_model import score_documents
 from penumbra.llm.near_dedup import near_duplicates
 from penumbra.llm.personal_data import KINDS, find_personal_data, span_list
+from penumbra.llm.topk import top_k
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten highest inner products of every hundredth embedding with all others."""
+    return top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 100 == 0, k=10)
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 40 shards whose counts differ by one at most."""
     return sharding.shard_documents(_documents(spark, sf_dir), shards=40, seed=2)
@@ -89,6 +95,7 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_topk_search": op1_topk_search,
     "op2_sharding": op2_sharding,
     "op3_token_output": op3_token_output,
     "op4_packing": op4_packing,
@@ -133,6 +140,16 @@ reach AS (
 component AS (SELECT node AS doc_id, min(r) AS component_id FROM reach GROUP BY node)
 SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept
 FROM component LEFT JOIN sizes USING (doc_id)
+""",
+    "op1_topk_search": """
+WITH ok AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pairs AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::BIGINT AS score
+  FROM ok q JOIN ok c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
+FROM pairs QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 10
 """,
     "op2_sharding": f"""
 WITH RECURSIVE crc AS (
