@@ -1,44 +1,8 @@
-"""Queries over the driver tables, each with an SQL statement that another engine can check."""
+"""All registered queries over the driver tables."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from penumbra.plans import geometry, networks, rules, tables  # noqa: F401  they register their queries
+from penumbra.plans.registry import ORACLE_SQL, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession, Window
-from pyspark.sql import functions as F
-
-from penumbra.session import table
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def register(sql: str | None = None):
-    """Register a query under its function's name, with its oracle where SQL can express it."""
-
-    def add(function):
-        QUERIES[function.__name__] = function
-        if sql:
-            ORACLE_SQL[function.__name__] = sql
-        return function
-
-    return add
-
-
-@register("""
-WITH seen AS (SELECT DISTINCT event_type, date_trunc('hour', ts) AS hour, ts FROM events),
-gaps AS (SELECT event_type, hour, epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY event_type, hour ORDER BY ts)) AS gap FROM seen)
-SELECT event_type, hour, median(gap) / 1e6 AS headway_sec, count(*) AS departures
-FROM gaps GROUP BY 1, 2 HAVING count(*) >= 4
-""")
-def headway_median(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Median gap between distinct departures of a type and hour with at least four of them."""
-    seen = table(spark, sf_dir, "events").select("event_type", F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour"), "ts").distinct()
-    w = Window.partitionBy("event_type", "hour").orderBy("ts")
-    micros = F.unix_micros(F.col("ts").cast("timestamp"))
-    return (
-        seen.select("event_type", "hour", (micros - F.lag(micros).over(w)).alias("gap"))
-        .groupBy("event_type", "hour")
-        .agg((F.median("gap") / 1e6).alias("headway_sec"), F.count("*").alias("departures"))
-        .where("departures >= 4")
-    )
+__all__ = ["ORACLE_SQL", "QUERIES"]
