@@ -76,13 +76,13 @@ def mode_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("""
 WITH c AS (SELECT event_id, (['tiles', 'overpass', 'static', 'canopy', 'raster', 'shed'])[event_id % 6 + 1] AS source, value / 4 AS alt, event_id % 3 AS prisms, (value % 10) / 8 AS done FROM events)
 SELECT event_id, source, round(CASE source WHEN 'tiles' THEN 0.8 WHEN 'overpass' THEN 0.7 WHEN 'static' THEN 0.75 WHEN 'canopy' THEN 0.35 WHEN 'raster' THEN 0.45 ELSE 0.3 END
-  * CASE WHEN alt >= 10 THEN 1 ELSE 0.3 + greatest(0, alt / 10) * 0.7 END * CASE WHEN prisms > 0 THEN 1 ELSE 0.4 END * greatest(0, least(1, done)), 6) AS confidence FROM c
+  * CASE WHEN alt >= 10 THEN 1 ELSE 0.3 + greatest(0, alt / 10) * 0.7 END * CASE WHEN prisms > 0 THEN 1 ELSE 0.4 END * greatest(0, least(1, done)) + 1e-9, 6) AS confidence FROM c
 """)
 def shade_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Confidence of shade readings by source, sun and geometry."""
     source = F.element_at(F.array(*map(F.lit, exposure.CONFIDENCE)), (F.col("event_id") % 6 + 1).cast("int"))
     value = exposure.confidence(source, F.col("value") / 4, F.col("event_id") % 3, (F.col("value") % 10) / 8)
-    return table(spark, sf_dir, "events").select("event_id", source.alias("source"), F.round(value, 6).alias("confidence"))
+    return table(spark, sf_dir, "events").select("event_id", source.alias("source"), F.round(value + 1e-9, 6).alias("confidence"))
 
 
 @register("""
