@@ -9,9 +9,6 @@ import pytest
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 os.environ["PYTHONPATH"] = f"{Path(__file__).resolve().parent.parent}{os.pathsep}{os.environ.get('PYTHONPATH', '')}"
 
-DATA = "/root/testdata/sf0.001"
-TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-
 
 @pytest.fixture(scope="session")
 def spark():
@@ -26,27 +23,9 @@ def spark():
 @pytest.fixture(scope="session")
 def duck():
     import duckdb
+    from support import DATA, TABLES
 
     con = duckdb.connect()
     for t in TABLES:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
     return con
-
-
-def plain(value):
-    """A value in a form that compares equal across engines."""
-    if isinstance(value, float):
-        return float(f"{value:.9g}")
-    if isinstance(value, (list, tuple)):
-        return [plain(v) for v in value]
-    return value
-
-
-def same_rows(frame, con, sql):
-    cursor = con.execute(sql)
-    names = [d[0] for d in cursor.description]
-    assert sorted(names) == sorted(frame.columns)
-    order = sorted(names)
-    expected = sorted(repr([plain(dict(zip(names, r))[c]) for c in order]) for r in cursor.fetchall())
-    found = sorted(repr([plain(r[c]) for c in order]) for r in frame.collect())
-    assert found == expected

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections import defaultdict, deque
 
 import pytest
-from conftest import DATA, same_rows
+from support import DATA, same_rows
 
 from penumbra.plans import catalogue
 
