@@ -93,8 +93,10 @@ _SPELLED = re.compile(rf"(?<![A-Za-z])(?:plus[\s-]+)?(?:{_WORD})(?:[\s,.-]{{1,3}
 _ONE_WORD = re.compile(rf"(plus)|({_WORD})", re.IGNORECASE)
 _BRACKET_AT = re.compile(r"[ \t]{0,3}[\[({<][ \t]{0,3}(?:at|@)[ \t]{0,3}[\])}>][ \t]{0,3}", re.IGNORECASE)
 _BRACKET_DOT = re.compile(r"[ \t]{0,3}[\[({<][ \t]{0,3}(?:dot|\.)[ \t]{0,3}[\])}>][ \t]{0,3}", re.IGNORECASE)
+# A name, not an article or pronoun, follows an "at" that stands for the sign.
 _WORD_AT = re.compile(
-    r"(?<=[A-Za-z0-9_%+-])[ \t]{1,3}at[ \t]{1,3}(?=[A-Za-z0-9-]{1,63}(?:[ \t]{1,3}dot[ \t]{1,3}|\.)[A-Za-z0-9-]{1,63}"
+    r"(?<=[A-Za-z0-9_%+-])[ \t]{1,3}at[ \t]{1,3}(?!(?:the|an?|this|that|these|those|my|your|his|her|its|our|their|every|each|any|some)[ \t])"
+    r"(?=[A-Za-z0-9-]{1,63}(?:[ \t]{1,3}dot[ \t]{1,3}|\.)[A-Za-z0-9-]{1,63}"
     r"(?:(?:[ \t]{1,3}dot[ \t]{1,3}|\.)[A-Za-z0-9-]{1,63}){0,8})",
     re.IGNORECASE,
 )
