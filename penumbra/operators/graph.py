@@ -145,3 +145,20 @@ def reachable_edges(labels: DataFrame, edges: DataFrame, time_budget: float, sun
     ends = edges.select(F.col("from_id").alias("node"), "to_id", F.col("seconds").alias("step"), "shade")
     fits = (F.col("seconds") + F.col("step") <= time_budget) & (F.col("sun") + F.col("step") * (1 - F.col("shade")) <= sun_budget)
     return labels.join(ends, "node").where(fits).select("source", F.col("node").alias("from_id"), "to_id").distinct()
+
+
+def chains(edges: DataFrame) -> DataFrame:
+    """Block faces: undirected edges ``edge_id, from_id, to_id`` that meet at nodes of exactly two edges form one chain,
+    named by its smallest edge."""
+    ends = edges.select("edge_id", F.explode(F.array("from_id", "to_id")).alias("node"))
+    middle = ends.groupBy("node").agg(F.count("*").alias("n"), F.min("edge_id").alias("a"), F.max("edge_id").alias("b")).where("n = 2 and a <> b")
+    linked = components(middle.select(F.col("a").alias("from_id"), F.col("b").alias("to_id")))
+    return edges.select("edge_id").join(linked.withColumnRenamed("node", "edge_id"), "edge_id", "left").select(
+        "edge_id", F.coalesce("component", "edge_id").alias("chain")
+    )
+
+
+def detour_gate(routes: DataFrame, keys: list[str], metres: str, factor: float = 2.0, extra: float = 250.0) -> DataFrame:
+    """Routes within the shortest one's length times ``factor`` plus ``extra`` metres."""
+    best = routes.groupBy(*keys).agg(F.min(metres).alias("_best"))
+    return routes.join(best, keys).where(F.col(metres) <= F.col("_best") * factor + extra).drop("_best")

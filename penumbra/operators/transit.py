@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from penumbra.functions.clock import half_up
+from penumbra.operators.spatial import nearest_join, radius_join
 
 
 def headways(first_departures: DataFrame, keys: list[str], departure: str, service: str, least: int = 4) -> DataFrame:
@@ -108,3 +109,46 @@ def transit_gate(transit: Column, walk: Column) -> Column:
 def boarding_wait(headway: Column, has_service: Column) -> Column:
     """Half the headway; null (not boardable) without service, none where the timetable can't be read."""
     return F.when(~has_service, F.lit(None).cast("double")).otherwise(F.coalesce(headway / 2.0, F.lit(0.0)))
+
+
+def walk_transfers(stations: DataFrame, stops: DataFrame, metres: float = 200.0) -> DataFrame:
+    """Transfers in both directions between stations and stops (``stop_id, lon, lat``) at most ``metres`` apart."""
+    a = stations.select(F.col("stop_id").alias("from_id"), "lon", "lat")
+    b = stops.select(F.col("stop_id").alias("to_id"), "lon", "lat")
+    one = radius_join(a, b, metres).select("from_id", "to_id", "metres")
+    return one.union(one.select("to_id", "from_id", "metres"))
+
+
+def boarding_graph(rides: DataFrame, headway: DataFrame, transfers: DataFrame) -> DataFrame:
+    """Edges between states for the label search over a transit network.
+
+    A state is a text: ``stop`` on foot, ``stop|line`` on board. ``rides`` has ``line, from_stop,
+    to_stop, seconds``; ``headway`` has ``line, headway_sec`` (null: unreadable; absent: no service, and the
+    line can't be boarded); ``transfers`` has ``from_stop, to_stop, seconds``. Boarding costs half the
+    headway, leaving a vehicle costs a tenth of a second, because steps must take time.
+    """
+    on = lambda stop: F.concat_ws("|", F.col(stop).cast("string"), F.col("line").cast("string"))
+    foot = lambda stop: F.col(stop).cast("string")
+    stops = rides.select("line", F.col("from_stop").alias("stop")).union(rides.select("line", "to_stop")).distinct()
+    served = stops.join(headway, "line")
+    wait = F.greatest(F.lit(0.1), F.coalesce(F.col("headway_sec") / 2.0, F.lit(0.0)))
+    parts = [
+        rides.select(on("from_stop").alias("from_id"), on("to_stop").alias("to_id"), F.col("seconds").cast("double").alias("seconds")),
+        served.select(foot("stop").alias("from_id"), on("stop").alias("to_id"), wait.alias("seconds")),
+        stops.select(on("stop").alias("from_id"), foot("stop").alias("to_id"), F.lit(0.1).alias("seconds")),
+        transfers.select(foot("from_stop").alias("from_id"), foot("to_stop").alias("to_id"), F.col("seconds").cast("double").alias("seconds")),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.union(p)
+    return out
+
+
+def tag_or_nearest(doors: DataFrame, stations: DataFrame, cap: float) -> DataFrame:
+    """The station of each door: by a station id in its ``tag`` (a list parted by semicolons), else the nearest within ``cap``."""
+    tags = doors.select("door_id", F.explode(F.split("tag", ";")).alias("t")).select("door_id", F.trim("t").alias("station_id"))
+    tagged = tags.join(stations.select("station_id"), "station_id").groupBy("door_id").agg(F.min("station_id").alias("by_tag"))
+    near = nearest_join(doors.select("door_id", "lon", "lat"), stations.select("station_id", "lon", "lat"), "door_id", "station_id", cap)
+    joined = doors.select("door_id").join(tagged, "door_id", "left").join(near.withColumnRenamed("station_id", "by_place"), "door_id", "left")
+    how = F.when(F.col("by_tag").isNotNull(), "tag").when(F.col("by_place").isNotNull(), "place")
+    return joined.select("door_id", F.coalesce("by_tag", "by_place").alias("station_id"), how.alias("how"))

@@ -188,3 +188,54 @@ def test_windows_over_a_stream(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert [r.n for r in spark.table("windows").orderBy("start").collect()] == [10, 10, 10]
+
+
+def test_lines(spark):
+    from penumbra.functions import lines
+
+    frame = spark.createDataFrame([([[-120.2, 38.5], [-120.95, 40.7], [-126.453, 43.252]],), (None,)], "p array<array<double>>")
+    texts = [r.t for r in frame.select(lines.encode_polyline("p").alias("t")).collect()]
+    assert texts == ["_p~iF~ps|U_ulLnnqC_mqNvxq`@", None]  # the encoding's published example
+    bad = spark.createDataFrame([("_p~iF",), ("\n",), ("",)], "t string").select(lines.decode_polyline("t").alias("p")).collect()
+    assert [r.p for r in bad] == [None, None, []]
+    walk = spark.createDataFrame([([[0.0, 0.0], [5.0, 0.1], [10.0, 0.0], [10.0, 9.0]],)], "p array<array<double>>")
+    assert walk.select(lines.simplified(F.col("p"), 1.0).alias("k")).first().k == [0, 2, 3]
+
+
+def test_chains_meet_at_plain_nodes_only(spark):
+    edges = spark.createDataFrame([(1, 10, 11), (2, 11, 12), (3, 12, 13), (4, 12, 14), (5, 20, 21)], "edge_id long, from_id long, to_id long")
+    assert {r.edge_id: r.chain for r in graph.chains(edges).collect()} == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5}
+
+
+def test_sun_consistent_instants(spark):
+    from penumbra.operators import series
+
+    at = F.lit("2023-06-21 15:00:00").cast("timestamp")
+    azimuth, altitude = exposure.sun_position(at, F.lit(-74.0), F.lit(40.7))
+    marks = spark.range(1).select(
+        F.col("id").alias("mark_id"), F.lit(-74.0).alias("lon"), F.lit(40.7).alias("lat"), azimuth.alias("azimuth"), altitude.alias("altitude"), F.lit(2023).alias("year")
+    )
+    found = {(r.day, r.minute) for r in series.sun_consistent(marks).collect()}
+    assert (171, 900) in found and all(abs(m - 900) <= 20 for _, m in found)
+
+
+def test_feeds_and_parents(spark):
+    a = spark.createDataFrame([("1", "A")], "stop_id string, name string")
+    b = spark.createDataFrame([("1", "B"), ("2", "C")], "stop_id string, name string")
+    assert {r.stop_id: r["name"] for r in transit.merge_feeds([a, b], "stop_id").collect()} == {"1": "A", "2": "C"}
+    stops = spark.createDataFrame([("p", "P", None), ("c", "C", "p"), ("o", "O", "gone")], "stop_id string, stop_name string, parent_station string")
+    got = {r.stop_id: (r.station_id, r.promoted) for r in transit.parent_stops(stops).collect()}
+    assert got == {"p": ("p", False), "c": ("p", False), "o": ("o", True)}
+
+
+def test_calendar_and_representative(spark):
+    cal = spark.sql("SELECT 'WD' AS service_id, array(true,true,true,true,true,false,false) AS days, date'2024-01-01' AS start, date'2024-01-07' AS end")
+    exc = spark.sql("SELECT 'WD' AS service_id, date'2024-01-06' AS day, 1 AS kind UNION ALL SELECT 'WD', date'2024-01-02', 2")
+    days = sorted(str(r.day)[-2:] for r in transit.active_dates(cal, exc).collect())
+    assert days == ["01", "03", "04", "05", "06"]
+
+
+def test_cross_tile_box_pairs_once(spark):
+    q = spark.createDataFrame([(1, 0.0, 0.0, 3.0, 3.0)], "q int, south double, west double, north double, east double")
+    s = spark.createDataFrame([(7, 1.0, 1.0, 5.0, 5.0), (8, 4.0, 4.0, 5.0, 5.0)], "s int, south double, west double, north double, east double")
+    assert [(r.q, r.s) for r in spatial.box_join(q, s, 1.0).collect()] == [(1, 7)]

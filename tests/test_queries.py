@@ -80,3 +80,29 @@ def test_sun_reach_against_all_walks(spark):
 def test_edge_shade_between_zero_and_one(spark):
     rows = catalogue.QUERIES["edge_shade"](spark, DATA).collect()
     assert rows and all(0 <= r.shade <= 1 for r in rows)
+
+
+def test_transit_search_against_dijkstra(spark):
+    import heapq
+
+    out = defaultdict(list)
+    for i in range(40):
+        line, to = i % 4, (i + 4) % 40
+        out[f"{i}|{line}"].append((f"{to}|{line}", 90 + i % 5 * 10))
+        out[str(i)].append((str((i + 1) % 40), 120))
+    headway = {0: 240, 1: 300, 2: None}  # line 3 has no service
+    for stop in range(40):
+        line = stop % 4
+        out[f"{stop}|{line}"].append((str(stop), 0.1))
+        if line in headway:
+            out[str(stop)].append((f"{stop}|{line}", max(0.1, (headway[line] or 0) / 2)))
+    best, queue = {}, [(0.0, "0")]
+    while queue:
+        t, node = heapq.heappop(queue)
+        if node in best or t > 2400:
+            continue
+        best[node] = t
+        for to, s in out[node]:
+            heapq.heappush(queue, (t + s, to))
+    found = {r.node: r.seconds for r in catalogue.QUERIES["transit_search"](spark, DATA).collect()}
+    assert found == {n: round(t, 1) for n, t in best.items() if "|" not in n}
