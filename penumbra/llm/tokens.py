@@ -16,13 +16,16 @@ from collections.abc import Callable, Iterable
 #: Pieces in one of the two generations that a worker remembers, and the longest piece remembered.
 CACHE_PIECES, CACHE_CHARS = 400_000, 48
 
-_UNSAFE = re.compile(r"(?<!\S) | (?!\S)")
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
 
 
 def pieces(text: str) -> list[str]:
     """The text cut at its safe spaces; each space left out belongs before the piece after it."""
-    return _SAFE.split(text) if _UNSAFE.search(text) else text.split(" ")
+    parts = text.split(" ")
+    # Every cut is safe if no part is empty, opens or ends with white space.
+    if "" in parts or " ".join(map(str.strip, parts)) != text:
+        return _SAFE.split(text)
+    return parts
 
 
 class Generations:
@@ -60,9 +63,28 @@ class PieceEncoder:
         self.encode, self.first, self.rest = encode, Generations(), Generations()
 
     def _ids(self, cache: Generations, wanted: set[str], lead: str) -> dict[str, bytes]:
-        """A dictionary with all that is wanted: the young generation, or a copy with long pieces."""
+        """A dictionary with all that is wanted: the young generation, or a copy with long pieces.
+
+        A letter and a full stop or comma never share a match either, so a word is encoded once for
+        all its endings.
+        """
         missing = cache.missing(wanted)
-        found = dict(zip(missing, self.encode([lead + w for w in missing]), strict=True)) if missing else {}
+        if not missing:
+            return cache.young
+        stems, fresh = {}, []
+        for w in missing:
+            stem = w.rstrip(".,")
+            if stem and len(stem) < len(w) and stem[-1].isalpha():
+                stems[w] = stem
+            else:
+                fresh.append(w)
+        known = {s: cache.young.get(s) or cache.old.get(s) for s in set(stems.values())}
+        fresh += known.keys() - {s for s, ids in known.items() if ids} - set(fresh)
+        found = dict(zip(fresh, self.encode([lead + w for w in fresh]), strict=True))
+        ends = list({w[len(s) :] for w, s in stems.items()})
+        ends = dict(zip(ends, self.encode(ends), strict=True))
+        for w, s in stems.items():
+            found[w] = (known[s] or found[s]) + ends[w[len(s) :]]
         long = {w: b for w, b in found.items() if len(w) > CACHE_CHARS}
         young = cache.add({w: b for w, b in found.items() if w not in long} if long else found)
         return young | long if long else young
