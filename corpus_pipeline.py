@@ -9,17 +9,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from penumbra.llm import exact_dedup, packing, personal_data, toxicity
-from penumbra.llm.common import shared_folder
+from penumbra.llm.common import materialise, shared_folder
 from penumbra.llm.near_dedup import near_duplicates
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose id is in ``kept``; null ids match null ids."""
-    kept = kept.select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.select(*COLUMNS).join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
+def _only(docs: DataFrame, kept: DataFrame, once: bool = False) -> DataFrame:
+    """The rows of ``docs`` whose id is in ``kept``; a null id matches null ids. With ``once`` rows that repeat
+    id and text stay once.
+
+    Ids join by plain equality, so rows that repeat one already lie together; null ids go apart. The decision is
+    written first, so that neither part makes it again.
+    """
+    docs, ids = docs.select(*COLUMNS), materialise(kept.select("doc_id"), "kept").distinct()
+    named = docs.where("doc_id is not null").join(ids, "doc_id", "left_semi").select(*COLUMNS)
+    nameless = docs.where("doc_id is null").join(ids.where("doc_id is null").select(F.lit(True).alias("any")), F.lit(True), "left_semi")
+    if once:
+        named, nameless = named.dropDuplicates(["doc_id", "text"]), nameless.dropDuplicates(["text"])
+    return named.union(nameless)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,7 +41,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the largest id stays; of repeated rows of that id, one."""
     kept = exact_dedup.exact_duplicates(docs).where("kept")
-    return _only(docs, kept).dropDuplicates(["doc_id", "text"])
+    return _only(docs, kept, once=True)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

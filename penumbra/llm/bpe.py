@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from penumbra.llm.common import open_fs, text_or_empty
+from penumbra.llm.common import open_fs, small_batches, text_or_empty
 from penumbra.llm.tokens import PieceEncoder, slices
 
 #: Pre-tokens that a worker remembers, and their longest length in characters.
@@ -160,7 +160,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, len(texts)), ids], ["doc_id", "ids"])
                 at += len(texts)
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
+    rows = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     return rows.mapInArrow(run, "doc_id long, ids binary")
 
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
-from penumbra.llm.common import open_fs, shared_folder, shuffle_partitions, text_or_empty
+from penumbra.llm.common import open_fs, shared_folder, shuffle_partitions, small_batches, text_or_empty
 
 #: Text bytes in a bucket before it splits, and in an owner's memory before buckets move to files.
 BUCKET_BYTES = 1 << 20
@@ -178,7 +178,7 @@ def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     index_uri = index_uri or shared_folder(spark, "text-index")
     partitions = shuffle_partitions(spark)
     bits = max(0, (partitions - 1).bit_length() + 1)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
+    rows = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     merged = rows.mapInArrow(_merge, "key long, text binary, keep_id long, n long")
     owned = merged.repartition(partitions, F.shiftrightunsigned("key", 64 - bits))
     return owned.mapInArrow(_own(index_uri, bits), "text_sha256 string, keep_id long, group_size long")

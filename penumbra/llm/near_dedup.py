@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from penumbra.llm.common import GOLDEN, materialise, mix64, text_or_empty
+from penumbra.llm.common import GOLDEN, materialise, mix64, small_batches, text_or_empty
 
 #: Most words whose hash a Python worker keeps.
 WORD_CACHE = 400_000
@@ -119,14 +119,17 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """``(node, comp)`` for the nodes of undirected ``edges(a, b)``; comp is the smallest node reachable.
 
     Distributed union-find by large-star and small-star steps (Kiveris et al. 2014): every round
-    hooks neighbours onto the smallest one known, and the rounds end when the edge set no longer
-    changes. Each round is written to the shared folder.
+    hooks neighbours onto the smallest one known. The rounds end when the edges are stars: every
+    node is either a root or hangs from one root. Each round is written to the shared folder.
     """
     e = materialise(
         edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "cc"
     )
-    before = None
     for _ in range(rounds):
+        ends = e.select(F.col("u").alias("n"), F.lit(1).alias("hangs")).union(e.select("v", F.lit(0)))
+        roles = ends.groupBy("n").agg(F.sum("hangs").alias("hangs"), F.count("*").alias("all"))
+        if not roles.where("hangs > 1 or (hangs = 1 and all > 1)").limit(1).count():
+            return e.select(F.col("u").alias("node"), F.col("v").alias("comp")).union(e.select("v", "v").distinct())
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -139,15 +142,7 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
             .distinct(),
             "cc",
         )
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
-            break
-        before = now
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
-    return e.groupBy("u").agg(F.min("v").alias("comp")).withColumnRenamed("u", "node").union(
-        e.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct()
-    )
+    raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -184,7 +179,7 @@ def near_duplicates(
     4. Each link is confirmed on the full sets; union-find gives the groups.
     """
     bands, rows = banding(percent / 100)
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
+    base = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     prep = materialise(
         base.mapInArrow(_signatures(width, bands, rows), "doc_id long, print binary, n_shingles long, keys array<long>"),
         "signatures",
@@ -252,11 +247,15 @@ def near_duplicates(
         .select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b"))
         .distinct()
     )
-    links = materialise(star_links.union(_verified(cross, sets, percent)), "links")
-    final = connected_components(links)
+    crossing = materialise(_verified(cross, sets, percent), "links")
+    # What is left joins components, not documents: union-find goes on over their names.
+    name = labelled.select(F.col("rep").alias("a"), F.col("comp").alias("ca")).distinct()
+    joined = crossing.join(name, "a").join(name.toDF("b", "cb"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+    merged = connected_components(joined).toDF("comp", "last")
+    final = comp.join(merged, "comp", "full").select(F.coalesce("node", "comp").alias("rep"), F.coalesce("last", "comp").alias("comp"))
     classes = (
         reps.select("print", "rep")
-        .join(final.withColumnRenamed("node", "rep"), "rep", "left")
+        .join(final, "rep", "left")
         .select("print", F.coalesce("comp", "rep").alias("component_id"))
     )
     known = prep.where("doc_id is not null").select("doc_id", "n_shingles", "print")

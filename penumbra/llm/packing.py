@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from penumbra.llm.common import text_or_empty
+from penumbra.llm.common import small_batches, text_or_empty
 from penumbra.llm.tokens import file_encoder, slices
 
 #: Pieces a packing group holds on average.
@@ -127,7 +127,7 @@ def pack_documents(
     remainder. Null text counts as empty (the end id alone); null ids and repeated rows are packed
     like any other; other columns are ignored; an empty table gives an empty table.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
+    rows = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     groups = max(1, -(-docs.count() // group_pieces))
     cut = rows.mapInArrow(_cut(tokenizer_path, end_id, window), "doc_id long, piece int, start long, length long, ids binary")
     # The row number spreads repeated rows of one document id too.

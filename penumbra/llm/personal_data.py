@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from penumbra.llm.common import text_or_empty
+from penumbra.llm.common import small_batches, text_or_empty
 
 #: Kinds in the order in which spans are listed; fixed values.
 KINDS = ("email", "ip", "card", "phone")
@@ -205,7 +205,7 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     answered; other columns are ignored. Overlapping spans of different kinds all stay. The work
     is linear in the text, so very long texts need no special case.
     """
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")).mapInArrow(
+    return small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")).mapInArrow(
         _find, f"doc_id long, spans {_SPANS}"
     )
 
@@ -239,4 +239,4 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
             columns[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(run, docs.schema)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
-from penumbra.llm.common import materialise, open_fs, shared_folder, shuffle_partitions, text_or_empty
+from penumbra.llm.common import materialise, open_fs, shared_folder, shuffle_partitions, small_batches, text_or_empty
 from penumbra.llm.tokens import file_encoder, slices
 
 #: Magic numbers of the seekable format and of the skippable frame with the ids; fixed values.
@@ -122,7 +122,7 @@ def write_token_files(
     """
     spark = docs.sparkSession
     folder = folder or shared_folder(spark, "token-files")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
+    rows = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     rows = rows.withColumn("_tie", F.monotonically_increasing_id())
     ranged = rows.repartitionByRange(shuffle_partitions(spark), "doc_id", "_tie").sortWithinPartitions("doc_id", "_tie").drop("_tie")
     id_bytes = 2 if max(vocabulary, end_id + 1) <= 1 << 16 else 4

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from penumbra.llm.common import text_or_empty
+from penumbra.llm.common import small_batches, text_or_empty
 from penumbra.llm.tokens import slices
 
 DECAY, SPAN = 0.7, 6
@@ -335,7 +335,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2000, longest: int
 
 
 #: Words in one of the two generations whose values a worker remembers.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 200_000
 
 
 class Scorer:
@@ -373,12 +373,12 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
         for batch in batches:
-            values = [scorer(part) for part in slices(batch.column("text").to_pylist(), 1 << 22)]
+            values = [scorer(part) for part in slices(batch.column("text").to_pylist(), 1 << 21)]
             p = shared.value.probability(np.concatenate(values)) if values else np.empty(0)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(p, pa.float64()), pa.array((p >= threshold).astype(np.int32), pa.int32())],
                 ["doc_id", "score", "predicted"],
             )
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
+    rows = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     return rows.mapInArrow(run, "doc_id long, score double, predicted int")
