@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -152,7 +153,8 @@ def deobfuscate(text: str) -> Tape | None:
     spelled = _SPELLED.search(text) is not None
     bracket = _BRACKET_AT.search(text) or _BRACKET_DOT.search(text)
     dots = "dot" in lower and _DOT_WORD.search(text) is not None
-    if not (strange or spelled or bracket or dots):
+    at = "at" in lower and _WORD_AT.search(text) is not None
+    if not (strange or spelled or bracket or dots or at):
         return None
     tape = Tape(text)
     if strange:
@@ -167,18 +169,23 @@ def deobfuscate(text: str) -> Tape | None:
 
 
 def all_spans(text: str) -> tuple[list[Span], list[Span]]:
-    """Base spans, and those that only the normalised text shows, in source offsets."""
+    """Base spans, and those that only the normalised text shows, in source offsets.
+
+    A disguise in part of a value may leave a shorter base span inside it, so only what one base
+    span of the kind covers wholly is not added; a longer span stands beside the base span.
+    """
     base = base_spans(text)
     tape = deobfuscate(text)
     if tape is None:
         return base, []
+    # Base spans of a kind are in order and apart, so the last one that starts no later is the only one that can cover.
     taken = {k: [(s, e) for kind, s, e in base if kind == k] for k in KINDS}
     added = []
     for kind, s, e in base_spans(tape.text):
         a, b = tape.start[s], tape.end[e - 1]
-        if not any(x < b and a < y for x, y in taken[kind]):
+        i = bisect_right(taken[kind], a, key=lambda x: x[0]) - 1
+        if i < 0 or taken[kind][i][1] < b:
             added.append((kind, a, b))
-            taken[kind].append((a, b))
     return base, added
 
 

@@ -131,6 +131,33 @@ def test_disguises_map_back(text, kind, source):
     assert source not in personal_data.redact_text(text)
 
 
+@pytest.mark.parametrize(
+    ("text", "kind", "source", "base"),
+    [
+        ("to bоb@example.com now", "email", "bоb@example.com", ["b@example.com"]),
+        ("to jоhn.smith@example.com now", "email", "jоhn.smith@example.com", ["hn.smith@example.com"]),
+        ("to john [dot] smith@example.com now", "email", "john [dot] smith@example.com", ["smith@example.com"]),
+        ("to bob@mail.example [dot] com now", "email", "bob@mail.example [dot] com", ["bob@mail.example"]),
+        ("to bob@mail.exam\u200bple.com now", "email", "bob@mail.exam\u200bple.com", ["bob@mail.exam"]),
+        ("to bob at example.com now", "email", "bob at example.com", []),
+        ("host 10.20.30.4٢ is up", "ip", "10.20.30.4٢", ["10.20.30.4"]),
+        ("call +1 212 555 01０9 now", "phone", "+1 212 555 01０9", ["+1 212 555 01"]),
+    ],
+)
+def test_partly_disguised_values_are_redacted_whole(text, kind, source, base):
+    found, added = personal_data.all_spans(text)
+    assert [text[a:b] for k, a, b in found if k == kind] == base
+    assert [(k, text[a:b]) for k, a, b in added] == [(kind, source)]
+    assert personal_data.redact_text(text) == text.replace(source, f"<{kind.upper()}>")
+
+
+def test_a_disguise_elsewhere_adds_no_base_span_again():
+    text = "bob@example.com and eve [at] example [dot] org and 10.0.0.1"
+    found, added = personal_data.all_spans(text)
+    assert [text[a:b] for _, a, b in found] == ["bob@example.com", "10.0.0.1"]
+    assert [text[a:b] for _, a, b in added] == ["eve [at] example [dot] org"]
+
+
 @pytest.mark.parametrize("text", ["meet at the dot com cafe", "one two three steps", "at noon", "él está en casa à côté", "see fig. [1] at p. 3"])
 def test_clean_texts_stay(text):
     assert personal_data.all_spans(text) == ([], []) and personal_data.redact_text(text) == text
