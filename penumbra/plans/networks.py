@@ -116,7 +116,7 @@ def sun_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges reachable within six minutes and 150 seconds of sun, with shade by two-minute bucket."""
     edges, start = lattice(spark), spark.range(1).select(F.col("id").alias("source"))
     labels = graph.label_search(edges, start, 360.0, sun_budget=150.0, bucket_seconds=120.0)
-    return graph.reachable_edges(labels, edges, 360.0, 150.0)
+    return graph.reachable_edges(labels, edges, 360.0, 150.0, bucket_seconds=120.0)
 
 
 @register("""

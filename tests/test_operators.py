@@ -239,3 +239,47 @@ def test_cross_tile_box_pairs_once(spark):
     q = spark.createDataFrame([(1, 0.0, 0.0, 3.0, 3.0)], "q int, south double, west double, north double, east double")
     s = spark.createDataFrame([(7, 1.0, 1.0, 5.0, 5.0), (8, 4.0, 4.0, 5.0, 5.0)], "s int, south double, west double, north double, east double")
     assert [(r.q, r.s) for r in spatial.box_join(q, s, 1.0).collect()] == [(1, 7)]
+
+
+def test_later_label_that_meets_shade_is_kept(spark):
+    """The first way to node 1 is faster and less sunny, but ends the next edge in the sunny bucket."""
+    edges = spark.createDataFrame(
+        [(0, 1, 50.0, 0.0, [0.8, 0.8]), (0, 1, 60.0, 0.0, [0.75, 0.75]), (1, 2, 45.0, 0.0, [0.0, 1.0]), (2, 3, 50.0, 0.0, [1.0, 1.0])],
+        "from_id long, to_id long, seconds double, shade double, series array<double>",
+    )
+    start = spark.createDataFrame([(0,)], "source long")
+    labels = graph.label_search(edges, start, 200.0, sun_budget=30.0, bucket_seconds=100.0)
+    assert {(r.node, r.seconds, round(r.sun, 6)) for r in labels.collect()} == {(0, 0.0, 0.0), (1, 50.0, 10.0), (1, 60.0, 15.0), (2, 105.0, 15.0), (3, 155.0, 15.0)}
+    found = graph.reachable_edges(labels, edges, 200.0, 30.0, bucket_seconds=100.0)
+    assert {(r.from_id, r.to_id) for r in found.collect()} == {(0, 1), (1, 2), (2, 3)}
+
+
+def test_label_search_against_all_walks_with_buckets(spark):
+    """On small random graphs: every edge that some walk within both budgets can take, each priced at its arrival."""
+    import random
+
+    rng = random.Random(7)
+    rows = []
+    for g in range(20):
+        for _ in range(14):
+            a, b = rng.sample(range(6), 2)
+            series = [rng.choice([0.0, 0.25, 0.5, 0.75, 1.0]) for _ in range(rng.randrange(4))] or None
+            rows.append((g * 10 + a, g * 10 + b, float(rng.randrange(20, 60)), rng.choice([0.0, 0.5, 1.0]), series))
+    expected = set()
+    for g in range(20):
+        walks = {(g * 10, 0.0, 0.0)}
+        while walks:
+            after = set()
+            for node, t, sun in walks:
+                for a, b, s, static, series in rows:
+                    if a == node and t + s <= 220:
+                        shade = series[min(int((t + s) // 70), len(series) - 1)] if series else static
+                        if sun + s * (1 - shade) <= 60:
+                            expected.add((g * 10, a, b))
+                            after.add((b, t + s, sun + s * (1 - shade)))
+            walks = after
+    edges = spark.createDataFrame(rows, "from_id long, to_id long, seconds double, shade double, series array<double>")
+    starts = spark.createDataFrame([(g * 10,) for g in range(20)], "source long")
+    labels = graph.label_search(edges, starts, 220.0, sun_budget=60.0, bucket_seconds=70.0)
+    found = graph.reachable_edges(labels, edges, 220.0, 60.0, bucket_seconds=70.0)
+    assert {(r.source, r.from_id, r.to_id) for r in found.collect()} == expected

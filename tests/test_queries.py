@@ -77,6 +77,27 @@ def test_sun_reach_against_all_walks(spark):
     assert found == reached
 
 
+def test_sun_reach_prices_every_edge_at_its_arrival(spark):
+    """As above, but the last edge too has the shade of the time at which its end is reached."""
+    out = defaultdict(list)
+    for a, b, s, series in _lattice():
+        out[a].append((b, s, series))
+    seen, queue, reached = {(0, 0, 0.0)}, deque([(0, 0, 0.0)]), set()
+    while queue:
+        node, t, sun = queue.popleft()
+        for b, s, series in out[node]:
+            at = t + s
+            total = round(sun + s * (1 - series[min(int(at // 120), 3)]), 9)
+            if at > 360 or total > 150:
+                continue
+            reached.add((node, b))
+            if (b, at, total) not in seen:
+                seen.add((b, at, total))
+                queue.append((b, at, total))
+    found = {(r.from_id, r.to_id) for r in catalogue.QUERIES["sun_reach"](spark, DATA).collect()}
+    assert found == reached
+
+
 def test_edge_shade_between_zero_and_one(spark):
     rows = catalogue.QUERIES["edge_shade"](spark, DATA).collect()
     assert rows and all(0 <= r.shade <= 1 for r in rows)
