@@ -9,44 +9,47 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from penumbra.llm import exact_dedup, packing, personal_data, toxicity
-from penumbra.llm.common import materialise, shared_folder
+from penumbra.llm.common import materialise, shared_folder, text_or_empty
 from penumbra.llm.near_dedup import near_duplicates
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def _only(docs: DataFrame, kept: DataFrame, once: bool = False) -> DataFrame:
-    """The rows of ``docs`` whose id is in ``kept``; a null id matches null ids. With ``once`` rows that repeat
-    id and text stay once.
-
-    Ids join by plain equality, so rows that repeat one already lie together; null ids go apart. The decision is
-    written first, so that neither part makes it again.
-    """
-    docs, ids = docs.select(*COLUMNS), materialise(kept.select("doc_id"), "kept").distinct()
-    named = docs.where("doc_id is not null").join(ids, "doc_id", "left_semi").select(*COLUMNS)
-    nameless = docs.where("doc_id is null").join(ids.where("doc_id is null").select(F.lit(True).alias("any")), F.lit(True), "left_semi")
-    if once:
-        named, nameless = named.dropDuplicates(["doc_id", "text"]), nameless.dropDuplicates(["text"])
-    return named.union(nameless)
+def _numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with a ``row`` that no other row has: the id where ids are unique and none is null, else a number that is
+    written with the rows."""
+    docs = docs.select(*COLUMNS)
+    odd = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("doc_id is null or n > 1")
+    if not odd.limit(1).count():
+        return docs.withColumn("row", F.col("doc_id").cast("long"))
+    return materialise(docs.withColumn("row", F.monotonically_increasing_id()), "numbered")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that the model calls toxic go. It learns from the labelled rows of ``docs``."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    scored = toxicity.score(docs, toxicity.fit(docs, labels))
-    return _only(docs, scored.where("predicted = 0"))
+    return toxicity.drop(docs.select(*COLUMNS), toxicity.fit(docs, labels))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the largest id stays; of repeated rows of that id, one."""
-    kept = exact_dedup.exact_duplicates(docs).where("kept")
-    return _only(docs, kept, once=True)
+    """Of equal texts the row with the largest id stays (a null id ranks below every other); of repeated rows of that id, one.
+
+    Rows meet the decision by text and id, so neither another text of an id nor another row without one counts.
+    """
+    groups = materialise(exact_dedup.duplicate_groups(docs).select("text_sha256", "keep_id"), "kept")
+    rows = docs.select(*COLUMNS).withColumn("sha", F.sha2(text_or_empty("text"), 256))
+    same = (F.col("sha") == F.col("text_sha256")) & F.col("doc_id").cast("long").eqNullSafe(F.col("keep_id"))
+    return rows.join(groups, same, "left_semi").dropDuplicates(["doc_id", "sha"]).select(*COLUMNS)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays: five-word shingles, similarity 0.8."""
-    return _only(docs, near_duplicates(docs, width=5, percent=80).where("kept"))
+    """One row of each near-duplicate group stays, that of the smallest id (null ids last): five-word shingles, similarity 0.8."""
+    rows = _numbered(docs)
+    groups = near_duplicates(rows, id_col="row", width=5, percent=80).select(F.col("doc_id").alias("row"), "component_id")
+    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("row"))
+    first = groups.join(rows.select("row", "doc_id"), "row").groupBy("component_id").agg(F.min(order)["row"].alias("row"))
+    return rows.join(materialise(first.select("row"), "kept"), "row", "left_semi").select(*COLUMNS)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

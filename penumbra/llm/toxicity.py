@@ -362,6 +362,11 @@ class Scorer:
         return np.array([max(map(young, b)) if b else self.model.nothing for b in bags], np.float64)
 
 
+def _probabilities(model: Model, scorer: Scorer, texts: list[str]) -> np.ndarray:
+    values = [scorer(part) for part in slices(texts, 1 << 21)]
+    return model.probability(np.concatenate(values)) if values else np.empty(0)
+
+
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7) -> DataFrame:
     """``doc_id``, ``score`` (0 to 1) and ``predicted`` of every whole text.
 
@@ -373,8 +378,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
         for batch in batches:
-            values = [scorer(part) for part in slices(batch.column("text").to_pylist(), 1 << 21)]
-            p = shared.value.probability(np.concatenate(values)) if values else np.empty(0)
+            p = _probabilities(shared.value, scorer, batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(p, pa.float64()), pa.array((p >= threshold).astype(np.int32), pa.int32())],
                 ["doc_id", "score", "predicted"],
@@ -382,3 +386,18 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     rows = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     return rows.mapInArrow(run, "doc_id long, score double, predicted int")
+
+
+def drop(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.7) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that ``score`` does not call toxic. Each row is judged by its own
+    text, so ids may be null or repeated."""
+    at = docs.columns.index(text_col)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(shared.value)
+        for batch in batches:
+            texts = [t or "" for t in batch.column(at).to_pylist()]
+            yield batch.filter(pa.array(_probabilities(shared.value, scorer, texts) < threshold, pa.bool_()))
+
+    return small_batches(docs).mapInArrow(run, docs.schema)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import corpus_pipeline
 from support import DATA
 
-from penumbra.llm import exact_dedup, near_dedup, personal_data
+from penumbra.llm import exact_dedup, near_dedup, personal_data, toxicity
 
 
 def test_stages_in_order(spark):
@@ -51,3 +51,23 @@ def test_kept_rows_match_the_operators(spark):
     assert {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, DATA).collect()} == kept
     texts = {r.doc_id: personal_data.redact_text(r.text) for r in docs.collect()}
     assert {r.doc_id: r.text for r in corpus_pipeline.redact_personal_data(spark, docs, DATA).collect()} == texts
+
+
+def test_decisions_take_effect_on_rows_without_or_with_repeated_ids(spark, monkeypatch):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    frame = lambda rows: spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], schema).repartition(2)
+    held = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=repr)
+
+    clean = [f"a quiet sentence of number {i} is here" for i in range(40)]
+    model = toxicity.train(clean + [f"{t} dimwit" for t in clean], [0] * 40 + [1] * 40, (40, 40))
+    monkeypatch.setattr(toxicity, "fit", lambda *_: model)
+    rows = [(None, clean[0]), (None, clean[1] + " dimwit"), (1, clean[2]), (1, clean[3] + " dimwit"), (2, None)]
+    assert held(corpus_pipeline.drop_toxic(spark, frame(rows), DATA)) == sorted([rows[0], rows[2], rows[4]], key=repr)
+
+    rows = [(None, "same"), (None, "same"), (None, "mine"), (None, "mine"), (7, "same"), (7, "same"), (7, "other"), (9, "other"), (9, None), (3, "")]
+    assert held(corpus_pipeline.drop_copies(spark, frame(rows), DATA)) == sorted([(7, "same"), (None, "mine"), (9, "other"), (9, None)], key=repr)
+
+    one, two = (" ".join(f"{p}{i}" for i in range(60)) for p in "ab")
+    rows = [(None, one), (None, one + " more"), (5, two), (6, "x"), (6, two + " more"), (6, one + " other"), (None, ""), (None, "  "), (8, "free")]
+    expected = [(5, two), (6, "x"), (6, one + " other"), (None, ""), (None, "  "), (8, "free")]
+    assert held(corpus_pipeline.drop_near_copies(spark, frame(rows), DATA)) == sorted(expected, key=repr)
