@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,17 +58,49 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-#: Rows of an Arrow batch of whole texts. Spark's default of 10,000 makes batches of tens of megabytes in the JVM, off its
-#: heap and in Python at once.
-BATCH_ROWS = 1_000
-
-
-def small_batches(df: DataFrame) -> DataFrame:
-    """``df``, after the session's Arrow batches have been bounded to BATCH_ROWS (a smaller bound stays)."""
-    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
-        conf.set(name, str(BATCH_ROWS))
-    return df
+#: Bytes of text that a task works on at once; a longer text stands alone.
+SLICE_BYTES = 16 << 20
+
+
+def utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a column of texts without nulls, and the place of each text in them (one more entry than texts)."""
+    wide = pa.types.is_large_string(texts.type) or pa.types.is_large_binary(texts.type)
+    buffers = texts.buffers()
+    offsets = np.frombuffer(buffers[1], np.int64 if wide else np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    data = np.frombuffer(buffers[2], np.uint8) if buffers[2] is not None else np.empty(0, np.uint8)
+    return data[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+def slices(batch: pa.RecordBatch, column: int | str = "text", size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The rows in runs of about ``size`` bytes of text."""
+    if not batch.num_rows:
+        return
+    bounds = utf8(batch.column(column))[1]
+    at = 0
+    while at < batch.num_rows:
+        end = max(at + 1, int(np.searchsorted(bounds, bounds[at] + size, "right")) - 1)
+        yield batch.slice(at, end - at)
+        at = end
+
+
+def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Words (runs of characters other than ASCII white space, with A-Z lower-cased) of a column of texts:
+    the distinct words as binary, the number of each word among them in order, and the place of each text's
+    first word (one more entry than texts)."""
+    data, bounds = utf8(texts)
+    if not len(data):
+        return pa.array([], pa.binary()), np.empty(0, np.int32), np.zeros(len(texts) + 1, np.int64)
+    shown = (data != 32) & ((data < 9) | (data > 13))
+    first = shown.copy()
+    first[1:] &= ~shown[:-1]
+    opens = bounds[:-1][bounds[:-1] < len(data)]
+    first[opens] = shown[opens]
+    starts = np.flatnonzero(first)
+    kept = data[shown]
+    kept = kept + ((kept >= 65) & (kept <= 90)).astype(np.uint8) * np.uint8(32)
+    places = np.append(np.cumsum(shown)[starts] - 1, len(kept)).astype(np.int32)
+    coded = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(places), pa.py_buffer(kept)]).dictionary_encode()
+    return coded.dictionary, coded.indices.to_numpy(zero_copy_only=False), np.searchsorted(starts, bounds)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

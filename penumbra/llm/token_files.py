@@ -19,21 +19,23 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
-from penumbra.llm.common import materialise, open_fs, shared_folder, shuffle_partitions, small_batches, text_or_empty
-from penumbra.llm.tokens import file_encoder, slices
+from penumbra.llm.common import materialise, open_fs, shared_folder, shuffle_partitions, slices, text_or_empty
+from penumbra.llm.tokens import file_encoder
 
 #: Magic numbers of the seekable format and of the skippable frame with the ids; fixed values.
 SEEK_MAGIC, SKIPPABLE_SEEK, SKIPPABLE_IDS = 0x8F92EAB1, 0x184D2A5E, 0x184D2A50
 #: Bit 7 of the seek table's descriptor: the entries hold checksums; fixed value.
 HAS_CHECKSUMS = 0x80
 LEVEL = 3
+#: Compressed bytes after which a writer begins another file.
+FILE_BYTES = 256 << 20
 
 
 class FrameWriter:
     """Appends documents to an open binary file; ``finish`` writes ids and seek table."""
 
     def __init__(self, out, id_bytes: int):
-        self.out, self.dtype, self.ids, self.entries = out, f"<u{id_bytes}", [], []
+        self.out, self.dtype, self.ids, self.entries, self.tokens, self.bytes = out, f"<u{id_bytes}", [], [], 0, 0
         self.compress = zstandard.ZstdCompressor(level=LEVEL, write_checksum=False).compress
 
     def add(self, doc_id: int | None, tokens: np.ndarray) -> None:
@@ -41,6 +43,8 @@ class FrameWriter:
         frame = self.compress(plain)
         self.out.write(frame)
         self.ids.append(doc_id)
+        self.tokens += len(tokens)
+        self.bytes += len(frame)
         self.entries.append(struct.pack("<III", len(frame), len(plain), xxhash.xxh64_intdigest(plain) & 0xFFFFFFFF))
 
     def finish(self) -> None:
@@ -82,39 +86,46 @@ class FrameReader:
         return np.frombuffer(plain, self.dtype)
 
 
-def _write(path: str, folder: str, end_id: int, id_bytes: int):
+def _write(path: str, folder: str, end_id: int, id_bytes: int, file_bytes: int):
+    names, types = ["part", "number", "file", "documents", "tokens"], [pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64()]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = open_fs(folder)
         part, attempt = TaskContext.get().partitionId(), TaskContext.get().taskAttemptId()
-        name, temporary = f"{root}/tokens-{part:06d}.zst", f"{root}/.tokens-{part:06d}-{attempt}"
-        encode, writer, total, out = file_encoder(path), None, 0, None
+        encode, end = file_encoder(path), np.array([end_id], np.uint32)
+        writer, number, rows = None, 0, []
+
+        def finish() -> None:
+            writer.finish()
+            writer.out.close()
+            name = f"tokens-{part:06d}-{number:04d}.zst"
+            fs.move(f"{root}/.{name}-{attempt}", f"{root}/{name}")  # whole or not at all, and the same bytes whichever attempt is last
+            rows.append((part, number, name, len(writer.ids), writer.tokens))
+
         for batch in batches:
-            ids = iter(batch.column("doc_id").to_pylist())
-            for texts in slices(batch.column("text").to_pylist()):
-                for raw in encode(texts):
+            for rows_in in slices(batch):
+                for doc_id, raw in zip(rows_in.column("doc_id").to_pylist(), encode(rows_in.column("text")), strict=True):
                     if writer is None:
                         fs.create_dir(root, recursive=True)
-                        out = fs.open_output_stream(temporary)
-                        writer = FrameWriter(out, id_bytes)
-                    tokens = np.append(np.frombuffer(raw, np.uint32), np.uint32(end_id))
-                    writer.add(next(ids), tokens)
-                    total += len(tokens)
+                        writer = FrameWriter(fs.open_output_stream(f"{root}/.tokens-{part:06d}-{number:04d}.zst-{attempt}"), id_bytes)
+                    writer.add(doc_id, np.append(np.frombuffer(raw.as_buffer(), np.uint32), end))
+                    if writer.bytes >= file_bytes:
+                        finish()
+                        writer, number = None, number + 1
         if writer is not None:
-            writer.finish()
-            out.close()
-            fs.move(temporary, name)  # whole or not at all, and the same bytes whichever attempt is last
-            yield pa.RecordBatch.from_pydict(
-                {"part": pa.array([part], pa.int32()), "file": [name.rpartition("/")[2]], "documents": pa.array([len(writer.ids)], pa.int64()), "tokens": pa.array([total], pa.int64())}
-            )
+            finish()
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
     return run
 
 
 def write_token_files(
-    docs: DataFrame, tokenizer_path: str, end_id: int, vocabulary: int = 50257, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None
+    docs: DataFrame, tokenizer_path: str, end_id: int, vocabulary: int = 50257, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None, file_bytes: int = FILE_BYTES
 ) -> tuple[str, DataFrame]:
     """Encode all texts and write them in ascending id order; gives the folder and the manifest
-    (``part``, ``file``, ``documents``, ``tokens``, ``before``: ids in the files before).
+    (``part``, ``number``, ``file``, ``documents``, ``tokens``, ``before``: ids in the files before). A task begins
+    another file when one holds ``file_bytes``, so files and their tables stay bounded at any input.
 
     Null text counts as empty (the end id alone); null ids come first; repeated rows are all
     written; other columns are ignored; an empty table gives no files. Ids take two bytes where the
@@ -122,14 +133,14 @@ def write_token_files(
     """
     spark = docs.sparkSession
     folder = folder or shared_folder(spark, "token-files")
-    rows = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     rows = rows.withColumn("_tie", F.monotonically_increasing_id())
     ranged = rows.repartitionByRange(shuffle_partitions(spark), "doc_id", "_tie").sortWithinPartitions("doc_id", "_tie").drop("_tie")
     id_bytes = 2 if max(vocabulary, end_id + 1) <= 1 << 16 else 4
     manifest = materialise(
-        ranged.mapInArrow(_write(tokenizer_path, folder, end_id, id_bytes), "part int, file string, documents long, tokens long"), "manifest"
+        ranged.mapInArrow(_write(tokenizer_path, folder, end_id, id_bytes, file_bytes), "part int, number int, file string, documents long, tokens long"), "manifest"
     )
-    before = F.sum("tokens").over(Window.orderBy("part")) - F.col("tokens")  # a row a file
+    before = F.sum("tokens").over(Window.orderBy("part", "number")) - F.col("tokens")  # a row a file
     return folder, manifest.withColumn("before", before)
 
 

@@ -3,28 +3,30 @@
 from __future__ import annotations
 
 import base64
+import hashlib
+import zlib
 from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pyarrow.fs as pafs
 import pytest
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from support import DATA
 from tokenizers import Tokenizer
 
-from penumbra.llm import bpe, packing, token_files, tokens
+from penumbra.llm import bpe, packing, queries, token_files, tokens
 
 JSON, RANKS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-TEXTS = st.text(alphabet="ab é\t\n.'s1 日\x1c\x85😀<|>", max_size=60)
+TEXTS = st.lists(st.sampled_from([*"ab é\t\n.'s1 日\x1c\x85😀<|>,\r\u3000\u2003”", "<|endoftext|>", "word", "\n\n"]), max_size=40).map("".join)
 
 
 @pytest.fixture(scope="module")
 def library():
-    t = Tokenizer.from_file(JSON)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(JSON)
 
 
 @pytest.fixture(scope="module")
@@ -36,9 +38,8 @@ def ranked():
 @settings(max_examples=200, deadline=None)
 @given(st.lists(TEXTS, min_size=1, max_size=4))
 def test_pieces_encode_like_whole_texts(texts):
-    got = [np.frombuffer(x, np.uint32).tolist() for x in tokens.file_encoder(JSON)(texts)]
+    got = [np.frombuffer(x, np.uint32).tolist() for x in tokens.file_encoder(JSON)(pa.array(texts)).to_pylist()]
     t = Tokenizer.from_file(JSON)
-    t.encode_special_tokens = True
     assert got == [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
 
 
@@ -48,16 +49,16 @@ def test_merges_like_the_library(ranked):
     @settings(max_examples=300, deadline=None)
     @given(TEXTS)
     def check(text):
-        (ids,) = pieces([text])
-        assert np.frombuffer(ids, np.uint32).tolist() == ranked.encode_ordinary(text)
-        assert coder.decode(ids) == text.encode()
+        ids = pieces(pa.array(["", text, "x"]))
+        assert np.frombuffer(ids[1].as_py(), np.uint32).tolist() == ranked.encode_ordinary(text)
+        assert coder.decode(ids.slice(1)).to_pylist() == [text.encode(), b"x"]
 
     check()
     long = "abcab" * 8_000  # one pre-token
-    assert np.frombuffer(pieces([long])[0], np.uint32).tolist() == ranked.encode_ordinary(long)
+    assert np.frombuffer(pieces(pa.array([long]))[0].as_py(), np.uint32).tolist() == ranked.encode_ordinary(long)
 
 
-def test_generations_keep_what_recurs(monkeypatch):
+def test_remembered_pieces_stay_bounded(monkeypatch):
     monkeypatch.setattr(tokens, "CACHE_PIECES", 4)
     calls = []
 
@@ -66,10 +67,70 @@ def test_generations_keep_what_recurs(monkeypatch):
         return [s.encode() for s in strings]
 
     e = tokens.PieceEncoder(encode)
-    for text in ("a b c", "a d e", "a b f", "a g h", "a b c d e f g h i j"):
-        assert e([text]) == [text.encode()]
-    assert calls.count("a") == 1
-
+    for text in ("a b c", "a d e", "a b f", "a g h", "a " + "x" * 99, "a b c d e f g h i j"):
+        assert e(pa.array([text])).to_pylist() == [text.encode()]
+    assert calls.count("a") == 1 and " " + "x" * 99 not in [k.decode() for k in e.pieces.to_pylist()]
+
+
+def test_special_tokens_in_a_text_are_read_as_the_library_does(library):
+    texts = ["a<|endoftext|>b", "x <|endoftext|> y", "a\n<|endoftext|>\n\nb", "<|endoftext|>", "word.<|endoftext|>."]
+    got = tokens.file_encoder(JSON)(pa.array(texts)).to_pylist()
+    assert [np.frombuffer(x, np.uint32).tolist() for x in got] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def _contract(query, spark, columns):
+    rows = queries.QUERIES[query](spark, DATA).select("doc_id", *columns).collect()
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    return rows, texts
+
+
+def test_the_query_of_token_files(spark, library):
+    rows, texts = _contract("op3_token_output", spark, ["start", "n_tokens", "ids_crc32"])
+    expected, start = [], 0
+    for i in sorted(texts):
+        ids = np.array([*library.encode(texts[i], add_special_tokens=False).ids, 2], "<u4")
+        expected.append((i, start, len(ids), zlib.crc32(ids.tobytes())))
+        start += len(ids)
+    assert sorted(map(tuple, rows)) == expected
+
+
+def test_the_query_of_packing_and_its_quality(spark, library):
+    rows, texts = _contract("op4_packing", spark, ["piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
+    expected, total = [], 0
+    for i in sorted(texts):
+        ids = np.array([*library.encode(texts[i], add_special_tokens=False).ids, 0], "<u4")
+        at, piece, size, total = 0, 0, len(ids) % 2048 or 2048, total + len(ids)
+        while at < len(ids):
+            expected.append((i, piece, at, size, zlib.crc32(ids[at : at + size].tobytes())))
+            at, piece, size = at + size, piece + 1, 2048
+    assert sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows) == expected
+    bins = defaultdict(list)
+    for r in rows:
+        bins[r.sequence_id].append((r.offset, r.length))
+    for parts in bins.values():
+        parts.sort()
+        assert [o for o, _ in parts] == np.cumsum([0, *(n for _, n in parts)])[:-1].tolist() and sum(n for _, n in parts) <= 2048
+    assert len(bins) <= -(-total // 2048) * 1.02 + 1
+
+
+def test_the_query_of_byte_bpe(spark, ranked):
+    rows, texts = _contract("op6_byte_bpe", spark, ["n_tokens", "ids_sha256", "decoded_sha256"])
+    expected = []
+    for i in sorted(texts):
+        ids = np.array(ranked.encode_ordinary(texts[i]), "<u4")
+        expected.append((i, len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(texts[i].encode()).hexdigest()))
+    assert sorted(map(tuple, rows)) == expected
+
+
+def test_a_writer_rolls_its_files(spark, library):
+    docs = spark.createDataFrame([(i, f"text number {i} " * 50) for i in range(40)], "doc_id long, text string").coalesce(1)
+    folder, manifest = token_files.write_token_files(docs, JSON, end_id=2, file_bytes=60)
+    assert manifest.count() > 8
+    got = sorted(token_files.read_token_files(folder, manifest).collect(), key=lambda r: r.doc_id)
+    start = 0
+    for r in got:
+        assert r.start == start and bytes(r.ids) == np.array([*library.encode(f"text number {r.doc_id} " * 50, add_special_tokens=False).ids, 2], "<u4").tobytes()
+        start += r.n_tokens
 
 
 def test_files_round_trip(spark, odd_documents, no_documents, library):
