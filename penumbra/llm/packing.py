@@ -15,11 +15,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from penumbra.llm.common import small_batches, text_or_empty
-from penumbra.llm.tokens import file_encoder, slices
+from penumbra.llm.common import slices, text_or_empty
+from penumbra.llm.tokens import file_encoder
 
-#: Pieces a packing group holds on average.
-GROUP_PIECES = 2048
+#: Short pieces that a packing group holds on average.
+GROUP_PIECES = 4096
+COLUMNS = ["doc_id", "piece", "start", "length", "ids", "sequence_id", "offset"]
 
 
 class Lengths:
@@ -78,29 +79,27 @@ def best_two_fit(lengths: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def _cut(path: str, end_id: int, window: int):
+def _cut(path: str, end_id: int, window: int, dtype: str):
+    names, types = ["doc_id", "piece", "start", "length", "ids"], [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = file_encoder(path), np.array([end_id], "<u4").tobytes()
+        encode, end = file_encoder(path), np.array([end_id], np.uint32)
         for batch in batches:
-            doc_ids = iter(batch.column("doc_id").to_pylist())
-            for texts in slices(batch.column("text").to_pylist()):
+            for part in slices(batch):
                 rows = []
-                for raw in encode(texts):
-                    ids, doc_id = raw + end, next(doc_ids)
-                    n = len(ids) // 4
+                for doc_id, raw in zip(part.column("doc_id").to_pylist(), encode(part.column("text")), strict=True):
+                    ids = np.append(np.frombuffer(raw.as_buffer(), np.uint32), end).astype(dtype)
+                    n = len(ids)
                     at, piece, size = 0, 0, n % window or window
                     while at < n:
-                        rows.append((doc_id, piece, at, size, ids[4 * at : 4 * (at + size)]))
+                        rows.append((doc_id, piece, at, size, ids[at : at + size].tobytes()))
                         at, piece, size = at + size, piece + 1, window
-                types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["doc_id", "piece", "start", "length", "ids"]
-                )
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
     return run
 
 
-def _pack(window: int):
+def _pack(window: int, dtype: str):
     def run(table: pa.Table) -> pa.Table:
         # A stable order first, so that a task that runs again packs alike.
         table = table.sort_by([("doc_id", "ascending"), ("piece", "ascending"), ("length", "ascending")])
@@ -112,26 +111,41 @@ def _pack(window: int):
             for row in rows:
                 sequence[row], offset[row] = first + number, at
                 at += lengths[row]
-        return table.drop_columns(["packing_group"]).append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset))
+        ids = pa.array([np.frombuffer(x, dtype).astype("<u4").tobytes() for x in table.column("ids").to_pylist()], pa.binary())
+        table = table.drop_columns(["packing_group", "ids"]).append_column("ids", ids)
+        return table.append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset)).select(COLUMNS)
 
     return run
 
 
 def pack_documents(
-    docs: DataFrame, tokenizer_path: str, end_id: int = 0, window: int = 2048, id_col: str = "doc_id", text_col: str = "text", group_pieces: int = GROUP_PIECES
+    docs: DataFrame,
+    tokenizer_path: str,
+    end_id: int = 0,
+    window: int = 2048,
+    vocabulary: int = 50257,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    group_pieces: int = GROUP_PIECES,
 ) -> DataFrame:
     """Every document's ids (with the end id) as pieces of at most ``window`` ids, each with its place.
 
     Returns ``doc_id``, ``piece``, ``start``, ``length``, ``ids`` (little-endian unsigned 32-bit),
     ``sequence_id`` and ``offset``. Only longer documents are cut; their first piece holds the
     remainder. Null text counts as empty (the end id alone); null ids and repeated rows are packed
-    like any other; other columns are ignored; an empty table gives an empty table.
+    like any other; other columns are ignored; an empty table gives an empty table. Pieces travel
+    as two-byte ids where the vocabulary allows.
     """
-    rows = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     groups = max(1, -(-docs.count() // group_pieces))
-    cut = rows.mapInArrow(_cut(tokenizer_path, end_id, window), "doc_id long, piece int, start long, length long, ids binary")
-    # The row number spreads repeated rows of one document id too.
-    dealt = cut.withColumn("packing_group", F.pmod(F.xxhash64("doc_id", "piece", F.monotonically_increasing_id()), F.lit(groups)))
+    dtype = "<u2" if max(vocabulary, end_id + 1) <= 1 << 16 else "<u4"
+    cut = rows.mapInArrow(_cut(tokenizer_path, end_id, window, dtype), "doc_id long, piece int, start long, length long, ids binary")
+    # Every document has one piece that may be short; those share the groups, dealt by a hash (with the row number, so
+    # repeated rows of an id spread too). A full piece is a sequence by itself: a run of them of bounded length is a group.
+    number = F.monotonically_increasing_id()
+    short = F.pmod(F.xxhash64("doc_id", "piece", number), F.lit(groups))
+    full = -1 - F.shiftright(number, 11)
+    dealt = cut.withColumn("packing_group", F.when(F.col("length") < window, short).otherwise(full))
     return dealt.groupBy("packing_group").applyInArrow(
-        _pack(window), "doc_id long, piece int, start long, length long, ids binary, sequence_id long, offset long"
+        _pack(window, dtype), "doc_id long, piece int, start long, length long, ids binary, sequence_id long, offset long"
     )
