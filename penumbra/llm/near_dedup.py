@@ -16,51 +16,50 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from penumbra.llm.common import GOLDEN, materialise, mix64, small_batches, text_or_empty
+from penumbra.llm.common import GOLDEN, materialise, mix64, slices, text_or_empty, words_of
 
-#: Most words whose hash a Python worker keeps.
-WORD_CACHE = 400_000
-_words: dict[bytes, int] = {}
+#: Shingles whose permutations a task holds at once (168 bytes each); a longer text is offered in such chunks.
+CHUNK = 1 << 16
 
 
-def shingle_set(text: str, width: int) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the text's ``width``-word shingles.
+def shingle_sets(texts: pa.Array, width: int) -> list[np.ndarray]:
+    """Sorted distinct 64-bit hashes of each text's ``width``-word shingles.
 
     A text of fewer words (but at least one) has its whole sequence as its only shingle; a text
     without words has the empty set.
     """
-    words = text.encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return np.empty(0, np.uint64)
-    if len(_words) > WORD_CACHE:
-        _words.clear()
-    hashed = []
-    for w in words:
-        h = _words.get(w)
-        if h is None:
-            h = _words[w] = xxhash.xxh3_64_intdigest(w)
-        hashed.append(h)
-    h = np.array(hashed, np.uint64)
-    n = max(1, len(h) - width + 1)
-    k = min(width, len(h))
-    out = np.full(n, k, np.uint64)
+    words, order, bounds = words_of(texts)
+    hashed = np.fromiter(map(xxhash.xxh3_64_intdigest, words.to_pylist()), np.uint64, len(words))[order]
+    out = []
+    shingled = _shingles(hashed, width)
+    for at, end in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        if end - at >= width:
+            out.append(np.unique(shingled[at : end - width + 1]))
+        else:
+            out.append(_shingles(hashed[at:end], end - at) if end > at else np.empty(0, np.uint64))
+    return out
+
+
+def _shingles(hashed: np.ndarray, width: int) -> np.ndarray:
+    """The hash of ``width`` words from each word on."""
+    out = np.full(max(0, len(hashed) - width + 1), width, np.uint64)
     with np.errstate(over="ignore"):
-        for i in range(k):
-            out = mix64(out * np.uint64(GOLDEN) + h[i : i + n])
-    return np.unique(out)
+        for i in range(width):
+            out = mix64(out * np.uint64(GOLDEN) + hashed[i : i + len(out)])
+    return out
 
 
-def superminhash(elements: np.ndarray, m: int) -> np.ndarray:
-    """SuperMinHash signature (Ertl 2017) of a non-empty set of 64-bit hashes.
+def _offer(elements: np.ndarray, owner: np.ndarray, best: np.ndarray) -> None:
+    """Lower ``best`` (a signature a row) by what the elements of each row's set offer.
 
-    Step j of an element's random permutation offers the value j + u to one position. All
-    elements take step j together; the steps stop when every position holds less than j + 1,
-    because later steps only offer more.
+    Step j of an element's random permutation offers the value j + u to one position. All elements
+    take step j together. A set is done when all its positions hold less than j + 1, because later
+    steps only offer more.
     """
-    n = len(elements)
-    best = np.full(m, np.inf)
-    perm = np.tile(np.arange(m, dtype=np.uint8 if m <= 256 else np.uint16), (n, 1))
-    rows = np.arange(n)
+    m = best.shape[1]
+    flat = best.reshape(-1)
+    perm = np.tile(np.arange(m, dtype=np.uint8 if m <= 256 else np.uint16), (len(elements), 1))
+    rows = np.arange(len(elements))
     with np.errstate(over="ignore"):
         for j in range(m):
             bits = mix64(elements + np.uint64((j + 1) * GOLDEN & 0xFFFFFFFFFFFFFFFF))
@@ -68,14 +67,28 @@ def superminhash(elements: np.ndarray, m: int) -> np.ndarray:
             k = j + ((bits & np.uint64(0xFFFFFFFF)) % np.uint64(m - j)).astype(np.int64)
             at = perm[rows, k]
             perm[rows, k] = perm[:, j]
-            np.minimum.at(best, at, value)
-            if best.max() < j + 1:
-                break
-    return best
+            np.minimum.at(flat, owner * m + at, value)
+            on = (best.max(1) >= j + 1)[owner]
+            left = int(on.sum())
+            if not left:
+                return
+            if left < 0.7 * len(on):
+                elements, owner, perm, rows = elements[on], owner[on], perm[on], rows[:left]
 
 
-def _signed(values: np.ndarray) -> list[int]:
-    return values.view(np.int64).tolist()
+def superminhash(sets: list[np.ndarray], m: int) -> np.ndarray:
+    """SuperMinHash signatures (Ertl 2017), a row a set of 64-bit hashes; an empty set's row is infinite."""
+    best = np.full((len(sets), m), np.inf)
+    first = held = 0
+    for i, s in enumerate(sets):
+        held += len(s)
+        if held >= CHUNK or i == len(sets) - 1:
+            elements = np.concatenate(sets[first : i + 1])
+            owner = np.repeat(np.arange(i + 1 - first), [len(x) for x in sets[first : i + 1]])
+            for at in range(0, len(elements), CHUNK):
+                _offer(elements[at : at + CHUNK], owner[at : at + CHUNK], best[first : i + 1])
+            first, held = i + 1, 0
+    return best
 
 
 def banding(threshold: float, slots: int = 168, miss: float = 1e-5) -> tuple[int, int]:
@@ -86,22 +99,20 @@ def banding(threshold: float, slots: int = 168, miss: float = 1e-5) -> tuple[int
 
 
 def _signatures(width: int, bands: int, rows: int):
+    names, types = ["doc_id", "print", "n_shingles", "keys"], [pa.int64(), pa.binary(), pa.int64(), pa.list_(pa.int64())]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints, sizes, keys = [], [], []
-            for text in batch.column("text").to_pylist():
-                s = shingle_set(text or "", width)
-                prints.append(xxhash.xxh3_128_digest(s.tobytes()))
-                sizes.append(len(s))
-                if not len(s):
-                    keys.append([])
-                    continue
-                parts = superminhash(s, bands * rows).reshape(bands, rows)
-                keys.append([xxhash.xxh3_64_intdigest(p.tobytes(), i) - (1 << 63) for i, p in enumerate(parts)])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(prints, pa.binary()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
-                ["doc_id", "print", "n_shingles", "keys"],
-            )
+            for part in slices(batch):
+                sets = shingle_sets(part.column("text"), width)
+                prints = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
+                best = superminhash(sets, bands * rows).reshape(len(sets), bands, rows)
+                keys = [
+                    [xxhash.xxh3_64_intdigest(p.tobytes(), i) - (1 << 63) for i, p in enumerate(b)] if len(s) else []
+                    for s, b in zip(sets, best, strict=True)
+                ]
+                columns = [part.column("doc_id"), prints, list(map(len, sets)), keys]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
     return run
 
@@ -109,8 +120,12 @@ def _signatures(width: int, bands: int, rows: int):
 def _sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = [_signed(shingle_set(t or "", width)) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(values, pa.list_(pa.int64()))], ["rep", "shingles"])
+            for part in slices(batch):
+                sets = shingle_sets(part.column("text"), width)
+                prints = pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary())
+                bounds = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+                values = np.concatenate(sets).view(np.int64) if sets else np.empty(0, np.int64)
+                yield pa.RecordBatch.from_arrays([prints, pa.ListArray.from_arrays(bounds, values)], ["print", "shingles"])
 
     return run
 
@@ -159,107 +174,101 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     )
 
 
-def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, percent: int = 85
-) -> DataFrame:
-    """Groups of documents linked by ``100 * intersection >= percent * union`` of shingle sets.
+def _unsettled(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``(a, b)`` of ``members(rep, comp)`` in different components that may yet be links.
 
-    Returns one row a document: ``doc_id``, ``n_shingles``, ``component_id`` (the smallest id
-    reachable over links) and ``kept`` (the id equals it). Null text counts as empty. A document
-    without words is linked with nothing. Repeated rows of one id share a component. Rows whose id
-    is null take no part: their component is null and they are kept. Other columns are ignored, so
-    their names cannot clash. An empty table gives an empty table.
-
-    1. Signatures (SuperMinHash) and band keys per document; equal sets collapse to the smallest id.
-    2. Representatives that share a band bucket with another one are candidates.
-    3. Candidate pairs are narrowed without loss: a pair at the threshold shares one of the rarest
-       ``n - ceil(t * n) + 1`` shingles of both. Each such posting list is first linked to its most
-       central member only; after union-find, members of other components than that centre's are
-       compared with the rest of the list. Pairs inside one component need no further look.
-    4. Each link is confirmed on the full sets; union-find gives the groups.
+    Nothing is lost: a pair at the threshold shares one of the rarest ``n - ceil(t * n) + 1`` shingles
+    of both sets (rare among the members; those that one member has alone stand first). Members of
+    other components than the first one's in the list of such a shingle are paired with the list.
     """
-    bands, rows = banding(percent / 100)
-    base = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    prep = materialise(
-        base.mapInArrow(_signatures(width, bands, rows), "doc_id long, print binary, n_shingles long, keys array<long>"),
-        "signatures",
-    )
-    reps = materialise(
-        prep.where("doc_id is not null and n_shingles > 0")
-        .groupBy("print")
-        .agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys")),
-        "representatives",
-    )
-    bucket = reps.select("rep", F.explode("keys").alias("key"))
-    shared = bucket.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
-    wanted = bucket.join(shared, "key").select("rep").distinct()
-    sets = materialise(
-        base.where("doc_id is not null")
-        .join(wanted.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi")
-        .dropDuplicates(["doc_id", "text"])
-        .mapInArrow(_sets(width), "rep long, shingles array<long>")
-        .join(reps.select("rep", "n"), "rep")
-        .where(F.size("shingles") == F.col("n"))
-        .dropDuplicates(["rep"]),
-        "sets",
-    )
-    postings = sets.select("rep", "n", F.explode("shingles").alias("h"))
-    common = postings.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
+    postings = sets.join(members, "rep").select("rep", "comp", F.size("shingles").alias("n"), F.explode("shingles").alias("h"))
+    common = postings.groupBy("h").agg(F.count("*").alias("df"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("df > 1")
     first = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - (F.col("n") - F.size("list"))
-    prefix = materialise(
+    prefix = (
         postings.join(common, "h")
-        .groupBy("rep", "n")
-        .agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("list"))
+        .groupBy("rep", "comp", "n")
+        .agg(F.sort_array(F.collect_list(F.struct("df", "h", (F.col("lo") != F.col("hi")).alias("mixed")))).alias("list"))
         .where(first > 0)
-        .select("rep", "n", (F.col("n") - F.size("list")).alias("before"), F.slice("list", F.lit(1), first.cast("int")).alias("list"))
-        .select("rep", "n", "before", F.posexplode("list").alias("i", "s"))
-        .select("rep", "n", F.col("s.h").alias("h"), (F.col("before") + F.col("i")).alias("pos")),
-        "prefix",
+        .select("rep", "comp", "n", (F.col("n") - F.size("list")).alias("before"), F.slice("list", F.lit(1), first.cast("int")).alias("list"))
+        .select("rep", "comp", "n", "before", F.posexplode("list").alias("i", "s"))
+        .where("s.mixed")
+        .select("rep", "comp", "n", F.col("s.h").alias("h"), (F.col("before") + F.col("i")).alias("pos"))
+    )
+    prefix = materialise(prefix, "prefix")
+    mixed = prefix.groupBy("h").agg(F.min(F.struct("pos", "rep", "comp")).alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    mixed = mixed.where("lo <> hi").select("h", F.col("c.comp").alias("main"))
+    listed = prefix.join(mixed, "h")
+    others = listed.select(
+        "h", F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("comp").alias("comp2")
     )
+    met = (F.col("comp2") == F.col("main")) | (F.col("rep2") < F.col("rep"))
     close = F.lit(100) * F.least("n", "n2") >= F.lit(percent) * F.greatest("n", "n2")
     #: Both sets agree on at most what stands at and after the shared shingle.
     reach = F.lit(100 + percent) * F.least(F.col("n") - F.col("pos"), F.col("n2") - F.col("pos2")) >= F.lit(percent) * (
         F.col("n") + F.col("n2")
     )
-    centre = prefix.groupBy("h").agg(F.min(F.struct("pos", "rep", "n")).alias("c"), F.count("*").alias("k")).where("k > 1")
-    centre = centre.select("h", F.col("c.rep").alias("centre"), F.col("c.n").alias("n2"), F.col("c.pos").alias("pos2"))
-    stars = (
-        prefix.join(centre, "h")
-        .where((F.col("rep") != F.col("centre")) & close & reach)
-        .select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b"))
-        .distinct()
-    )
-    star_links = materialise(_verified(stars, sets, percent), "links")
-    comp = materialise(connected_components(star_links), "components")
-    labelled = prefix.join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-    labelled = materialise(labelled, "labelled")
-    mixed = labelled.groupBy("h").agg(F.min(F.struct("pos", "rep", "comp")).alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-    mixed = mixed.where("lo <> hi").select("h", F.col("c.comp").alias("main"))
-    members = labelled.join(mixed, "h")
-    outside = members.where("comp <> main")
-    others = members.select(
-        "h", F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("comp").alias("comp2")
-    )
-    met = (F.col("comp2") == F.col("main")) | (F.col("rep2") < F.col("rep"))
-    cross = (
-        outside.join(others, "h")
+    return (
+        listed.where("comp <> main")
+        .join(others, "h")
         .where((F.col("comp") != F.col("comp2")) & met & close & reach)
         .select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b"))
         .distinct()
     )
-    crossing = materialise(_verified(cross, sets, percent), "links")
+
+
+def near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, percent: int = 85
+) -> DataFrame:
+    """Groups of documents linked by ``100 * intersection >= percent * union`` of shingle sets.
+
+    Returns one row a document: ``doc_id``, ``n_shingles``, ``component_id`` (the smallest id
+    reachable over links) and ``kept`` (the id equals it). Null text counts as empty. A document
+    without words is linked with nothing. Every row is judged by its own text, so repeated ids may
+    stand in several components; a null id ranks behind all others, is the component of a group
+    that has no other, and is kept there. Other columns are ignored, so their names cannot clash. An
+    empty table gives an empty table. A text takes about 40 bytes a word while it is read.
+
+    1. Signatures (SuperMinHash) and band keys per document; equal sets collapse to one representative.
+    2. Every band bucket is a star: its members are candidates with the bucket's first member.
+       Links are confirmed on the full sets; union-find joins them.
+    3. Buckets whose members now lie in several components are unsettled. Pairs of their members across
+       components are narrowed without loss by rare shingles, confirmed on the full sets, and
+       union-find goes on over the components. Pairs inside one component need no further look.
+    """
+    bands, rows = banding(percent / 100)
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
+    prep = base.mapInArrow(_signatures(width, bands, rows), "doc_id long, print binary, n_shingles long, keys array<long>")
+    prep = materialise(prep.withColumn("row", F.monotonically_increasing_id()), "signatures")
+    known = prep.where("n_shingles > 0")
+    reps = known.groupBy("print").agg(
+        F.min("row").alias("rep"), F.min("doc_id").alias("low"), F.min("n_shingles").alias("n"), F.first("keys").alias("keys")
+    )
+    reps = materialise(reps, "representatives")
+    bucket = reps.select("rep", "n", F.explode("keys").alias("key"))
+    centre = bucket.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("c"), F.count("*").alias("size")).where("size > 1")
+    met = materialise(bucket.join(centre.select("key", "c"), "key").select("key", "rep", "n", F.col("c.rep").alias("centre"), F.col("c.n").alias("n2")), "buckets")
+    close = F.lit(100) * F.least("n", "n2") >= F.lit(percent) * F.greatest("n", "n2")
+    stars = met.where((F.col("rep") != F.col("centre")) & close).select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct()
+    wanted = reps.join(met.select("rep").distinct(), "rep", "left_semi").select("print", "rep", "low")
+    # The text of any row whose set is wanted will do: it is found by the row's id and known by its print.
+    texts = base.withColumn("key", F.coalesce("doc_id", F.lit(-1))).join(
+        wanted.select(F.coalesce("low", F.lit(-1)).alias("key")).distinct(), "key", "left_semi"
+    )
+    sets = texts.select("text").mapInArrow(_sets(width), "print binary, shingles array<long>")
+    sets = materialise(sets.join(wanted.select("print", "rep"), "print").dropDuplicates(["print"]).select("rep", "shingles"), "sets")
+    links = materialise(_verified(stars, sets, percent), "links")
+    comp = connected_components(links).toDF("rep", "comp")
+    labelled = met.select("key", "rep").join(comp, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+    unsettled = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
+    members = materialise(labelled.join(unsettled, "key").select("rep", "comp").distinct(), "unsettled")
+    crossing = materialise(_verified(_unsettled(members, sets, percent), sets, percent), "links")
     # What is left joins components, not documents: union-find goes on over their names.
-    name = labelled.select(F.col("rep").alias("a"), F.col("comp").alias("ca")).distinct()
-    joined = crossing.join(name, "a").join(name.toDF("b", "cb"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+    joined = crossing.join(members.toDF("a", "ca"), "a").join(members.toDF("b", "cb"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
     merged = connected_components(joined).toDF("comp", "last")
-    final = comp.join(merged, "comp", "full").select(F.coalesce("node", "comp").alias("rep"), F.coalesce("last", "comp").alias("comp"))
-    classes = (
-        reps.select("print", "rep")
-        .join(final, "rep", "left")
-        .select("print", F.coalesce("comp", "rep").alias("component_id"))
-    )
-    known = prep.where("doc_id is not null").select("doc_id", "n_shingles", "print")
-    linked = known.where("n_shingles > 0").join(classes, "print").select("doc_id", "n_shingles", "component_id")
-    alone = known.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    nameless = prep.where("doc_id is null").select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component_id"))
-    return linked.union(alone).union(nameless).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    named = reps.select("print", "rep", "low").join(comp, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+    named = named.join(merged, "comp", "left").select("print", "low", F.coalesce("last", "comp").alias("comp"))
+    lowest = named.groupBy("comp").agg(F.min("low").alias("component_id"))
+    classes = named.join(lowest, "comp").select("print", "component_id")
+    linked = known.select("doc_id", "n_shingles", "print").join(classes, "print").select("doc_id", "n_shingles", "component_id")
+    alone = prep.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return linked.union(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

@@ -97,12 +97,29 @@ def test_signature_estimates_similarity():
     shared = rng.integers(0, 1 << 63, 300, dtype=np.uint64)
     a = np.unique(np.concatenate([shared, rng.integers(0, 1 << 63, 60, dtype=np.uint64)]))
     b = np.unique(np.concatenate([shared, rng.integers(0, 1 << 63, 60, dtype=np.uint64)]))
-    equal = (near_dedup.superminhash(a, 256) == near_dedup.superminhash(b, 256)).mean()
+    one, other = near_dedup.superminhash([a, b], 256)
+    equal = (one == other).mean()
     assert abs(equal - 300 / 420) < 0.1
-    few = near_dedup.superminhash(a[:2], 64)
+    few = near_dedup.superminhash([a[:2]], 64)[0]
     assert np.isfinite(few).all() and len(np.unique(few.astype(int))) > 20  # a small set fills all positions
 
 
+def test_signature_of_a_long_set_is_offered_in_chunks(monkeypatch):
+    sets = [np.unique(np.random.default_rng(i).integers(0, 1 << 63, n, dtype=np.uint64)) for i, n in enumerate((5, 3000, 0, 700, 40))]
+    whole = near_dedup.superminhash(sets, 168)
+    monkeypatch.setattr(near_dedup, "CHUNK", 512)
+    assert np.array_equal(whole, near_dedup.superminhash(sets, 168))
+
+
+def test_near_repeated_and_missing_ids_are_rows_of_their_own(spark):
+    """Two texts of one id, rows without an id, and their copies: each row by its own text."""
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [(5, a), (5, b), (9, a + " x"), (7, b), (None, b + " y"), (None, "c d e f"), (None, "c d e f")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id or 0, r.component_id, r.kept) for r in near_dedup.near_duplicates(frame).collect()), key=repr)
+    assert got == sorted([(5, 5, True), (5, 5, True), (9, 5, False), (7, 5, False), (0, 5, False), (0, None, True), (0, None, True)], key=repr)
+
+
 def test_banding_misses_little():
     for t in (0.8, 0.85, 0.5):
         bands, rows = near_dedup.banding(t)
