@@ -1,7 +1,7 @@
 """Exact duplicates through an extendible-hash index on the shared file system.
 
 Every map task first merges its own equal texts, so a text with any number of copies reaches its
-owner at most once a batch of input. Owner tasks hold disjoint ranges of the 64-bit key space. An
+owner at most once a slice of input. Owner tasks hold disjoint ranges of the 64-bit key space. An
 owner inserts texts into an extendible hash: a directory addressed by leading key bits points to
 buckets, an overfull bucket splits and doubles the directory where its own depth has reached the
 directory's; texts whose keys collide are chained and told apart by their bytes. The finished
@@ -22,11 +22,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
-from penumbra.llm.common import open_fs, shared_folder, shuffle_partitions, small_batches, text_or_empty
+from penumbra.llm.common import open_fs, shared_folder, shuffle_partitions, slices, text_or_empty
 
 #: Text bytes in a bucket before it splits, and in an owner's memory before buckets move to files.
 BUCKET_BYTES = 1 << 20
 OWNER_BYTES = 96 << 20
+#: Text bytes in which a map task looks for copies at once, and text bytes to an owner task.
+MERGE_BYTES, TASK_BYTES = 24 << 20, 256 << 20
 
 _ENTRY = pa.schema(
     [("key", pa.uint64()), ("sha256", pa.string()), ("keep_id", pa.int64()), ("group_size", pa.int64()), ("text", pa.binary())]
@@ -138,10 +140,8 @@ def _key(text: bytes) -> int:
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Equal texts of a batch as one row."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
+    """Equal texts of a slice of the input as one row."""
+    for batch in (part for whole in batches for part in slices(whole, size=MERGE_BYTES)):
         t = pa.table({"text": pc.cast(batch.column("text"), pa.large_binary()), "id": batch.column("doc_id"), "one": pa.array([1] * batch.num_rows, pa.int64())})
         g = t.group_by("text").aggregate([("id", "max"), ("one", "sum")]).combine_chunks()
         texts = g.column("text").to_pylist()
@@ -176,9 +176,10 @@ def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     spark = docs.sparkSession
     index_uri = index_uri or shared_folder(spark, "text-index")
-    partitions = shuffle_partitions(spark)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    partitions = max(shuffle_partitions(spark), -(-size // TASK_BYTES))
     bits = max(0, (partitions - 1).bit_length() + 1)
-    rows = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     merged = rows.mapInArrow(_merge, "key long, text binary, keep_id long, n long")
     owned = merged.repartition(partitions, F.shiftrightunsigned("key", 64 - bits))
     return owned.mapInArrow(_own(index_uri, bits), "text_sha256 string, keep_id long, group_size long")

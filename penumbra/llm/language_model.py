@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
-from penumbra.llm.common import GOLDEN, materialise, mix64, small_batches, text_or_empty
+from penumbra.llm.common import GOLDEN, materialise, mix64, text_or_empty
 
 #: The Dirichlet weight M of the root in every state.
 WEIGHT = 50.0
@@ -253,7 +253,7 @@ def score_documents(
     table gives an empty table. Keys are hashes of 64 bits for words and 52 for bigrams: among n
     distinct words about n * n / 2**65 pairs share one, among bigrams n * n / 2**53, and then their counts.
     """
-    rows = small_batches(docs).select(
+    rows = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), trained_on(F.col(id_col)).alias("train"), text_or_empty(text_col).alias("text")
     )
     size = rows.agg(F.sum(F.length("text")).alias("chars"), F.sum(F.col("train").cast("long")).alias("documents")).first()

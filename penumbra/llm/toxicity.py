@@ -25,8 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from penumbra.llm.common import small_batches, text_or_empty
-from penumbra.llm.tokens import slices
+from penumbra.llm.common import text_or_empty
 
 DECAY, SPAN = 0.7, 6
 #: Places of the second and third character of a triple after its first.
@@ -362,6 +361,19 @@ class Scorer:
         return np.array([max(map(young, b)) if b else self.model.nothing for b in bags], np.float64)
 
 
+def slices(texts: list[str], chars: int) -> Iterator[list[str]]:
+    """Runs of texts of about ``chars`` characters; a longer text stands alone."""
+    run, held = [], 0
+    for t in texts:
+        if run and held + len(t) > chars:
+            yield run
+            run, held = [], 0
+        run.append(t)
+        held += len(t)
+    if run:
+        yield run
+
+
 def _probabilities(model: Model, scorer: Scorer, texts: list[str]) -> np.ndarray:
     values = [scorer(part) for part in slices(texts, 1 << 21)]
     return model.probability(np.concatenate(values)) if values else np.empty(0)
@@ -384,7 +396,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 ["doc_id", "score", "predicted"],
             )
 
-    rows = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     return rows.mapInArrow(run, "doc_id long, score double, predicted int")
 
 
@@ -400,4 +412,4 @@ def drop(docs: DataFrame, model: Model, text_col: str = "text", threshold: float
             texts = [t or "" for t in batch.column(at).to_pylist()]
             yield batch.filter(pa.array(_probabilities(shared.value, scorer, texts) < threshold, pa.bool_()))
 
-    return small_batches(docs).mapInArrow(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)
