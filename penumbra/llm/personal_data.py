@@ -13,6 +13,7 @@ import re
 import unicodedata
 from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import product
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -105,38 +106,76 @@ _WORD_DOT = re.compile(r"(?<=[A-Za-z0-9])[ \t]{1,3}dot[ \t]{1,3}(?=[A-Za-z0-9])"
 _DOT_WORD = re.compile(r"(?<![A-Za-z])dot(?![A-Za-z])", re.IGNORECASE)
 
 
+#: The words in every case; a whole copy in lower case takes far more memory than the text.
+_DOT_CASES, _AT_CASES = (["".join(c) for c in product(*zip(w, w.upper(), strict=True))] for w in ("dot", "at"))
+
+
 class Tape:
-    """A text with the source span of every character."""
+    """A text with the source span of every character, kept as runs: a run either copies the source from some place
+    on, or all its characters come from one source span."""
 
     def __init__(self, text: str):
-        self.text, self.start, self.end = text, list(range(len(text))), list(range(1, len(text) + 1))
+        #: Of each run: its place in the text, its source, and the source's width (0 for a copy).
+        self.text, self.at, self.source, self.width = text, [0], [0], [0]
+
+    def span(self, i: int) -> tuple[int, int]:
+        """The source span of one character."""
+        run = bisect_right(self.at, i) - 1
+        if self.width[run]:
+            return self.source[run], self.source[run] + self.width[run]
+        start = self.source[run] + i - self.at[run]
+        return start, start + 1
 
     def rewrite(self, pattern: re.Pattern, outputs) -> None:
         """Replace matches. ``outputs(match)`` gives ``(string, from, to)`` parts; every character of
         a part comes from its source span."""
-        text, start, end, at = [], [], [], 0
-        for m in pattern.finditer(self.text):
-            text.append(self.text[at : m.start()])
-            start += self.start[at : m.start()]
-            end += self.end[at : m.start()]
+        text, old, done, length = [], self.text, 0, 0
+        runs: tuple[list, list, list] = ([], [], [])
+
+        def add(source: int, width: int) -> None:
+            at, sources, widths = runs
+            if not (at and width == widths[-1] == 0 and sources[-1] + length - at[-1] == source):
+                for column, value in zip(runs, (length, source, width), strict=True):
+                    column.append(value)
+
+        def copy(a: int, b: int) -> None:
+            nonlocal length
+            run = bisect_right(self.at, a) - 1
+            while a < b:
+                end = min(b, self.at[run + 1]) if run + 1 < len(self.at) else b
+                add(self.source[run] + (0 if self.width[run] else a - self.at[run]), self.width[run])
+                length += end - a
+                a, run = end, run + 1
+
+        for m in pattern.finditer(old):
+            text.append(old[done : m.start()])
+            copy(done, m.start())
             for string, a, b in outputs(m):
-                text.append(string)
-                start += [self.start[a]] * len(string)
-                end += [self.end[b - 1]] * len(string)
-            at = m.end()
-        if at:
-            self.text = "".join(text) + self.text[at:]
-            self.start, self.end = start + self.start[at:], end + self.end[at:]
+                start, end = self.span(a)[0], self.span(b - 1)[1]
+                if string:
+                    text.append(string)
+                    add(start, 0 if len(string) == end - start == 1 else end - start)
+                    length += len(string)
+            done = m.end()
+        if done:
+            text.append(old[done:])
+            copy(done, len(old))
+            self.text = "".join(text)
+            self.at, self.source, self.width = runs if runs[0] else ([0], [0], [0])
+
+
+def _plain(c: str) -> str:
+    """What a strange character stands for; nothing for one that shows nothing."""
+    if c in INVISIBLE:
+        return ""
+    if (plain := CONFUSABLES.get(c)) is not None:
+        return plain
+    digit = unicodedata.digit(c, None)
+    return str(digit) if digit is not None else unicodedata.normalize("NFKC", c)
 
 
-def _plain(m: re.Match) -> list[tuple[str, int, int]]:
-    c = m.group()
-    if c in INVISIBLE:
-        return []
-    if (plain := CONFUSABLES.get(c)) is None:
-        digit = unicodedata.digit(c, None)
-        plain = str(digit) if digit is not None else unicodedata.normalize("NFKC", c)
-    return [(plain, m.start(), m.end())]
+#: Strange characters that stand for one character each; the others shorten or lengthen the text.
+_SINGLE = {ord(c): _plain(c) for c in map(chr, range(0x20000)) if _STRANGE.match(c) and len(_plain(c)) == 1}
 
 
 def _digits(m: re.Match) -> list[tuple[str, int, int]]:
@@ -148,17 +187,17 @@ def _digits(m: re.Match) -> list[tuple[str, int, int]]:
 
 def deobfuscate(text: str) -> Tape | None:
     """The normalised text with its map to the source; None where no disguise occurs."""
-    lower = text.lower()
     strange = not text.isascii() and _STRANGE.search(text) is not None
     spelled = _SPELLED.search(text) is not None
     bracket = _BRACKET_AT.search(text) or _BRACKET_DOT.search(text)
-    dots = "dot" in lower and _DOT_WORD.search(text) is not None
-    at = "at" in lower and _WORD_AT.search(text) is not None
+    dots = any(w in text for w in _DOT_CASES) and _DOT_WORD.search(text) is not None
+    at = any(w in text for w in _AT_CASES) and _WORD_AT.search(text) is not None
     if not (strange or spelled or bracket or dots or at):
         return None
     tape = Tape(text)
     if strange:
-        tape.rewrite(_STRANGE, _plain)
+        tape.text = tape.text.translate(_SINGLE)
+        tape.rewrite(_STRANGE, lambda m: [(_plain(m.group()), m.start(), m.end())])
     tape.rewrite(_SPELLED, _digits)
     whole = lambda c: lambda m: [(c, m.start(), m.end())]
     tape.rewrite(_BRACKET_AT, whole("@"))
@@ -182,7 +221,7 @@ def all_spans(text: str) -> tuple[list[Span], list[Span]]:
     taken = {k: [(s, e) for kind, s, e in base if kind == k] for k in KINDS}
     added = []
     for kind, s, e in base_spans(tape.text):
-        a, b = tape.start[s], tape.end[e - 1]
+        a, b = tape.span(s)[0], tape.span(e - 1)[1]
         i = bisect_right(taken[kind], a, key=lambda x: x[0]) - 1
         if i < 0 or taken[kind][i][1] < b:
             added.append((kind, a, b))
@@ -195,7 +234,7 @@ _ARROW_SPAN = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", p
 
 def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     order = {k: i for i, k in enumerate(KINDS)}
-    for batch in batches:
+    for batch in (part for whole in batches for part in slices(whole)):
         rows = []
         for text in batch.column("text").to_pylist():
             base, added = all_spans(text)
@@ -210,7 +249,8 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     Null text counts as empty and has no spans; a null id stays null; repeated rows are each
     answered; other columns are ignored. Overlapping spans of different kinds all stay. The work
-    is linear in the text, so very long texts need no special case.
+    grows with the text, and with the logarithm of its disguises for each of them; beside the text a
+    few copies of it and some bytes a disguise are held.
     """
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")).mapInArrow(
         _find, f"doc_id long, spans {_SPANS}"
@@ -240,7 +280,7 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, at)):
             texts = [None if t is None else redact_text(t) for t in batch.column(at).to_pylist()]
             columns = list(batch.columns)
             columns[at] = pa.array(texts, pa.string())
