@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from penumbra.llm.common import materialise
+from penumbra.llm.common import materialise, shuffle_partitions
 
 #: Entries of a page, vectors of a tree on average, and queries of a block.
 PAGE, TREE_VECTORS, BLOCK_QUERIES = 64, 8192, 512
@@ -31,8 +31,9 @@ SLACK = 1e-9
 class MTree:
     """A bulk-loaded M-tree over integer vectors, which double arithmetic holds exactly."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, longest: float):
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, longest: float, rows: np.ndarray | None = None):
         self.ids, self.vectors = ids, vectors.astype(np.float64)
+        self.rows = np.arange(len(ids)) if rows is None else rows
         self.extra = np.sqrt(np.maximum(longest - (self.vectors**2).sum(1), 0.0))
         self.longest = longest
         #: A page: objects, their distances to the page's own object, radii (0 in a leaf), pages below (-1 in a leaf).
@@ -68,13 +69,14 @@ class MTree:
         radii = [float(self._distances(g, t).max()) for t, g in groups]
         return page(objects, radii, [self._load(g, t) for t, g in groups])
 
-    def search(self, query: np.ndarray, k: int, own: int | None) -> list[tuple[int, int]]:
-        """``(score, id)`` of the k highest inner products, ties to smaller ids, without the id ``own``."""
+    def search(self, query: np.ndarray, k: int, own: int | None, floor: int | None = None) -> list[tuple[int, int]]:
+        """``(score, id)`` of the k highest inner products, ties to smaller ids, without the row ``own``; with
+        ``floor`` those below it may be left out."""
         q = query.astype(np.float64)
         base = float(q @ q) + self.longest
         slack = SLACK * np.sqrt(base)
         best: list[tuple[float, int]] = []  # a heap of (score, -id), the worst first
-        limit = np.inf  # the distance of the k-th
+        limit = beyond = np.inf if floor is None else float(np.sqrt(max(base - 2 * floor, 0)))  # the distance of the k-th
         queue = [(0.0, self.root, -1.0)]
         while queue:
             bound, page, above = heapq.heappop(queue)
@@ -95,40 +97,46 @@ class MTree:
                         heapq.heappush(queue, (low, child, d))
                 continue
             for i in np.flatnonzero(distances <= limit + slack).tolist():
-                found = int(self.ids[objects[i]])
-                if found == own:
+                if self.rows[objects[i]] == own:
                     continue
-                item = (scores[i], -found)
+                item = (scores[i], -int(self.ids[objects[i]]))
                 if len(best) < k:
                     heapq.heappush(best, item)
                 elif item > best[0]:
                     heapq.heapreplace(best, item)
                 if len(best) == k:
-                    limit = float(np.sqrt(max(base - 2 * best[0][0], 0)))
+                    limit = min(beyond, float(np.sqrt(max(base - 2 * best[0][0], 0))))
         return [(int(s), -i) for s, i in best]
 
 
-def _tree(table: pa.Table, longest: float) -> pa.Table:
-    table = table.sort_by([("vec_id", "ascending")])
-    vectors = np.array(table.column("v").to_pylist(), np.int64)
-    tree = MTree(np.array(table.column("vec_id"), np.int64), vectors, longest)
-    return pa.table({"tree": table.column("tree")[:1], "pages": pa.array([pickle.dumps(tree)], pa.binary())})
+def _vectors(table: pa.Table) -> np.ndarray:
+    return np.array(table.column("v").to_pylist(), np.int64)
+
+
+def _tree(table: pa.Table) -> pa.Table:
+    table = table.sort_by([("vec_id", "ascending"), ("row", "ascending")])
+    tree = MTree(np.array(table.column("vec_id")), _vectors(table), float(table.column("longest")[0].as_py()), np.array(table.column("row")))
+    return pa.table({"d": table.column("d")[:1], "tree": table.column("tree")[:1], "pages": pa.array([pickle.dumps(tree)], pa.binary())})
 
 
 def _block(table: pa.Table) -> pa.Table:
-    table = table.sort_by([("vec_id", "ascending")])
-    packed = pickle.dumps((np.array(table.column("vec_id"), np.int64), np.array(table.column("v").to_pylist(), np.int64)))
-    return pa.table({"part": table.column("part")[:1], "queries": pa.array([packed], pa.binary())})
+    table = table.sort_by([("vec_id", "ascending"), ("row", "ascending")])
+    packed = pickle.dumps((table.column("vec_id").to_pylist(), table.column("row").to_pylist(), table.column("floor").to_pylist(), _vectors(table)))
+    return pa.table({"d": table.column("d")[:1], "part": table.column("part")[:1], "queries": pa.array([packed], pa.binary())})
 
 
 def _search(k: int):
+    names = ["query_id", "query_row", "vec_id", "score"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for pages, queries in zip(batch.column("pages"), batch.column("queries"), strict=True):
-                tree, (ids, vectors) = pickle.loads(pages.as_py()), pickle.loads(queries.as_py())
-                rows = [(int(q), i, s) for q, v in zip(ids, vectors, strict=True) for s, i in tree.search(v, k, int(q))]
-                columns = list(zip(*rows, strict=True)) or [[], [], []]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["query_id", "vec_id", "score"])
+                tree, (ids, rows, floors, vectors) = pickle.loads(pages.as_py()), pickle.loads(queries.as_py())
+                found = [
+                    (q, row, i, s) for q, row, floor, v in zip(ids, rows, floors, vectors, strict=True) for s, i in tree.search(v, k, row, floor)
+                ]
+                columns = list(zip(*found, strict=True)) or [[]] * 4
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
 
     return run
 
@@ -157,30 +165,36 @@ def top_k(
     """The ``k`` highest integer inner products of every query row with all other rows.
 
     ``is_query`` is a condition on ``vec_id``. Returns ``query_id``, ``rank`` (from 1), ``vec_id``
-    and ``score``; ties go to smaller ids; a query with fewer partners gets them all. Of rows that
-    repeat an id the largest vector counts. Only vectors of the commonest length take part when
-    lengths differ (of equally common ones the longest), as others have no product. Other columns
-    are ignored; an empty table gives an empty table. Inner products must stay below 2**53.
+    and ``score``; ties go to smaller ids; a query with fewer partners gets them all. Rows that repeat
+    an id are candidates, and queries, each of its own. Vectors meet only vectors of their own
+    length, as others have no product with them. Other columns are ignored; an empty table gives an
+    empty table. Inner products must stay below 2**53.
+
+    Every query block first searches one tree; what it finds there bounds the search of all others.
     """
-    clean = usable(vectors, id_col, vector_col).groupBy("vec_id").agg(F.max("v").alias("v"))
-    clean = materialise(clean, "vectors")
-    length = clean.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.desc("d")).first()
-    clean = clean.where(F.size("v") == (length["d"] if length else 0))
+    clean = materialise(usable(vectors, id_col, vector_col).withColumn("row", F.monotonically_increasing_id()), "vectors")
     square = F.aggregate("v", F.lit(0).cast("long"), lambda s, c: s + c * c)
-    rows, longest, asked = clean.agg(F.count("*"), F.max(square), F.sum(F.when(is_query, 1).otherwise(0))).first()
-    trees, blocks = max(1, -(-rows // tree_vectors)), max(1, -(-(asked or 0) // block_queries))
-    high = float(longest or 0)
-    built = clean.withColumn("tree", F.pmod(F.xxhash64("vec_id"), F.lit(trees)).cast("int"))
-    built = materialise(built.groupBy("tree").applyInArrow(lambda t: _tree(t, high), "tree int, pages binary"), "trees")
-    parts = clean.where(is_query).withColumn("part", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int"))
-    parts = materialise(parts.groupBy("part").applyInArrow(_block, "part int, queries binary"), "queries")
-    # Every query block meets every tree once: a stated query set against all rows, in blocks.
-    met = (
-        built.select("tree", "pages", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("part"))
-        .join(parts, "part")
-        .repartition(trees * blocks, "tree", "part")
-        .select("pages", "queries")
+    many = lambda rows, size: F.greatest(F.lit(1), F.ceil(rows / F.lit(size))).cast("int")
+    sizes = clean.groupBy(F.size("v").alias("d")).agg(
+        many(F.count("*"), tree_vectors).alias("trees"), many(F.sum(F.when(is_query, 1).otherwise(0)), block_queries).alias("blocks"), F.max(square).alias("longest")
     )
-    found = met.mapInArrow(_search(k), "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    sizes = materialise(sizes, "sizes")  # a row a vector length
+    clean = clean.withColumn("d", F.size("v")).join(sizes, "d")
+    dealt = lambda salt, n: F.pmod(F.xxhash64("row", F.lit(salt)), F.col(n)).cast("int")
+    built = clean.withColumn("tree", dealt(0, "trees")).groupBy("d", "tree").applyInArrow(_tree, "d int, tree int, pages binary")
+    built = materialise(built, "trees").join(sizes.drop("longest"), "d")
+    asked = materialise(clean.where(is_query).withColumn("part", dealt(1, "blocks")).select("d", "part", "vec_id", "row", "v"), "queries")
+
+    def met(queries: DataFrame, pairs: DataFrame) -> DataFrame:
+        blocks = queries.groupBy("d", "part").applyInArrow(_block, "d int, part int, queries binary")
+        spread = pairs.join(materialise(blocks, "blocks"), ["d", "part"]).repartition(shuffle_partitions(vectors.sparkSession), "d", "tree", "part")
+        return spread.select("pages", "queries").mapInArrow(_search(k), "query_id long, query_row long, vec_id long, score long")
+
+    # Every query block meets every tree once: a stated query set against all rows, in blocks.
+    pairs = built.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    near = F.pmod(F.col("part"), F.col("trees")) == F.col("tree")
+    first = materialise(met(asked.withColumn("floor", F.lit(None).cast("long")), pairs.where(near)), "first")
+    floors = first.groupBy(F.col("query_row").alias("row")).agg(F.when(F.count("*") >= k, F.min("score")).alias("floor"))
+    found = first.union(met(asked.join(floors, "row", "left"), pairs.where(~near)))
+    order = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
