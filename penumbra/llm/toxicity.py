@@ -2,167 +2,151 @@
 
 The kernel of two strings sums, over all triples of characters that occur in order in both, the
 products of their weights; an occurrence weighs DECAY to the power of the characters it spans, so
-gaps and inserted characters weaken a match without breaking it. Spans are bounded, and strings are
-words between boundary marks. A support vector machine is trained in the space of
-Nyström landmarks. Its instances are the words of labelled sentences: a sentence scores as its
-highest word, a document as its highest sentence, and in training a toxic document is held by its
-witnesses (multiple-instance learning), words with a part that no clean document has. Landmarks are
-such parts, frequent clean words and the clean words that come closest. Landmark features enter the
-decision linearly, so the trained machine folds into one weight a triple, which scores a word
-without visiting the landmarks; the value is the same.
+gaps and inserted characters weaken a match without breaking it. Spans are bounded. Strings are
+windows of LENGTH characters of sentences, spaces included; a triple never spans a sentence's end.
+
+A support vector machine is trained in the space of Nyström landmarks. Its instances are windows of
+labelled sentences (multiple-instance learning): a sentence scores as its highest window, a text as
+its highest sentence. A toxic text is first shown by the windows around parts that speak for
+toxic texts by their smoothed log-odds, so a part that some clean-labelled texts hold as well, by a
+wrong label or a quotation, still counts by how much. Clean texts are shown by random windows and,
+round by round, by the windows that score highest. Landmarks are the telling parts, random clean
+windows and such hard ones. Landmark features enter the decision linearly, so the trained machine
+folds into one weight a triple, which scores every window of a text without visiting the landmarks;
+the value is the same.
 """
 
 from __future__ import annotations
 
-import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from penumbra.llm.common import text_or_empty
+from penumbra.llm.common import slices, text_or_empty, utf8
 
 DECAY, SPAN = 0.7, 6
 #: Places of the second and third character of a triple after its first.
 OFFSETS = [(j, k) for k in range(2, SPAN) for j in range(1, k)]
-#: Codes for characters: 0 for none, letters, the two boundary marks, digits, then all others by code point.
-SYMBOLS, OPEN, CLOSE, DIGIT, OTHER = 64, 27, 28, 29, 30
-#: Longer words are read in overlapping windows of so many characters.
-WINDOW, STEP = 24, 16
-EDGE = "\"'.,;:!?()[]{}<>«»“”‘’¿¡*#$%&-_/\\|`~^+="
-#: Least log-likelihood by which a part of words seen in toxic documents only counts as telling.
-SURE = 9.0
-#: Lengths of such parts, and how many chosen ones a toxic document should hold.
-PARTS, COVER = (4, 5), 3
-#: A sentence ends at these; fixed values.
-SENTENCE = re.compile(r"(?<=[.!?\n])\s+")
-
-_table = np.array([OTHER + c % (SYMBOLS - OTHER) for c in range(1 << 16)], np.int32)
-_table[0] = 0
+#: Characters of a window, and the places in it at which a triple may begin.
+LENGTH = 16
+FIRSTS = LENGTH - SPAN + 1
+#: Codes: 0 for none and between sentences, letters from 1, space and marks, signs, digits, then the bytes of other characters.
+SYMBOLS, BLANK, SIGN, DIGIT, OTHER = 64, 27, 28, 29, 30
+#: Characters of a telling part.
+PART = 5
+#: Bytes of text that a task scores at once; bytes of a longer text's stretches, and by how many they overlap.
+SLICE, STRETCH, LAP = 4 << 20, 4 << 20, 256
+
+_CODE = np.array([OTHER + b % (SYMBOLS - OTHER) for b in range(256)], np.uint8)
+_CODE[:128] = SIGN
 for _i, _c in enumerate("abcdefghijklmnopqrstuvwxyz"):
-    _table[ord(_c)] = _i + 1
-_table[[ord(c) for c in "0123456789"]] = DIGIT
-_table[1], _table[2] = OPEN, CLOSE
-
-
-def words(text: str) -> set[str]:
-    """The text's distinct lower-case words; three or more single letters in a row also count as one word."""
-    found = text.lower().split()
-    out = set(found)
-    if sum(len(w) == 1 for w in out) >= 3:
-        run = []
-        for w in [*found, "  "]:
-            if len(w) == 1 and w.isalnum():
-                run.append(w)
-            else:
-                if len(run) >= 3:
-                    out.add("".join(run))
-                run = []
-    return out
-
-
-def _windows(word: str) -> list[str]:
-    """The word without marks at its ends in windows; with marks inside, also without those."""
-    w = word.strip(EDGE) or word
-    forms = [w]
-    if not w.isalnum() and (plain := "".join(filter(str.isalnum, w))):
-        forms.append(plain)
-    return [f[i : i + WINDOW] for f in forms for i in range(0, max(1, len(f) - WINDOW + STEP), STEP)]
-
-
-def _disguised(word: str) -> list[str]:
-    """The word with a letter pushed in at one of two places, which its hash decides."""
-    if not 4 <= len(word) < WINDOW:
-        return []
-    h = hash_of(word)
-    out = []
-    for turn in range(2):
-        at = 1 + (h >> 8 * turn) % (len(word) - 1)
-        out.append(word[:at] + chr(97 + (h >> (20 + 8 * turn)) % 26) + word[at:])
-    return out
-
-
-def marked(word: str) -> str:
-    return "\1" + word.replace("\0", " ") + "\2"
+    _CODE[[ord(_c), ord(_c.upper())]] = _i + 1
+_CODE[[ord(_c) for _c in "0123456789"]] = DIGIT
+_CODE[[*range(33), *map(ord, ".,;:!?()[]{}<>\"'")]] = BLANK
 
 
-def _codes(strings: list[str], width: int) -> np.ndarray:
-    """Character codes of marked strings (or parts of such) of at most ``width`` characters."""
-    padded = "".join([s + "\0" * (width - len(s)) for s in strings])
-    points = np.frombuffer(padded.encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(strings), width)
-    return _table[np.minimum(points, 0xFFFF)]
+def coded(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The character codes of a column of texts, LENGTH zeros before and after each, and the place of each text's codes.
 
-
-def _triples(codes: np.ndarray) -> Iterator[tuple[np.ndarray, float]]:
-    """Triple numbers and weights, a place and offset at a time; triples past a word's end hold code 0."""
-    width = codes.shape[1]
-    for i in range(width - 2):
-        first = codes[:, i] << 12
+    Case falls away; runs of blanks count once; a blank that follows a sentence's end, or a line end, is 0; three
+    or more single letters with single signs or blanks between them stand together; of a character of
+    several bytes the first byte is left out.
+    """
+    data, bounds = utf8(texts)
+    many = np.diff(bounds)
+    owner = np.repeat(np.arange(len(many)), many)
+    at = np.arange(len(data)) + owner + 1
+    byte = np.full(len(data) + len(many) + 1, 10, np.uint8)  # a line end between texts
+    byte[at] = data
+    code = _CODE[byte]
+    kept = byte < 0xC0
+    blank = code == BLANK
+    kept[1:] &= ~(blank[1:] & blank[:-1])
+    code[1:][np.isin(byte[:-1], (33, 46, 63)) & (byte[1:] <= 32)] = 0
+    code[byte == 10] = 0
+    kept |= (code == 0) & (byte != 10)
+    letter = (code >= 1) & (code <= 26)
+    alone = letter.copy()
+    alone[1:] &= ~letter[:-1]
+    alone[:-1] &= ~letter[1:]
+    gap = np.zeros(len(code), bool)
+    gap[1:-1] = alone[:-2] & alone[2:] & ~letter[1:-1] & (code[1:-1] > 0)
+    several = np.zeros(len(code), bool)
+    several[2:] |= gap[:-2]
+    several[:-2] |= gap[2:]
+    kept &= ~(gap & several)
+    kept = kept[at]
+    sizes = np.bincount(owner[kept], minlength=len(many))
+    before = np.cumsum(sizes) - sizes
+    starts = LENGTH * np.arange(1, len(sizes) + 1) + before
+    out = np.zeros(int(sizes.sum()) + LENGTH * (len(sizes) + 1), np.int32)
+    out[np.repeat(starts - before, sizes) + np.arange(int(sizes.sum()))] = code[at[kept]]
+    return out, np.append(starts, len(out))
+
+
+def _triples(rows: np.ndarray, firsts: int) -> Iterator[tuple[np.ndarray, float]]:
+    """Triple numbers (0 for none) and weights of rows of codes, a place and offset at a time."""
+    width = rows.shape[1]
+    for i in range(min(firsts, width - 2)):
         for j, k in OFFSETS:
             if i + k < width:
-                yield first | codes[:, i + j] << 6 | codes[:, i + k], DECAY ** (k + 1)
+                a, b, c = rows[:, i], rows[:, i + j], rows[:, i + k]
+                yield np.where((a > 0) & (b > 0) & (c > 0), a << 12 | b << 6 | c, 0), DECAY ** (k + 1)
 
 
-def kernel(strings: list[str], landmarks: list[str]) -> np.ndarray:
-    """The kernel of every marked string with every landmark, a landmark scaled to length one."""
-    marks = _codes(landmarks, WINDOW + 2)
-    column = np.full(SYMBOLS**3, 0, np.int32)
-    used = np.unique(np.concatenate([t[t & 63 != 0] for t, _ in _triples(marks)]))
+def kernel(windows: np.ndarray, landmarks: np.ndarray) -> np.ndarray:
+    """The kernel of every window with every landmark (rows of codes), a landmark scaled to length one."""
+    column = np.zeros(SYMBOLS**3, np.int32)
+    used = np.unique(np.concatenate([t for t, _ in _triples(landmarks, LENGTH)]))
+    used = used[used > 0]
     column[used] = np.arange(1, len(used) + 1)
     phi = np.zeros((len(used) + 1, len(landmarks)), np.float32)
-    for t, weight in _triples(marks):
-        np.add.at(phi, (column[np.where(t & 63 != 0, t, 0)], np.arange(len(landmarks))), weight)
+    for t, weight in _triples(landmarks, LENGTH):
+        np.add.at(phi, (column[t], np.arange(len(landmarks))), weight)
     phi[0] = 0
-    phi /= np.linalg.norm(phi, axis=0)
-    out = np.empty((len(strings), len(landmarks)), np.float32)
-    order = np.argsort(np.fromiter(map(len, strings), np.int32, len(strings)), kind="stable")
-    for at in range(0, len(order), 2048):
-        rows = order[at : at + 2048]
-        part = np.zeros((len(rows), len(landmarks)), np.float32)
-        for t, weight in _triples(_codes([strings[i] for i in rows], len(strings[rows[-1]]))):
+    phi /= np.maximum(np.linalg.norm(phi, axis=0), 1e-9)
+    out = np.zeros((len(windows), len(landmarks)), np.float32)
+    for at in range(0, len(windows), 2048):
+        part = out[at : at + 2048]
+        for t, weight in _triples(windows[at : at + 2048], FIRSTS):
             c = column[t]
             hit = np.flatnonzero(c)
             if len(hit):
                 part[hit] += np.float32(weight) * phi[c[hit]]
-        out[rows] = part
     return out
 
 
 @dataclass
 class Model:
-    """A weight a triple, the bias, the score of a text without words, and the calibration."""
+    """A weight a triple, the bias, and the calibration."""
 
     weights: np.ndarray
     bias: float
-    nothing: float
     slope: float
     shift: float
 
-    def strings(self, strings: list[str]) -> np.ndarray:
-        """Decision values of strings that fit a window."""
-        out = np.empty(len(strings), np.float32)
-        sizes = np.fromiter(map(len, strings), np.int32, len(strings))
-        for low, high in ((0, 8), (9, 13), (14, WINDOW)):
-            at = np.flatnonzero((sizes >= low) & (sizes <= high))
-            for lo in range(0, len(at), 20_000):
-                rows = at[lo : lo + 20_000]
-                codes = _codes([marked(strings[i]) for i in rows], high + 2)
-                total = np.zeros(len(rows), np.float32)
-                for t, weight in _triples(codes):
-                    total += np.float32(weight) * self.weights[t]
-                out[rows] = total + self.bias
-        return out
-
-    def words(self, found: list[str]) -> np.ndarray:
-        """Decision values of words, a long word as its highest window."""
-        cut = [_windows(w) for w in found]
-        values = self.strings([x for c in cut for x in c])
-        return np.maximum.reduceat(values, np.cumsum([0, *map(len, cut[:-1])])) if found else values
+    def windows(self, codes: np.ndarray) -> np.ndarray:
+        """The decision value of the window that begins at each place but the last ones."""
+        value = np.zeros(len(codes) + 1)
+        for at in range(0, len(codes), 1 << 18):
+            part = codes[at : at + (1 << 18) + SPAN]
+            n = min(1 << 18, len(codes) - at, max(0, len(part) - 2))
+            total = np.zeros(n, np.float32)
+            for j, k in OFFSETS:
+                m = min(n, len(part) - k)
+                if m > 0:
+                    total[:m] += np.float32(DECAY ** (k + 1)) * self.weights[part[:m] << 12 | part[j : j + m] << 6 | part[k : k + m]]
+            value[at + 1 : at + 1 + n] = total
+        value = np.cumsum(value)
+        return value[FIRSTS:] - value[:-FIRSTS] + self.bias
+
+    def values(self, codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Decision values of texts: of the highest window."""
+        return np.maximum.reduceat(self.windows(codes), starts[:-1] - LENGTH) if len(starts) > 1 else np.empty(0)
 
     def probability(self, value: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * np.asarray(value, np.float64) + self.shift, -500, 500)))
@@ -195,108 +179,152 @@ def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float, steps: int
     return w[:-1], float(w[-1])
 
 
-def _fold(landmarks: list[str], v: np.ndarray) -> np.ndarray:
+def _fold(landmarks: np.ndarray, v: np.ndarray) -> np.ndarray:
     """The landmarks' weights as one weight a triple."""
     out = np.zeros(SYMBOLS**3)
     for landmark, weight in zip(landmarks, v, strict=True):
         phi = np.zeros(SYMBOLS**3)
-        for t, w in _triples(_codes([landmark], len(landmark))):
+        for t, w in _triples(landmark[None, :], LENGTH):
             phi[t] += w
-        phi[np.arange(SYMBOLS**3) & 63 == 0] = 0
-        out += weight * phi / np.linalg.norm(phi)
+        phi[0] = 0
+        out += weight * phi / max(np.linalg.norm(phi), 1e-9)
     return out.astype(np.float32)
 
 
-def _parts(word: str) -> set[str]:
-    m = marked(word)
-    return {m[i : i + n] for n in PARTS for i in range(len(m) - n + 1)}
+def _parts(codes: np.ndarray) -> np.ndarray:
+    """The number of the part that begins at each place; 0 if it holds a sentence's end."""
+    n = len(codes) - PART + 1
+    out, whole = np.zeros(n, np.int64), np.ones(n, bool)
+    for i in range(PART):
+        out = out << 6 | codes[i : i + n]
+        whole &= codes[i : i + n] > 0
+    return np.where(whole, out, 0)
+
+
+def _telling(parts: np.ndarray, starts: np.ndarray, toxic: np.ndarray, count: int, cover: int, pool_size: int) -> np.ndarray:
+    """Parts that speak for toxic texts: by two standard errors, their smoothed log-odds are above one. Where none is (few
+    labels), those with the most certain odds. Of these greedily the parts that most toxic texts hold that hold fewer than
+    ``cover`` chosen ones."""
+    bags = [np.unique(parts[a : min(b, len(parts))]) for a, b in zip(starts[:-1], starts[1:], strict=True)]
+    keys, where = np.unique(np.concatenate(bags), return_inverse=True)
+    label = np.repeat(toxic, [len(b) for b in bags])
+    held = [np.bincount(where[label == c], minlength=len(keys)) for c in (0, 1)]
+    many = [int((toxic == c).sum()) for c in (0, 1)]
+    odds = np.log((held[1] + 0.5) / (many[1] + 1)) - np.log((held[0] + 0.5) / (many[0] + 1))
+    error = np.sqrt(1 / (held[1] + 0.5) + 1 / (held[0] + 0.5))
+    odds[keys == 0] = -np.inf
+    sure = np.where(odds - 2 * error > 1, odds / error, -np.inf)
+    if not np.isfinite(sure).any():
+        sure = np.where((odds > 0) & (held[1] > 1), odds / error, -np.inf)
+    pool = np.sort(keys[np.argsort(-sure, kind="stable")[: min(pool_size, int(np.isfinite(sure).sum()))]])
+    if not len(pool):
+        return pool
+    rows, columns = [], []
+    for d in np.flatnonzero(toxic):
+        at = np.minimum(np.searchsorted(pool, bags[d]), len(pool) - 1)
+        mine = at[pool[at] == bags[d]]
+        rows.append(np.full(len(mine), d))
+        columns.append(mine)
+    rows, columns = np.concatenate(rows), np.concatenate(columns)
+    covered, chosen = np.zeros(len(toxic), np.int64), []
+    weight = np.maximum(odds[np.searchsorted(keys, pool)], 0)
+    while len(chosen) < count:
+        gain = np.bincount(columns, covered[rows] < cover, len(pool)) * weight
+        best = int(gain.argmax())
+        if gain[best] <= 0:
+            break
+        covered[rows[columns == best]] += 1
+        weight[best] = 0
+        chosen.append(pool[best])
+    return np.sort(np.array(chosen, np.int64))
 
 
-def _telling_parts(toxic_bags: list[list[str]], clean_words: set[str], share: float, count: int) -> list[str]:
-    """Parts of words that no clean word has and that chance would hardly put into so many toxic
-    documents; greedily those that occur in the most documents that fewer than COVER chosen ones hold."""
-    def own(bag: list[str]) -> set[str]:
-        return set().union(*(_parts(w) for w in bag if w not in clean_words))
+def _cut(codes: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The windows that begin at the places."""
+    return codes[np.clip(at[:, None] + np.arange(LENGTH), 0, len(codes) - 1)]
 
-    tally = Counter(x for b in toxic_bags for x in own(b))
-    least = SURE / -np.log(share)
-    wanted = {x for x, n in tally.items() if n > least}
-    del tally
-    for w in clean_words:
-        if not wanted:
-            break
-        wanted -= _parts(w)
-    holders: dict[str, list[int]] = {}
-    for d, b in enumerate(toxic_bags):
-        for x in own(b) & wanted:
-            holders.setdefault(x, []).append(d)
-    covered, chosen = np.zeros(len(toxic_bags), np.int64), []
-    pool = {x: np.array(ds) for x, ds in sorted(holders.items(), key=lambda i: (-len(i[1]), i[0]))[:4000]}
-    while pool and len(chosen) < count:
-        best = max(pool, key=lambda x: (int((covered[pool[x]] < COVER).sum()), x))
-        if not (covered[pool[best]] < COVER).any():
-            break
-        covered[pool.pop(best)] += 1
-        chosen.append(best)
-    return chosen
 
+def _with_letter(rows: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """The windows with a letter pushed in near their middle."""
+    out = rows.copy()
+    for row, at, letter in zip(out, rng.integers(LENGTH // 2 - 2, LENGTH // 2 + 2, len(rows)), rng.integers(1, 27, len(rows)), strict=True):
+        row[at + 1 :] = row[at:-1].copy()
+        row[at] = letter
+    return out
 
-def train(texts: list[str], toxic: list[int], priors: tuple[float, float], landmarks: int = 192, rounds: int = 3, c: float = 3.0) -> Model:
-    """Fit on labelled texts. ``priors``: how many labelled rows each class (0, 1) has in all.
 
-    Without both classes, or without any sign of the toxic one, the model answers every text with
-    the share of class 1.
+def train(
+    texts: list[str],
+    toxic: list[int],
+    priors: tuple[float, float],
+    landmarks: int = 192,
+    rounds: int = 3,
+    c: float = 3.0,
+    cover: int = 3,
+    pool: int = 4000,
+    shown: int = 4,
+) -> Model:
+    """Fit on labelled texts. ``priors``: how many labelled rows each class (0, 1) has in all. ``pool``
+    bounds the parts among which landmarks are chosen, ``shown`` the windows that show one toxic text or
+    random clean one.
+
+    Without both classes the model answers every text with the share of class 1.
     """
     y = np.array(toxic)
     share = (priors[1] + 0.5) / (sum(priors) + 1)
-    constant = Model(np.zeros(SYMBOLS**3, np.float32), 0.0, 0.0, 0.0, float(np.log(share / (1 - share))))
+    constant = Model(np.zeros(SYMBOLS**3, np.float32), 0.0, 0.0, float(np.log(share / (1 - share))))
     if not len(y) or y.min() == y.max():
         return constant
-    bags = [sorted({x for s in SENTENCE.split(t) for w in words(s) for x in _windows(w)} | {x for w in words(t) for x in _windows(w)}) for t in texts]
-    clean = set().union(*(b for b, label in zip(bags, y, strict=True) if not label))
-    toxic_bags = [b for b, label in zip(bags, y, strict=True) if label]
-    telling = _telling_parts(toxic_bags, clean, float(y.mean()), landmarks // 2)
-    if not telling:
+    codes, starts = coded(pa.array(texts, pa.string()))
+    parts = _parts(codes)
+    telling = _telling(parts, starts, y, landmarks // 2, cover, pool)
+    rng = np.random.default_rng(1)
+    owner = np.repeat(np.arange(len(y)), np.diff(starts))  # of each place from the first text on
+    hits = np.flatnonzero(np.isin(parts[starts[0] :], telling)) if len(telling) else np.empty(0, np.int64)
+    hits = hits[y[owner[hits]] == 1]
+    # At most so many windows a toxic text, spread over its hits.
+    order = np.lexsort((rng.random(len(hits)), owner[hits]))
+    hits = hits[order]
+    place = np.arange(len(hits)) - np.searchsorted(owner[hits], owner[hits])
+    hits = hits[place < shown]
+    good = _cut(codes, hits + starts[0] - (LENGTH - PART) // 2)
+    if not len(good):
         return constant
-    witness = Counter(w for b in toxic_bags for w in b if w not in clean and any(x in marked(w) for x in telling))
-    shown = [(w, float(n)) for w, n in sorted(witness.items())]
-    shown += [(d, 0.2 * n) for w, n in shown for d in _disguised(w)]
-    clean_list = sorted(clean, key=lambda w: (hash_of(w), w))
-    often = Counter(w for b, label in zip(bags, y, strict=True) if not label for w in b)
-    marks = telling + [marked(w) for w, _ in sorted(often.items(), key=lambda i: (-i[1], i[0]))[: landmarks // 4]]
-    hard: dict[str, None] = {}
+    clean = np.flatnonzero((y == 0) & (np.diff(starts) > LENGTH))
+    often = np.repeat(clean, shown)
+    plain = _cut(codes, starts[often] + (rng.random(len(often)) * (np.diff(starts)[often] - LENGTH)).astype(np.int64)) if len(clean) else np.zeros((1, LENGTH), np.int32)
+    positive = np.concatenate([good, _with_letter(good, rng)])
+    marks = np.zeros((len(telling), LENGTH), np.int32)
+    for i in range(PART):
+        marks[:, i] = telling >> 6 * (PART - 1 - i) & 63
+    marks = np.concatenate([marks, plain[rng.permutation(len(plain))[: landmarks // 4]]])
+    hard = np.empty((0, LENGTH), np.int32)
     model = constant
     for _ in range(rounds):
+        marks = np.unique(marks[(marks > 0).sum(1) >= 3], axis=0)
         mm = kernel(marks, marks).astype(np.float64)
-        norm = np.sqrt(np.maximum(np.diag(mm), 1e-9))
-        mm /= norm[:, None]
         eigen, vectors = np.linalg.eigh((mm + mm.T) / 2)
         keep = eigen > 1e-4 * eigen.max()
         root = vectors[:, keep] / np.sqrt(eigen[keep])
-        bad = list(dict.fromkeys([*hard, *clean_list[:8000]]))
-        x = kernel([marked(w) for w, _ in shown] + [marked(w) for w in bad], marks) @ root.astype(np.float32)
-        labels = np.concatenate([np.ones(len(shown)), -np.ones(len(bad))])
-        count = np.array([n for _, n in shown])
-        weight = np.concatenate([1000 * count / count.sum(), np.full(len(bad), 1000 / len(bad))])
+        x = kernel(np.concatenate([positive, plain, hard]), marks) @ root.astype(np.float32)
+        labels = np.concatenate([np.ones(len(positive)), -np.ones(len(plain) + len(hard))])
+        sizes = [(len(good), 800), (len(good), 200), (len(plain), 500 if len(hard) else 1000), (len(hard), 500)]
+        weight = np.concatenate([np.full(n, total / max(n, 1)) for n, total in sizes])
         w, bias = _svm(x, labels, weight, c)
-        model = Model(_fold(marks, root @ w), bias, -2.0, 1.0, 0.0)
-        values = model.strings(clean_list)
-        order = np.argsort(-values, kind="stable")[:4000]
-        hard.update((clean_list[i], None) for i in order)
-        marks = list(dict.fromkeys(marks + [marked(clean_list[i]) for i in order[: landmarks // 8]]))
-    model.nothing = float(values.min()) if len(values) else -2.0
-    top = np.array([model.strings(b).max() if b else model.nothing for b in bags])
+        model = Model(_fold(marks, root @ w), bias, 1.0, 0.0)
+        values = model.windows(codes)
+        if len(clean):
+            top = np.array([a + int(values[a : max(a + 1, b)].argmax()) for a, b in zip(starts[clean], starts[clean + 1] - LENGTH, strict=True)], np.int64)
+            worst = _cut(codes, top)
+            hard = np.unique(np.concatenate([hard, worst]), axis=0)
+            marks = np.concatenate([marks, worst[np.argsort(-values[top], kind="stable")[: landmarks // 8]]])
     each = np.where(y == 1, priors[1] / y.sum(), priors[0] / (len(y) - y.sum()))
-    model.slope, model.shift = _platt(top, y, each / each.mean())
+    model.slope, model.shift = calibrate(model.values(codes, starts), y, each / each.mean())
     return model
 
 
-def hash_of(word: str) -> int:
-    return xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
-
-
 def _platt(value: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
-    """Logistic calibration by weighted Newton steps, with a light ridge."""
+    """Logistic calibration by weighted Newton steps, with a light ridge; ``y`` may lie between 0 and 1."""
     x = np.stack([value, np.ones_like(value)], 1)
     w = np.array([1.0, 0.0])
     for _ in range(50):
@@ -308,14 +336,36 @@ def _platt(value: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float,
     return max(float(w[0]), 1e-3), float(w[1])
 
 
+def calibrate(value: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 40, most: float = 0.1) -> tuple[float, float]:
+    """Slope and shift of the probability that a text is toxic, where labels may be wrong.
+
+    Each class has a share of wrong labels (``most`` at most, and 1 in 100 before any evidence). Shares, calibration
+    and the odds that each label is right are fitted in turn (expectation and maximisation).
+    """
+    slope, shift = _platt(value, y, weight)
+    wrong = np.array([0.01, 0.01])
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(slope * value + shift, -50, 50)))
+        toxic = p * np.where(y == 1, 1 - wrong[1], wrong[1])
+        clean = (1 - p) * np.where(y == 1, wrong[0], 1 - wrong[0])
+        truth = toxic / (toxic + clean)
+        for c, belief in ((0, 1 - truth), (1, truth)):
+            mass = weight * belief
+            wrong[c] = min(most, ((mass * (y != c)).sum() + 0.1) / (mass.sum() + 10))
+        slope, shift = _platt(value, truth, weight)
+    return slope, shift
+
+
 def held_out(id_col: Column) -> Column:
     """Rows that no training reads: crc32 of the id's text leaves 1 by division by 3."""
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2000, longest: int = 100_000, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """Train on a bounded sample: the ``per_class`` labelled training rows of each class whose ids hash
-    lowest, leaving out texts of over ``longest`` characters, so the driver holds a fixed amount at most."""
+def fit(
+    docs: DataFrame, labels: DataFrame, per_class: int = 2000, sample_bytes: int = 12 << 20, id_col: str = "doc_id", text_col: str = "text"
+) -> Model:
+    """Train on a bounded sample of labelled rows: of each class the ``per_class`` training rows whose ids hash
+    lowest, as far as their texts fit into ``sample_bytes``, so the driver holds a fixed amount at most."""
     known = (
         labels.where("toxic is not null and doc_id is not null")
         .groupBy("doc_id")
@@ -327,70 +377,36 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2000, longest: int
     for label in (0, 1):
         part = known.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
         chosen = part if chosen is None else chosen.union(part)
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")).where(F.length("text") <= longest)
-    rows = texts.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).collect()  # at most 2 * per_class rows
-    rows.sort(key=lambda r: r["doc_id"])
-    return train([r["text"] for r in rows], [r["toxic"] for r in rows], (totals.get(0, 0), totals.get(1, 0)))
-
-
-#: Words in one of the two generations whose values a worker remembers.
-CACHE_WORDS = 200_000
-
-
-class Scorer:
-    """Document values, with the values of recurring words remembered."""
-
-    def __init__(self, model: Model):
-        self.model, self.young, self.old = model, {}, {}
-
-    def __call__(self, texts: list[str]) -> np.ndarray:
-        bags = [words(t) for t in texts]
-        wanted = set().union(*bags)
-        missing = [w for w in wanted if w not in self.young]
-        if len(self.young) + len(missing) > CACHE_WORDS:
-            self.old, self.young, missing = self.young, {}, list(wanted)
-        fresh = []
-        for w in missing:
-            if (value := self.old.get(w)) is None:
-                fresh.append(w)
-            else:
-                self.young[w] = value
-        if fresh:
-            self.young.update(zip(fresh, self.model.words(fresh).tolist(), strict=True))
-        young = self.young.__getitem__
-        return np.array([max(map(young, b)) if b else self.model.nothing for b in bags], np.float64)
-
-
-def slices(texts: list[str], chars: int) -> Iterator[list[str]]:
-    """Runs of texts of about ``chars`` characters; a longer text stands alone."""
-    run, held = [], 0
-    for t in texts:
-        if run and held + len(t) > chars:
-            yield run
-            run, held = [], 0
-        run.append(t)
-        held += len(t)
-    if run:
-        yield run
-
-
-def _probabilities(model: Model, scorer: Scorer, texts: list[str]) -> np.ndarray:
-    values = [scorer(part) for part in slices(texts, 1 << 21)]
-    return model.probability(np.concatenate(values)) if values else np.empty(0)
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
+    rows = texts.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])  # at most 2 * per_class rows
+    held = F.sum(F.octet_length("text")).over(Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    sample = rows.withColumn("held", held).where(F.col("held") <= sample_bytes).drop("held").collect()
+    sample.sort(key=lambda r: r["doc_id"])
+    return train([r["text"] for r in sample], [r["toxic"] for r in sample], (totals.get(0, 0), totals.get(1, 0)))
+
+
+def probabilities(model: Model, texts: pa.Array) -> np.ndarray:
+    """The probability of each text. A text over STRETCH bytes is read in stretches that overlap by LAP bytes, as
+    so many texts; the highest counts."""
+    if len(texts) != 1 or (size := len(utf8(texts)[0])) <= STRETCH:
+        return model.probability(model.values(*coded(texts)))
+    whole = texts.cast(pa.large_binary())[0].as_buffer()
+    parts = (pa.array([whole.slice(i, min(STRETCH, size - i)).to_pybytes()], pa.binary()) for i in range(0, size - LAP, STRETCH - LAP))
+    return model.probability(np.array([max(model.values(*coded(p))[0] for p in parts)]))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7) -> DataFrame:
     """``doc_id``, ``score`` (0 to 1) and ``predicted`` of every whole text.
 
-    The text alone decides. Null and empty texts get the score of a text without words; null ids and
-    repeated rows are answered like any other; other columns are ignored.
+    The text alone decides. Null and empty texts get the score of a text without characters; null ids and
+    repeated rows are answered like any other; other columns are ignored. A task works on 4 MB of text at once, a longer
+    text in stretches, so its memory is bounded.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a fixed 262,144 weights
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(shared.value)
-        for batch in batches:
-            p = _probabilities(shared.value, scorer, batch.column("text").to_pylist())
+        for batch in (part for whole in batches for part in slices(whole, size=SLICE)):
+            p = probabilities(shared.value, batch.column("text"))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(p, pa.float64()), pa.array((p >= threshold).astype(np.int32), pa.int32())],
                 ["doc_id", "score", "predicted"],
@@ -407,9 +423,7 @@ def drop(docs: DataFrame, model: Model, text_col: str = "text", threshold: float
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(shared.value)
-        for batch in batches:
-            texts = [t or "" for t in batch.column(at).to_pylist()]
-            yield batch.filter(pa.array(_probabilities(shared.value, scorer, texts) < threshold, pa.bool_()))
+        for batch in (part for whole in batches for part in slices(whole, at, SLICE)):
+            yield batch.filter(pa.array(probabilities(shared.value, batch.column(at).fill_null("")) < threshold, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
