@@ -44,7 +44,7 @@ def _words(text):
     return text.encode().lower().split()
 
 
-def _brute(rows, width, percent):
+def brute_components(rows, width, percent):
     sets = {}
     for i, text in rows:
         w = _words(text or "")
@@ -80,7 +80,7 @@ def test_near_families_against_brute_force(spark, width, percent):
             rows.append((len(rows), " ".join(words)))
     frame = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(frame, width=width, percent=percent).collect()}
-    assert got == _brute(rows, width, percent)
+    assert got == brute_components(rows, width, percent)
 
 
 def test_near_odd_rows(odd_documents, no_documents):

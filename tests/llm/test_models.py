@@ -4,11 +4,16 @@ from __future__ import annotations
 
 import math
 import random
+import time
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from support import DATA
 from pyspark.sql import functions as F
 
@@ -35,43 +40,93 @@ def model():
     return toxicity.train(texts, labels, (200, 100))
 
 
+def _p(model, *texts):
+    return toxicity.probabilities(model, pa.array(list(texts), pa.string()))
+
+
 def test_held_out_sentences(model):
     texts, labels = _sentences(1, 900)
-    p = model.probability(toxicity.Scorer(model)(texts[300:]))
-    assert ((p >= 0.7) == (np.array(labels[300:]) == 1)).mean() > 0.98
+    assert ((_p(model, *texts[300:]) >= 0.7) == (np.array(labels[300:]) == 1)).mean() > 0.98
 
 
 @pytest.mark.parametrize("text", ["you d.i.m.w.i.t", "such a blockxhead", "a d i m w i t indeed", "BLOCKHEAD!", "scum-bag"])
 def test_disguised_insults(model, text):
-    assert model.probability(toxicity.Scorer(model)([text]))[0] > model.probability(toxicity.Scorer(model)(["the rest of it is nice"]))[0]
-    assert model.probability(toxicity.Scorer(model)([text]))[0] >= 0.5
+    assert _p(model, text)[0] > _p(model, "the rest of it is nice")[0]
+    assert _p(model, text)[0] >= 0.5
 
 
-def test_folded_weights_equal_the_kernel():
-    marks = [toxicity.marked("dimwit"), "\1scu", "head"]
-    words = ["dimwit", "dimxwit", "scum", "ahead", "other"]
-    v = np.array([1.0, -2.0, 0.5])
-    by_kernel = toxicity.kernel([toxicity.marked(w) for w in words], marks) @ v
-    folded = toxicity.Model(toxicity._fold(marks, v), 0.0, 0.0, 1.0, 0.0).strings(words)
-    assert np.allclose(by_kernel, folded, atol=1e-4)
+@pytest.mark.parametrize("flipped", [0.02, 0.05])
+def test_wrong_labels_hardly_matter(flipped):
+    texts, labels = _sentences(1, 900)
+    rng = random.Random(8)
+    wrong = [1 - y if rng.random() < flipped else y for y in labels[:500]]
+    model = toxicity.train(texts[:500], wrong, (330, 170))
+    found = _p(model, *texts[500:]) >= 0.7
+    held = np.array(labels[500:]) == 1
+    assert found[held].mean() > 0.95 and found[~held].mean() < 0.02
+
+
+def _windows(text):
+    """All windows of one text that hold any of it, as the operator's docstring says."""
+    codes, starts = toxicity.coded(pa.array([text]))
+    return [codes[i : i + toxicity.LENGTH] for i in range(int(starts[0]) - toxicity.LENGTH, len(codes) - toxicity.LENGTH)]
+
+
+def _phi(window, firsts):
+    out = Counter()
+    for i in range(min(firsts, len(window))):
+        for j in range(i + 1, len(window)):
+            for k in range(j + 1, min(len(window), i + toxicity.SPAN)):
+                if min(window[i], window[j], window[k]) > 0:
+                    out[int(window[i]), int(window[j]), int(window[k])] += toxicity.DECAY ** (k - i + 1)
+    return out
+
+
+def _marks():
+    return np.stack([w for t in ("you dimwit", "scumbags", "plain words") for w in _windows(t)[12:14]])
+
+
+def test_scores_against_brute_force():
+    """The folded machine's value of a text is the highest sum over landmarks of weight and kernel among its windows."""
+    marks, v = _marks(), np.array([1.0, -2.0, 0.5, 3.0, -0.7, 0.2])
+    model = toxicity.Model(toxicity._fold(marks, v), 0.25, 2.0, -1.0)
+    ys = [_phi(m, toxicity.LENGTH) for m in marks]
+    norms = [math.sqrt(sum(x * x for x in y.values())) for y in ys]
+    texts = ["you dimwxit.\nOther words here", "a", "", "a s c u m b a g, plain; WORDS é scum", "plain words. plain"]
+    for text, got in zip(texts, model.values(*toxicity.coded(pa.array(texts))), strict=True):
+        best = 0.25
+        for n, window in enumerate(_windows(text)):
+            x = _phi(window, toxicity.FIRSTS)
+            value = 0.25 + sum(w * sum(x[t] * y[t] for t in x) / norm for w, y, norm in zip(v, ys, norms, strict=True))
+            best = max(best, value) if n else value
+        assert math.isclose(got, best, rel_tol=1e-4, abs_tol=1e-4)
+        assert math.isclose(_p(model, text)[0], 1 / (1 + math.exp(1 - 2 * best)), rel_tol=1e-3)
 
 
 def test_kernel_is_the_sum_over_common_triples():
-    def brute(a, b):
-        def phi(s):
-            out = Counter()
-            for i in range(len(s)):
-                for j in range(i + 1, len(s)):
-                    for k in range(j + 1, min(len(s), i + toxicity.SPAN)):
-                        out[s[i], s[j], s[k]] += toxicity.DECAY ** (k - i + 1)
-            return out
+    marks = _marks()
+    got = toxicity.kernel(marks, marks)
+    for a, row in zip(marks, got, strict=True):
+        x = _phi(a, toxicity.FIRSTS)
+        for b, value in zip(marks, row, strict=True):
+            y = _phi(b, toxicity.LENGTH)
+            assert math.isclose(value, sum(x[t] * y[t] for t in x) / math.sqrt(sum(v * v for v in y.values())), rel_tol=1e-4)
+
 
-        x, y = phi(a), phi(b)
-        return sum(x[t] * y[t] for t in x) / math.sqrt(sum(v * v for v in y.values()))
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text("ab .\n!é,-1", max_size=12), min_size=1, max_size=5))
+def test_a_text_is_coded_without_its_neighbours(texts):
+    codes, starts = toxicity.coded(pa.array(texts))
+    for t, a, b in zip(texts, starts[:-1], starts[1:], strict=True):
+        own, (c, d) = toxicity.coded(pa.array([t]))
+        assert codes[a:b].tolist() == own[c:d].tolist()
 
-    for a, b in (("abcde", "axbcd"), ("hello", "hallo"), ("aaaa", "aa")):
-        a, b = toxicity.marked(a), toxicity.marked(b)
-        assert math.isclose(toxicity.kernel([a], [b])[0, 0], brute(a, b), rel_tol=1e-5)
+
+def test_long_texts_are_read_in_stretches(model, monkeypatch):
+    text = "some plain words " * 400 + "you dimwit, " + "other quiet words " * 400
+    whole = _p(model, text)[0]
+    monkeypatch.setattr(toxicity, "STRETCH", 1000)
+    assert math.isclose(_p(model, text)[0], whole, rel_tol=1e-6) and whole > 0.7
 
 
 def test_toxicity_odd_rows(spark, model, odd_documents, no_documents):
@@ -171,44 +226,112 @@ def test_personal_data_odd_rows(odd_documents, no_documents):
     assert personal_data.redact(no_documents).count() == 0 and personal_data.find_personal_data(no_documents).count() == 0
 
 
+def test_many_spans_and_disguises_end_soon():
+    one = "bob@example.com and j\u043ehn [at] example [dot] org, call +1 212 555 01 99 or two one two five five five zero one nine nine. "
+    began = time.monotonic()
+    base, added = personal_data.all_spans(one * 20_000)
+    assert time.monotonic() - began < 40 and len(base) == 40_000 and len(added) >= 20_000
+    first = [s for s in added if s[1] < len(one)]
+    assert [(k, a + len(one), b + len(one)) for k, a, b in first] == [s for s in added if len(one) <= s[1] < 2 * len(one)]
+
+
+def test_a_long_disguised_text_takes_bounded_memory():
+    text = "\u0430\u0435\u043e\u0440 plain words here " * 500_000  # 11 million characters, 2 million of them confusable
+    tracemalloc.start()
+    personal_data.all_spans(text)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 12 * len(text)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["a", "\u043e", "\u200b", "\uff21", "\u0661", " [at] ", " dot ", " at ", "one ", "two-", "x.y", "@", " ", "\ufb01"]), max_size=30).map("".join))
+def test_every_character_keeps_its_source(text):
+    tape = personal_data.deobfuscate(text)
+    if tape is None:
+        return
+    spans = [tape.span(i) for i in range(len(tape.text))]
+    assert all(0 <= a < b <= len(text) for a, b in spans) and spans == sorted(spans)
+    for c, (a, b) in zip(tape.text, spans, strict=True):
+        if b - a == 1 and text[a].isascii() and text[a].isalpha() and c.isascii() and c.isalpha():
+            assert c == text[a]
+
+
 def test_quadratic_texts_end_soon():
     text = "a" * 300_000 + "@ " + "1." * 100_000 + "+" + "(" * 100_000
     personal_data.all_spans(text)
 
 
-def test_language_model_against_brute_force(spark, odd_documents, no_documents):
-    got = language_model.score_documents(odd_documents, block_chars=50_000).collect()
-    rows = [(r.doc_id, r.text or "") for r in odd_documents.collect()]
+def _language_model(rows):
+    """Scores by the recursive definition of the model."""
     words = lambda t: [*t.encode().lower().split(), None]
     train = lambda i: i is None or zlib.crc32(str(i).encode()) % 5 != 1
-    c, pairs, starts = Counter(), Counter(), 0
+    grams, starts = [Counter(), Counter(), Counter()], 0
     for i, t in rows:
         if train(i):
-            w = words(t)
-            c.update(w)
-            pairs.update(zip(["<"] + w[:-1], w, strict=True))
+            w = ["<", *words(t)]
             starts += 1
-    n, m = sum(c.values()), language_model.WEIGHT
-    expected = Counter()
+            for n in range(3):
+                grams[n].update(tuple(w[k - n : k + 1]) for k in range(max(1, n), len(w)))
+    n, v = sum(grams[0].values()), len(grams[0])
+
+    def p(history, x):
+        if not history:
+            return (grams[0][(x,)] + 0.5) / (n + 0.5 * (v + 1))
+        held = starts if history == ("<",) else grams[len(history) - 1][history]
+        m = language_model.WEIGHTS[len(history) - 1]
+        return (grams[len(history)][(*history, x)] + m * p(history[1:], x)) / (held + m)
+
     for i, t in rows:
-        w = words(t)
-        root = [(c[x] + 0.5) / (n + 0.5 * (len(c) + 1)) for x in w]
-        score = sum(
-            math.log10((pairs[u, v] + m * q) / ((starts if u == "<" else c[u]) + m)) for u, v, q in zip(["<"] + w[:-1], w, root, strict=True)
-        )
-        expected[i, not train(i), len(w), sum(c[x] > 0 for x in w), n, round(sum(map(math.log10, root)), 5), round(score, 5)] += 1
-    assert Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 5), round(r.score, 5)) for r in got) == expected
+        w = ["<", *words(t)]
+        base = sum(math.log10(p((), x)) for x in w[1:])
+        score = sum(math.log10(p(tuple(w[max(0, k - 2) : k]), w[k])) for k in range(1, len(w)))
+        yield i, not train(i), len(w) - 1, sum(grams[0][(x,)] > 0 for x in w[1:]), n, round(base, 5), round(score, 5)
+
+
+def _scored(rows):
+    return Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 5), round(r.score, 5)) for r in rows)
+
+
+def test_language_model_against_brute_force(spark, odd_documents, no_documents):
+    """Texts of many blocks and stretches, among them one of over 20,000 words."""
+    rows = [(r.doc_id, r.text or "") for r in odd_documents.collect()]
+    assert _scored(language_model.score_documents(odd_documents, block_bytes=400, range_tokens=50).collect()) == Counter(_language_model(rows))
     assert language_model.score_documents(no_documents).count() == 0
 
 
+def test_the_query_of_language_model(spark):
+    rows = [(r.doc_id, r.text or "") for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()]
+    assert _scored(queries.op10_lm_scoring(spark, DATA).collect()) == Counter(_language_model(rows))
+
+
+def _automaton(texts, spare=16):
+    block = language_model.Block.of(list(range(len(texts))), [True] * len(texts), pa.array(texts))
+    pairs = block.bigrams()
+    count = lambda keys: np.unique(language_model._cleared(keys, spare), return_counts=True)[1]
+    totals = {0: np.bincount(block.tokens), 1: count(pairs), 2: count(block.trigrams(pairs)[1])}
+    return block, language_model.Automaton(block, totals, len(block.tokens), len(block.keys), len(texts), (5.0, 2.0), spare)
+
+
 def test_states_sum_to_one():
-    words, starts = np.array([3, 2, 1]), 2
-    a = language_model.Automaton(words, np.array([2, 1, 0]), np.append(words, starts), 6, 3, 5.0)
-    state = np.zeros(4, np.int64)
-    a.root = np.append(a.root, math.log10(0.5 / (6 + 0.5 * 4)))  # any unseen word
-    a.bigrams = np.append(a.bigrams, 0)
-    total = (10 ** a.step(state, np.array([0, 1, 2, 3]), np.array([0, 1, 2, 3]))).sum()
-    assert math.isclose(total, 1.0)
+    block, a = _automaton(["a b a b c", "b c a", "", "c c c a b"])
+    unseen = 0.5 / (len(block.tokens) + 0.5 * (len(block.keys) + 1))
+    every = np.arange(a.size)
+    states = {0, a.start, *a.arc_to.tolist()}
+    assert len(states) >= 10
+    for s in states:
+        lost, at = 1.0, s
+        while at:
+            lost, at = lost * 10 ** a.fail_log[at], a.fail_to[at]
+        assert math.isclose((10 ** a.step(np.full(a.size, s), every)[1]).sum() + lost * unseen, 1.0)
+
+
+def test_stretches_read_like_whole_texts():
+    rng = np.random.default_rng(5)
+    block, a = _automaton([" ".join(rng.choice(list("abcdefg"), n)) for n in (1, 2, 3, 7, 400, 0, 33)])
+    whole = a.read(block.tokens, block.starts, block.lengths, 1 << 20)
+    for stretch in (2, 3, 16):
+        assert np.allclose(whole, a.read(block.tokens, block.starts, block.lengths, stretch))
 
 
 def test_search_odd_rows(spark):
@@ -220,6 +343,30 @@ def test_search_odd_rows(spark):
     assert topk.top_k(frame.where("vec_id > 90"), F.col("vec_id") % 2 == 0).count() == 0
 
 
+def test_search_meets_repeated_ids_and_all_lengths(spark):
+    rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (1, [2.0, 0.0]), (2, [3.0]), (3, [4.0]), (4, [5.0]), (6, [6.0]), (2, [0.5, 0.5])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = sorted((r.query_id, r.rank, r.vec_id, r.score // 1048576) for r in topk.top_k(frame, F.col("vec_id").isin(0, 2), k=10).collect())
+    zero = [(0, 1, 1, 2), (0, 2, 1, 1), (0, 3, 2, 0)]
+    short = [(2, 1, 6, 18), (2, 2, 4, 15), (2, 3, 3, 12)]
+    other = [(2, 1, 1, 1), (2, 2, 0, 0), (2, 3, 1, 0)]
+    assert got == sorted(zero + short + other)
+
+
+def test_search_over_many_trees_and_blocks(spark):
+    rng = np.random.default_rng(4)
+    v = rng.integers(-50, 50, (600, 8))
+    frame = spark.createDataFrame([(i, [float(x) / 1024 for x in row]) for i, row in enumerate(v.tolist())], "vec_id long, embedding array<double>")
+    got = {}
+    for r in topk.top_k(frame, F.col("vec_id") % 7 == 0, k=5, tree_vectors=80, block_queries=20).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    for q in range(0, 600, 7):
+        scores = v @ v[q]
+        best = [i for i in np.lexsort((np.arange(600), -scores)) if i != q][:5]
+        assert sorted(got.pop(q)) == [(n + 1, i, scores[i]) for n, i in enumerate(best)]
+    assert not got
+
+
 def test_tree_search_is_exact_and_skips():
     rng = np.random.default_rng(2)
     centres = rng.integers(-900, 900, (12, 16))
@@ -265,4 +412,4 @@ def test_toxicity_query_on_held_out_rows(spark):
     held = rows.where("held_out").collect()
     false = sum(r.predicted == 1 and r.toxic == 0 for r in held)
     found = sum(r.predicted == 1 and r.toxic == 1 for r in held)
-    assert false <= 1 and found >= 0.6 * sum(r.toxic for r in held)
+    assert false <= 2 and found >= 0.6 * sum(r.toxic for r in held)

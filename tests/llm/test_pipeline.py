@@ -3,7 +3,12 @@
 from __future__ import annotations
 
 import corpus_pipeline
+import numpy as np
+import public_tokenizers
+import pyarrow as pa
 from support import DATA
+from test_dedup import brute_components
+from tokenizers import Tokenizer
 
 from penumbra.llm import exact_dedup, near_dedup, personal_data, toxicity
 
@@ -12,11 +17,36 @@ def test_stages_in_order(spark):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "exact_dedup", "near_dedup", "pii", "packing"]
 
 
-def test_run(spark):
-    packed = corpus_pipeline.run(spark, DATA)
-    assert {"doc_id", "piece", "length", "sequence_id", "offset"} <= set(packed.columns)
-    ids = {r.doc_id for r in packed.select("doc_id").distinct().collect()}
-    assert 0 < len(ids) <= spark.read.parquet(f"{DATA}/documents.parquet").count()
+def test_run_against_brute_force(spark):
+    """All stages by plain definitions: dictionaries, all pairs, the library's ids; the trained model is asked text by text."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    model = toxicity.fit(docs, spark.read.parquet(f"{DATA}/labels.parquet"))
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    texts = {i: t for i, t in texts.items() if toxicity.probabilities(model, pa.array([t]))[0] < 0.7}
+    last = {t: max(i for i, x in texts.items() if x == t) for t in texts.values()}
+    texts = {i: texts[i] for i in last.values()}
+    component = brute_components(list(texts.items()), 5, 80)
+    texts = {i: personal_data.redact_text(t) for i, t in texts.items() if component[i][1] == i}
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    expected = {i: np.array([*library.encode(t, add_special_tokens=False).ids, 0], "<u4").tobytes() for i, t in texts.items()}
+    got, sequences = {}, {}
+    for r in sorted(corpus_pipeline.run(spark, DATA).collect(), key=lambda r: (r.doc_id, r.piece)):
+        got[r.doc_id] = got.get(r.doc_id, b"") + bytes(r.ids)
+        sequences[r.sequence_id] = sequences.get(r.sequence_id, 0) + r.length
+    assert got == expected
+    assert max(sequences.values()) <= 2048
+
+
+def test_stages_keep_clashing_columns_and_empty_tables(spark):
+    names = "row", "sha", "keep", "group_text", "text_sha256", "keep_id", "component_id", "kept", "print", "label", "row_"
+    schema = "doc_id long, text string, " + ", ".join(f"{n} int" for n in names)
+    rows = [(i, t, *[k] * len(names)) for k, (i, t) in enumerate([(1, "one two"), (2, "one two"), (None, None), (3, "x@y.example"), (3, "other")])]
+    docs, nothing = spark.createDataFrame(rows, schema), spark.createDataFrame([], schema)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, DATA)
+        assert out.columns == docs.columns and out.count() in (4, 5)
+        assert stage(spark, nothing, DATA).count() == 0
+    assert corpus_pipeline.pack(spark, nothing, DATA).count() == 0 and corpus_pipeline.pack(spark, docs, DATA).count() == 5
 
 
 def test_each_stage_on_planted_rows(spark):
@@ -33,14 +63,14 @@ def test_each_stage_on_planted_rows(spark):
     ]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     exact = corpus_pipeline.drop_copies(spark, docs, DATA)
-    assert exact.columns == corpus_pipeline.COLUMNS
+    assert exact.columns == docs.columns
     assert sorted(r.doc_id for r in exact.collect()) == [2, 3, 4, 6, 7]
     apart = corpus_pipeline.drop_near_copies(spark, exact, DATA)
     assert sorted(r.doc_id for r in apart.collect()) == [2, 4, 6, 7]
     clean = {r.doc_id: r for r in corpus_pipeline.redact_personal_data(spark, apart, DATA).collect()}
     assert clean[4].text == "my mail is <EMAIL>" and clean[4].n_chars == 18 and clean[7].text == rows[6][1]
     toxic = corpus_pipeline.drop_toxic(spark, docs, DATA)
-    assert toxic.columns == corpus_pipeline.COLUMNS and toxic.count() == 7
+    assert toxic.columns == docs.columns and toxic.count() == 7
 
 
 def test_kept_rows_match_the_operators(spark):
