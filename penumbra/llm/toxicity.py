@@ -83,7 +83,7 @@ def coded(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     sizes = np.bincount(owner[kept], minlength=len(many))
     before = np.cumsum(sizes) - sizes
     starts = LENGTH * np.arange(1, len(sizes) + 1) + before
-    out = np.zeros(int(sizes.sum()) + LENGTH * (len(sizes) + 1), np.int32)
+    out = np.zeros(int(sizes.sum()) + LENGTH * (len(sizes) + 1), np.uint8)
     out[np.repeat(starts - before, sizes) + np.arange(int(sizes.sum()))] = code[at[kept]]
     return out, np.append(starts, len(out))
 
@@ -133,7 +133,7 @@ class Model:
         """The decision value of the window that begins at each place but the last ones."""
         value = np.zeros(len(codes) + 1)
         for at in range(0, len(codes), 1 << 18):
-            part = codes[at : at + (1 << 18) + SPAN]
+            part = codes[at : at + (1 << 18) + SPAN].astype(np.int32)
             n = min(1 << 18, len(codes) - at, max(0, len(part) - 2))
             total = np.zeros(n, np.float32)
             for j, k in OFFSETS:
@@ -146,34 +146,64 @@ class Model:
 
     def values(self, codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """Decision values of texts: of the highest window."""
-        return np.maximum.reduceat(self.windows(codes), starts[:-1] - LENGTH) if len(starts) > 1 else np.empty(0)
+        return np.concatenate([np.empty(0), *(np.maximum.reduceat(v, at) for v, at in self._runs(codes, starts))])
+
+    def highest(self, codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Where the highest window of each text begins."""
+        best, run = [], 0
+        for v, at in self._runs(codes, starts):
+            first = starts[run] - LENGTH
+            best += [first + a + int(v[a:b].argmax()) for a, b in zip(at.tolist(), [*at[1:].tolist(), len(v)], strict=True)]
+            run += len(at)
+        return np.array(best, np.int64)
+
+    def _runs(self, codes: np.ndarray, starts: np.ndarray, size: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Window values of runs of texts of about ``size`` codes, and where each text's windows begin among them."""
+        run = 0
+        while run < len(starts) - 1:
+            end = max(run + 1, min(int(np.searchsorted(starts, starts[run] + size, "right")) - 1, len(starts) - 1))
+            first = starts[run] - LENGTH
+            yield self.windows(codes[first : starts[end]]), starts[run:end] - LENGTH - first
+            run = end
 
     def probability(self, value: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * np.asarray(value, np.float64) + self.shift, -500, 500)))
 
 
 def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float, steps: int = 30) -> tuple[np.ndarray, float]:
-    """Linear SVM with squared hinge loss, by Newton steps with a halving line search."""
-    x1 = np.hstack([x, np.ones((len(x), 1), x.dtype)]).astype(np.float64)
-    w = np.zeros(x1.shape[1])
-    ridge = np.ones(x1.shape[1])
+    """Linear SVM with squared hinge loss, by Newton steps with a halving line search. Only runs of rows are held in
+    double precision."""
+    runs = [slice(at, at + 2048) for at in range(0, len(x), 2048)]
+    w = np.zeros(x.shape[1] + 1)
+    ridge = np.ones(len(w))
     ridge[-1] = 1e-3
 
-    def loss(v):
-        return 0.5 * (ridge * v * v).sum() + c * (weight * np.maximum(0, 1 - y * (x1 @ v)) ** 2).sum()
+    def rows(run: slice) -> np.ndarray:
+        return np.hstack([x[run].astype(np.float64), np.ones((len(x[run]), 1))])
 
-    now = loss(w)
+    def gaps(v: np.ndarray) -> np.ndarray:
+        return 1 - y * np.concatenate([rows(run) @ v for run in runs])
+
+    def loss(v: np.ndarray, gap: np.ndarray) -> float:
+        return 0.5 * (ridge * v * v).sum() + c * (weight * np.maximum(0, gap) ** 2).sum()
+
+    gap = gaps(w)
+    now = loss(w, gap)
     for _ in range(steps):
-        gap = 1 - y * (x1 @ w)
-        on = gap > 0
-        part = x1[on] * weight[on, None]
-        gradient = ridge * w - 2 * c * part.T @ (y[on] * gap[on])
-        step = np.linalg.solve(np.diag(ridge) + 2 * c * part.T @ x1[on], gradient)
-        size = 1.0
-        while size > 1e-4 and loss(w - size * step) > now - 1e-4 * size * (gradient @ step):
+        gradient, curve = ridge * w, np.diag(ridge)
+        for run in runs:
+            on = gap[run] > 0
+            r = rows(run)[on]
+            part = r * weight[run][on, None]
+            gradient = gradient - 2 * c * part.T @ (y[run][on] * gap[run][on])
+            curve = curve + 2 * c * part.T @ r
+        step = np.linalg.solve(curve, gradient)
+        size, gap = 1.0, gaps(w - step)
+        while size > 1e-4 and loss(w - size * step, gap) > now - 1e-4 * size * (gradient @ step):
             size /= 2
+            gap = gaps(w - size * step)
         w = w - size * step
-        before, now = now, loss(w)
+        before, now = now, loss(w, gap)
         if before - now < 1e-6 * max(1.0, before):
             break
     return w[:-1], float(w[-1])
@@ -201,14 +231,20 @@ def _parts(codes: np.ndarray) -> np.ndarray:
     return np.where(whole, out, 0)
 
 
-def _telling(parts: np.ndarray, starts: np.ndarray, toxic: np.ndarray, count: int, cover: int, pool_size: int) -> np.ndarray:
+def _telling(codes: np.ndarray, starts: np.ndarray, toxic: np.ndarray, count: int, cover: int, pool_size: int) -> np.ndarray:
     """Parts that speak for toxic texts: by two standard errors, their smoothed log-odds are above one. Where none is (few
     labels), those with the most certain odds. Of these greedily the parts that most toxic texts hold that hold fewer than
     ``cover`` chosen ones."""
-    bags = [np.unique(parts[a : min(b, len(parts))]) for a, b in zip(starts[:-1], starts[1:], strict=True)]
-    keys, where = np.unique(np.concatenate(bags), return_inverse=True)
-    label = np.repeat(toxic, [len(b) for b in bags])
-    held = [np.bincount(where[label == c], minlength=len(keys)) for c in (0, 1)]
+    def bag(d: int) -> np.ndarray:
+        return np.unique(_parts(codes[starts[d] : starts[d + 1]]))
+
+    toxic_bags = {d: bag(d) for d in np.flatnonzero(toxic).tolist()}
+    keys, shows = np.unique(np.concatenate(list(toxic_bags.values())), return_counts=True)
+    held = [np.zeros(len(keys), np.int64), shows]
+    for d in np.flatnonzero(toxic == 0).tolist():
+        b = bag(d)
+        at = np.minimum(np.searchsorted(keys, b), len(keys) - 1)
+        held[0][at[keys[at] == b]] += 1
     many = [int((toxic == c).sum()) for c in (0, 1)]
     odds = np.log((held[1] + 0.5) / (many[1] + 1)) - np.log((held[0] + 0.5) / (many[0] + 1))
     error = np.sqrt(1 / (held[1] + 0.5) + 1 / (held[0] + 0.5))
@@ -221,8 +257,8 @@ def _telling(parts: np.ndarray, starts: np.ndarray, toxic: np.ndarray, count: in
         return pool
     rows, columns = [], []
     for d in np.flatnonzero(toxic):
-        at = np.minimum(np.searchsorted(pool, bags[d]), len(pool) - 1)
-        mine = at[pool[at] == bags[d]]
+        at = np.minimum(np.searchsorted(pool, toxic_bags[d]), len(pool) - 1)
+        mine = at[pool[at] == toxic_bags[d]]
         rows.append(np.full(len(mine), d))
         columns.append(mine)
     rows, columns = np.concatenate(rows), np.concatenate(columns)
@@ -241,7 +277,7 @@ def _telling(parts: np.ndarray, starts: np.ndarray, toxic: np.ndarray, count: in
 
 def _cut(codes: np.ndarray, at: np.ndarray) -> np.ndarray:
     """The windows that begin at the places."""
-    return codes[np.clip(at[:, None] + np.arange(LENGTH), 0, len(codes) - 1)]
+    return codes[np.clip(at[:, None] + np.arange(LENGTH), 0, len(codes) - 1)].astype(np.int32)
 
 
 def _with_letter(rows: np.ndarray, rng: np.random.Generator) -> np.ndarray:
@@ -253,6 +289,14 @@ def _with_letter(rows: np.ndarray, rng: np.random.Generator) -> np.ndarray:
     return out
 
 
+def _coded_in_runs(texts: list[str], run: int = 200) -> tuple[np.ndarray, np.ndarray]:
+    """``coded`` of many texts, some at a time, as its working memory is many times the text."""
+    done = [coded(pa.array(texts[i : i + run], pa.string())) for i in range(0, len(texts), run)]
+    lead = np.cumsum([0, *(len(c) - LENGTH for c, _ in done)])
+    codes = np.concatenate([*(c[:-LENGTH] for c, _ in done), np.zeros(LENGTH, np.uint8)])
+    return codes, np.append(np.concatenate([a[:-1] + n for (_, a), n in zip(done, lead, strict=False)]), len(codes))
+
+
 def train(
     texts: list[str],
     toxic: list[int],
@@ -262,7 +306,7 @@ def train(
     c: float = 3.0,
     cover: int = 3,
     pool: int = 4000,
-    shown: int = 4,
+    shown: int = 3,
 ) -> Model:
     """Fit on labelled texts. ``priors``: how many labelled rows each class (0, 1) has in all. ``pool``
     bounds the parts among which landmarks are chosen, ``shown`` the windows that show one toxic text or
@@ -275,19 +319,14 @@ def train(
     constant = Model(np.zeros(SYMBOLS**3, np.float32), 0.0, 0.0, float(np.log(share / (1 - share))))
     if not len(y) or y.min() == y.max():
         return constant
-    codes, starts = coded(pa.array(texts, pa.string()))
-    parts = _parts(codes)
-    telling = _telling(parts, starts, y, landmarks // 2, cover, pool)
+    codes, starts = _coded_in_runs(texts)
+    telling = _telling(codes, starts, y, landmarks // 2, cover, pool)
     rng = np.random.default_rng(1)
-    owner = np.repeat(np.arange(len(y)), np.diff(starts))  # of each place from the first text on
-    hits = np.flatnonzero(np.isin(parts[starts[0] :], telling)) if len(telling) else np.empty(0, np.int64)
-    hits = hits[y[owner[hits]] == 1]
-    # At most so many windows a toxic text, spread over its hits.
-    order = np.lexsort((rng.random(len(hits)), owner[hits]))
-    hits = hits[order]
-    place = np.arange(len(hits)) - np.searchsorted(owner[hits], owner[hits])
-    hits = hits[place < shown]
-    good = _cut(codes, hits + starts[0] - (LENGTH - PART) // 2)
+    hits = []
+    for d in np.flatnonzero(y):
+        found = np.flatnonzero(np.isin(_parts(codes[starts[d] : starts[d + 1]]), telling))
+        hits.append(starts[d] + rng.permutation(found)[:shown])
+    good = _cut(codes, np.concatenate(hits).astype(np.int64) - (LENGTH - PART) // 2)
     if not len(good):
         return constant
     clean = np.flatnonzero((y == 0) & (np.diff(starts) > LENGTH))
@@ -312,12 +351,10 @@ def train(
         weight = np.concatenate([np.full(n, total / max(n, 1)) for n, total in sizes])
         w, bias = _svm(x, labels, weight, c)
         model = Model(_fold(marks, root @ w), bias, 1.0, 0.0)
-        values = model.windows(codes)
         if len(clean):
-            top = np.array([a + int(values[a : max(a + 1, b)].argmax()) for a, b in zip(starts[clean], starts[clean + 1] - LENGTH, strict=True)], np.int64)
-            worst = _cut(codes, top)
+            worst = _cut(codes, model.highest(codes, starts)[clean])
             hard = np.unique(np.concatenate([hard, worst]), axis=0)
-            marks = np.concatenate([marks, worst[np.argsort(-values[top], kind="stable")[: landmarks // 8]]])
+            marks = np.concatenate([marks, worst[np.argsort(-model.values(codes, starts)[clean], kind="stable")[: landmarks // 8]]])
     each = np.where(y == 1, priors[1] / y.sum(), priors[0] / (len(y) - y.sum()))
     model.slope, model.shift = calibrate(model.values(codes, starts), y, each / each.mean())
     return model
@@ -362,7 +399,7 @@ def held_out(id_col: Column) -> Column:
 
 
 def fit(
-    docs: DataFrame, labels: DataFrame, per_class: int = 2000, sample_bytes: int = 12 << 20, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, labels: DataFrame, per_class: int = 2000, sample_bytes: int = 8 << 20, id_col: str = "doc_id", text_col: str = "text"
 ) -> Model:
     """Train on a bounded sample of labelled rows: of each class the ``per_class`` training rows whose ids hash
     lowest, as far as their texts fit into ``sample_bytes``, so the driver holds a fixed amount at most."""
