@@ -59,7 +59,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 #: Bytes of text that a task works on at once; a longer text stands alone.
-SLICE_BYTES = 16 << 20
+SLICE_BYTES = 8 << 20
 
 
 def utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -28,7 +28,7 @@ from penumbra.llm.common import open_fs, shared_folder, shuffle_partitions, slic
 BUCKET_BYTES = 1 << 20
 OWNER_BYTES = 96 << 20
 #: Text bytes in which a map task looks for copies at once, and text bytes to an owner task.
-MERGE_BYTES, TASK_BYTES = 24 << 20, 256 << 20
+MERGE_BYTES, TASK_BYTES = 12 << 20, 256 << 20
 
 _ENTRY = pa.schema(
     [("key", pa.uint64()), ("sha256", pa.string()), ("keep_id", pa.int64()), ("group_size", pa.int64()), ("text", pa.binary())]

@@ -13,13 +13,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from penumbra.llm.common import GOLDEN, materialise, mix64, slices, text_or_empty, words_of
 
 #: Shingles whose permutations a task holds at once (168 bytes each); a longer text is offered in such chunks.
 CHUNK = 1 << 16
+#: Bytes of text that a task works on at once.
+SLICE = 4 << 20
 
 
 def shingle_sets(texts: pa.Array, width: int) -> list[np.ndarray]:
@@ -103,7 +105,7 @@ def _signatures(width: int, bands: int, rows: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, size=SLICE):
                 sets = shingle_sets(part.column("text"), width)
                 prints = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
                 best = superminhash(sets, bands * rows).reshape(len(sets), bands, rows)
@@ -120,7 +122,7 @@ def _signatures(width: int, bands: int, rows: int):
 def _sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, size=SLICE):
                 sets = shingle_sets(part.column("text"), width)
                 prints = pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary())
                 bounds = np.cumsum([0, *map(len, sets)]).astype(np.int32)
@@ -174,48 +176,59 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     )
 
 
-def _unsettled(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs ``(a, b)`` of ``members(rep, comp)`` in different components that may yet be links.
+def _close(percent: int, other: str) -> Column:
+    """Sizes and places of a shared shingle that allow the similarity. Two sets agree on at most what stands at and after
+    the first shingle that they share."""
+    n, m = F.col("n"), F.col(f"{other}.n")
+    left = F.least(n - F.col("pos"), m - F.col(f"{other}.pos"))
+    return (F.lit(100) * F.least(n, m) >= F.lit(percent) * F.greatest(n, m)) & (F.lit(100 + percent) * left >= F.lit(percent) * (n + m))
+
+
+def _pair(other: str) -> list[Column]:
+    return [F.least("rep", f"{other}.rep").alias("a"), F.greatest("rep", f"{other}.rep").alias("b")]
+
+
+def _rarest(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``(rep, n, h, pos)``: the shingles that narrow the pairs of ``members(rep, comp)`` in different components.
 
     Nothing is lost: a pair at the threshold shares one of the rarest ``n - ceil(t * n) + 1`` shingles
-    of both sets (rare among the members; those that one member has alone stand first). Members of
-    other components than the first one's in the list of such a shingle are paired with the list.
+    of both sets (rare among the members; those that one member has alone stand first).
     """
     postings = sets.join(members, "rep").select("rep", "comp", F.size("shingles").alias("n"), F.explode("shingles").alias("h"))
     common = postings.groupBy("h").agg(F.count("*").alias("df"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("df > 1")
     first = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - (F.col("n") - F.size("list"))
-    prefix = (
+    return (
         postings.join(common, "h")
-        .groupBy("rep", "comp", "n")
+        .groupBy("rep", "n")
         .agg(F.sort_array(F.collect_list(F.struct("df", "h", (F.col("lo") != F.col("hi")).alias("mixed")))).alias("list"))
         .where(first > 0)
-        .select("rep", "comp", "n", (F.col("n") - F.size("list")).alias("before"), F.slice("list", F.lit(1), first.cast("int")).alias("list"))
-        .select("rep", "comp", "n", "before", F.posexplode("list").alias("i", "s"))
+        .select("rep", "n", (F.col("n") - F.size("list")).alias("before"), F.slice("list", F.lit(1), first.cast("int")).alias("list"))
+        .select("rep", "n", "before", F.posexplode("list").alias("i", "s"))
         .where("s.mixed")
-        .select("rep", "comp", "n", F.col("s.h").alias("h"), (F.col("before") + F.col("i")).alias("pos"))
-    )
-    prefix = materialise(prefix, "prefix")
-    mixed = prefix.groupBy("h").agg(F.min(F.struct("pos", "rep", "comp")).alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-    mixed = mixed.where("lo <> hi").select("h", F.col("c.comp").alias("main"))
-    listed = prefix.join(mixed, "h")
-    others = listed.select(
-        "h", F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("comp").alias("comp2")
-    )
-    met = (F.col("comp2") == F.col("main")) | (F.col("rep2") < F.col("rep"))
-    close = F.lit(100) * F.least("n", "n2") >= F.lit(percent) * F.greatest("n", "n2")
-    #: Both sets agree on at most what stands at and after the shared shingle.
-    reach = F.lit(100 + percent) * F.least(F.col("n") - F.col("pos"), F.col("n2") - F.col("pos2")) >= F.lit(percent) * (
-        F.col("n") + F.col("n2")
-    )
-    return (
-        listed.where("comp <> main")
-        .join(others, "h")
-        .where((F.col("comp") != F.col("comp2")) & met & close & reach)
-        .select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b"))
-        .distinct()
+        .select("rep", "n", F.col("s.h").alias("h"), (F.col("before") + F.col("i")).alias("pos"))
     )
 
 
+def _lists(rarest: DataFrame, members: DataFrame, pick) -> DataFrame:
+    """The lists of shingles whose members lie in several components, with one member ``c`` of the list."""
+    rows = rarest.join(members.select("rep", "comp"), "rep")
+    mixed = rows.groupBy("h").agg(pick(F.struct("pos", "rep", "comp", "n")).alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    return rows.join(mixed.where("lo <> hi").select("h", "c"), "h")
+
+
+def _star(lists: DataFrame, percent: int) -> DataFrame:
+    """Pairs of a list's members with its one member, across components."""
+    return lists.where((F.col("comp") != F.col("c.comp")) & _close(percent, "c")).select(_pair("c")).distinct()
+
+
+def _across(lists: DataFrame, percent: int) -> DataFrame:
+    """Pairs of a list's members that lie outside its one member's component with all of the list, across components."""
+    others = lists.select("h", F.struct("pos", "rep", "comp", "n").alias("o"))
+    once = (F.col("o.comp") == F.col("c.comp")) | (F.col("o.rep") < F.col("rep"))
+    outside = lists.where(F.col("comp") != F.col("c.comp"))
+    return outside.join(others, "h").where((F.col("comp") != F.col("o.comp")) & once & _close(percent, "o")).select(_pair("o")).distinct()
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, percent: int = 85
 ) -> DataFrame:
@@ -233,7 +246,9 @@ def near_duplicates(
        Links are confirmed on the full sets; union-find joins them.
     3. Buckets whose members now lie in several components are unsettled. Pairs of their members across
        components are narrowed without loss by rare shingles, confirmed on the full sets, and
-       union-find goes on over the components. Pairs inside one component need no further look.
+       union-find goes on over the components: twice with one member of each shingle's list, so
+       that a large group grows together, then with all that is left. Pairs inside one component
+       need no further look.
     """
     bands, rows = banding(percent / 100)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
@@ -260,11 +275,18 @@ def near_duplicates(
     comp = connected_components(links).toDF("rep", "comp")
     labelled = met.select("key", "rep").join(comp, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
     unsettled = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    members = materialise(labelled.join(unsettled, "key").select("rep", "comp").distinct(), "unsettled")
-    crossing = materialise(_verified(_unsettled(members, sets, percent), sets, percent), "links")
-    # What is left joins components, not documents: union-find goes on over their names.
-    joined = crossing.join(members.toDF("a", "ca"), "a").join(members.toDF("b", "cb"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
-    merged = connected_components(joined).toDF("comp", "last")
+    members = labelled.join(unsettled, "key").select("rep", "comp").distinct()
+    members = materialise(members.withColumn("began", F.col("comp")), "unsettled")
+    rarest = materialise(_rarest(members, sets, percent), "rarest")
+    # First stars around one member of each list, then around another; what is left outside is compared with all.
+    for pairs_of, pick in ((_star, F.min), (_star, F.max), (_across, F.min)):
+        crossing = materialise(_verified(pairs_of(_lists(rarest, members, pick), percent), sets, percent), "links")
+        # Components are joined, not documents: union-find goes on over their names.
+        name = members.select("rep", "comp")
+        joined = crossing.join(name.toDF("a", "ca"), "a").join(name.toDF("b", "cb"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+        merged = connected_components(joined).toDF("comp", "last")
+        members = materialise(members.join(merged, "comp", "left").select("rep", F.coalesce("last", "comp").alias("comp"), "began"), "unsettled")
+    merged = members.where("began <> comp").select(F.col("began").alias("comp"), F.col("comp").alias("last")).distinct()
     named = reps.select("print", "rep", "low").join(comp, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
     named = named.join(merged, "comp", "left").select("print", "low", F.coalesce("last", "comp").alias("comp"))
     lowest = named.groupBy("comp").agg(F.min("low").alias("component_id"))

@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from penumbra.llm.common import utf8
 
 #: Pieces that a worker remembers, and the longest piece remembered, in bytes.
-CACHE_PIECES, CACHE_BYTES = 2_000_000, 64
+CACHE_PIECES, CACHE_BYTES = 1_000_000, 64
 
 #: One match of the pattern for certain: a word of Latin letters, with its space if it has one.
 ONE_WORD = re.compile(" ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+").fullmatch

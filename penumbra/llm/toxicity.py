@@ -90,7 +90,7 @@ def coded(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def _triples(rows: np.ndarray, firsts: int) -> Iterator[tuple[np.ndarray, float]]:
     """Triple numbers (0 for none) and weights of rows of codes, a place and offset at a time."""
-    width = rows.shape[1]
+    rows, width = rows.astype(np.int32), rows.shape[1]
     for i in range(min(firsts, width - 2)):
         for j, k in OFFSETS:
             if i + k < width:
