@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -25,6 +26,8 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the cluster shares")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="penumbra-"))
         base = sc.getCheckpointDir()
     elif not sc.getCheckpointDir():
