@@ -38,10 +38,10 @@ def series_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("user_id", "bin", F.round("mean_a", 6).alias("mean_a"), F.round("mean_b", 6).alias("mean_b"), "partial")
 
 
-@register("SELECT vec_id, unnest(range(64))::INTEGER AS position, unnest(embedding) AS value, unnest(list_reverse(embedding)) AS mirrored FROM embeddings WHERE vec_id % 10 = 0")
+@register("SELECT vec_id, unnest(range(64))::INTEGER AS position, unnest(embedding) AS value, unnest(list_reverse(embedding)) AS mirrored FROM embeddings")
 def zipped_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parallel arrays as rows."""
-    rows = table(spark, sf_dir, "embeddings").where("vec_id % 10 = 0").select("vec_id", F.col("embedding").alias("value"), F.reverse("embedding").alias("mirrored"))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("value"), F.reverse("embedding").alias("mirrored"))
     return series.zipped(rows, ["vec_id"], ["value", "mirrored"])
 
 
@@ -78,7 +78,7 @@ def walk_transfers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("""
-WITH RECURSIVE e AS (SELECT o_orderkey AS id, o_custkey AS a, (o_custkey * 37 + o_orderkey % 3) % 1499 + 1 AS b FROM orders WHERE o_orderkey % 61 = 0),
+WITH RECURSIVE e AS (SELECT o_orderkey AS id, o_orderkey AS a, CASE WHEN o_custkey % 8 = 0 THEN o_orderkey - o_orderkey % 50 ELSE o_orderkey + 1 END AS b FROM orders),
 ends AS (SELECT id, a AS node FROM e UNION ALL SELECT id, b FROM e),
 mid AS (SELECT min(id) AS x, max(id) AS y FROM ends GROUP BY node HAVING count(*) = 2 AND min(id) <> max(id)),
 u AS (SELECT x, y FROM mid UNION SELECT y, x FROM mid),
@@ -88,7 +88,8 @@ SELECT id AS edge_id, min(o) AS chain FROM r GROUP BY 1
 def block_faces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chains of edges through nodes of exactly two edges."""
     o, c = F.col("o_orderkey"), F.col("o_custkey")
-    edges = table(spark, sf_dir, "orders").where(o % 61 == 0).select(o.alias("edge_id"), c.alias("from_id"), ((c * 37 + o % 3) % 1499 + 1).alias("to_id"))
+    to = F.when(c % 8 == 0, o - o % 50).otherwise(o + 1)
+    edges = table(spark, sf_dir, "orders").select(o.alias("edge_id"), o.alias("from_id"), to.alias("to_id"))
     return graph.chains(edges)
 
 

@@ -40,12 +40,14 @@ def intersections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.intersections(ways)
 
 
-_LINKS = "SELECT o_custkey AS a, (o_custkey * 37 + o_orderkey % 3) % 1499 + 1 AS b FROM orders WHERE o_orderkey % 31 = 0"
+_LINKS = "SELECT o_custkey AS a, CASE WHEN o_orderkey % 64 = 0 THEN o_custkey + 16 ELSE o_custkey - o_custkey % 16 + o_orderkey % 16 END AS b FROM orders"
 
 
 def _links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order as a link of its customer to another one nearby."""
     c, o = F.col("o_custkey"), F.col("o_orderkey")
-    return table(spark, sf_dir, "orders").where(o % 31 == 0).select(c.alias("from_id"), ((c * 37 + o % 3) % 1499 + 1).alias("to_id"))
+    to = F.when(o % 64 == 0, c + 16).otherwise(c - c % 16 + o % 16)
+    return table(spark, sf_dir, "orders").select(c.alias("from_id"), to.alias("to_id"))
 
 
 @register(f"""
@@ -54,7 +56,7 @@ r AS (SELECT DISTINCT a AS node, a AS x FROM u UNION SELECT r.node, u.b FROM r J
 SELECT node, min(x) AS component FROM r GROUP BY 1
 """)
 def connected_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Components of a sparse graph of customers."""
+    """Components of the graph of customers in which every order is a link."""
     return graph.components(_links(spark, sf_dir))
 
 

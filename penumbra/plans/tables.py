@@ -67,7 +67,7 @@ def service_calendar_active(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("""
-WITH act AS (SELECT DISTINCT o_orderdate::DATE AS day, o_custkey % 4 AS service_id FROM orders WHERE o_custkey % 3 = 0),
+WITH act AS (SELECT DISTINCT o_orderdate::DATE AS day, o_custkey % 4 AS service_id FROM orders),
 prints AS (SELECT day, string_agg(service_id::VARCHAR, '|' ORDER BY service_id::VARCHAR) AS services FROM act GROUP BY day),
 groups AS (SELECT CASE WHEN isodow(day) < 6 THEN 'weekday' WHEN isodow(day) = 6 THEN 'saturday' ELSE 'sunday' END AS kind, services, count(*) AS dates, min(day) AS day FROM prints GROUP BY 1, 2)
 SELECT kind, day, dates, services FROM groups QUALIFY row_number() OVER (PARTITION BY kind ORDER BY dates DESC, day) = 1
@@ -76,7 +76,7 @@ def representative_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Date that stands for each day type: the largest group of dates with the same services."""
     from penumbra.functions.clock import day_type
 
-    orders = table(spark, sf_dir, "orders").where(F.col("o_custkey") % 3 == 0)
+    orders = table(spark, sf_dir, "orders")
     active = orders.select(F.to_date("o_orderdate").alias("day"), (F.col("o_custkey") % 4).cast("string").alias("service_id")).distinct()
     return transit.representative_dates(active, day_type(F.col("day")))
 
@@ -312,17 +312,17 @@ def knee_point(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
-    return v.where("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("v").alias("q")), v
+    return v.where("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("v").alias("q")), v
 
 
 @register("""
 WITH p AS (SELECT q.vec_id AS query_id, c.vec_id AS id, list_sum(list_transform(list_zip(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d
-  FROM embeddings q JOIN embeddings c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)
+  FROM embeddings q JOIN embeddings c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0)
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY d, id)::INTEGER AS rank, id, round(d, 6) AS distance FROM p
 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY d, id) <= 5
 """)
 def knn_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Five nearest vectors of every fiftieth one."""
+    """Five nearest vectors of every twentieth one."""
     return topk.nearest_vectors(*_vectors(spark, sf_dir), 5).withColumn("distance", F.round("distance", 6))
 
 

@@ -155,6 +155,17 @@ def test_timetable_files(spark, tmp_path):
         gtfs.read(spark, f"file://{tmp_path}", "trips")
 
 
+def test_generations_tell_repeated_rows_apart_and_roll_back(spark, tmp_path):
+    root, rows = f"file://{tmp_path}/r", lambda *x: spark.createDataFrame([(i,) for i in x], "id long")
+    first, second = exports.publish(rows(1, 1), root), exports.publish(rows(2, 2), root)
+    assert first != second and sorted(r.id for r in exports.current(spark, root, check=True).collect()) == [2, 2]
+    assert exports.roll_back(spark, root) == first
+    assert sorted(r.id for r in exports.current(spark, root).collect()) == [1, 1]
+    rows(9).write.mode("append").parquet(f"{root}/generations/{first}")
+    with pytest.raises(ValueError, match="content"):
+        exports.current(spark, root, check=True)
+
+
 def test_generations(spark, tmp_path):
     root = f"file://{tmp_path}/g"
     first = exports.publish(spark.range(3), root)
