@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from penumbra.operators.stats import number_rows, percentile_linear
 
 def first_reason(rules: list[tuple[str, Column]]) -> Column:
     """Name of the first rule that a row breaks; null if it breaks none. An unknown condition counts as kept."""
@@ -23,8 +24,8 @@ def reject(df: DataFrame, rules: list[tuple[str, Column]]) -> tuple[DataFrame, D
 
 def impute_median(df: DataFrame, value: str, group: str, fallback: float) -> DataFrame:
     """Missing values as the group's median, else the median of all, else ``fallback``; ``<value>_source`` says which."""
-    medians = df.groupBy(group).agg(F.median(value).alias("_group"))
-    overall = df.agg(F.median(value).alias("_all"))  # one row
+    medians = percentile_linear(df, value, [group], {"_group": 50})
+    overall = percentile_linear(df, value, [], {"_all": 50})  # one row
     joined = df.join(medians, group, "left").join(F.broadcast(overall), F.lit(True))
     source = (
         F.when(F.col(value).isNotNull(), "measured")
@@ -69,20 +70,18 @@ def fingerprint(df: DataFrame, keys: list[str], item: Column) -> DataFrame:
 
 def round_robin(df: DataFrame, order: list[str], shards: int, keys: list[str]) -> DataFrame:
     """Shard of a row by its place in its key's order."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("shard", ((F.row_number().over(w) - 1) % shards).cast("int"))
+    placed = number_rows(df, keys, order, "_i", "_n")
+    return placed.withColumn("shard", (F.col("_i") % shards).cast("int")).drop("_i", "_n")
 
 
 def contiguous(df: DataFrame, order: list[str], shards: int, keys: list[str]) -> DataFrame:
     """Shard i holds the places from floor(i * n / shards) on."""
-    w = Window.partitionBy(*keys)
-    place = F.row_number().over(w.orderBy(*order)) - 1
-    return df.withColumn("shard", F.floor(((place + 1) * shards - 1) / F.count("*").over(w)).cast("int"))
+    placed = number_rows(df, keys, order, "_i", "_n")
+    return placed.withColumn("shard", F.floor(((F.col("_i") + 1) * shards - 1) / F.col("_n")).cast("int")).drop("_i", "_n")
 
 
 def even_sample(df: DataFrame, order: list[str], count: int, keys: list[str]) -> DataFrame:
     """``count`` rows of each key at even steps: the places floor(i * n / count)."""
-    w = Window.partitionBy(*keys)
-    marked = df.withColumn("_i", F.row_number().over(w.orderBy(*order)) - 1).withColumn("_n", F.count("*").over(w))
+    marked = number_rows(df, keys, order, "_i", "_n")
     step = F.floor(F.ceil(F.col("_i") * count / F.col("_n")) * F.col("_n") / count)
     return marked.where((step == F.col("_i")) | (F.col("_n") <= count)).drop("_i", "_n")

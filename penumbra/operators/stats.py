@@ -2,14 +2,40 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from penumbra.session import cut
 
 #: Ranges of values that a ranking is cut into, and the error allowed to their bounds.
 RANGES, RANGE_ERROR = 64, 0.005
 
 
+def join_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """``left`` with the columns of ``right`` by equal keys; null keys are equal."""
+    renamed = reduce(lambda d, k: d.withColumnRenamed(k, f"_right_{k}"), keys, right)
+    same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys))
+    return left.join(renamed, same, how).drop(*(f"_right_{k}" for k in keys))
+
+
+def number_rows(df: DataFrame, keys: list[str], order: list[str], place: str, size: str) -> DataFrame:
+    """``df`` with each row's place from 0 in its key's order and the key's number of rows.
+
+    Rows are sorted in ranges of key and order, so a hot key lies in several tasks; what the ranges below hold is added.
+    """
+    columns = [*keys, *order]
+    laid = df.repartitionByRange(*columns).sortWithinPartitions(*columns)
+    laid = cut(laid.withColumn("_part", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id()))
+    held = laid.groupBy(*keys, "_part").agg(F.min("_row").alias("_first"), F.count("*").alias("_held"))
+    whole = Window.partitionBy(*keys)
+    below = F.sum("_held").over(whole.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = held.select(*keys, "_part", (F.coalesce(below, F.lit(0)) - F.col("_first")).alias("_offset"), F.sum("_held").over(whole).alias(size))
+    placed = join_keys(laid, offsets, [*keys, "_part"]).withColumn(place, F.col("_row") + F.col("_offset"))
+    return placed.drop("_part", "_row", "_offset")
+
+
 def _ranked(df: DataFrame, value: str, keys: list[str]) -> DataFrame:
     """Distinct values with their cumulative counts ``upto`` and group size ``n``.
 
@@ -27,8 +53,7 @@ def _ranked(df: DataFrame, value: str, keys: list[str]) -> DataFrame:
     whole = Window.partitionBy(*keys)
     sizes = sizes.withColumn("_below", F.coalesce(F.sum("_size").over(below), F.lit(0))).withColumn("n", F.sum("_size").over(whole))
     return (
-        counted.withColumn("_inside", F.sum("c").over(inside))
-        .join(sizes.drop("_size"), [*keys, "_range"])
+        join_keys(counted.withColumn("_inside", F.sum("c").over(inside)), sizes.drop("_size"), [*keys, "_range"])
         .withColumn("upto", F.col("_inside") + F.col("_below"))
         .drop("_range", "_inside", "_below")
     )
@@ -52,31 +77,43 @@ def percentile_floor(df: DataFrame, value: str, keys: list[str], points: dict[st
 
 
 def percentile_linear(df: DataFrame, value: str, keys: list[str], points: dict[str, float]) -> DataFrame:
-    """Linear interpolation between neighbours (R-7)."""
-    return df.groupBy(*keys).agg(*[F.percentile(value, F.lit(p / 100.0)).alias(name) for name, p in points.items()])
+    """Linear interpolation between the values at the places around ``p / 100 * (n - 1)`` (R-7); null without values.
+
+    The values come from the ranking in ranges: no task holds the values of a whole group.
+    """
+    ranked = _ranked(df.select(*keys, F.col(value).cast("double").alias("_value")), "_value", keys)
+    place = {name: (F.col("n") - 1) * (p / 100.0) for name, p in points.items()}
+    at = lambda i: F.min(F.when(F.col("upto") > i, F.col("_value")))
+    picks = [pick for name, i in place.items() for pick in (at(F.floor(i)).alias(f"_low_{name}"), at(F.ceil(i)).alias(f"_high_{name}"))]
+    found = ranked.groupBy(*keys).agg(F.max("n").alias("n"), *picks)
+    out = []
+    for name, i in place.items():
+        low, high = F.col(f"_low_{name}"), F.col(f"_high_{name}")
+        out.append(F.when(low == high, low).otherwise((F.ceil(i) - i) * low + (i - F.floor(i)) * high).alias(name))
+    found = found.select(*keys, *out)
+    return join_keys(df.select(*keys).distinct(), found, keys, "left") if keys else found
 
 
 def summary(df: DataFrame, value: str, keys: list[str]) -> DataFrame:
     """Count, mean, median, 90th percentile and worst."""
-    return df.groupBy(*keys).agg(
-        F.count(value).alias("n"),
-        F.avg(value).alias("mean"),
-        F.median(value).alias("p50"),
-        F.percentile(value, F.lit(0.9)).alias("p90"),
-        F.max(value).alias("worst"),
-    )
+    return _beside(
+        df.groupBy(*keys).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.max(value).alias("worst")),
+        percentile_linear(df, value, keys, {"p50": 50, "p90": 90}),
+        keys,
+    ).select(*keys, "n", "mean", "p50", "p90", "worst")
+
+
+def _beside(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Two tables of one row a key as one; without keys each has one row."""
+    return join_keys(left, right, keys) if keys else join_keys(left.withColumn("_one", F.lit(1)), right.withColumn("_one", F.lit(1)), ["_one"]).drop("_one")
 
 
 def spread_percent(df: DataFrame, value: str, keys: list[str]) -> DataFrame:
     """Least, median and 95th percentile, greatest, and half the 5 to 95 spread in percent of the median."""
-    p = {q: F.percentile(value, F.lit(q / 100.0)) for q in (5, 50, 95)}
-    return df.groupBy(*keys).agg(
-        F.min(value).alias("least"),
-        p[50].alias("p50"),
-        p[95].alias("p95"),
-        F.max(value).alias("most"),
-        ((p[95] - p[5]) / 2 / F.nullif(p[50], F.lit(0.0)) * 100).alias("spread_pct"),
-    )
+    ends = df.groupBy(*keys).agg(F.min(value).alias("least"), F.max(value).alias("most"))
+    out = _beside(ends, percentile_linear(df, value, keys, {"_p5": 5, "p50": 50, "p95": 95}), keys)
+    spread = (F.col("p95") - F.col("_p5")) / 2 / F.nullif(F.col("p50"), F.lit(0.0)) * 100
+    return out.select(*keys, "least", "p50", "p95", "most", spread.alias("spread_pct"))
 
 
 def histogram(df: DataFrame, key: Column, name: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from penumbra.functions.clock import half_up
 from penumbra.operators.spatial import nearest_join, radius_join
+from penumbra.operators.stats import join_keys, percentile_linear
 
 
 def headways(first_departures: DataFrame, keys: list[str], departure: str, service: str, least: int = 4) -> DataFrame:
@@ -44,11 +45,10 @@ def edge_medians(
     ).where("from_stop is not null and from_stop <> to_stop and seconds > 0")
     if most_seconds is not None:
         steps = steps.where(F.col("seconds") <= most_seconds)
-    return (
-        steps.groupBy(*keys, "from_stop", "to_stop")
-        .agg(half_up(F.median("seconds")).alias("median_sec"), F.count("*").alias("samples"))
-        .where(F.col("samples") >= least)
-    )
+    pair = [*keys, "from_stop", "to_stop"]
+    often = steps.groupBy(*pair).agg(F.count("*").alias("samples")).where(F.col("samples") >= least)
+    medians = percentile_linear(steps, "seconds", pair, {"_median": 50})
+    return join_keys(often, medians, pair).select(*pair, half_up(F.col("_median")).alias("median_sec"), "samples")
 
 
 def active_dates(calendar: DataFrame, exceptions: DataFrame) -> DataFrame:

@@ -294,3 +294,19 @@ def test_label_search_against_all_walks_with_buckets(spark):
     labels = graph.label_search(edges, starts, 220.0, sun_budget=60.0, bucket_seconds=70.0)
     found = graph.reachable_edges(labels, edges, 220.0, 60.0, bucket_seconds=70.0)
     assert {(r.source, r.from_id, r.to_id) for r in found.collect()} == expected
+
+
+def test_percentiles_of_null_keys_and_null_values(spark):
+    rows = spark.createDataFrame([(None, 1.0), (None, 2.0), ("a", None), ("b", 5.0)], "g string, v double")
+    got = {r.g: r.m for r in stats.percentile_linear(rows, "v", ["g"], {"m": 50}).collect()}
+    assert got == {None: 1.5, "a": None, "b": 5.0}
+    assert {r.g: r.p for r in stats.percentile_nearest_rank(rows, "v", ["g"], {"p": 100}).collect()} == {None: 2.0, "b": 5.0}
+    assert stats.summary(rows.where("v < 0"), "v", []).collect()[0].asDict() == {"n": 0, "mean": None, "p50": None, "p90": None, "worst": None}
+
+
+def test_places_in_a_hot_and_a_null_key(spark):
+    rows = spark.range(1000).selectExpr("case when id % 10 = 0 then null when id < 900 then 'hot' else 'b' end as k", "1000 - id as v")
+    found = stats.number_rows(rows, ["k"], ["v"], "place", "size").collect()
+    for key in (None, "hot", "b"):
+        mine = sorted((r.v, r.place, r["size"]) for r in found if r.k == key)
+        assert [m[1] for m in mine] == list(range(len(mine))) and {m[2] for m in mine} == {len(mine)}
