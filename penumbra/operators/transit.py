@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -119,29 +121,37 @@ def walk_transfers(stations: DataFrame, stops: DataFrame, metres: float = 200.0)
     return one.union(one.select("to_id", "from_id", "metres"))
 
 
-def boarding_graph(rides: DataFrame, headway: DataFrame, transfers: DataFrame) -> DataFrame:
-    """Edges between states for the label search over a transit network.
+def boarding_graph(rides: DataFrame, headway: DataFrame, transfers: DataFrame, changes: DataFrame, boardings: int = 5) -> DataFrame:
+    """Edges between states for the label search over a transit network, with at most ``boardings`` of them.
 
-    A state is a text: ``stop`` on foot, ``stop|line`` on board. ``rides`` has ``line, from_stop,
-    to_stop, seconds``; ``headway`` has ``line, headway_sec`` (null: unreadable; absent: no service, and the
-    line can't be boarded); ``transfers`` has ``from_stop, to_stop, seconds``. Boarding costs half the
-    headway, leaving a vehicle costs a tenth of a second, because steps must take time.
+    A state is a text: ``stop#n`` on foot after n boardings, ``stop|line#n`` on board, ``stop!n`` just off a vehicle.
+    ``rides`` has ``line, from_stop, to_stop, seconds``; ``headway`` has ``line, headway_sec`` (null: unreadable; absent: no
+    service, and the line can't be boarded); ``transfers`` has ``from_stop, to_stop, seconds``; ``changes`` has ``stop,
+    change_sec`` (null or absent: unpriced). Boarding costs half the headway, and the stop's change time too if one has just left
+    another vehicle there; who came on foot has paid by walking. Leaving costs a tenth of a second, because steps must take time.
     """
-    on = lambda stop: F.concat_ws("|", F.col(stop).cast("string"), F.col("line").cast("string"))
-    foot = lambda stop: F.col(stop).cast("string")
+    text = lambda *parts: F.concat(*(p if isinstance(p, Column) else F.lit(p) for p in parts))
+    n, line = F.col("n").cast("string"), F.col("line").cast("string")
+    foot = lambda stop, n=n: text(F.col(stop).cast("string"), "#", n)
+    on = lambda stop, n=n: text(F.col(stop).cast("string"), "|", line, "#", n)
+    off = lambda stop: text(F.col(stop).cast("string"), "!", n)
+    counts = lambda df, least, most: df.withColumn("n", F.explode(F.sequence(F.lit(least), F.lit(most))))
     stops = rides.select("line", F.col("from_stop").alias("stop")).union(rides.select("line", "to_stop")).distinct()
-    served = stops.join(headway, "line")
+    served = stops.join(headway, "line").join(changes.select("stop", "change_sec"), "stop", "left")
     wait = F.greatest(F.lit(0.1), F.coalesce(F.col("headway_sec") / 2.0, F.lit(0.0)))
+    change = wait + F.coalesce(F.col("change_sec").cast("double"), F.lit(0.0))
+    more = (F.col("n") + 1).cast("string")
+    seconds = F.col("seconds").cast("double")
     parts = [
-        rides.select(on("from_stop").alias("from_id"), on("to_stop").alias("to_id"), F.col("seconds").cast("double").alias("seconds")),
-        served.select(foot("stop").alias("from_id"), on("stop").alias("to_id"), wait.alias("seconds")),
-        stops.select(on("stop").alias("from_id"), foot("stop").alias("to_id"), F.lit(0.1).alias("seconds")),
-        transfers.select(foot("from_stop").alias("from_id"), foot("to_stop").alias("to_id"), F.col("seconds").cast("double").alias("seconds")),
+        counts(rides, 1, boardings).select(on("from_stop").alias("from_id"), on("to_stop").alias("to_id"), seconds.alias("seconds")),
+        counts(stops, 1, boardings).select(on("stop"), off("stop"), F.lit(0.1)),
+        counts(served, 0, boardings - 1).select(foot("stop"), on("stop", more), wait),
+        counts(transfers, 0, boardings).select(foot("from_stop"), foot("to_stop"), seconds),
+        counts(transfers, 1, boardings).select(off("from_stop"), foot("to_stop"), seconds),
     ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
-    return out
+    if boardings > 1:
+        parts.append(counts(served, 1, boardings - 1).select(off("stop"), on("stop", more), change))
+    return reduce(DataFrame.union, parts)
 
 
 def tag_or_nearest(doors: DataFrame, stations: DataFrame, cap: float) -> DataFrame:

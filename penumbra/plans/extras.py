@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from penumbra.functions import lines
 from penumbra.operators import clean, graph, series, transit
+from penumbra.plans import networks
 from penumbra.plans.geometry import _haversine, _lat, _lon, _points, lat_of, lon_of
 from penumbra.plans.registry import register
 from penumbra.session import table
@@ -175,11 +176,20 @@ def url_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register()
 def transit_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Least seconds from one stop over lines with headways and walks, within 40 minutes."""
-    n = spark.range(40)
-    rides = n.select((F.col("id") % 4).alias("line"), F.col("id").alias("from_stop"), ((F.col("id") + 4) % 40).alias("to_stop"), (F.lit(90) + F.col("id") % 5 * 10).alias("seconds"))
-    headway = spark.range(3).select(F.col("id").alias("line"), F.when(F.col("id") != 2, F.lit(240) + F.col("id") * 60).alias("headway_sec"))
-    transfers = n.select(F.col("id").alias("from_stop"), ((F.col("id") + 1) % 40).alias("to_stop"), F.lit(120).alias("seconds"))
-    edges = transit.boarding_graph(rides, headway, transfers)
-    found = graph.shortest(edges, spark.range(1).select(F.lit("0").alias("source")), 2400.0)
-    return found.where(~F.col("node").contains("|")).select("node", F.round("seconds", 1).alias("seconds"))
+    """Least seconds from the starts over lines with headways, changes and walks, within 25 minutes and five boardings.
+
+    Every customer is a stop; lines call at every fourth one, twelve lines over forty keys each; every fifth stop prices changes.
+    """
+    stop, nation = F.col("c_custkey"), F.col("c_nationkey")
+    stops = table(spark, sf_dir, "customer").select(stop.alias("stop"), (stop % 4 + 4 * (F.floor(stop / 40) % 3)).alias("line"), nation.alias("nation"))
+    there = stops.select(F.col("stop").alias("to_stop"))
+    rides = stops.select("line", F.col("stop").alias("from_stop"), (F.col("stop") + 4).alias("to_stop"), (F.lit(90) + F.col("nation") % 5 * 10).alias("seconds"))
+    lines = stops.select("line").distinct().where("line % 4 <> 3")
+    headway = lines.select("line", F.when(F.col("line") % 4 != 2, F.lit(240) + F.col("line") * 20).alias("headway_sec"))
+    walks = stops.select(F.col("stop").alias("from_stop"), (F.col("stop") + 1).alias("to_stop"), F.lit(120).alias("seconds"))
+    changes = stops.select("stop", F.when(F.col("stop") % 5 == 0, 45).alias("change_sec"))
+    edges = transit.boarding_graph(rides.join(there, "to_stop"), headway, walks.join(there, "to_stop"), changes)
+    begin = networks.starts(spark, sf_dir).select(F.concat(F.col("source").cast("string"), F.lit("#0")).alias("source"))
+    found = graph.shortest(edges, begin, 1500.0).where(~F.col("node").contains("|"))
+    number = lambda c: F.regexp_extract(c, "^[0-9]+", 0).cast("long")
+    return found.groupBy(number("source").alias("source"), number("node").alias("node")).agg(F.round(F.min("seconds"), 1).alias("seconds"))

@@ -71,56 +71,81 @@ def reachable_within_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.reach(links, links.where("from_id % 20 = 0").select(F.col("from_id").alias("source")).distinct(), 4)
 
 
-def lattice(spark: SparkSession, side: int = 12) -> DataFrame:
-    """A street lattice: neighbouring crossings 60 m apart, shade and its series set by the node numbers."""
-    n = spark.range(side * side).select(F.col("id"), (F.col("id") % side).alias("x"), F.floor(F.col("id") / side).alias("y"))
-    right = n.where(F.col("x") < side - 1).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
-    down = n.where(F.col("y") < side - 1).select(F.col("id").alias("a"), (F.col("id") + side).alias("b"))
-    one = right.union(down)
-    both = one.union(one.select("b", "a")).toDF("from_id", "to_id")
-    k = F.least("from_id", "to_id") * 31 + F.greatest("from_id", "to_id") * 17
+#: Crossings in a row of the street network, and the step of the customers that searches start from.
+ROW, START_STEP = 40, 500
+
+
+def streets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A street network over all customers: each is a crossing, with streets both ways to the next key and to the one a row on.
+
+    Seconds, shade and its series follow from keys and nations.
+    """
+    crossings = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("nation"))
+    after = F.array_compact(F.array(F.when(F.col("id") % ROW != 0, F.col("id") + 1), F.col("id") + ROW))
+    one = crossings.select(F.col("id").alias("a"), F.col("nation").alias("na"), F.explode(after).alias("b"))
+    one = one.join(crossings.toDF("b", "nb"), "b")
+    k = F.col("a") * 31 + F.col("b") * 17 + F.col("na") + F.col("nb")
+    both = one.select(F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y")), F.struct(F.col("b").alias("x"), F.col("a").alias("y")))).alias("e"), k.alias("k"))
+    k = F.col("k")
     series = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: ((k + i * 29) % 11) / 10.0)
-    return both.select("from_id", "to_id", (F.lit(40.0) + k % 7).alias("seconds"), (k % 11 / 10.0).alias("shade"), series.alias("series"))
+    return both.select(
+        F.col("e.x").alias("from_id"), F.col("e.y").alias("to_id"), (F.lit(40.0) + k % 7).alias("seconds"), (k % 11 / 10.0).alias("shade"), series.alias("series")
+    )
+
+
+def starts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The searches' starts: every customer whose key leaves 1 by the step."""
+    return table(spark, sf_dir, "customer").where(F.col("c_custkey") % START_STEP == 1).select(F.col("c_custkey").alias("source"))
 
 
-_LATTICE = """n AS (SELECT id, id % 12 AS x, id // 12 AS y FROM range(144) t(id)),
-one AS (SELECT id AS a, id + 1 AS b FROM n WHERE x < 11 UNION ALL SELECT id, id + 12 FROM n WHERE y < 11),
-e AS (SELECT a, b, a * 31 + b * 17 AS k FROM one UNION ALL SELECT b, a, a * 31 + b * 17 FROM one)"""
+_STREETS = f"""n AS (SELECT c_custkey AS id, c_nationkey AS nation FROM customer),
+one AS (SELECT x.id AS a, y.id AS b, x.id * 31 + y.id * 17 + x.nation + y.nation AS k FROM n x JOIN n y ON y.id = x.id + 1 WHERE x.id % {ROW} <> 0
+  UNION ALL SELECT x.id, y.id, x.id * 31 + y.id * 17 + x.nation + y.nation FROM n x JOIN n y ON y.id = x.id + {ROW}),
+e AS (SELECT a, b, k FROM one UNION ALL SELECT b, a, k FROM one),
+s AS (SELECT id AS source FROM n WHERE id % {START_STEP} = 1)"""
 
 
 @register(f"""
-WITH RECURSIVE {_LATTICE},
-r AS (SELECT 0::BIGINT AS node, 0.0::DOUBLE AS sec UNION SELECT e.b, r.sec + 40.0 + e.k % 7 FROM r JOIN e ON e.a = r.node WHERE r.sec + 40.0 + e.k % 7 <= 420)
-SELECT 0::BIGINT AS source, node, min(sec) AS seconds FROM r GROUP BY node
+WITH RECURSIVE {_STREETS},
+r AS (SELECT source, source AS node, 0.0::DOUBLE AS sec FROM s UNION SELECT r.source, e.b, r.sec + 40.0 + e.k % 7 FROM r JOIN e ON e.a = r.node WHERE r.sec + 40.0 + e.k % 7 <= 420)
+SELECT source, node, min(sec) AS seconds FROM r GROUP BY source, node
 """)
 def shortest_path(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Least seconds from one corner of a lattice within seven minutes."""
-    start = spark.range(1).select(F.col("id").alias("source"))
-    return graph.shortest(lattice(spark), start, 420.0).select("source", "node", "seconds")
+    """Least seconds from the starts to every crossing within seven minutes."""
+    return graph.shortest(streets(spark, sf_dir), starts(spark, sf_dir), 420.0).select("source", "node", "seconds")
 
 
 @register(f"""
-WITH RECURSIVE {_LATTICE},
-r AS (SELECT 0::BIGINT AS node, 0.0::DOUBLE AS sec, 0.0::DOUBLE AS sun UNION SELECT e.b, r.sec + 40 + e.k % 7, round(r.sun + (40 + e.k % 7) * (1 - (e.k % 11) / 10.0::DOUBLE), 6)
+WITH RECURSIVE {_STREETS},
+r AS (SELECT source, source AS node, 0.0::DOUBLE AS sec, 0.0::DOUBLE AS sun FROM s
+  UNION SELECT r.source, e.b, r.sec + 40 + e.k % 7, round(r.sun + (40 + e.k % 7) * (1 - (e.k % 11) / 10.0::DOUBLE), 6)
   FROM r JOIN e ON e.a = r.node WHERE r.sec + 40 + e.k % 7 <= 300)
-SELECT DISTINCT 0::BIGINT AS source, node, sec AS seconds, round(sun, 4) AS sun FROM r a
-WHERE NOT EXISTS (SELECT 1 FROM r b WHERE b.node = a.node AND b.sec <= a.sec AND b.sun <= a.sun + 1e-7 AND (b.sec < a.sec OR b.sun < a.sun - 1e-7))
+SELECT DISTINCT source, node, sec AS seconds, round(sun, 4) AS sun FROM r a
+WHERE NOT EXISTS (SELECT 1 FROM r b WHERE b.source = a.source AND b.node = a.node AND b.sec <= a.sec AND b.sun <= a.sun + 1e-7 AND (b.sec < a.sec OR b.sun < a.sun - 1e-7))
 """)
 def pareto_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Non-dominated pairs of time and sun of every crossing within five minutes."""
-    start = spark.range(1).select(F.col("id").alias("source"))
-    labels = graph.label_search(lattice(spark), start, 300.0)
+    """Non-dominated pairs of time and sun from the starts to every crossing within five minutes."""
+    labels = graph.label_search(streets(spark, sf_dir), starts(spark, sf_dir), 300.0)
     return labels.select("source", "node", "seconds", F.round("sun", 4).alias("sun"))
 
 
 @register()
 def sun_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edges reachable within six minutes and 150 seconds of sun, with shade by two-minute bucket."""
-    edges, start = lattice(spark), spark.range(1).select(F.col("id").alias("source"))
-    labels = graph.label_search(edges, start, 360.0, sun_budget=150.0, bucket_seconds=120.0)
+    """Streets reachable from the starts within six minutes and 150 seconds of sun, with shade by two-minute bucket."""
+    edges = streets(spark, sf_dir)
+    labels = graph.label_search(edges, starts(spark, sf_dir), 360.0, sun_budget=150.0, bucket_seconds=120.0)
     return graph.reachable_edges(labels, edges, 360.0, 150.0, bucket_seconds=120.0)
 
 
+@register()
+def discounted_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Least shade-discounted cost from the starts within a cost of 150: strength 0.8, full sun, five a crossing."""
+    cost = graph.discounted(F.col("seconds"), F.lit(0.8), F.col("shade"), F.lit(1.0), F.lit(5.0))
+    edges = streets(spark, sf_dir).withColumn("seconds", cost)
+    found = graph.shortest(edges, starts(spark, sf_dir), 150.0)
+    return found.select("source", "node", F.round("seconds", 6).alias("cost"))
+
+
 @register("""
 WITH e AS (SELECT l_orderkey AS from_id, l_partkey AS to_id, l_linenumber, l_suppkey, l_discount AS l, l_tax AS r FROM lineitem)
 SELECT from_id, to_id, l_linenumber, l_suppkey, CASE WHEN from_id <= to_id THEN 'left' ELSE 'right' END AS side, l AS shade FROM e

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import heapq
 from collections import defaultdict, deque
 
 import pytest
 from support import DATA, same_rows
 
+from penumbra.operators import graph, transit
 from penumbra.plans import catalogue
 
 
@@ -55,30 +57,15 @@ def _lattice():
     return edges
 
 
-def test_sun_reach_against_all_walks(spark):
-    """Every walk within the budgets, state by state, with exact sun per arrival."""
-    out = defaultdict(list)
-    for a, b, s, series in _lattice():
-        out[a].append((b, s, series))
-    seen, queue, reached = {(0, 0, 0.0)}, deque([(0, 0, 0.0)]), set()
-    while queue:
-        node, t, sun = queue.popleft()
-        for b, s, series in out[node]:
-            at = t + s
-            shade = series[min(int(at // 120), 3)]
-            static = ((min(node, b) * 31 + max(node, b) * 17) % 11) / 10
-            if at <= 360 and sun + s * (1 - static) <= 150 + 1e-9:
-                reached.add((node, b))
-            total = round(sun + s * (1 - shade), 9)
-            if at <= 360 and total <= 150 and (b, at, total) not in seen:
-                seen.add((b, at, total))
-                queue.append((b, at, total))
-    found = {(r.from_id, r.to_id) for r in catalogue.QUERIES["sun_reach"](spark, DATA).collect()}
-    assert found == reached
+def _reached_on_lattice(spark):
+    rows = [(a, b, float(s), series[0], series) for a, b, s, series in _lattice()]
+    edges = spark.createDataFrame(rows, "from_id long, to_id long, seconds double, shade double, series array<double>")
+    labels = graph.label_search(edges, spark.range(1).toDF("source"), 360.0, sun_budget=150.0, bucket_seconds=120.0)
+    return {(r.from_id, r.to_id) for r in graph.reachable_edges(labels, edges, 360.0, 150.0, bucket_seconds=120.0).collect()}
 
 
 def test_sun_reach_prices_every_edge_at_its_arrival(spark):
-    """As above, but the last edge too has the shade of the time at which its end is reached."""
+    """Every walk within the budgets, state by state; the last edge too has the shade of the time at which its end is reached."""
     out = defaultdict(list)
     for a, b, s, series in _lattice():
         out[a].append((b, s, series))
@@ -94,8 +81,7 @@ def test_sun_reach_prices_every_edge_at_its_arrival(spark):
             if (b, at, total) not in seen:
                 seen.add((b, at, total))
                 queue.append((b, at, total))
-    found = {(r.from_id, r.to_id) for r in catalogue.QUERIES["sun_reach"](spark, DATA).collect()}
-    assert found == reached
+    assert _reached_on_lattice(spark) == reached
 
 
 def test_edge_shade_between_zero_and_one(spark):
@@ -103,27 +89,106 @@ def test_edge_shade_between_zero_and_one(spark):
     assert rows and all(0 <= r.shade <= 1 for r in rows)
 
 
-def test_transit_search_against_dijkstra(spark):
-    import heapq
-
+def _streets(duck):
+    nation = dict(duck.execute("SELECT c_custkey, c_nationkey FROM customer").fetchall())
     out = defaultdict(list)
-    for i in range(40):
-        line, to = i % 4, (i + 4) % 40
-        out[f"{i}|{line}"].append((f"{to}|{line}", 90 + i % 5 * 10))
-        out[str(i)].append((str((i + 1) % 40), 120))
-    headway = {0: 240, 1: 300, 2: None}  # line 3 has no service
-    for stop in range(40):
-        line = stop % 4
-        out[f"{stop}|{line}"].append((str(stop), 0.1))
-        if line in headway:
-            out[str(stop)].append((f"{stop}|{line}", max(0.1, (headway[line] or 0) / 2)))
-    best, queue = {}, [(0.0, "0")]
+    for a in nation:
+        for b in ([a + 1] if a % 40 else []) + [a + 40]:
+            if b in nation:
+                k = a * 31 + b * 17 + nation[a] + nation[b]
+                series = [((k + s * 29) % 11) / 10 for s in range(4)]
+                out[a].append((b, 40 + k % 7, series))
+                out[b].append((a, 40 + k % 7, series))
+    return out, [a for a in nation if a % 500 == 1]
+
+
+def test_sun_reach_on_streets_against_all_walks(spark, duck):
+    out, starts = _streets(duck)
+    reached = set()
+    for start in starts:
+        seen, queue = {(start, 0, 0.0)}, deque([(start, 0, 0.0)])
+        while queue:
+            node, t, sun = queue.popleft()
+            for b, s, series in out[node]:
+                at = t + s
+                total = round(sun + s * (1 - series[min(int(at // 120), 3)]), 9)
+                if at <= 360 and total <= 150:
+                    reached.add((start, node, b))
+                    if (b, at, total) not in seen:
+                        seen.add((b, at, total))
+                        queue.append((b, at, total))
+    found = {(r.source, r.from_id, r.to_id) for r in catalogue.QUERIES["sun_reach"](spark, DATA).collect()}
+    assert found == reached
+
+
+def _dijkstra(out, start, budget):
+    best, queue = {}, [(0.0, start)]
     while queue:
         t, node = heapq.heappop(queue)
-        if node in best or t > 2400:
+        if node in best or t > budget:
             continue
         best[node] = t
-        for to, s in out[node]:
+        for to, s in out(node):
             heapq.heappush(queue, (t + s, to))
-    found = {r.node: r.seconds for r in catalogue.QUERIES["transit_search"](spark, DATA).collect()}
-    assert found == {n: round(t, 1) for n, t in best.items() if "|" not in n}
+    return best
+
+
+def test_discounted_path_against_dijkstra(spark, duck):
+    out, starts = _streets(duck)
+    steps = lambda node: [(b, s * (1 - 0.8 * series[0] * 0.7) + 5) for b, s, series in out[node]]
+    expected = {(s, n): round(c, 6) for s in starts for n, c in _dijkstra(steps, s, 150.0).items()}
+    found = {(r.source, r.node): r.cost for r in catalogue.QUERIES["discounted_path"](spark, DATA).collect()}
+    assert found == pytest.approx(expected) and len(expected) > 10
+
+
+def test_transit_search_against_dijkstra(spark, duck):
+    """States (stop, arrived on, boardings), as a rider would expand them."""
+    nation = dict(duck.execute("SELECT c_custkey, c_nationkey FROM customer").fetchall())
+    line_of = lambda a: a % 4 + 4 * (a // 40 % 3)
+    rides, lines_at = defaultdict(list), defaultdict(set)
+    for a in nation:
+        if a + 4 in nation:
+            rides[a, line_of(a)].append((a + 4, 90 + nation[a] % 5 * 10))
+            lines_at[a].add(line_of(a))
+            lines_at[a + 4].add(line_of(a))
+
+    def steps(state):
+        stop, by, n = state
+        if by >= 0:
+            for to, s in rides[stop, by]:
+                yield (to, by, n), s
+            yield (stop, -2, n), 0.1
+            return
+        for line in lines_at[stop]:
+            if line % 4 != 3 and n < 5:
+                wait = 0.1 if line % 4 == 2 else (240 + line * 20) / 2
+                yield (stop, line, n + 1), wait + (45 if by == -2 and stop % 5 == 0 else 0)
+        if stop + 1 in nation:
+            yield (stop + 1, -1, n), 120
+
+    expected = {}
+    for start in (a for a in nation if a % 500 == 1):
+        for (stop, by, _), t in _dijkstra(steps, (start, -1, 0), 1500.0).items():
+            if by < 0:
+                expected[start, stop] = min(t, expected.get((start, stop), t))
+    found = {(r.source, r.node): r.seconds for r in catalogue.QUERIES["transit_search"](spark, DATA).collect()}
+    assert found == pytest.approx({k: round(t, 1) for k, t in expected.items()}) and len(found) > 10
+
+
+def test_boardings_are_limited_and_changes_priced(spark):
+    rides = spark.createDataFrame([("a", 1, 2, 60), ("b", 2, 3, 60), ("c", 3, 4, 60)], "line string, from_stop int, to_stop int, seconds int")
+    headway = spark.createDataFrame([("a", 100), ("b", None), ("c", 60)], "line string, headway_sec int")
+    none = spark.createDataFrame([], "from_stop int, to_stop int, seconds int")
+    changes = spark.createDataFrame([(2, 30), (3, None)], "stop int, change_sec int")
+    start = spark.createDataFrame([("1#0",)], "source string")
+
+    def found(boardings):
+        edges = transit.boarding_graph(rides, headway, none, changes, boardings)
+        best = {}
+        for r in graph.shortest(edges, start, 1000.0).where("node like '%!%'").collect():
+            stop = int(r.node.split("!")[0])
+            best[stop] = min(round(r.seconds, 1), best.get(stop, 1000.0))
+        return best
+
+    assert found(2) == {1: 50.1, 2: 110.1, 3: 200.3}
+    assert found(3) == {1: 50.1, 2: 110.1, 3: 200.3, 4: 290.4}
