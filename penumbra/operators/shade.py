@@ -62,8 +62,14 @@ def prism_shade(points: DataFrame, prisms: DataFrame, azimuth: float, altitude:
     reach = F.col("height") / math.tan(math.radians(altitude))
     ux, uy = math.sin(math.radians(azimuth)), math.cos(math.radians(azimuth))
     xs, ys = F.col("ring.x"), F.col("ring.y")
+    along = F.transform("ring", lambda p: p["x"] * ux + p["y"] * uy)
+    beside = F.transform("ring", lambda p: p["x"] * uy - p["y"] * ux)
     boxed = prisms.select(
         "ring",
+        (F.array_min(along) - 1e-6).alias("ahead0"),
+        (F.array_max(along) + 1e-6).alias("ahead1"),
+        (F.array_min(beside) - 1e-6).alias("aside0"),
+        (F.array_max(beside) + 1e-6).alias("aside1"),
         F.coalesce("opacity", F.lit(1.0)).alias("opacity"),
         reach.alias("reach"),
         *[
@@ -76,8 +82,11 @@ def prism_shade(points: DataFrame, prisms: DataFrame, azimuth: float, altitude:
     boxed = boxed.withColumn("_cy", F.explode(F.sequence(geo.grid_cell(F.col("y0"), cell), geo.grid_cell(F.col("y1"), cell))))
     probes = points.withColumn("_cx", geo.grid_cell(F.col("x"), cell)).withColumn("_cy", geo.grid_cell(F.col("y"), cell))
     px, py, ring = F.col("x"), F.col("y"), F.col("ring")
+    ahead, aside = px * ux + py * uy, px * uy - py * ux
+    # The strip's own box first: cheap, and false for most pairs of a cell.
+    near = (aside >= F.col("aside0")) & (aside <= F.col("aside1")) & (ahead <= F.col("ahead1")) & (ahead + F.col("reach") >= F.col("ahead0"))
     hit = ~geo.point_in_ring(px, py, ring) & _meets(px, py, px + F.col("reach") * ux, py + F.col("reach") * uy, ring)
-    shaded = probes.join(boxed, ["_cx", "_cy"]).where(hit).groupBy(*point_keys).agg(F.max("opacity").alias("shade"))
+    shaded = probes.join(boxed, ["_cx", "_cy"]).where(near & hit).groupBy(*point_keys).agg(F.max("opacity").alias("shade"))
     return points.select(*point_keys).join(shaded, point_keys, "left").select(*point_keys, F.coalesce("shade", F.lit(0.0)).alias("shade"))
 
 

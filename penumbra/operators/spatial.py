@@ -6,8 +6,6 @@ every join is an equality join on cells followed by the exact test.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,28 +19,28 @@ def _cells(df: DataFrame, x0: Column, x1: Column, y0: Column, y1: Column, size:
     )
 
 
-def radius_join(left: DataFrame, right: DataFrame, metres: float, highest_lat: float = 75.0) -> DataFrame:
+def _on_sphere(lon: Column, lat: Column) -> list[Column]:
+    """A point's place in space, in metres from the earth's middle."""
+    r, phi, lam = F.lit(geo.EARTH_RADIUS_M), F.radians(lat), F.radians(lon)
+    return [r * F.cos(phi) * F.cos(lam), r * F.cos(phi) * F.sin(lam), r * F.sin(phi)]
+
+
+def radius_join(left: DataFrame, right: DataFrame, metres: float) -> DataFrame:
     """All pairs of points at most ``metres`` apart, with ``metres``.
 
-    Both sides have ``lon`` and ``lat`` and otherwise distinct columns; the right side's become
-    ``right_lon`` and ``right_lat``. ``highest_lat`` bounds the latitudes, for the cell's width.
+    Both sides have ``lon`` and ``lat`` and otherwise distinct columns; the right side's become ``right_lon`` and ``right_lat``.
+    Cells are cubes in space of twice the distance, so poles and the date line need no care: a right point is repeated for the
+    cubes, eight at most, that its surroundings meet.
     """
-
-    dlat = metres / geo.METRES_PER_DEGREE * 1.01
-    dlon = dlat / math.cos(math.radians(highest_lat))
-    one = left.withColumn("_cx", geo.grid_cell(F.col("lon"), dlon)).withColumn("_cy", geo.grid_cell(F.col("lat"), dlat))
-    near = F.sequence(F.lit(-1), F.lit(1))
-    two = (
-        right.withColumnRenamed("lon", "right_lon")
-        .withColumnRenamed("lat", "right_lat")
-        .withColumn("_dx", F.explode(near))
-        .withColumn("_dy", F.explode(near))
-        .withColumn("_cx", geo.grid_cell(F.col("right_lon"), dlon) + F.col("_dx"))
-        .withColumn("_cy", geo.grid_cell(F.col("right_lat"), dlat) + F.col("_dy"))
-        .drop("_dx", "_dy")
-    )
+    reach = metres * 1.01 + 1e-3
+    size = reach * 2
+    names = ["_cx", "_cy", "_cz"]
+    one = left.select("*", *(geo.grid_cell(v, size).alias(n) for v, n in zip(_on_sphere(F.col("lon"), F.col("lat")), names, strict=True)))
+    two = right.withColumnRenamed("lon", "right_lon").withColumnRenamed("lat", "right_lat")
+    for v, n in zip(_on_sphere(F.col("right_lon"), F.col("right_lat")), names, strict=True):
+        two = two.withColumn(n, F.explode(F.sequence(geo.grid_cell(v - reach, size), geo.grid_cell(v + reach, size))))
     away = geo.haversine(F.col("lon"), F.col("lat"), F.col("right_lon"), F.col("right_lat"))
-    return one.join(two, ["_cx", "_cy"]).drop("_cx", "_cy").withColumn("metres", away).where(F.col("metres") <= metres)
+    return one.join(two, names).drop(*names).withColumn("metres", away).where(F.col("metres") <= metres)
 
 
 def nearest_join(left: DataFrame, right: DataFrame, left_id: str, right_id: str, metres: float) -> DataFrame:

@@ -81,7 +81,7 @@ def streets(spark: SparkSession, sf_dir: str) -> DataFrame:
     Seconds, shade and its series follow from keys and nations.
     """
     crossings = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("nation"))
-    after = F.array_compact(F.array(F.when(F.col("id") % ROW != 0, F.col("id") + 1), F.col("id") + ROW))
+    after = F.array_compact(F.array(F.when(F.col("id") % ROW != ROW - 1, F.col("id") + 1), F.col("id") + ROW))
     one = crossings.select(F.col("id").alias("a"), F.col("nation").alias("na"), F.explode(after).alias("b"))
     one = one.join(crossings.toDF("b", "nb"), "b")
     k = F.col("a") * 31 + F.col("b") * 17 + F.col("na") + F.col("nb")
@@ -99,7 +99,7 @@ def starts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _STREETS = f"""n AS (SELECT c_custkey AS id, c_nationkey AS nation FROM customer),
-one AS (SELECT x.id AS a, y.id AS b, x.id * 31 + y.id * 17 + x.nation + y.nation AS k FROM n x JOIN n y ON y.id = x.id + 1 WHERE x.id % {ROW} <> 0
+one AS (SELECT x.id AS a, y.id AS b, x.id * 31 + y.id * 17 + x.nation + y.nation AS k FROM n x JOIN n y ON y.id = x.id + 1 WHERE x.id % {ROW} <> {ROW - 1}
   UNION ALL SELECT x.id, y.id, x.id * 31 + y.id * 17 + x.nation + y.nation FROM n x JOIN n y ON y.id = x.id + {ROW}),
 e AS (SELECT a, b, k FROM one UNION ALL SELECT b, a, k FROM one),
 s AS (SELECT id AS source FROM n WHERE id % {START_STEP} = 1)"""

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from penumbra.functions import clock, exposure, geo
-from penumbra.operators import clean, graph, preference, sequences, shade, spatial, stats, temporal, topk, transit
+from penumbra.operators import clean, graph, preference, sequences, shade, snap, spatial, stats, temporal, topk, transit
 from penumbra.sources import exports, gtfs
 from penumbra.streaming import stateful
 
@@ -310,3 +310,37 @@ def test_places_in_a_hot_and_a_null_key(spark):
     for key in (None, "hot", "b"):
         mine = sorted((r.v, r.place, r["size"]) for r in found if r.k == key)
         assert [m[1] for m in mine] == list(range(len(mine))) and {m[2] for m in mine} == {len(mine)}
+
+
+def test_stops_move_to_the_largest_component(spark):
+    lat = lambda metres: metres / 111320.0
+    # Components {1, 2, 3}, 60 m north {4, 5}, and 900 m north {6, 7}; all edges run east along about 85 m.
+    rows = [(1, 1, 2, 0.0, 0.0), (2, 2, 3, 0.001, 0.0), (3, 4, 5, 0.0, lat(60)), (4, 6, 7, 0.0, lat(900))]
+    edges = spark.createDataFrame([(e, a, b, x, y, x + 0.001, y) for e, a, b, x, y in rows], "edge_id long, from_id long, to_id long, from_lon double, from_lat double, to_lon double, to_lat double")
+    stops = [(1, 1, 0.0015, lat(5)), (1, 2, 0.0005, lat(50)), (1, 3, 0.0005, lat(890)), (1, 4, 0.5, 0.5), (2, 1, 0.0005, lat(50)), (2, 2, 0.0, lat(900)), (3, 1, None, 0.0)]
+    found = snap.snap_stops(spark.createDataFrame(stops, "route long, at long, lon double, lat double"), edges, "route", "at").collect()
+    got = {(r.route, r.at): (r.edge_id, r.status) for r in found}
+    assert got == {
+        (1, 1): (2, "kept"), (1, 2): (1, "moved"), (1, 3): (None, "too_far"), (1, 4): (None, "no_street"),
+        (2, 1): (None, "too_far"), (2, 2): (4, "kept"), (3, 1): (None, "no_street"),
+    }
+    empty = snap.snap_stops(spark.createDataFrame([], "route long, at long, lon double, lat double"), edges, "route", "at")
+    assert empty.count() == 0
+
+
+def test_split_edges_share_the_length(spark):
+    edges = spark.createDataFrame([(7, 1, 2, 0.0, 0.0, 0.001, 0.0, "brick")], "edge_id long, from_id long, to_id long, from_lon double, from_lat double, to_lon double, to_lat double, surface string")
+    points = spark.createDataFrame([(0, 0.00025, 0.0001), (1, -0.0001, 0.0)], "p long, lon double, lat double")
+    snaps = snap.nearest_edge(points, edges, "p", 100.0)
+    assert {r.p: r.node for r in snaps.select("p", snap.snapped_node("p").alias("node")).collect()} == {0: -1, 1: 1}
+    made = {(r.from_id, r.to_id): r for r in snap.split_edges(snaps, edges, "p").collect()}
+    assert set(made) == {(-1, 1), (-1, 2), (1, -1), (2, -1)} and made[-1, 1].surface == "brick"
+    assert abs(made[-1, 2].metres / made[-1, 1].metres - 3) < 1e-6
+
+
+def test_radius_join_at_poles_and_date_line(spark):
+    a = spark.createDataFrame([(1, 179.9999, 0.0), (2, 10.0, 89.9999), (3, None, 0.0), (4, 0.0, 80.0)], "a long, lon double, lat double")
+    b = spark.createDataFrame([(1, -179.9999, 0.0), (2, -170.0, 89.9999), (4, 0.004, 80.0), (5, 1.0, 80.0)], "b long, lon double, lat double")
+    assert {(r.a, r.b) for r in spatial.radius_join(a, b, 100.0).collect()} == {(1, 1), (2, 2), (4, 4)}
+    far = snap.nearest_any(a, b.where("b = 5"), "a", "b", 100.0).collect()
+    assert {(r.a, r.b) for r in far} == {(1, 5), (2, 5), (4, 5)}

@@ -93,7 +93,7 @@ def _streets(duck):
     nation = dict(duck.execute("SELECT c_custkey, c_nationkey FROM customer").fetchall())
     out = defaultdict(list)
     for a in nation:
-        for b in ([a + 1] if a % 40 else []) + [a + 40]:
+        for b in ([a + 1] if a % 40 != 39 else []) + [a + 40]:
             if b in nation:
                 k = a * 31 + b * 17 + nation[a] + nation[b]
                 series = [((k + s * 29) % 11) / 10 for s in range(4)]
