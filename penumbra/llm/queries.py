@@ -8,8 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from penumbra.llm import bpe, packing, sharding, token_files, toxicity
+from penumbra.llm import bpe, filter_audit, packing, sharding, token_files, toxicity, url_filters
 from penumbra.llm.exact_dedup import exact_duplicates
+from penumbra.llm.hard_negatives import hard_negatives
 from penumbra.llm.language_model import score_documents
 from penumbra.llm.near_dedup import near_duplicates
 from penumbra.llm.personal_data import KINDS, find_personal_data, span_list
@@ -90,10 +91,35 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Log-probabilities of all documents under the bigram automaton and under its root."""
+    """Log-probabilities of all documents under the trigram automaton and under its root."""
     return score_documents(_documents(spark, sf_dir))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every fiftieth embedding, the labels of every seventh moved on by one."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 50 == 0, label)
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five text filters remove from each source of all documents in every order."""
+    return filter_audit.filter_audit(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+#: Rules of the registered query.
+HOST_RULES = [
+    url_filters.HostRule("block", "net", "/"),
+    url_filters.HostRule("allow", "example.net", "/en/"),
+    url_filters.HostRule("block", "example.com", "/de/"),
+    url_filters.HostRule("allow", "org", "/fr/"),
+]
+
+
+def op13_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts on the URLs of all pages."""
+    return url_filters.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"), HOST_RULES)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_topk_search": op1_topk_search,
     "op2_sharding": op2_sharding,
@@ -105,6 +131,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_pii": op9_pii,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
     "op10_lm_scoring": op10_lm_scoring,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_url_filters": op13_url_filters,
 }
 
 WORDS_SQL = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
@@ -123,7 +152,67 @@ def _feistel_sql(source: str, seed: int) -> str:
     return f"SELECT * EXCLUDE (l, r), l * b + r AS p FROM ({sql})"
 
 
+def _words_sql() -> str:
+    """The smallest word rule that fits address ``a``, in SQL."""
+    any_run = "[A-Za-z0-9]*"
+    one = [f"CASE WHEN regexp_matches(a, '(?i)(?:^|[^A-Za-z0-9]){w.words.replace('*', any_run)}(?:$|[^A-Za-z0-9])') THEN '{w.words}' END" for w in url_filters.BLOCKED_WORDS]
+    return f"list_min([{', '.join(one)}])"
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op11_hard_negatives": """
+WITH ok AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pairs AS (
+  SELECT q.vec_id AS anchor_id, c.vec_id, q.label = c.label AS same, list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::BIGINT AS score
+  FROM ok q JOIN ok c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+positives AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS positive_rank
+  FROM pairs WHERE same QUALIFY positive_rank <= 5)
+SELECT anchor_id, positive_id, row_number() OVER w::INTEGER AS rank, vec_id AS negative_id, positive_score, score AS negative_score, positive_rank::INTEGER AS positive_rank
+FROM positives JOIN (SELECT * FROM pairs WHERE NOT same) USING (anchor_id)
+WHERE 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 3
+""",
+    "op12_filter_audit": r"""
+WITH words AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+fails AS (
+  SELECT doc_id, part, [len(w) < 50, 100 * len(list_distinct(w)) < 65 * len(w), 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t),
+    regexp_matches(t, '[#$%&*|]'), doc_id > min(doc_id) OVER (PARTITION BY t)] AS f FROM words),
+flagged AS (SELECT fails.*, coalesce(quality = 1, false) AS good, coalesce(toxic = 1, false) AS bad FROM fails LEFT JOIN labels USING (doc_id)),
+cells AS (SELECT part, f, count(*) AS n, count(*) FILTER (good) AS g, count(*) FILTER (bad) AS x FROM flagged GROUP BY 1, 2),
+one AS (SELECT unnest([1, 2, 3, 4, 5]) AS i),
+orders AS (
+  SELECT [a.i, b.i, c.i, d.i, e.i] AS o FROM one a, one b, one c, one d, one e WHERE len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5),
+steps AS (
+  SELECT array_to_string(list_transform(o, lambda i: substr('ABCDE', i, 1)), '') AS filter_order, s.i AS step, o[s.i] AS own, o[1:s.i - 1] AS before FROM orders, one s),
+met AS (
+  SELECT part, filter_order, step, own, n, g, x, f[own] AS hit, len(list_filter(before, lambda i: f[i])) > 0 AS gone, len(list_filter(f, lambda y: y)) = 1 AS lone
+  FROM cells, steps),
+told AS (
+  SELECT part, filter_order, step, own, sum(CASE WHEN NOT gone AND NOT hit THEN n ELSE 0 END) AS kept, sum(CASE WHEN NOT gone AND hit THEN n ELSE 0 END) AS removed,
+    sum(CASE WHEN gone AND hit THEN n ELSE 0 END) AS redundant, sum(CASE WHEN hit AND lone THEN n ELSE 0 END) AS unique_fails,
+    sum(CASE WHEN NOT gone AND hit THEN g ELSE 0 END) AS good_lost, sum(CASE WHEN NOT gone AND hit THEN x ELSE 0 END) AS toxic_lost
+  FROM met GROUP BY 1, 2, 3, 4)
+SELECT part, filter_order, step::INTEGER AS step, substr('ABCDE', own, 1) AS filter, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant,
+  unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost, (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley
+FROM told
+""",
+    "op13_url_filters": rf"""
+WITH parts AS (
+  SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+split AS (
+  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    substr(regexp_extract(rest, '^[^?#]*'), length(regexp_extract(rest, '^[^/?#]*')) + 1) AS path FROM parts),
+rules AS (SELECT * FROM (VALUES ('block', 'net', '/'), ('allow', 'example.net', '/en/'), ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/')) r(v, h, p)),
+judged AS (
+  SELECT page_id, host, path, {_words_sql()} AS word,
+    (SELECT arg_max(struct_pack(n := h || p, v := v), length(h || p)) FROM rules WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)) AS r
+  FROM (SELECT *, host || path AS a FROM split))
+SELECT page_id, host, path, r.n AS rule, coalesce(r.v, CASE WHEN word IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict, word FROM judged
+""",
     "op7_minhash_near_dedup": f"""
 WITH RECURSIVE words AS (SELECT doc_id, {WORDS_SQL} AS w FROM documents),
 shingles AS (
