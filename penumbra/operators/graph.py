@@ -1,8 +1,7 @@
-"""Street graphs: build, components, reach, and multi-criteria label search, as joins in rounds.
+"""Street graphs: build, components, reach, and the plain forms of the searches, as joins in rounds.
 
-A search never gathers the graph in one task: each round joins the labels found last with the edges
-that leave their nodes, prunes what is dominated, and goes on until no label is new. Rounds are
-written to the checkpoint folder.
+Nothing gathers the graph in one task: each round joins what was found last with the edges that leave its
+nodes, and goes on until nothing is new. Rounds are written to the checkpoint folder.
 """
 
 from __future__ import annotations
@@ -11,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from penumbra.functions import geo
+from penumbra.operators import search
 from penumbra.session import cut
 
 
@@ -74,91 +74,19 @@ def reach(edges: DataFrame, starts: DataFrame, steps: int) -> DataFrame:
     return seen
 
 
-def shade_at(seconds: Column, series: Column, static: Column, bucket_seconds: float) -> Column:
-    """Shade on arrival: of the bucket the time falls into, the last one after the series' end; without a series the static value."""
-    place = F.least(F.floor(seconds / bucket_seconds), F.size(series) - 1).cast("int") + 1
-    return F.when(series.isNotNull() & (F.size(series) > 0), F.element_at(series, F.greatest(place, F.lit(1)))).otherwise(static)
-
-
-def _bucket_slack(edges: DataFrame, time_budget: float, bucket_seconds: float) -> list[tuple[float, float]]:
-    """``(jump, frac)`` of every bucket up to the last one that series tell apart: what a label that is ``d`` seconds earlier
-    than another of its bucket can pay more on any way on is at most ``jump + d * frac``.
-
-    The earlier label may end edges before a bucket's boundary that the later one ends after it: one that began before, at the
-    edges' largest extra price, and others within ``d`` seconds, at the largest extra share of time. Boundaries add up.
-    """
-    longest = edges.agg(F.max(F.size("series"))).first()[0] or 0
-    last = max(longest - 1, 0)
-    crossed = min(last, int(time_budget // bucket_seconds))
-    jump, frac = [0.0] * (last + 1), [0.0] * (last + 1)
-    if crossed:
-        k = F.explode(F.sequence(F.lit(1), F.lit(crossed))).alias("k")
-        shade = lambda b: shade_at((b + 0.5) * bucket_seconds, F.col("series"), F.col("shade"), bucket_seconds)
-        extra = edges.select("step", "shade", "series", k).select("k", "step", (shade(F.col("k")) - shade(F.col("k") - 1)).alias("extra"))
-        for r in extra.where("extra > 0").groupBy("k").agg(F.max(F.col("extra") * F.col("step")).alias("jump"), F.max("extra").alias("frac")).collect():
-            jump[r["k"]], frac[r["k"]] = r["jump"], r["frac"]
-    # The small amount keeps labels that rounding alone would drop.
-    return [(sum(jump[b + 1 :]) + (1e-9 if any(jump[b + 1 :]) else 0.0), sum(frac[b + 1 :])) for b in range(last + 1)]
-
-
 def label_search(
-    edges: DataFrame, starts: DataFrame, time_budget: float, sun_budget: float | None = None, bucket_seconds: float | None = None, rounds: int = 500
+    edges: DataFrame, starts: DataFrame, time_budget: float, sun_budget: float | None = None, bucket_seconds: float | None = None, rounds: int = 10_000
 ) -> DataFrame:
-    """All non-dominated ``(seconds, sun)`` labels of every node within the budgets, with their paths.
-
-    ``edges`` has ``from_id, to_id, seconds`` (positive), ``shade`` and, with ``bucket_seconds``, a
-    ``series`` of shade by bucket of the arrival time. Sun counts the unshaded seconds. A label is
-    dominated by one of the same node that is no later and no sunnier. With buckets it must arrive
-    in the same bucket, because another bucket may have another future, and be less sunny by what
-    an earlier label may pay more on the way on (``_bucket_slack``), unless both arrive at the same
-    time. The search is exact: there is no cap on labels.
-    """
-    series = F.col("series") if bucket_seconds else F.lit(None).cast("array<double>")
-    out = edges.select(F.col("from_id").alias("node"), F.col("to_id").alias("next"), F.col("seconds").alias("step"), "shade", series.alias("series"))
-    out = cut(out.where("step > 0"))
-    zero = F.lit(0.0)
-    labels = cut(
-        starts.select("source", F.col("source").alias("node"), zero.alias("seconds"), zero.alias("sun"), F.array("source").alias("path"), F.lit(True).alias("fresh"))
-    )
-    group = ["source", "node"] + (["bucket"] if bucket_seconds else [])
-    slack = _bucket_slack(out, time_budget, bucket_seconds) if bucket_seconds else [(0.0, 0.0)]
-    of_bucket = lambda i: F.element_at(F.array(*(F.lit(s[i]) for s in slack)), F.col("bucket") + 1)
-    jump, frac = of_bucket(0), of_bucket(1)
-    same_time = Window.partitionBy(*group, "seconds").orderBy("sun", "path")
-    earlier = Window.partitionBy(*group).orderBy("seconds").rowsBetween(Window.unboundedPreceding, -1)
-    for _ in range(rounds):
-        arrival = F.col("seconds") + F.col("step")
-        shade = shade_at(arrival, F.col("series"), F.col("shade"), bucket_seconds or 1.0)
-        moved = (
-            labels.where("fresh")
-            .join(out, "node")
-            .where(arrival <= time_budget)
-            .select(
-                "source",
-                F.col("next").alias("node"),
-                arrival.alias("seconds"),
-                (F.col("sun") + F.col("step") * (1 - shade)).alias("sun"),
-                F.concat("path", F.array("next")).alias("path"),
-                F.lit(True).alias("fresh"),
-            )
-        )
-        if sun_budget is not None:
-            moved = moved.where(F.col("sun") <= sun_budget)
-        both = labels.withColumn("fresh", F.lit(False)).union(moved)
-        bucket = F.least(F.floor(F.col("seconds") / (bucket_seconds or 1.0)), F.lit(len(slack) - 1)).cast("int")
-        one = both.withColumn("bucket", bucket).withColumn("_n", F.row_number().over(same_time)).where("_n = 1")
-        best = F.min(F.col("sun") - frac * F.col("seconds")).over(earlier)
-        kept = one.withColumn("_best", best).where(F.col("_best").isNull() | (F.col("sun") < F.col("_best") + jump + frac * F.col("seconds")))
-        labels = cut(kept.select("source", "node", "seconds", "sun", "path", "fresh"))
-        if labels.where("fresh").limit(1).count() == 0:
-            return labels.drop("fresh")
-    raise RuntimeError(f"the search did not end in {rounds} rounds")
+    """Labels ``source, node, seconds, sun, label, parent`` within the budgets: without buckets those that no other of their node
+    beats in time and sun, with ``bucket_seconds`` all that some way on may need (``search.search``)."""
+    found = search.search(edges, starts, search.Budget(time_budget, sun_budget, bucket_seconds), rounds)
+    return (found.labels if bucket_seconds else search.efficient(found)).drop("waited")
 
 
 def shortest(edges: DataFrame, starts: DataFrame, budget: float) -> DataFrame:
-    """Least seconds from each start to each node within the budget, with the path."""
-    plain = edges.select("from_id", "to_id", "seconds", F.lit(1.0).alias("shade"))
-    return label_search(plain, starts, budget).select("source", "node", "seconds", "path")
+    """Least seconds from each start to each node within the budget, with the node before."""
+    found = search.least(edges.select("from_id", "to_id", F.col("seconds").alias("cost")), starts, budget)
+    return found.withColumnRenamed("cost", "seconds")
 
 
 def discounted(metres: Column, strength: Column, factor: Column, solar: Column, crossing: Column) -> Column:
@@ -171,12 +99,8 @@ def reachable_edges(
 ) -> DataFrame:
     """Edges that some label can still walk whole within both budgets, by source; with ``bucket_seconds`` the ``series`` prices
     an edge at the time of its end, as in the search."""
-    series = F.col("series") if bucket_seconds else F.lit(None).cast("array<double>")
-    ends = edges.select(F.col("from_id").alias("node"), "to_id", F.col("seconds").alias("step"), "shade", series.alias("series"))
-    arrival = F.col("seconds") + F.col("step")
-    shade = shade_at(arrival, F.col("series"), F.col("shade"), bucket_seconds or 1.0)
-    fits = (arrival <= time_budget) & (F.col("sun") + F.col("step") * (1 - shade) <= sun_budget)
-    return labels.join(ends, "node").where(fits).select("source", F.col("node").alias("from_id"), "to_id").distinct()
+    walked = search.reached(labels, edges, search.Budget(time_budget, sun_budget, bucket_seconds))
+    return walked.where("share = 1").select("source", "from_id", "to_id")
 
 
 def chains(edges: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from penumbra.operators import exposure, graph
+from penumbra.operators import exposure, graph, search
 from penumbra.plans.geometry import _haversine, _lat, _lon, lat_of, lon_of
 from penumbra.plans.registry import register
 from penumbra.session import table
@@ -129,7 +129,18 @@ def pareto_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labels.select("source", "node", "seconds", F.round("sun", 4).alias("sun"))
 
 
-@register()
+#: Moves of a walker in the bucketed models: streets, and in ``waits`` standing until the next two-minute bucket on the shadiest street.
+_SHADE = "((e.k + least(floor({at} / 120), 3)::BIGINT * 29) % 11) / 10.0::DOUBLE"
+
+
+@register(f"""
+WITH RECURSIVE {_STREETS},
+r AS (SELECT source, source AS node, 0.0::DOUBLE AS sec, 0.0::DOUBLE AS sun FROM s
+  UNION SELECT r.source, e.b, r.sec + 40 + e.k % 7, round(r.sun + (40 + e.k % 7) * (1 - {_SHADE.format(at="(r.sec + 40 + e.k % 7)")}), 6)
+  FROM r JOIN e ON e.a = r.node WHERE r.sec + 40 + e.k % 7 <= 360 AND r.sun + (40 + e.k % 7) * (1 - {_SHADE.format(at="(r.sec + 40 + e.k % 7)")}) <= 150 + 1e-9)
+SELECT DISTINCT r.source, e.a AS from_id, e.b AS to_id FROM r JOIN e ON e.a = r.node
+WHERE r.sec + 40 + e.k % 7 <= 360 AND r.sun + (40 + e.k % 7) * (1 - {_SHADE.format(at="(r.sec + 40 + e.k % 7)")}) <= 150 + 1e-9
+""")
 def sun_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Streets reachable from the starts within six minutes and 150 seconds of sun, with shade by two-minute bucket."""
     edges = streets(spark, sf_dir)
@@ -137,6 +148,52 @@ def sun_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.reachable_edges(labels, edges, 360.0, 150.0, bucket_seconds=120.0)
 
 
+@register(f"""
+WITH RECURSIVE {_STREETS},
+b AS (SELECT unnest(range(4)) AS bucket),
+stay AS (SELECT a AS node, bucket, min(1 - ((k + bucket * 29) % 11) / 10.0::DOUBLE) AS rate FROM e, b GROUP BY 1, 2),
+moves AS (SELECT a, b, k, false AS w FROM e UNION ALL SELECT DISTINCT a, a, 0, true FROM e),
+r AS (SELECT source, source AS node, 0.0::DOUBLE AS sec, 0.0::DOUBLE AS sun FROM s
+  UNION SELECT source, node, sec, sun FROM (
+    SELECT r.source, e.b AS node, CASE WHEN w THEN (floor(r.sec / 120) + 1) * 120 ELSE r.sec + 40 + e.k % 7 END AS sec,
+      round(r.sun + CASE WHEN w THEN ((floor(r.sec / 120) + 1) * 120 - r.sec) * stay.rate ELSE (40 + e.k % 7) * (1 - {_SHADE.format(at="(r.sec + 40 + e.k % 7)")}) END, 6) AS sun
+    FROM r JOIN moves e ON e.a = r.node JOIN stay ON stay.node = r.node AND stay.bucket = least(floor(r.sec / 120), 3)
+    WHERE NOT w OR r.sec < 360) WHERE sec <= 300 AND sun <= 90 + 1e-9)
+SELECT source, from_id, to_id, round(min(sun), 4) AS sun FROM (
+  SELECT r.source, e.a AS from_id, e.b AS to_id, r.sun + (40 + e.k % 7) * (1 - {_SHADE.format(at="(r.sec + 40 + e.k % 7)")}) AS sun
+  FROM r JOIN e ON e.a = r.node WHERE r.sec + 40 + e.k % 7 <= 300) WHERE sun <= 90 + 1e-9 GROUP BY 1, 2, 3
+""")
+def sun_reach_waits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Streets within five minutes and 90 seconds of sun of walkers who may wait for shade, with the least sun at their ends."""
+    edges, budget = streets(spark, sf_dir), search.Budget(300.0, 90.0, 120.0, waits=True)
+    found = search.search(edges, starts(spark, sf_dir), budget)
+    return search.reached(found.labels, edges, budget).where("share = 1").select("source", "from_id", "to_id", F.round("sun", 4).alias("sun"))
+
+
+@register(f"""
+WITH RECURSIVE {_STREETS},
+b AS (SELECT unnest(range(4)) AS bucket),
+stay AS (SELECT a AS node, bucket, min(1 - ((k + bucket * 29) % 11) / 10.0::DOUBLE) AS rate FROM e, b GROUP BY 1, 2),
+stood AS (
+  SELECT node, sec, sum((least(sec + 60, CASE WHEN bucket = 3 THEN 1e9 ELSE (bucket + 1) * 120 END) - greatest(sec, bucket * 120)) * rate) AS sun
+  FROM stay, (SELECT unnest(range(0, 361))::DOUBLE AS sec) WHERE sec + 60 > bucket * 120 AND (bucket = 3 OR sec < (bucket + 1) * 120) GROUP BY 1, 2),
+moves AS (SELECT a, b, k, false AS w FROM e UNION ALL SELECT DISTINCT a, a, 0, true FROM e),
+r AS (SELECT source, source AS node, false AS back, 0.0::DOUBLE AS sec, 0.0::DOUBLE AS sun, []::BIGINT[] AS way FROM s
+  UNION ALL SELECT source, node, back, sec, sun, way FROM (
+    SELECT r.source, e.b AS node, r.back OR w AS back, CASE WHEN w THEN r.sec + 60 ELSE r.sec + 40 + e.k % 7 END AS sec,
+      r.sun + CASE WHEN w THEN stood.sun ELSE (40 + e.k % 7) * (1 - {_SHADE.format(at="(r.sec + 40 + e.k % 7)")}) END AS sun,
+      CASE WHEN w THEN way ELSE list_append(way, e.a * 1000000 + e.b) END AS way
+    FROM r JOIN moves e ON e.a = r.node JOIN stood ON stood.node = r.node AND stood.sec = r.sec WHERE NOT (w AND r.back))
+  WHERE sec + CASE WHEN back THEN 0 ELSE 60 END <= 330 AND sun <= 140 + 1e-9)
+SELECT source, step // 1000000 AS from_id, step % 1000000 AS to_id, round(min(sun), 4) AS sun
+FROM (SELECT source, sun, unnest(way) AS step FROM r WHERE back AND node = source) GROUP BY 1, 2, 3
+""")
+def sun_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Streets on outings of five and a half minutes and 140 seconds of sun, with a stay of a minute at some crossing."""
+    found = search.round_trips(streets(spark, sf_dir), starts(spark, sf_dir), search.Budget(330.0, 140.0, 120.0), 60.0)
+    return found.select("source", "from_id", "to_id", F.round("sun", 4).alias("sun"))
+
+
 @register()
 def discounted_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Least shade-discounted cost from the starts within a cost of 150: strength 0.8, full sun, five a crossing."""

@@ -5,8 +5,10 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(name: str = "penumbra", cores: str = "*", partitions: int = 8) -> SparkSession:
@@ -29,15 +31,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the checkpoint folder that the cluster shares; its lineage ends there.
-
-    Only where no folder is configured, as in tests, a temporary one is set.
-    """
-    sc = df.sparkSession.sparkContext
+def _shared(spark: SparkSession) -> str:
+    """The checkpoint folder that the cluster shares. Only where none is configured, as in tests, a temporary one is set."""
+    sc = spark.sparkContext
     if not sc.getCheckpointDir():
         folder = sc.getConf().get("spark.checkpoint.dir")
         if not folder and not re.fullmatch(r"local(\[.*\])?", sc.master):
             raise RuntimeError("spark.checkpoint.dir must name a folder that the cluster shares")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="penumbra-"))
-    return df.checkpoint()
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` as a table written to the shared checkpoint folder; its lineage ends there."""
+    spark = df.sparkSession
+    path = f"{_shared(spark).rstrip('/')}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def cut_counted(df: DataFrame, condition: Column) -> tuple[DataFrame, int]:
+    """``cut(df)`` and the number of its rows that fulfil ``condition``, counted while they are written."""
+    seen = Observation()
+    written = cut(df.observe(seen, F.count_if(condition).alias("n")))
+    return written, seen.get["n"]
