@@ -61,7 +61,7 @@ def base_spans(text: str) -> list[Span]:
     """What the plain detectors find, by kind and then start."""
     out: list[Span] = list(_emails(text)) if "@" in text else []
     for m in _IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.group().split(".")):
+        if all(len(n := p.lstrip("0")) <= 3 and int(n or "0") <= 255 for p in m.group().split(".")):
             out.append(("ip", *m.span()))
     for m in _CARD.finditer(text):
         if m.end() - m.start() >= 13:
@@ -95,11 +95,11 @@ _SPELLED = re.compile(rf"(?<![A-Za-z])(?:plus[\s-]+)?(?:{_WORD})(?:[\s,.-]{{1,3}
 _ONE_WORD = re.compile(rf"(plus)|({_WORD})", re.IGNORECASE)
 _BRACKET_AT = re.compile(r"[ \t]{0,3}[\[({<][ \t]{0,3}(?:at|@)[ \t]{0,3}[\])}>][ \t]{0,3}", re.IGNORECASE)
 _BRACKET_DOT = re.compile(r"[ \t]{0,3}[\[({<][ \t]{0,3}(?:dot|\.)[ \t]{0,3}[\])}>][ \t]{0,3}", re.IGNORECASE)
-# A name, not an article or pronoun, follows an "at" that stands for the sign.
+# A name, not an article or pronoun, follows an "at" that stands for the sign. The domain's dots may be plain, spelled or bracketed.
+_ANY_DOT = r"(?:\.|[ \t]{1,3}dot[ \t]{1,3}|[ \t]{0,3}[\[({<][ \t]{0,3}(?:dot|\.)[ \t]{0,3}[\])}>][ \t]{0,3})"
 _WORD_AT = re.compile(
     r"(?<=[A-Za-z0-9_%+-])[ \t]{1,3}at[ \t]{1,3}(?!(?:the|an?|this|that|these|those|my|your|his|her|its|our|their|every|each|any|some)[ \t])"
-    r"(?=[A-Za-z0-9-]{1,63}(?:[ \t]{1,3}dot[ \t]{1,3}|\.)[A-Za-z0-9-]{1,63}"
-    r"(?:(?:[ \t]{1,3}dot[ \t]{1,3}|\.)[A-Za-z0-9-]{1,63}){0,8})",
+    rf"(?=([A-Za-z0-9-]{{1,63}}(?:{_ANY_DOT}[A-Za-z0-9-]{{1,63}}){{1,9}}))",
     re.IGNORECASE,
 )
 _WORD_DOT = re.compile(r"(?<=[A-Za-z0-9])[ \t]{1,3}dot[ \t]{1,3}(?=[A-Za-z0-9])", re.IGNORECASE)
@@ -185,6 +185,15 @@ def _digits(m: re.Match) -> list[tuple[str, int, int]]:
     ]
 
 
+def _spoken_at(m: re.Match) -> list[tuple[str, int, int]]:
+    """An at sign for a spoken "at", unless prose reads the same: a plain word before it and a domain with plain dots
+    alone behind it ("look at site.org")."""
+    name = re.search(r"[A-Za-z0-9._%+-]*\Z", m.string[max(0, m.start() - 64) : m.start()]).group()
+    if name.isalpha() and re.fullmatch("[A-Za-z0-9.-]+", m.group(1)):
+        return [(c, i, i + 1) for i, c in enumerate(m.group(), m.start())]
+    return [("@", m.start(), m.end())]
+
+
 def deobfuscate(text: str) -> Tape | None:
     """The normalised text with its map to the source; None where no disguise occurs."""
     strange = not text.isascii() and _STRANGE.search(text) is not None
@@ -201,8 +210,8 @@ def deobfuscate(text: str) -> Tape | None:
     tape.rewrite(_SPELLED, _digits)
     whole = lambda c: lambda m: [(c, m.start(), m.end())]
     tape.rewrite(_BRACKET_AT, whole("@"))
+    tape.rewrite(_WORD_AT, _spoken_at)  # before the dots, which tell prose from a disguise
     tape.rewrite(_BRACKET_DOT, whole("."))
-    tape.rewrite(_WORD_AT, whole("@"))
     tape.rewrite(_WORD_DOT, whole("."))
     return None if tape.text == text else tape
 
