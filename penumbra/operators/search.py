@@ -28,19 +28,28 @@ def shade_at(seconds: Column, series: Column, static: Column, bucket_seconds: fl
     return F.when(series.isNotNull() & (F.size(series) > 0), F.element_at(series, F.greatest(place, F.lit(1)))).otherwise(static)
 
 
-def least(edges: DataFrame, starts: DataFrame, limit: float, rounds: int = 10_000) -> DataFrame:
+def least(edges: DataFrame, starts: DataFrame, limit: float | None, rounds: int = 10_000) -> DataFrame:
     """``(source, node, cost, before)``: the least sum of ``cost`` over ``edges(from_id, to_id, cost)`` from each start, up to
-    ``limit``, and the node before (null at the start; of equal costs the smallest). Costs may be 0 but not negative."""
+    ``limit``, and the node before (null at the start; of equal costs the smallest). Costs may be 0 but not negative.
+
+    ``starts`` has ``source`` and may have ``node`` and ``cost``, several a source: what it takes to step onto the graph there.
+    Without a ``limit`` it has a ``limit`` of each source.
+    """
     out = cut(edges.select(F.col("from_id").alias("node"), F.col("to_id").alias("next"), F.col("cost").alias("step")))
     none = F.lit(None).cast(out.schema["node"].dataType)
+    node = F.col("node") if "node" in starts.columns else F.col("source")
+    cost = F.col("cost").cast("double") if "cost" in starts.columns else F.lit(0.0)
+    most = F.lit(float(limit)) if limit is not None else F.col("limit").cast("double")
+    key = ["source", "limit", "node"]
     # The smallest struct wins: the cost, then what was there before, then the smallest node before.
-    state = cut(starts.select("source", F.col("source").alias("node"), F.struct(F.lit(0.0).alias("cost"), F.lit(False).alias("fresh"), none.alias("before")).alias("best"), F.lit(True).alias("fresh")))
+    first = starts.select("source", most.alias("limit"), node.alias("node"), F.struct(cost.alias("cost"), F.lit(False).alias("fresh"), none.alias("before")).alias("best"))
+    state = cut(first.where("best.cost <= limit").groupBy(key).agg(F.min("best").alias("best")).withColumn("fresh", F.lit(True)))
     for _ in range(rounds):
         cost = F.col("best.cost") + F.col("step")
-        moved = state.where("fresh").join(out, "node").where(cost <= limit)
-        moved = moved.select("source", F.col("next").alias("node"), F.struct(cost.alias("cost"), F.lit(True).alias("fresh"), F.col("node").alias("before")).alias("best"))
-        settled = state.select("source", "node", F.col("best").withField("fresh", F.lit(False)).alias("best"))
-        merged = settled.union(moved).groupBy("source", "node").agg(F.min("best").alias("best"))
+        moved = state.where("fresh").join(out, "node").where(cost <= F.col("limit"))
+        moved = moved.select("source", "limit", F.col("next").alias("node"), F.struct(cost.alias("cost"), F.lit(True).alias("fresh"), F.col("node").alias("before")).alias("best"))
+        settled = state.select(*key, F.col("best").withField("fresh", F.lit(False)).alias("best"))
+        merged = settled.union(moved).groupBy(key).agg(F.min("best").alias("best"))
         state, found = cut_counted(merged.withColumn("fresh", F.col("best.fresh")), F.col("fresh"))
         if not found:
             return state.select("source", "node", "best.cost", "best.before")
