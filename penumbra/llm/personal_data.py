@@ -185,11 +185,19 @@ def _digits(m: re.Match) -> list[tuple[str, int, int]]:
     ]
 
 
+#: Words before an "at" that stands for a place, as do all in -ed and -ing; no name is among them.
+_PROSE = frozenset(
+    "look looks see seen find found meet met me us you him her them it is are was were be been here there work works live lives stay read more news shop buy sold "
+    "available online info information details page pages site sites website home down back over up out and or not just only also even".split()
+)
+
+
 def _spoken_at(m: re.Match) -> list[tuple[str, int, int]]:
-    """An at sign for a spoken "at", unless prose reads the same: a plain word before it and a domain with plain dots
+    """An at sign for a spoken "at", unless prose reads the same: a word of no name before it and a domain with plain dots
     alone behind it ("look at site.org")."""
-    name = re.search(r"[A-Za-z0-9._%+-]*\Z", m.string[max(0, m.start() - 64) : m.start()]).group()
-    if name.isalpha() and re.fullmatch("[A-Za-z0-9.-]+", m.group(1)):
+    name = re.search(r"[A-Za-z0-9._%+-]*\Z", m.string[max(0, m.start() - 64) : m.start()]).group().lower()
+    prose = name.isalpha() and (name in _PROSE or name.endswith(("ed", "ing")))
+    if prose and re.fullmatch("[A-Za-z0-9.-]+", m.group(1)):
         return [(c, i, i + 1) for i, c in enumerate(m.group(), m.start())]
     return [("@", m.start(), m.end())]
 

@@ -6,8 +6,8 @@ gaps and inserted characters weaken a match without breaking it. Spans are bound
 windows of LENGTH characters of sentences, spaces included; a triple never spans a sentence's end.
 
 A support vector machine is trained in the space of Nyström landmarks. Its instances are windows of
-labelled sentences (multiple-instance learning): a sentence scores as its highest window, a text as
-its highest sentence. A toxic text is first shown by the windows around parts that speak for
+labelled sentences (multiple-instance learning): a text shows by its highest window, the two highest
+peaks beside it, and how many windows it has, from which a calibration makes its probability. A toxic text is first shown by the windows around parts that speak for
 toxic texts by their smoothed log-odds, so a part that some clean-labelled texts hold as well, by a
 wrong label or a quotation, still counts by how much. Clean texts are shown by random windows and,
 round by round, by the windows that score highest. Landmarks are the telling parts, random clean
@@ -23,7 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from penumbra.llm.common import slices, text_or_empty, utf8
@@ -38,7 +38,9 @@ FIRSTS = LENGTH - SPAN + 1
 SYMBOLS, BLANK, SIGN, DIGIT, OTHER = 64, 27, 28, 29, 30
 #: Characters of a telling part.
 PART = 5
-#: Bytes of text that a task scores at once; bytes of a longer text's stretches, and by how many they overlap.
+#: Places among which only the highest window is a peak, and the fewest windows that a text counts as having.
+PEAK, FEWEST = 24, 500
+#: Bytes of text that a task scores at once; bytes of a longer text's stretches, and how many around them they see.
 SLICE, STRETCH, LAP = 4 << 20, 4 << 20, 256
 
 _CODE = np.array([OTHER + b % (SYMBOLS - OTHER) for b in range(256)], np.uint8)
@@ -49,13 +51,8 @@ _CODE[[ord(_c) for _c in "0123456789"]] = DIGIT
 _CODE[[*range(33), *map(ord, ".,;:!?()[]{}<>\"'")]] = BLANK
 
 
-def coded(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The character codes of a column of texts, LENGTH zeros before and after each, and the place of each text's codes.
-
-    Case falls away; runs of blanks count once; a blank that follows a sentence's end, or a line end, is 0; three
-    or more single letters with single signs or blanks between them stand together; of a character of
-    several bytes the first byte is left out.
-    """
+def _kept(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The code of every byte of a column of texts, which of them stay, and each byte's text, as ``coded`` describes."""
     data, bounds = utf8(texts)
     many = np.diff(bounds)
     owner = np.repeat(np.arange(len(many)), many)
@@ -79,15 +76,37 @@ def coded(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     several[2:] |= gap[:-2]
     several[:-2] |= gap[2:]
     kept &= ~(gap & several)
-    kept = kept[at]
-    sizes = np.bincount(owner[kept], minlength=len(many))
+    return code[at], kept[at], owner
+
+
+def coded(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The character codes of a column of texts, LENGTH zeros before and after each, and the place of each text's codes.
+
+    Case falls away; runs of blanks count once; a blank that follows a sentence's end, or a line end, is 0; three
+    or more single letters with single signs or blanks between them stand together; of a character of
+    several bytes the first byte is left out.
+    """
+    code, kept, owner = _kept(texts)
+    sizes = np.bincount(owner[kept], minlength=len(texts))
     before = np.cumsum(sizes) - sizes
     starts = LENGTH * np.arange(1, len(sizes) + 1) + before
     out = np.zeros(int(sizes.sum()) + LENGTH * (len(sizes) + 1), np.uint8)
-    out[np.repeat(starts - before, sizes) + np.arange(int(sizes.sum()))] = code[at[kept]]
+    out[np.repeat(starts - before, sizes) + np.arange(int(sizes.sum()))] = code[kept]
     return out, np.append(starts, len(out))
 
 
+def coded_long(text: pa.Buffer) -> tuple[np.ndarray, np.ndarray]:
+    """``coded`` of one text of any length, in stretches that see LAP bytes around them, as its working memory is many times the text."""
+    done = []
+    for i in range(0, text.size, STRETCH):
+        first, last = max(0, i - LAP), min(text.size, i + STRETCH + LAP)
+        code, kept, _ = _kept(pa.array([text.slice(first, last - first).to_pybytes()], pa.binary()))
+        own = slice(i - first, i - first + STRETCH)
+        done.append(code[own][kept[own]])
+    codes = np.concatenate([np.zeros(LENGTH, np.uint8), *done, np.zeros(LENGTH, np.uint8)])
+    return codes, np.array([LENGTH, len(codes)])
+
+
 def _triples(rows: np.ndarray, firsts: int) -> Iterator[tuple[np.ndarray, float]]:
     """Triple numbers (0 for none) and weights of rows of codes, a place and offset at a time."""
     rows, width = rows.astype(np.int32), rows.shape[1]
@@ -122,12 +141,14 @@ def kernel(windows: np.ndarray, landmarks: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Model:
-    """A weight a triple, the bias, and the calibration."""
+    """A weight a triple, the bias, and the calibration: the highest window's slope, the shift, and the slopes of the second and
+    third peak and of the logarithm of the windows."""
 
     weights: np.ndarray
     bias: float
     slope: float
     shift: float
+    more: tuple[float, float, float] = (0.0, 0.0, 0.0)
 
     def windows(self, codes: np.ndarray) -> np.ndarray:
         """The decision value of the window that begins at each place but the last ones."""
@@ -148,6 +169,40 @@ class Model:
         """Decision values of texts: of the highest window."""
         return np.concatenate([np.empty(0), *(np.maximum.reduceat(v, at) for v, at in self._runs(codes, starts))])
 
+    def evidence(self, codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Of each text the three highest peaks among its windows (the lowest again where it has fewer) and the number of its windows.
+
+        A peak is the highest window of PEAK places that neither neighbour of PEAK places tops, so one insult isn't counted twice.
+        """
+        rows, sizes = [], np.diff(starts)
+        for d, high in enumerate(self._highs(codes, starts)):
+            around = np.concatenate([[-np.inf], high, [-np.inf]])
+            peaks = np.sort(high[(high > around[:-2]) & (high >= around[2:])])[::-1][:3]
+            rows.append([*peaks, *[peaks[-1]] * (3 - len(peaks)), sizes[d]])
+        return np.array(rows, np.float64).reshape(-1, 4)
+
+    def _highs(self, codes: np.ndarray, starts: np.ndarray, size: int = PEAK << 15) -> Iterator[np.ndarray]:
+        """Of each text the highest window of every PEAK places; of a long text's windows ``size`` are held at once."""
+
+        def high(v: np.ndarray) -> np.ndarray:
+            places = np.full(-(-len(v) // PEAK) * PEAK, -np.inf)
+            places[: len(v)] = v
+            return places.reshape(-1, PEAK).max(1)
+
+        run = 0
+        while run < len(starts) - 1:
+            end = max(run + 1, min(int(np.searchsorted(starts, starts[run] + size, "right")) - 1, len(starts) - 1))
+            first = starts[run] - LENGTH
+            if end == run + 1:
+                stop = starts[end] - LENGTH
+                part = range(first, stop, size)
+                yield np.concatenate([high(self.windows(codes[a : min(a + size, stop) + FIRSTS + SPAN])[: min(size, stop - a)]) for a in part])
+            else:
+                v = self.windows(codes[first : starts[end]])
+                for d in range(run, end):
+                    yield high(v[starts[d] - LENGTH - first : starts[d + 1] - LENGTH - first])
+            run = end
+
     def highest(self, codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """Where the highest window of each text begins."""
         best, run = [], 0
@@ -166,8 +221,13 @@ class Model:
             yield self.windows(codes[first : starts[end]]), starts[run:end] - LENGTH - first
             run = end
 
-    def probability(self, value: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * np.asarray(value, np.float64) + self.shift, -500, 500)))
+    def probability(self, evidence: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(_traits(evidence) @ np.array([self.slope, *self.more]) + self.shift, -500, 500)))
+
+
+def _traits(evidence: np.ndarray) -> np.ndarray:
+    """What the calibration reads: the peaks, and the logarithm of the windows in thousands."""
+    return np.column_stack([evidence[:, :3], np.log(np.maximum(evidence[:, 3], FEWEST) / 1000)])
 
 
 def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float, steps: int = 30) -> tuple[np.ndarray, float]:
@@ -301,7 +361,7 @@ def train(
     texts: list[str],
     toxic: list[int],
     priors: tuple[float, float],
-    landmarks: int = 192,
+    landmarks: int = 384,
     rounds: int = 3,
     c: float = 3.0,
     cover: int = 3,
@@ -356,41 +416,44 @@ def train(
             hard = np.unique(np.concatenate([hard, worst]), axis=0)
             marks = np.concatenate([marks, worst[np.argsort(-model.values(codes, starts)[clean], kind="stable")[: landmarks // 8]]])
     each = np.where(y == 1, priors[1] / y.sum(), priors[0] / (len(y) - y.sum()))
-    model.slope, model.shift = calibrate(model.values(codes, starts), y, each / each.mean())
+    slopes, model.shift = calibrate(_traits(model.evidence(codes, starts)), y, each / each.mean())
+    model.slope, model.more = slopes[0], tuple(slopes[1:])
     return model
 
 
-def _platt(value: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
-    """Logistic calibration by weighted Newton steps, with a light ridge; ``y`` may lie between 0 and 1."""
-    x = np.stack([value, np.ones_like(value)], 1)
-    w = np.array([1.0, 0.0])
-    for _ in range(50):
+def _platt(traits: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Logistic calibration by weighted Newton steps, with a light ridge; ``y`` may lie between 0 and 1. The shift comes last."""
+    x = np.column_stack([traits, np.ones(len(traits))])
+    w = np.zeros(x.shape[1])
+    w[0] = 1.0
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -50, 50)))
-        step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(2), x.T @ (weight * (p - y)) + 1e-2 * w)
+        step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(len(w)), x.T @ (weight * (p - y)) + 1e-2 * w)
         w -= np.clip(step, -2, 2)
         if abs(step).max() < 1e-8:
             break
-    return max(float(w[0]), 1e-3), float(w[1])
+    w[0] = max(w[0], 1e-3)
+    return w
 
 
-def calibrate(value: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 40, most: float = 0.1) -> tuple[float, float]:
-    """Slope and shift of the probability that a text is toxic, where labels may be wrong.
+def calibrate(traits: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 40, most: float = 0.1) -> tuple[list[float], float]:
+    """Slopes and shift of the probability that a text is toxic, where labels may be wrong.
 
     Each class has a share of wrong labels (``most`` at most, and 1 in 100 before any evidence). Shares, calibration
     and the odds that each label is right are fitted in turn (expectation and maximisation).
     """
-    slope, shift = _platt(value, y, weight)
+    w = _platt(traits, y, weight)
     wrong = np.array([0.01, 0.01])
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(slope * value + shift, -50, 50)))
+        p = 1 / (1 + np.exp(-np.clip(traits @ w[:-1] + w[-1], -50, 50)))
         toxic = p * np.where(y == 1, 1 - wrong[1], wrong[1])
         clean = (1 - p) * np.where(y == 1, wrong[0], 1 - wrong[0])
         truth = toxic / (toxic + clean)
         for c, belief in ((0, 1 - truth), (1, truth)):
             mass = weight * belief
             wrong[c] = min(most, ((mass * (y != c)).sum() + 0.1) / (mass.sum() + 10))
-        slope, shift = _platt(value, truth, weight)
-    return slope, shift
+        w = _platt(traits, truth, weight)
+    return w[:-1].tolist(), float(w[-1])
 
 
 def held_out(id_col: Column) -> Column:
@@ -398,11 +461,20 @@ def held_out(id_col: Column) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
+def _shown(text: Column, most: int, stretches: int = 4) -> Column:
+    """What of a text the fit reads: the whole, or of one longer than ``most`` characters evenly spaced stretches of that many together."""
+    size = most // stretches
+    step = (F.length(text) - size) / (stretches - 1)
+    parts = [F.substring(text, F.floor(step * i).cast("int") + 1, F.lit(size)) for i in range(stretches)]
+    return F.when(F.length(text) <= most, text).otherwise(F.concat_ws("\n", *parts))
+
+
 def fit(
-    docs: DataFrame, labels: DataFrame, per_class: int = 2000, sample_bytes: int = 8 << 20, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, labels: DataFrame, per_class: int = 2000, sample_chars: int = 16384, id_col: str = "doc_id", text_col: str = "text"
 ) -> Model:
     """Train on a bounded sample of labelled rows: of each class the ``per_class`` training rows whose ids hash
-    lowest, as far as their texts fit into ``sample_bytes``, so the driver holds a fixed amount at most."""
+    lowest. Of a text of over ``sample_chars`` characters evenly spaced stretches are read, so the driver holds a fixed amount at
+    most and no long text shuts others out. Of rows that repeat an id the one with the smallest text is read."""
     known = (
         labels.where("toxic is not null and doc_id is not null")
         .groupBy("doc_id")
@@ -415,21 +487,17 @@ def fit(
         part = known.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
         chosen = part if chosen is None else chosen.union(part)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    rows = texts.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])  # at most 2 * per_class rows
-    held = F.sum(F.octet_length("text")).over(Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    sample = rows.withColumn("held", held).where(F.col("held") <= sample_bytes).drop("held").collect()
+    rows = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", _shown(F.col("text"), sample_chars).alias("text"))  # at most 2 * per_class ids
+    sample = rows.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).collect()
     sample.sort(key=lambda r: r["doc_id"])
     return train([r["text"] for r in sample], [r["toxic"] for r in sample], (totals.get(0, 0), totals.get(1, 0)))
 
 
 def probabilities(model: Model, texts: pa.Array) -> np.ndarray:
-    """The probability of each text. A text over STRETCH bytes is read in stretches that overlap by LAP bytes, as
-    so many texts; the highest counts."""
-    if len(texts) != 1 or (size := len(utf8(texts)[0])) <= STRETCH:
-        return model.probability(model.values(*coded(texts)))
-    whole = texts.cast(pa.large_binary())[0].as_buffer()
-    parts = (pa.array([whole.slice(i, min(STRETCH, size - i)).to_pybytes()], pa.binary()) for i in range(0, size - LAP, STRETCH - LAP))
-    return model.probability(np.array([max(model.values(*coded(p))[0] for p in parts)]))
+    """The probability of each text; one of over STRETCH bytes is read in stretches, to the same result."""
+    if len(texts) != 1 or len(utf8(texts)[0]) <= STRETCH:
+        return model.probability(model.evidence(*coded(texts)))
+    return model.probability(model.evidence(*coded_long(texts.cast(pa.large_binary())[0].as_buffer())))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7) -> DataFrame:
