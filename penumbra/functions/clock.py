@@ -67,3 +67,17 @@ def snap_window(start: Column, end: Column, low: int = 300, high: int = 1260) ->
         F.greatest(F.lit(low), F.floor(start / 15.0) * 15).cast("int"),
         F.least(F.lit(high), F.ceil(end / 15.0) * 15).cast("int"),
     )
+
+
+def instant_of(zone: Column, year: Column, month: Column, day: Column, hours: Column, minutes: Column) -> Column:
+    """The instant at which a zone's clock shows these parts; ``month`` counts from 0, and months, days, hours and minutes may overflow.
+
+    The parts are read as UTC, moved by the offset there, and moved anew by the offset at the result if that is another. So an hour that a
+    clock change skips is read by the offset after it, and of an hour that it repeats the first is meant where the first guess lies before
+    the change; there is no second correction.
+    """
+    date = F.date_add(F.add_months(F.make_date(year, F.lit(1), F.lit(1)), month), day - 1)
+    utc = F.unix_date(date).cast("long") * 86400 + hours * 3600 + minutes * 60
+    before = zone_offset(F.timestamp_seconds(utc), zone)
+    after = zone_offset(F.timestamp_seconds(utc - before * 60), zone)
+    return F.timestamp_seconds(utc - after * 60)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from penumbra.plans import extras, geometry, networks, outlines, rules, snapping, sweeps, tables, walking  # noqa: F401  they register their queries
+from penumbra.plans import extras, fits, geometry, networks, outlines, rules, snapping, sweeps, tables, walking  # noqa: F401  they register their queries
 from penumbra.plans.registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

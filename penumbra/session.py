@@ -42,10 +42,15 @@ def _shared(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A path for something new below the folder that the cluster shares."""
+    return f"{_shared(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` as a table written to the shared checkpoint folder; its lineage ends there."""
     spark = df.sparkSession
-    path = f"{_shared(spark).rstrip('/')}/cut-{uuid.uuid4().hex}"
+    path = shared_path(spark, "cut")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
