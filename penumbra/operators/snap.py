@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import product
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from penumbra.functions import geo
@@ -70,13 +71,14 @@ def snap_stops(stops: DataFrame, edges: DataFrame, route: str, sequence: str, ca
 
     A route takes the largest component (by crossings) that the nearest edge of any of its stops lies in, equal ones by the later
     stop. Stops of other components move to the nearest edge of that one: ``moved``, or ``too_far`` beyond ``cap``; stops without
-    any edge within ``reach`` are ``no_street``. Of repeated stops of a route and sequence one is kept.
+    any edge within ``reach`` are ``no_street``. Of repeated stops of a route and sequence the one with the smallest other columns is kept.
     """
     member = cut(components(edges).select(F.col("node").alias("from_id"), "component"))
     sizes = member.groupBy("component").agg(F.count("*").alias("size"))
     laid = cut(edges.join(member, "from_id"))
     key = [route, sequence]
-    ids = stops.dropDuplicates(key).withColumn("_stop", F.struct(*key))
+    rest = [c for c in stops.columns if c not in key]
+    ids = stops.groupBy(*key).agg(F.min(F.struct(*rest)).alias("_s")).select(*key, *(F.col(f"_s.{c}").alias(c) for c in rest)).withColumn("_stop", F.struct(*key))
     first = cut(nearest_edge(ids, laid, "_stop", reach).join(member, "from_id").join(sizes, "component"))
     target = first.groupBy(F.col(f"_stop.{route}").alias(route)).agg(F.max(F.struct("size", F.col(f"_stop.{sequence}").alias("_at"), "component"))["component"].alias("target"))
     placed = first.join(target, F.col(f"_stop.{route}") == F.col(route)).select("_stop", "component", "target", "edge_id", "t", "distance")
@@ -109,17 +111,47 @@ def stay_exposure(stays: DataFrame, edges: DataFrame, bucket_seconds: float, buc
 
 
 def nearest_any(left: DataFrame, right: DataFrame, left_id: str, right_id: str, start: float = 200.0) -> DataFrame:
-    """The nearest right point of every left point however far, ties to the smaller id: radii grow fourfold for those still without.
+    """The nearest right point of every left point however far, ties to the smaller id.
 
-    Points without coordinates are left out; without right points the result is empty.
+    Right points lie in cubes in space, cubes in larger ones of four times the size, up to the whole earth. A left point goes down from the
+    largest: of every cube one point's distance is an upper bound and the cube's own a lower one, and only cubes that may hold the
+    nearest are opened. So a far cluster costs a left point a few cubes a level, not its points. Points without coordinates are left
+    out; without right points the result is empty.
     """
-    from penumbra.operators.spatial import nearest_join
-
-    rest, radius, found = cut(left.where("lon is not null and lat is not null")), start, []
-    while True:
-        near = cut(nearest_join(rest, right, left_id, right_id, radius))
-        found.append(near)
-        rest = cut(rest.join(near, left_id, "left_anti"))
-        if radius > geo.EARTH_RADIUS_M * 3.2 or not rest.limit(1).count():
-            return reduce(DataFrame.union, found)
-        radius *= 4
+    from penumbra.operators.spatial import _on_sphere
+
+    axes = ["x", "y", "z"]
+    sizes = [start * 2]
+    while sizes[-1] < geo.EARTH_RADIUS_M * 2.1:
+        sizes.append(sizes[-1] * 4)
+
+    def placed(points: DataFrame, *keep: str) -> DataFrame:
+        return points.where("lon is not null and lat is not null").select(*keep, "lon", "lat", *(v.alias(a) for v, a in zip(_on_sphere(F.col("lon"), F.col("lat")), axes, strict=True)))
+
+    def cube(size: float) -> Column:
+        return F.struct(*(F.floor(F.col(a) / size).cast("long").alias(a) for a in axes))
+
+    there = cut(placed(right, right_id).withColumn("_cube", cube(sizes[0])))
+    levels = [cut(there.groupBy("_cube").agg(F.min(F.struct(*axes)).alias("_one")))]
+    for _ in sizes[1:]:
+        up = F.struct(*(F.floor(F.col(f"_cube.{a}") / 4).cast("long").alias(a) for a in axes))
+        levels.append(cut(levels[-1].groupBy(up.alias("_cube")).agg(F.min("_one").alias("_one"))))
+    here = placed(left, left_id)
+    # The largest cubes are the eight around the earth's middle.
+    corners = F.array(*(F.struct(*(F.lit(c).cast("long").alias(a) for c, a in zip(cs, axes, strict=True))) for cs in product((-1, 0), repeat=3)))
+    open_ = here.withColumn("_cube", F.explode(corners))
+    for level in range(len(sizes) - 1, -1, -1):
+        size, cubes = sizes[level], levels[level]
+        far = lambda a, size=size: F.greatest(F.col(f"_cube.{a}") * size - F.col(a), F.col(a) - (F.col(f"_cube.{a}") + 1) * size, F.lit(0.0))
+        length = lambda part: F.sqrt(sum((part(a) * part(a) for a in axes[1:]), part(axes[0]) * part(axes[0])))
+        met = open_.join(cubes, "_cube").withColumn("_low", length(far)).withColumn("_high", length(lambda a: F.col(a) - F.col(f"_one.{a}")))
+        best = F.min("_high").over(Window.partitionBy(left_id, "lon", "lat"))
+        kept = met.withColumn("_best", best).where(F.col("_low") <= F.col("_best") * (1 + 1e-9) + 1e-3).drop("_low", "_high", "_best", "_one")
+        if level:
+            below = levels[level - 1].select(F.struct(*(F.floor(F.col(f"_cube.{a}") / 4).cast("long").alias(a) for a in axes)).alias("_cube"), F.col("_cube").alias("_child"))
+            kept = kept.join(below, "_cube").drop("_cube").withColumnRenamed("_child", "_cube")
+        open_ = cut(kept)
+    points = there.select("_cube", right_id, F.col("lon").alias("_lon"), F.col("lat").alias("_lat"))
+    away = geo.haversine(F.col("lon"), F.col("lat"), F.col("_lon"), F.col("_lat"))
+    best = F.min(F.struct(away.alias("metres"), right_id)).alias("b")
+    return open_.join(points, "_cube").groupBy(left_id).agg(best).select(left_id, F.col(f"b.{right_id}").alias(right_id), F.col("b.metres").alias("metres"))

@@ -143,11 +143,11 @@ def quadtree_levels(leaves: DataFrame, zoom: int, top: int) -> DataFrame:
 
 
 def interchange_pairs(stops: DataFrame, metres: float) -> DataFrame:
-    """Pairs of stops of one name (any case) less than ``metres`` apart, each pair once."""
-    a = stops.select(F.lower("name").alias("_name"), F.col("stop_id").alias("a"), F.col("lon").alias("alon"), F.col("lat").alias("alat"))
-    b = stops.select(F.lower("name").alias("_name"), F.col("stop_id").alias("b"), F.col("lon").alias("blon"), F.col("lat").alias("blat"))
-    away = geo.haversine(*map(F.col, ("alon", "alat", "blon", "blat")))
-    return a.join(b, "_name").where("a < b").withColumn("metres", away).where(F.col("metres") < metres).select("a", "b", "metres")
+    """Pairs of stops of one name (any case) less than ``metres`` apart, each pair once; stops meet by place and name, so a name that
+    many stops share is no hot key."""
+    side = lambda n: stops.select(F.lower("name").alias(f"_{n}"), F.col("stop_id").alias(n), "lon", "lat")
+    pairs = radius_join(side("a"), side("b"), metres).where((F.col("_a") == F.col("_b")) & (F.col("a") < F.col("b")))
+    return pairs.where(F.col("metres") < metres).select("a", "b", "metres")
 
 
 def rank_first(df: DataFrame, keys: list[str], order: list[Column | str]) -> DataFrame:

@@ -49,13 +49,21 @@ def squared_distance(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, d: s + d)
 
 
-def nearest_vectors(queries: DataFrame, candidates: DataFrame, k: int) -> DataFrame:
+#: Candidates of a block that queries are held against.
+BLOCK = 8192
+
+
+def nearest_vectors(queries: DataFrame, candidates: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
     """The ``k`` nearest candidates ``id, v`` of each query ``query_id, q``, ties to the smaller id; a query never finds itself.
 
-    The query set is stated and small against the candidates; each candidate partition keeps its
-    own best before anything is shuffled (the window's group limit).
+    The query set is stated. Candidates are dealt to blocks by a hash, every query is sent to each block, and they meet by an equality join on
+    the block; each task keeps its own best before anything more is shuffled (the window's group limit).
     """
-    pairs = queries.join(candidates, F.col("query_id") != F.col("id")).withColumn("distance", squared_distance(F.col("q"), F.col("v")))
+    spark = candidates.sparkSession
+    blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-candidates.count() // block))
+    dealt = candidates.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("_block"))
+    sent = queries.select("query_id", "q", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_block"))
+    pairs = sent.join(dealt, "_block").where("query_id <> id").withColumn("distance", squared_distance(F.col("q"), F.col("v")))
     w = Window.partitionBy("query_id").orderBy("distance", "id")
     return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "id", "distance")
 
