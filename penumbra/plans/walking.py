@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from penumbra.operators import structure, walkability
+from penumbra.operators import routing, structure, walkability
 from penumbra.plans.geometry import _haversine
-from penumbra.plans.networks import ROW, _STREETS
+from penumbra.plans.networks import _STREETS, ROW, starts, streets
 from penumbra.plans.registry import register
 from penumbra.plans.snapping import _GRID, _ONE, _edges
 from penumbra.session import table
@@ -189,3 +189,76 @@ def best_train_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
     spread = stations.select(s.alias("from_id"), F.explode(F.sequence(F.lit(-40), F.lit(40))).alias("d"))
     rides = spread.select("from_id", (F.col("from_id") + F.col("d")).alias("to_id"), (F.abs("d") * 45 + 60).alias("seconds"), (F.abs("d") + 1).alias("stations"))
     return walkability.best_pair(trips, near, near, rides).select(F.col("trip_id").alias("o_orderkey"), "entry_id", "exit_id", F.round("seconds", 4).alias("seconds"))
+
+
+#: Streets with tags for bicycles; trips from the searches' starts over three more stops, the last of some out of reach.
+_BIKE = f"""{_STREETS},
+w AS (SELECT a, b, (40 + k % 7)::DOUBLE AS m, CASE WHEN k % 9 <> 0 THEN (k % 11) / 10.0::DOUBLE END AS shade, CASE WHEN k % 10 = 0 THEN 'steps' ELSE 'residential' END AS hw, k % 8 = 0 AS rough, k % 6 = 0 AS cyc, b % 3 = 0 AS cr
+  FROM e WHERE NOT (k % 13 = 0 OR (k % 17 = 0 AND k % 2 = 0))),
+p AS (SELECT a, b, m, shade, CASE WHEN cr THEN 6 * 4.5 / 1.4 ELSE 0 END AS sur, (m + CASE WHEN hw = 'steps' THEN 500 ELSE 0 END) / 4.5 AS sec,
+  greatest(1.0, m + CASE WHEN hw = 'steps' THEN 500 ELSE 0 END + CASE WHEN rough THEN 75 ELSE 0 END - CASE WHEN cyc THEN least(40, m * 0.5) ELSE 0 END) * (1 - 0.8 * coalesce(shade, 0) * 0.7 * 0.9) AS c FROM w),
+leg AS (SELECT s.source AS trip, leg, s.source + [0, 2, 41, 84][leg + 1] AS o, s.source + CASE WHEN leg = 2 AND s.source % 3 = 1 THEN -100000 ELSE [2, 41, 84][leg + 1] END AS t FROM s, (SELECT unnest(range(3)) AS leg)),
+r AS (SELECT DISTINCT o AS source, o AS node, 0.0::DOUBLE AS cost FROM leg UNION SELECT r.source, p.b, round(r.cost + p.c + p.sur, 6) FROM r JOIN p ON p.a = r.node WHERE r.cost + p.c + p.sur <= 260),
+far AS (SELECT source, node, min(cost) AS cost FROM r GROUP BY 1, 2),
+told AS (SELECT trip, leg, cost IS NOT NULL AS found, cost - CASE WHEN t % 3 = 0 AND t <> o THEN 6 * 4.5 / 1.4 ELSE 0 END AS cost FROM leg LEFT JOIN far ON source = o AND node = t)"""
+
+
+def _bike_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("nation"))
+    a, b = F.least("from_id", "to_id"), F.greatest("from_id", "to_id")
+    both = streets(spark, sf_dir).join(n.toDF("_a", "_na"), a == F.col("_a")).join(n.toDF("_b", "_nb"), b == F.col("_b"))
+    k = a * 31 + b * 17 + F.col("_na") + F.col("_nb")
+    return both.select(
+        "from_id", "to_id", F.col("seconds").alias("metres"), F.when(k % 9 != 0, F.col("shade")).alias("shade"), F.lit(None).cast("double").alias("shelter"),
+        F.when(k % 10 == 0, "steps").otherwise("residential").alias("highway"), F.when(k % 17 == 0, "no").alias("access"),
+        F.when(k % 13 == 0, "no").when((k % 17 == 0) & (k % 2 == 1), "designated").alias("bicycle"), F.lit(None).cast("string").alias("foot"), (k % 8 == 0).alias("rough"),
+        F.lit(None).cast("string").alias("smoothness"), (k % 6 == 0).alias("is_cycleway"), (F.col("to_id") % 3 == 0).alias("to_crossing"),
+    )
+
+
+def _trips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = F.col("source")
+    last = s + F.when(s % 3 == 1, -100000).otherwise(84)
+    dwells = F.array(F.lit(9.0), F.lit(5.0), F.when(s % 3 == 0, F.lit(-2.0)), F.lit(7.0))
+    return starts(spark, sf_dir).select(s.alias("trip_id"), F.array(s, s + 2, s + 41, last).alias("stops"), (s * 60.0).alias("depart"), dwells.alias("dwells"))
+
+
+@register(f"WITH RECURSIVE {_BIKE} SELECT trip AS trip_id, leg::INTEGER AS leg, found, round(cost, 4) AS cost FROM told")
+def trip_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trips by bicycle over four stops: each leg's cheapest way after the shade discount; crossings at the legs' ends are free, banned streets aren't used."""
+    edges = routing.priced(_bike_edges(spark, sf_dir), "bike", 0.8, 6.0, "sun", 0.9)
+    told, _ = routing.routes(routing.legs_of(_trips(spark, sf_dir)), edges, 260.0)
+    return told.withColumn("cost", F.round("cost", 4))
+
+
+@register(f"""
+WITH RECURSIVE {_BIKE},
+walk AS (SELECT trip, leg, o, o AS node, 0.0::DOUBLE AS cost, 0.0::DOUBLE AS m, 0.0::DOUBLE AS sec FROM leg
+  UNION SELECT walk.trip, walk.leg, walk.o, p.b, round(walk.cost + p.c + p.sur, 6), round(walk.m + p.m, 6), round(walk.sec + p.sec, 6) FROM walk JOIN p ON p.a = walk.node WHERE walk.cost + p.c + p.sur <= 260),
+best AS (SELECT trip, leg, arg_min(m, w.cost) AS m, arg_min(sec, w.cost) AS sec FROM walk w JOIN leg USING (trip, leg) WHERE node = t GROUP BY 1, 2),
+st AS (SELECT told.trip, told.leg, found, best.m, best.sec FROM told LEFT JOIN best USING (trip, leg)),
+k AS (SELECT *, trip * 60.0 + coalesce(sum(sec) OVER (PARTITION BY trip ORDER BY leg ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + CASE leg WHEN 0 THEN 0 WHEN 1 THEN 300 ELSE 300 END AS dep,
+  coalesce(bool_or(NOT found) OVER (PARTITION BY trip ORDER BY leg ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS broken FROM st)
+SELECT trip AS trip_id, leg::INTEGER AS leg, round(m, 4) AS metres, round(sec, 4) AS seconds, CASE WHEN NOT broken THEN round(dep, 4) END AS departs FROM k
+""")
+def trip_departures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metres, seconds and departure of every leg of these trips, with stays at the stops between."""
+    trips, edges = _trips(spark, sf_dir), routing.priced(_bike_edges(spark, sf_dir), "bike", 0.8, 6.0, "sun", 0.9)
+    told, steps = routing.routes(routing.legs_of(trips), edges, 260.0)
+    rows = routing.departures(routing.leg_stats(told, steps, edges), trips)
+    return rows.select("trip_id", "leg", F.round("metres", 4).alias("metres"), F.round("seconds", 4).alias("seconds"), F.round("departs", 4).alias("departs"))
+
+
+@register("""
+WITH s AS (SELECT l_orderkey, l_linenumber AS i, l_suppkey AS f, l_partkey AS t, l_quantity::DOUBLE AS sec, CASE WHEN l_partkey % 5 <> 0 THEN l_returnflag END AS line, l_extendedprice AS x FROM lineitem),
+m AS (SELECT *, CASE WHEN line IS NULL OR lag(line) OVER w IS NULL OR lag(line) OVER w <> line THEN 1 ELSE 0 END AS new FROM s WINDOW w AS (PARTITION BY l_orderkey ORDER BY i, t, f, x)),
+g AS (SELECT *, sum(new) OVER (PARTITION BY l_orderkey ORDER BY i, t, f, x) - 1 AS ride FROM m)
+SELECT l_orderkey, ride::BIGINT AS ride, max(line) AS line, arg_min(f, {'i': i, 't': t, 'f': f, 'x': x}) AS first, arg_max(t, {'i': i, 't': t, 'f': f, 'x': x}) AS last, sum(sec) AS seconds, count(*) AS stops FROM g GROUP BY 1, 2
+""")
+def collapsed_rides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of orders as rides, those on one line after another put together."""
+    line = F.when(F.col("l_partkey") % 5 != 0, F.col("l_returnflag"))
+    rides = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice").alias("place"), F.col("l_suppkey").alias("from_id"), F.col("l_partkey").alias("to_id"), F.col("l_quantity").cast("double").alias("seconds"), line.alias("line")
+    )
+    return routing.collapsed_rides(rides, ["l_orderkey"], "place", "line")
