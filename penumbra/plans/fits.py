@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from penumbra.functions import clock
-from penumbra.operators import generations, signatures, suntimes
+from penumbra.operators import generations, preference, signatures, suntimes
 from penumbra.plans.networks import ROW, streets
 from penumbra.plans.registry import register
 from penumbra.session import shared_path, table
@@ -120,3 +120,24 @@ def signature_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = signatures.fit(table(spark, sf_dir, "embeddings"), "embedding", 8, 4, "vec_id", starts=2, rounds=12)
     share = float(model.explained.sum())
     return spark.createDataFrame([(i, int(n), round(share, 6)) for i, n in enumerate(model.sizes)], "type_id int, members long, explained double")
+
+
+_GRID = preference.quadrature(16)
+_POINT = preference.Hyper(2.5, 2.0, 0.4, 0.6)
+
+
+@register(f"""
+WITH t AS (SELECT o_custkey AS u, ((o_orderkey * 7919 % 2001) - 1000) / 500.0::DOUBLE AS sun, ((o_orderkey * 104729 % 401) - 200) / 500.0::DOUBLE AS tree, ((o_orderkey * 31 % 1001) - 500) / 500.0::DOUBLE AS sh, (o_orderkey // 3) % 2 AS y FROM orders),
+q AS (SELECT unnest({[x for x, _ in _GRID]}) AS x, unnest({[w for _, w in _GRID]}) AS w),
+z AS (SELECT u, x, w, CASE WHEN y = 1 THEN 1 ELSE -1 END * (x * (sun + {_POINT.rho} * tree) + sh + (1 - {_POINT.rho}) * tree) / {_POINT.tau} AS m FROM t, q),
+s AS (SELECT u, x, sum(-(greatest(m, 0) + ln(1 + exp(-abs(m))))) + {_POINT.shape} * ln({_POINT.rate}) - lgamma({_POINT.shape}) + ({_POINT.shape} - 1) * ln(x) - {_POINT.rate} * x + any_value(w) AS v FROM z GROUP BY u, x),
+b AS (SELECT u, max(v) AS top FROM s GROUP BY 1)
+SELECT u AS o_custkey, round(any_value(top) + ln(sum(exp(v - top))), 6) AS log_m, round(sum(exp(v - top) * x) / sum(exp(v - top)), 6) AS weight FROM s JOIN b USING (u) GROUP BY u
+""")
+def choice_marginals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as people and orders as their choices: log-likelihood with the weight of sun integrated out, and its mean given them."""
+    o = F.col("o_orderkey")
+    gap = lambda k, n: (o * k % (2 * n + 1) - n) / F.lit(500.0)
+    rows = table(spark, sf_dir, "orders").select("o_custkey", gap(7919, 1000).alias("sun_gap"), gap(104729, 200).alias("tree_gap"), gap(31, 500).alias("shade_gap"), (F.floor(o / 3) % 2).alias("picked"))
+    found = preference.marginals(rows, "o_custkey", [_POINT], 16)
+    return found.select("o_custkey", F.round("log_m", 6).alias("log_m"), F.round("weight", 6).alias("weight"))

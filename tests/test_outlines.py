@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from penumbra.functions import clock
-from penumbra.operators import covers, generations, linear, rings, signatures, structure, suntimes, sweep, walkability
+from penumbra.operators import covers, generations, linear, preference, rings, signatures, structure, suntimes, sweep, walkability
 
 RING = "id string, ring array<struct<x:double,y:double>>"
 
@@ -220,3 +220,29 @@ def test_walks_between_doors_and_stops(spark):
     assert found["leave"][0] == pytest.approx((0.0014 + 0.00005 + 0.0001 + 0.001 + 0.00005) * m, abs=3)
     assert found["enter"][0] == pytest.approx((0.00005 + 0.00005 + 0.0015 + 0.001 + 0.00005) * m, abs=3)
     assert {k: v[1] for k, v in found.items()} == {"leave": None, "enter": None, "none": "no_door", "off": "stop_off_network", "doors": "doors_off_network", "round": "detour"}
+
+
+def test_planted_parameters_of_choices_are_found_again(spark):
+    """Choices of 300 people drawn from known parameters; the integral against a fine sum, and the fit within its own errors."""
+    rng = np.random.default_rng(12)
+    true, rows = preference.Hyper(4.0, 3.0, 0.4, 0.25), []
+    for person in range(300):
+        beta = rng.gamma(true.shape, 1 / true.rate)
+        for _ in range(12):
+            sun, tree, shade = rng.normal(size=3) * [1.0, 0.8, 1.0]
+            z = -(beta * (sun + true.rho * tree) + shade + (1 - true.rho) * tree) / true.tau
+            rows.append((person, float(sun), float(tree), float(shade), int(rng.random() < 1 / (1 + math.exp(-z)))))
+    frame = spark.createDataFrame([*rows, (1, None, 0.0, 0.0, 1)], "person int, sun_gap double, tree_gap double, shade_gap double, picked int")
+    own = [r for r in rows if r[0] == 7]
+    fine = np.linspace(*preference.WEIGHTS, 200_001)
+    lp = true.shape * math.log(true.rate) - math.lgamma(true.shape) + (true.shape - 1) * np.log(fine) - true.rate * fine
+    for _, sun, tree, shade, y in own:
+        z = -(fine * (sun + true.rho * tree) + shade + (1 - true.rho) * tree) / true.tau
+        lp -= np.logaddexp(0, -z if y else z)
+    log_m = float(np.log(np.trapezoid(np.exp(lp - lp.max()), fine)) + lp.max())
+    got = preference.marginals(frame.where("person = 7"), "person", [true], 80).first()
+    assert abs(got.log_m - log_m) < 1e-4
+    fit = preference.fit_hierarchical(frame, "person", nodes=24, rounds=60, tolerance=1e-3)
+    gaps = (preference._free(fit.at) - preference._free(true)) / np.array(fit.errors)
+    assert np.abs(gaps).max() < 3.5 and 0 < max(fit.errors) < 1.5
+    assert fit.log_posterior >= preference.log_posterior(frame.where("sun_gap is not null"), "person", [true], 24)[0]
