@@ -24,17 +24,23 @@ from penumbra.llm.common import materialise, shuffle_partitions
 
 #: Entries of a page, vectors of a tree on average, and queries of a block.
 PAGE, TREE_VECTORS, BLOCK_QUERIES = 64, 8192, 512
-#: Factor by which bounds give way, far above the rounding of double arithmetic.
-SLACK = 1e-9
+#: Factor by which bounds give way, far above the rounding of double arithmetic; and where doubles don't hold the products exactly,
+#: above the square root of that rounding, as a distance is the root of a difference.
+SLACK, WIDE_SLACK = 1e-9, 1e-6
+#: Products below this are exact in doubles; those that may reach the second don't fit a long.
+EXACT, MOST = 1 << 53, 1 << 62
 
 
 class MTree:
-    """A bulk-loaded M-tree over integer vectors, which double arithmetic holds exactly."""
+    """A bulk-loaded M-tree over integer vectors. Where double arithmetic doesn't hold their products exactly, the whole vectors
+    are kept beside for the scores, and the bounds give way more."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, longest: float, rows: np.ndarray | None = None):
         self.ids, self.vectors = ids, vectors.astype(np.float64)
+        self.whole = vectors.astype(np.int64) if longest >= EXACT // 4 else None
         self.rows = np.arange(len(ids)) if rows is None else rows
-        self.extra = np.sqrt(np.maximum(longest - (self.vectors**2).sum(1), 0.0))
+        square = (vectors.astype(np.int64) ** 2).sum(1)
+        self.extra = np.sqrt(np.maximum(int(longest) - square, 0).astype(np.float64))
         self.longest = longest
         #: A page: objects, their distances to the page's own object, radii (0 in a leaf), pages below (-1 in a leaf).
         self.pages: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
@@ -74,7 +80,7 @@ class MTree:
         ``floor`` those below it may be left out."""
         q = query.astype(np.float64)
         base = float(q @ q) + self.longest
-        slack = SLACK * np.sqrt(base)
+        slack = (SLACK if self.whole is None else WIDE_SLACK) * np.sqrt(base)
         best: list[tuple[float, int]] = []  # a heap of (score, -id), the worst first
         limit = beyond = np.inf if floor is None else float(np.sqrt(max(base - 2 * floor, 0)))  # the distance of the k-th
         queue = [(0.0, self.root, -1.0)]
@@ -99,7 +105,8 @@ class MTree:
             for i in np.flatnonzero(distances <= limit + slack).tolist():
                 if self.rows[objects[i]] == own:
                     continue
-                item = (scores[i], -int(self.ids[objects[i]]))
+                score = scores[i] if self.whole is None else int(self.whole[objects[i]] @ query)
+                item = (score, -int(self.ids[objects[i]]))
                 if len(best) < k:
                     heapq.heappush(best, item)
                 elif item > best[0]:
@@ -115,7 +122,7 @@ def _vectors(table: pa.Table) -> np.ndarray:
 
 def _tree(table: pa.Table) -> pa.Table:
     table = table.sort_by([("vec_id", "ascending"), ("row", "ascending")])
-    tree = MTree(np.array(table.column("vec_id")), _vectors(table), float(table.column("longest")[0].as_py()), np.array(table.column("row")))
+    tree = MTree(np.array(table.column("vec_id")), _vectors(table), table.column("longest")[0].as_py(), np.array(table.column("row")))
     return pa.table({"d": table.column("d")[:1], "tree": table.column("tree")[:1], "pages": pa.array([pickle.dumps(tree)], pa.binary())})
 
 
@@ -143,13 +150,15 @@ def _search(k: int):
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str, scale: int = 1024) -> DataFrame:
     """``vec_id`` and ``v``: every component as floor(scale * x) of the double x. Vectors that are null or
-    hold null or non-finite components, null ids and empty vectors take no part."""
+    hold null or non-finite components, null ids and empty vectors take no part. A component too large for a product in a long ends the job
+    with an error that says so."""
     x = F.col(vector_col).cast("array<double>")
+    whole = lambda c: F.when(F.abs(c * scale) < float(MOST), F.floor(c * scale)).otherwise(F.raise_error(F.lit("a component is too large for an inner product in a long"))).cast("long")
     return (
         vectors.select(F.col(id_col).cast("long").alias("vec_id"), x.alias("x"))
         .where("vec_id is not null and x is not null and size(x) > 0")
         .where(~F.exists("x", lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf"))))
-        .select("vec_id", F.transform("x", lambda c: F.floor(c * scale).cast("long")).alias("v"))
+        .select("vec_id", F.transform("x", whole).alias("v"))
     )
 
 
@@ -168,12 +177,14 @@ def top_k(
     and ``score``; ties go to smaller ids; a query with fewer partners gets them all. Rows that repeat
     an id are candidates, and queries, each of its own. Vectors meet only vectors of their own
     length, as others have no product with them. Other columns are ignored; an empty table gives an
-    empty table. Inner products must stay below 2**53.
+    empty table. Products are exact up to 2**62; vectors of a greater squared length end the job with an error that says so.
 
     Every query block first searches one tree; what it finds there bounds the search of all others.
     """
     clean = materialise(usable(vectors, id_col, vector_col).withColumn("row", F.monotonically_increasing_id()), "vectors")
-    square = F.aggregate("v", F.lit(0).cast("long"), lambda s, c: s + c * c)
+    about = F.aggregate("v", F.lit(0.0), lambda s, c: s + c.cast("double") * c.cast("double"))
+    sum_ = F.aggregate("v", F.lit(0).cast("long"), lambda s, c: s + c * c)
+    square = F.when(about < float(MOST), sum_).otherwise(F.raise_error(F.lit("a vector is too long for an inner product in a long")).cast("long"))
     many = lambda rows, size: F.greatest(F.lit(1), F.ceil(rows / F.lit(size))).cast("int")
     sizes = clean.groupBy(F.size("v").alias("d")).agg(
         many(F.count("*"), tree_vectors).alias("trees"), many(F.sum(F.when(is_query, 1).otherwise(0)), block_queries).alias("blocks"), F.max(square).alias("longest")
