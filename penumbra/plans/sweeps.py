@@ -72,11 +72,10 @@ def _suns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _weather(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nations as weather records of every cell."""
-    records = table(spark, sf_dir, "nation").agg(F.collect_list(F.struct("n_nationkey", (F.col("n_nationkey") * 37 % 360).cast("double").alias("from_deg"), (F.col("n_nationkey") % 12).cast("double").alias("wind"))).alias("w"))
-    cells = _edges(spark, sf_dir).select("cell").distinct()
-    spread = cells.join(F.broadcast(records)).select("cell", F.inline("w"))  # one row of 25 records
-    return spread.select("cell", F.col("n_nationkey").alias("slot"), "from_deg", "wind")
+    """Nations as weather records of each of the four cells."""
+    key = F.col("n_nationkey")
+    spread = table(spark, sf_dir, "nation").select(key, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long"))).alias("cell"))
+    return spread.select("cell", key.alias("slot"), (key * 37 % 360).cast("double").alias("from_deg"), (key % 12).cast("double").alias("wind"))
 
 
 _BYTES = f"""WITH {_WALLS}, {_SUNS}, {_EDGES}, {_hits("sm", "edge_id, side, i", "coalesce(op, 1.0)")},
@@ -114,9 +113,10 @@ SELECT c_custkey, slot, round(CASE WHEN altitude <= 0 THEN 1.0 ELSE coalesce(s,
 """)
 def point_probes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shade of every customer's place by five probes, the regions being five instants, the first at night."""
-    points = _plane(spark, sf_dir, "customer", "c_custkey").select("c_custkey", F.lit(0).alias("cell"), "x", "y")
+    points = _plane(spark, sf_dir, "customer", "c_custkey").select("c_custkey", _cell(F.col("x"), F.col("y")).alias("cell"), "x", "y")
     key = F.col("r_regionkey")
-    times = table(spark, sf_dir, "region").select(F.lit(0).alias("cell"), key.alias("slot"), (F.lit(225.0) - key * 40).alias("azimuth"), (key * 12.0).alias("altitude"))
+    cells = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long"))).alias("cell")
+    times = table(spark, sf_dir, "region").select(cells, key.alias("slot"), (F.lit(225.0) - key * 40).alias("azimuth"), (key * 12.0).alias("altitude"))
     return sweep.point_shade(points, _prisms(spark, sf_dir), times, ["c_custkey"]).withColumn("shade", F.round("shade", 6))
 
 

@@ -9,8 +9,8 @@ from support import DATA
 
 from penumbra.plans import catalogue
 
-#: Queries whose plan may pair all rows: a one-row side, or a stated query set.
-LOOPS = {"impute_group_median", "knee_point", "knn_exact", "knn_two_stage_recall"}
+#: Queries whose plan may pair all rows: a one-row side.
+LOOPS = {"impute_group_median", "knee_point"}
 #: Queries with Python in tasks: state by key, and text encodings.
 PYTHON = {"rate_limit_accepts", "polyline_round_trip"}
 
