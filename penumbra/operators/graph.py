@@ -14,11 +14,12 @@ from penumbra.operators import search
 from penumbra.session import cut
 
 
-def build_graph(ways: DataFrame, nodes: DataFrame) -> DataFrame:
+def build_graph(ways: DataFrame, nodes: DataFrame, least_metres: float | None = None) -> DataFrame:
     """Directed edges, both ways, between neighbouring nodes of ``ways(way_id, refs)``.
 
     ``nodes`` has ``id, lon, lat``. Steps with a missing node or no length are left out, and so are
-    closed ways of an area (``is_area``).
+    closed ways of an area (``is_area``). With ``least_metres`` steps of at least that length stay, with 0 also those
+    between different nodes of one place.
     """
     kept = ways.where(~(F.col("is_area") & (F.element_at("refs", 1) == F.element_at("refs", -1))))
     refs = kept.select("way_id", F.posexplode("refs").alias("seq", "from_id"))
@@ -27,7 +28,7 @@ def build_graph(ways: DataFrame, nodes: DataFrame) -> DataFrame:
     start = nodes.select(F.col("id").alias("from_id"), F.col("lon").alias("from_lon"), F.col("lat").alias("from_lat"))
     end = nodes.select(F.col("id").alias("to_id"), F.col("lon").alias("to_lon"), F.col("lat").alias("to_lat"))
     one = steps.join(start, "from_id").join(end, "to_id")
-    one = one.withColumn("metres", geo.haversine(*map(F.col, ("from_lon", "from_lat", "to_lon", "to_lat")))).where("metres > 0")
+    one = one.withColumn("metres", geo.haversine(*map(F.col, ("from_lon", "from_lat", "to_lon", "to_lat")))).where(F.col("metres") > 0 if least_metres is None else F.col("metres") >= least_metres)
     back = one.select(
         "way_id", "seq", F.col("to_id").alias("from_id"), F.col("from_id").alias("to_id"), F.col("to_lon").alias("from_lon"),
         F.col("to_lat").alias("from_lat"), F.col("from_lon").alias("to_lon"), F.col("from_lat").alias("to_lat"), "metres",

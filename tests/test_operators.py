@@ -344,3 +344,11 @@ def test_radius_join_at_poles_and_date_line(spark):
     assert {(r.a, r.b) for r in spatial.radius_join(a, b, 100.0).collect()} == {(1, 1), (2, 2), (4, 4)}
     far = snap.nearest_any(a, b.where("b = 5"), "a", "b", 100.0).collect()
     assert {(r.a, r.b) for r in far} == {(1, 5), (2, 5), (4, 5)}
+
+
+def test_graph_keeps_steps_between_nodes_of_one_place_where_asked(spark):
+    ways = spark.createDataFrame([(1, [1, 2, 3], False)], "way_id long, refs array<long>, is_area boolean")
+    nodes = spark.createDataFrame([(1, 0.0, 0.0), (2, 0.0, 0.0), (3, 0.0, 0.1)], "id long, lon double, lat double")
+    steps = lambda least: {(r.from_id, r.to_id) for r in graph.build_graph(ways, nodes, least).collect()}
+    assert steps(None) == {(2, 3), (3, 2)}
+    assert steps(0.0) == {(1, 2), (2, 1), (2, 3), (3, 2)}
