@@ -120,7 +120,11 @@ def point_shade(building: Column, shed: Column, crown: Column, raster: Column) -
 
 def sun_position(instant: Column, lon: Column, lat: Column) -> tuple[Column, Column]:
     """Azimuth from north and altitude of the sun in degrees, by the low-precision almanac formulas."""
-    days = F.unix_micros(instant.cast("timestamp")) / 86400e6 - 10957.5
+    return sun_position_at(F.unix_micros(instant.cast("timestamp")) / 86400e6 - 10957.5, lon, lat)
+
+
+def sun_position_at(days: Column, lon: Column, lat: Column) -> tuple[Column, Column]:
+    """``sun_position`` for days since noon of the first of January 2000, fractions of a microsecond included."""
     g = F.radians(F.pmod(days * 0.98560028 + 357.528, F.lit(360.0)))
     ecliptic = F.radians(F.pmod(days * 0.9856474 + 280.460, F.lit(360.0)) + F.sin(g) * 1.915 + F.sin(g * 2) * 0.020)
     tilt = F.radians(F.lit(23.439) - days * 4e-7)

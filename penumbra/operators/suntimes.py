@@ -11,6 +11,8 @@ from penumbra.functions import exposure
 RISE_DEG = -0.833
 #: Minutes of solar time a degree of longitude; a fixed value.
 MINUTES_PER_DEGREE = 4.0
+#: More degrees a minute than the sun's altitude ever changes by: the earth turns by 0.2507, the sun itself moves by less than 0.001.
+MOST_DEG_A_MINUTE = 0.26
 
 
 def solar_noon(instant: Column, lon: Column) -> Column:
@@ -50,19 +52,35 @@ def _sign_changes(rows: DataFrame, keys: list[str], level: float) -> DataFrame:
     )
 
 
-def rise_and_set(places: DataFrame, id_col: str, level: float = RISE_DEG) -> DataFrame:
-    """``(id_col), sunrise, sunset`` of every place's solar day; both null where the sun stays on one side of the level.
+def _near_passages(rows: DataFrame, keys: list[str], level: float) -> DataFrame:
+    """``keys, low, high``: the neighbouring samples between which the altitude may pass the level, if only to turn and pass it again."""
+    pairs = F.zip_with(F.slice("trace", 1, F.size("trace") - 1), F.slice("trace", 2, F.size("trace") - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    near = lambda p: F.abs(p["a"]["altitude"] - level) + F.abs(p["b"]["altitude"] - level) <= (p["b"]["at"] - p["a"]["at"]) * MOST_DEG_A_MINUTE
+    passing = F.filter(pairs, lambda p: ((p["a"]["altitude"] < level) != (p["b"]["altitude"] < level)) | near(p))
+    return rows.select(*keys, F.explode(passing).alias("p")).select(*keys, F.col("p.a.at").alias("low"), F.col("p.b.at").alias("high"))
+
+
+def passages(places: DataFrame, id_col: str, level: float = RISE_DEG) -> DataFrame:
+    """``(id_col), up_at, down_at``: of every place's solar day the last passage upwards before noon and the first one down after it, in
+    seconds since 1970; null where there is none.
 
-    The day's trace brackets every passage within a quarter hour, a second one within a minute, and the passage is put on the straight
-    line there. The sunrise is the last passage upwards before noon, the sunset the first one down after it.
+    The day's trace tells the quarter hours in which the altitude can pass the level, also twice between two samples of one side, as where
+    the sun grazes the horizon; a second trace brackets every passage within a minute, and it is put on the straight line there.
     """
-    coarse = _sign_changes(traces(places, id_col), [id_col, "noon"], level)
+    coarse = _near_passages(traces(places, id_col), [id_col, "noon"], level)
     fine = coarse.join(places.select(id_col, "lon", "lat"), id_col).withColumn("at", F.explode(F.sequence(F.col("low"), F.col("high"))))
-    _, altitude = exposure.sun_position(F.timestamp_micros(((F.col("noon") + F.col("at") * 60) * 1e6).cast("long")), F.col("lon"), F.col("lat"))
+    _, altitude = exposure.sun_position_at((F.col("noon") + F.col("at") * 60) / 86400 - 10957.5, F.col("lon"), F.col("lat"))
     rows = fine.select(id_col, "noon", "low", "at", altitude.alias("altitude")).groupBy(id_col, "noon", "low").agg(F.sort_array(F.collect_list(F.struct("at", "altitude"))).alias("trace"))
     found = _sign_changes(rows, [id_col, "noon"], level)
     at = F.col("low") + (F.lit(level) - F.col("low_value")) / (F.col("high_value") - F.col("low_value")) * (F.col("high") - F.col("low"))
-    when = F.timestamp_micros(((F.col("noon") + at * 60) * 1e6).cast("long"))
-    best = found.groupBy(id_col).agg(F.max(F.when(F.col("up") & (at <= 0), when)).alias("sunrise"), F.min(F.when(~F.col("up") & (at >= 0), when)).alias("sunset"))
-    both = F.col("sunrise").isNotNull() & F.col("sunset").isNotNull()
-    return places.select(id_col).join(best, id_col, "left").select(id_col, F.when(both, F.col("sunrise")).alias("sunrise"), F.when(both, F.col("sunset")).alias("sunset"))
+    when = F.col("noon") + at * 60
+    best = found.groupBy(id_col).agg(F.max(F.when(F.col("up") & (at <= 0), when)).alias("up_at"), F.min(F.when(~F.col("up") & (at >= 0), when)).alias("down_at"))
+    return places.select(id_col).join(best, id_col, "left")
+
+
+def rise_and_set(places: DataFrame, id_col: str, level: float = RISE_DEG) -> DataFrame:
+    """``(id_col), sunrise, sunset`` of every place's solar day (``passages``); both null where one of them is missing."""
+    found = passages(places, id_col, level)
+    both = F.col("up_at").isNotNull() & F.col("down_at").isNotNull()
+    instant = lambda c: F.timestamp_micros((F.col(c) * 1e6).cast("long"))
+    return found.select(id_col, F.when(both, instant("up_at")).alias("sunrise"), F.when(both, instant("down_at")).alias("sunset"))

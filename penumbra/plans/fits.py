@@ -60,9 +60,10 @@ SELECT c_custkey, CASE WHEN s IS NOT NULL THEN round(r) END::BIGINT AS sunrise,
 """)
 def sun_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sunrise and sunset, to the second, of customers all over the globe on days all over a year; none on polar days and nights."""
-    found = suntimes.rise_and_set(_places(spark, sf_dir), "c_custkey")
-    second = lambda c: F.round(F.unix_micros(c) / 1e6).cast("long").alias(c)
-    return found.select("c_custkey", second("sunrise"), second("sunset"))
+    found = suntimes.passages(_places(spark, sf_dir), "c_custkey")
+    both = F.col("up_at").isNotNull() & F.col("down_at").isNotNull()
+    second = lambda c, name: F.when(both, F.round(c)).cast("long").alias(name)
+    return found.select("c_custkey", second("up_at", "sunrise"), second("down_at", "sunset"))
 
 
 @register(f"""

@@ -246,3 +246,20 @@ def test_planted_parameters_of_choices_are_found_again(spark):
     gaps = (preference._free(fit.at) - preference._free(true)) / np.array(fit.errors)
     assert np.abs(gaps).max() < 3.5 and 0 < max(fit.errors) < 1.5
     assert fit.log_posterior >= preference.log_posterior(frame.where("sun_gap is not null"), "person", [true], 16)[0] - 0.5
+
+
+def test_sun_that_grazes_the_horizon_rises_and_sets(spark):
+    """Short nights, some of which lie between two samples of the coarse trace; all minutes of the day as the measure."""
+    rows = [(i, 9.0, 69.8 + i * 0.005, datetime(2026, 7, 26, 12, tzinfo=timezone.utc)) for i in range(120)]
+    frame = spark.createDataFrame(rows, "id long, lon double, lat double, instant timestamp")
+
+    def passes(step):
+        found = {}
+        for r in suntimes.traces(frame, "id", step).collect():
+            pairs = [(a.at, a.altitude < suntimes.RISE_DEG, b.altitude < suntimes.RISE_DEG) for a, b in zip(r.trace, r.trace[1:])]
+            found[r.id] = any(at < 0 and a and not b for at, a, b in pairs) and any(at >= 0 and b and not a for at, a, b in pairs)
+        return found
+
+    minutes, quarters = passes(1), passes(15)
+    assert any(minutes[i] and not quarters[i] for i in minutes) and not all(minutes.values())
+    assert {r.id: r.sunrise is not None for r in suntimes.rise_and_set(frame, "id").collect()} == minutes
