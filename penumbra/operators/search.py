@@ -6,7 +6,8 @@ walks are rebuilt for those asked for. Every round is a written table, so a lost
 
 Edges are ``from_id, to_id, seconds, shade`` and, with buckets, ``series``: the shade by bucket of the time at
 which the edge's end is reached, the last one going on after the series' end. An edge costs its seconds and, of sun,
-``seconds * (1 - shade)``.
+``seconds * (1 - shade)``. The sun of a label is held to a microsecond after every edge, so equal sums in another order are
+equal, and a budget allows for the rounding of the last price.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from penumbra.session import cut, cut_counted
 
 #: Labels' ids leave so many bits for the place within a round.
 _ROUND_BITS = 50
+#: What rounding alone may put on top of a budget of sun, and on a price between labels of different times; fixed values.
+_EXCESS, _ROUNDING = 1e-9, 1e-5
 
 
 def shade_at(seconds: Column, series: Column, static: Column, bucket_seconds: float) -> Column:
@@ -104,9 +107,9 @@ def _slack(edges: DataFrame, budget: Budget, buckets: int) -> list[tuple[float,
         extra = edges.select("seconds", "shade", "series", k).select("k", "seconds", (shade(F.col("k") - 1) - shade(F.col("k"))).alias("shade"))
         for r in extra.where("shade < 0").groupBy("k").agg(F.max(-F.col("shade") * F.col("seconds")).alias("jump"), F.max(-F.col("shade")).alias("rate")).collect():
             jump[r["k"]], rate[r["k"]] = r["jump"], r["rate"]
-    # The small amount keeps labels that rounding alone would drop.
+    # The small amount keeps labels that rounding alone would drop; in the last bucket equal ways on have equal prices.
     return [
-        (sum(jump[b + 1 :]) + (1e-9 if any(jump[b + 1 :]) else 0.0), sum(rate[b + 1 :]) + (1.0 if budget.waits and b < buckets - 1 else 0.0)) for b in range(buckets)
+        (sum(jump[b + 1 :]) + (_ROUNDING if b < buckets - 1 else 0.0), sum(rate[b + 1 :]) + (1.0 if budget.waits and b < buckets - 1 else 0.0)) for b in range(buckets)
     ]
 
 
@@ -178,8 +181,8 @@ def search(edges: DataFrame, starts: DataFrame, budget: Budget, rounds: int = 10
             moved = moved.union(stood.select("source", "node", until.alias("seconds"), sun.alias("sun"), F.col("label").alias("parent"), F.lit(True).alias("waited")))
         moved = moved.where(F.col("seconds") <= budget.seconds)
         if budget.sun is not None:
-            moved = moved.where(F.col("sun") <= budget.sun)
-        moved = moved.withColumn("bucket", _bucket(F.col("seconds"), budget.bucket_seconds, buckets))
+            moved = moved.where(F.col("sun") <= budget.sun + _EXCESS)
+        moved = moved.withColumn("sun", F.round("sun", 6)).withColumn("bucket", _bucket(F.col("seconds"), budget.bucket_seconds, buckets))
         # Among themselves by a window, against what is settled by a join on the slot.
         one = moved.withColumn("_n", F.row_number().over(same_time)).where("_n = 1")
         best = F.min(F.col("sun") - rate * F.col("seconds")).over(earlier)
@@ -232,7 +235,7 @@ def reached(labels: DataFrame, edges: DataFrame, budget: Budget) -> DataFrame:
     fits = F.least(F.lit(1.0), (budget.seconds - F.col("seconds")) / F.col("step"))
     if budget.sun is not None:
         fits = F.least(fits, F.when(cost > 0, (budget.sun - F.col("sun")) / cost).otherwise(1.0))
-    whole = (arrival <= budget.seconds) & (F.lit(True) if budget.sun is None else F.col("sun") + cost <= budget.sun)
+    whole = (arrival <= budget.seconds) & (F.lit(True) if budget.sun is None else F.col("sun") + cost <= budget.sun + _EXCESS)
     walked = labels.join(ends, "node").withColumn("share", F.when(whole, 1.0).otherwise(F.least(fits, F.lit(1 - 1e-12)))).where("share > 0")
     end = F.struct((-F.col("share")).alias("short"), (F.col("sun") + F.col("share") * cost).alias("sun"), (F.col("seconds") + F.col("share") * F.col("step")).alias("seconds"), "label")
     best = walked.select("source", F.col("node").alias("from_id"), "to_id", end.alias("end")).groupBy("source", "from_id", "to_id").agg(F.min("end").alias("end"))

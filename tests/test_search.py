@@ -7,9 +7,12 @@ from collections import defaultdict
 
 import pytest
 
-from penumbra.operators import search
+from penumbra.operators import graph, search
 
 SCHEMA = "from_id long, to_id long, seconds double, shade double, series array<double>"
+#: Seconds and shade of edges: two ways of one price, and a walk, which doubles add up to slightly different sums.
+ROUNDED = [(10.0, 0.0), (10.0, 0.4)], [(10.0, 0.0), (30.0, 0.8)]
+WHOLE = [(10.0, 0.4), (10.0, 1.0), (30.0, 0.7)]
 
 
 def lattice(seed, rows=3, columns=4, buckets=3):
@@ -190,3 +193,26 @@ def test_empty_streets_and_starts_without_streets(spark):
     assert [(r.source, r.node) for r in found.labels.collect()] == [(7, 7)]
     assert search.reached(found.labels, none, budget).count() == 0
     assert search.round_trips(none, spark.createDataFrame([(7,)], "source long"), budget, 10.0).count() == 0
+
+
+def test_sums_that_differ_by_rounding_alone_are_equal(spark):
+    """Both ways to node 3 cost the same sun, which doubles add up to a little less on the slower one."""
+    fast, slow = ROUNDED
+    edges = [(0, 1, *fast[0], None), (1, 3, *fast[1], None), (0, 2, *slow[0], None), (2, 3, *slow[1], None)]
+    price = lambda way: sum(seconds * (1 - shade) for seconds, shade in way)
+    assert 0 < price(fast) - price(slow) < 1e-9
+    labels = graph.label_search(spark.createDataFrame(edges, SCHEMA), spark.createDataFrame([(0,)], "source long"), 300.0)
+    assert [r.seconds for r in labels.where("node = 3").collect()] == [sum(seconds for seconds, _ in fast)]
+
+
+@pytest.mark.parametrize("waits", [False, True])
+def test_a_walk_that_takes_the_whole_sun_budget_fits(spark, waits):
+    """The three prices add up to the budget, and in doubles to a little more."""
+    edges = [(i, i + 1, seconds, shade, [shade, shade]) for i, (seconds, shade) in enumerate(WHOLE)]
+    price = sum(seconds * (1 - shade) for seconds, shade in WHOLE)
+    budget = search.Budget(300.0, round(price, 6), 100.0, waits)
+    assert budget.sun < price < budget.sun + 1e-9
+    frame = spark.createDataFrame(edges, SCHEMA)
+    found = search.search(frame, spark.createDataFrame([(0,)], "source long"), budget)
+    assert found.labels.where("node = 3").count() >= 1
+    assert {r.from_id for r in search.reached(found.labels, frame, budget).where("share = 1").collect()} == {0, 1, 2}
