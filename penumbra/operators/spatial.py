@@ -45,9 +45,11 @@ def radius_join(left: DataFrame, right: DataFrame, metres: float) -> DataFrame:
 
 def nearest_join(left: DataFrame, right: DataFrame, left_id: str, right_id: str, metres: float) -> DataFrame:
     """The nearest right point within ``metres`` of every left point, ties to the smaller id; exact up to the cap."""
-    pairs = radius_join(left, right, metres)
-    best = F.min(F.struct("metres", right_id)).alias("b")
-    return pairs.groupBy(left_id).agg(best).select(left_id, F.col(f"b.{right_id}").alias(right_id), F.col("b.metres").alias("metres"))
+    # Points of one place have one nearest, and of right points of one place the smallest id stands for all.
+    at, to = left.select("lon", "lat").distinct(), right.groupBy("lon", "lat").agg(F.min(F.struct(right_id)).alias("_to"))
+    near = radius_join(at, to, metres).groupBy("lon", "lat").agg(F.min(F.struct("metres", F.col(f"_to.{right_id}").alias(right_id))).alias("b"))
+    best = left.select(left_id, "lon", "lat").join(near, ["lon", "lat"]).groupBy(left_id).agg(F.min("b").alias("b"))
+    return best.select(left_id, F.col(f"b.{right_id}").alias(right_id), F.col("b.metres").alias("metres"))
 
 
 def nearest_segment(points: DataFrame, segments: DataFrame, point_id: str, segment_id: str, cap: float) -> DataFrame:
