@@ -54,7 +54,8 @@ def prism_shade(points: DataFrame, prisms: DataFrame, azimuth: float, altitude:
 
     A point is shaded by a prism if the way towards the sun, as long as the prism's shadow, crosses
     its footprint, unless the point lies inside it. The footprint's box is stretched by the shadow,
-    hashed to cells, and joined by equality. A sun at or below the horizon shades everything.
+    hashed to cells, and joined by equality. A sun at or below the horizon shades everything. Points of one
+    place are one point, and of prisms of one outline and opacity the tallest throws the shadow of all.
     """
 
     if altitude <= 0:
@@ -64,13 +65,14 @@ def prism_shade(points: DataFrame, prisms: DataFrame, azimuth: float, altitude:
     xs, ys = F.col("ring.x"), F.col("ring.y")
     along = F.transform("ring", lambda p: p["x"] * ux + p["y"] * uy)
     beside = F.transform("ring", lambda p: p["x"] * uy - p["y"] * ux)
-    boxed = prisms.select(
+    merged = prisms.groupBy("ring", F.coalesce("opacity", F.lit(1.0)).alias("opacity")).agg(F.max("height").alias("height"))
+    boxed = merged.select(
         "ring",
         (F.array_min(along) - 1e-6).alias("ahead0"),
         (F.array_max(along) + 1e-6).alias("ahead1"),
         (F.array_min(beside) - 1e-6).alias("aside0"),
         (F.array_max(beside) + 1e-6).alias("aside1"),
-        F.coalesce("opacity", F.lit(1.0)).alias("opacity"),
+        "opacity",
         reach.alias("reach"),
         *[
             f(g(v), g(v) - reach * u).alias(name)
@@ -80,14 +82,15 @@ def prism_shade(points: DataFrame, prisms: DataFrame, azimuth: float, altitude:
     )
     boxed = boxed.withColumn("_cx", F.explode(F.sequence(geo.grid_cell(F.col("x0"), cell), geo.grid_cell(F.col("x1"), cell))))
     boxed = boxed.withColumn("_cy", F.explode(F.sequence(geo.grid_cell(F.col("y0"), cell), geo.grid_cell(F.col("y1"), cell))))
-    probes = points.withColumn("_cx", geo.grid_cell(F.col("x"), cell)).withColumn("_cy", geo.grid_cell(F.col("y"), cell))
+    places = points.select("x", "y").distinct()
+    probes = places.withColumn("_cx", geo.grid_cell(F.col("x"), cell)).withColumn("_cy", geo.grid_cell(F.col("y"), cell))
     px, py, ring = F.col("x"), F.col("y"), F.col("ring")
     ahead, aside = px * ux + py * uy, px * uy - py * ux
     # The strip's own box first: cheap, and false for most pairs of a cell.
     near = (aside >= F.col("aside0")) & (aside <= F.col("aside1")) & (ahead <= F.col("ahead1")) & (ahead + F.col("reach") >= F.col("ahead0"))
     hit = ~geo.point_in_ring(px, py, ring) & _meets(px, py, px + F.col("reach") * ux, py + F.col("reach") * uy, ring)
-    shaded = probes.join(boxed, ["_cx", "_cy"]).where(near & hit).groupBy(*point_keys).agg(F.max("opacity").alias("shade"))
-    return points.select(*point_keys).join(shaded, point_keys, "left").select(*point_keys, F.coalesce("shade", F.lit(0.0)).alias("shade"))
+    shaded = probes.join(boxed, ["_cx", "_cy"]).where(near & hit).groupBy("x", "y").agg(F.max("opacity").alias("shade"))
+    return points.select(*point_keys, "x", "y").join(shaded, ["x", "y"], "left").select(*point_keys, F.coalesce("shade", F.lit(0.0)).alias("shade"))
 
 
 def edge_shade(edges: DataFrame, prisms: DataFrame, azimuth: float, altitude: float) -> DataFrame:
