@@ -2,7 +2,8 @@
 
 A point meets the walls around it once. A wall seen from a point spans an interval of directions; only the directions within it
 are held against the wall, by the height that it rises to above the horizon there. So what a further instant costs is
-the walls in its own direction, not another search for them.
+the walls in its own direction, not another search for them. Points of one place are one point, prisms of one outline and opacity the
+tallest of them, and a wall is held only against points that its height lets it reach at the lowest ray.
 """
 
 from __future__ import annotations
@@ -13,9 +14,13 @@ from pyspark.sql import functions as F
 from penumbra.functions import clock, exposure, geo
 from penumbra.operators.shade import edge_samples
 from penumbra.operators.spatial import within_rings
+from penumbra.session import cut
 
 #: Farthest wall that counts, in metres; months, quarter hours of a day from 05:00, and the day and year that stand for a month; fixed values.
 PAD_M, MONTHS, DAY_SLOTS, DAY, YEAR = 400.0, 12, 64, 15, 2026
+#: Walls up to this distance are met first, farther ones only by points and slots that no densest prism shades from there; cells that outlines
+#: are hashed to, in metres.
+NEAR_M, RING_CELL_M = 60.0, 32.0
 #: Offsets of a point's probes in metres; fixed values.
 PROBES = [(0.0, 0.0), (-4.0, 0.0), (4.0, 0.0), (0.0, -4.0), (0.0, 4.0)]
 #: Rain lower than this angle docks the confidence of walls by the factor; fixed values.
@@ -50,27 +55,18 @@ def _walls(prisms: DataFrame) -> DataFrame:
     return prisms.select("prism_id", "height", F.coalesce("opacity", F.lit(1.0)).alias("opacity"), sides.alias("s")).select("prism_id", "height", "opacity", "s.*")
 
 
-def sweep(points: DataFrame, prisms: DataFrame, directions: DataFrame, keys: list[str], pad: float = PAD_M) -> DataFrame:
-    """Where a point lies in the lee: ``keys, slot, opacity``, a row a point and slot with any, the densest prism in the way.
-
-    ``points`` has ``keys, cell, x, y`` in metres; ``prisms`` has ``prism_id, ring, height, opacity`` (null: opaque); ``directions`` has ``cell, slot,
-    azimuth, altitude`` in degrees. A prism is in the way if the ray towards the azimuth crosses its outline within ``pad`` metres
-    where the prism is higher than the ray. A prism that the point lies in doesn't count. Slots with an altitude of 0 or less have no
-    rows. Walls are repeated for the cells of the size of the pad that they can reach, points lie in one cell each.
-    """
-    size = max(pad, 1.0)
-    lit = directions.where("altitude > 0").select(
-        "cell", "slot", F.sin(F.radians("azimuth")).alias("ux"), F.cos(F.radians("azimuth")).alias("uy"), F.tan(F.radians("altitude")).alias("slope"), F.floor(F.pmod("azimuth", F.lit(360.0))).cast("int").alias("degree")
-    )
-    within = within_rings(points.select(*keys, "x", "y"), prisms.select("prism_id", "ring"), size).groupBy(keys).agg(F.collect_set("prism_id").alias("inside"))
-    at = points.select(*keys, "cell", "x", "y").join(within, keys, "left").withColumn("_cx", geo.grid_cell(F.col("x"), size)).withColumn("_cy", geo.grid_cell(F.col("y"), size))
-    walls = _walls(prisms)
+def _lee(at: DataFrame, walls: DataFrame, lit: DataFrame, by: list[str], reach: float) -> DataFrame:
+    """``cell, x, y, slot, opacity``: the densest wall within ``reach`` in the way of every place ``cell, x, y, inside`` in the directions ``lit``, which
+    meet the places by ``by`` and the degree."""
+    size, reaches = max(reach, 1.0), F.least("reach", F.lit(reach)) + 1e-6
+    walls = walls.withColumn("reach", reaches)
+    at = at.withColumn("_cx", geo.grid_cell(F.col("x"), size)).withColumn("_cy", geo.grid_cell(F.col("y"), size))
     for cell, a, b in (("_cx", "ax", "bx"), ("_cy", "ay", "by")):
-        walls = walls.withColumn(cell, F.explode(F.sequence(geo.grid_cell(F.least(a, b) - pad, size), geo.grid_cell(F.greatest(a, b) + pad, size))))
+        walls = walls.withColumn(cell, F.explode(F.sequence(geo.grid_cell(F.least(a, b) - F.col("reach"), size), geo.grid_cell(F.greatest(a, b) + F.col("reach"), size))))
     _, away = geo.project_on_segment(*map(F.col, ("x", "y", "ax", "ay", "bx", "by")))
-    met = at.join(walls, ["_cx", "_cy"]).where((away <= pad) & ~F.coalesce(F.array_contains("inside", F.col("prism_id")), F.lit(False)))
+    met = at.join(walls, ["_cx", "_cy"]).where((away <= F.col("reach")) & ~F.coalesce(F.array_contains("inside", F.col("prism_id")), F.lit(False)))
     # From here on the wall's ends are seen from the point.
-    met = met.select(*keys, "cell", "height", "opacity", (F.col("ax") - F.col("x")).alias("ax"), (F.col("ay") - F.col("y")).alias("ay"), (F.col("bx") - F.col("ax")).alias("ex"), (F.col("by") - F.col("ay")).alias("ey"))
+    met = met.select("cell", "x", "y", "height", "opacity", (F.col("ax") - F.col("x")).alias("ax"), (F.col("ay") - F.col("y")).alias("ay"), (F.col("bx") - F.col("ax")).alias("ex"), (F.col("by") - F.col("ay")).alias("ey"))
     seen = lambda x, y: F.pmod(F.degrees(F.atan2(x, y)), F.lit(360.0))
     ends = met.select("*", F.inline(F.array(F.struct(seen(F.col("ax"), F.col("ay")).alias("_a"), seen(F.col("ax") + F.col("ex"), F.col("ay") + F.col("ey")).alias("_b")))))
     turn = F.pmod(F.col("_b") - F.col("_a"), F.lit(360.0))
@@ -79,8 +75,42 @@ def sweep(points: DataFrame, prisms: DataFrame, directions: DataFrame, keys: lis
     cross = F.col("ux") * F.col("ey") - F.col("uy") * F.col("ex")
     d = (F.col("ax") * F.col("ey") - F.col("ay") * F.col("ex")) / F.nullif(cross, F.lit(0.0))
     s = (F.col("ax") * F.col("uy") - F.col("ay") * F.col("ux")) / F.nullif(cross, F.lit(0.0))
-    hit = (F.col("s") >= 0) & (F.col("s") < 1) & (F.col("d") > 0) & (F.col("d") <= pad) & (F.col("height") > F.col("d") * F.col("slope"))
-    return spread.join(lit, ["cell", "degree"]).select("*", F.inline(F.array(F.struct(s.alias("s"), d.alias("d"))))).where(hit).groupBy(*keys, "slot").agg(F.max("opacity").alias("opacity"))
+    hit = (F.col("s") >= 0) & (F.col("s") < 1) & (F.col("d") > 0) & (F.col("d") <= reach) & (F.col("height") > F.col("d") * F.col("slope"))
+    return spread.join(lit, [*by, "degree"]).select("*", F.inline(F.array(F.struct(s.alias("s"), d.alias("d"))))).where(hit).groupBy("cell", "x", "y", "slot").agg(F.max("opacity").alias("opacity"))
+
+
+def sweep(points: DataFrame, prisms: DataFrame, directions: DataFrame, keys: list[str], pad: float = PAD_M) -> DataFrame:
+    """Where a point lies in the lee: ``keys, slot, opacity``, a row a point and slot with any, the densest prism in the way.
+
+    ``points`` has ``keys, cell, x, y`` in metres; ``prisms`` has ``prism_id, ring, height, opacity`` (null: opaque); ``directions`` has ``cell, slot,
+    azimuth, altitude`` in degrees. A prism is in the way if the ray towards the azimuth crosses its outline within ``pad`` metres
+    where the prism is higher than the ray. A prism that the point lies in doesn't count. Slots with an altitude of 0 or less have no
+    rows. Walls are repeated for the cells of the size of their reach, points lie in one cell each.
+    """
+    lit = directions.where("altitude > 0").select(
+        "cell", "slot", F.sin(F.radians("azimuth")).alias("ux"), F.cos(F.radians("azimuth")).alias("uy"), F.tan(F.radians("altitude")).alias("slope"), F.floor(F.pmod("azimuth", F.lit(360.0))).cast("int").alias("degree")
+    )
+    # Of one outline and opacity the tallest prism is in the way wherever another is.
+    tallest = prisms.groupBy("ring", F.coalesce("opacity", F.lit(1.0)).alias("opacity")).agg(F.max("height").alias("height"), F.min("prism_id").alias("prism_id"))
+    merged = cut(tallest.where("height > 0"))
+    place = ["cell", "x", "y"]
+    places = points.select(*place).distinct()
+    within = within_rings(places.select("x", "y").distinct(), merged.select("prism_id", "ring"), RING_CELL_M).groupBy("x", "y").agg(F.collect_set("prism_id").alias("inside"))
+    at = cut(places.join(within, ["x", "y"], "left"))
+    lowest = lit.agg(F.min("slope")).first()[0] or 1.0
+    dense, tall = merged.agg(F.max("opacity"), F.max("height")).first()
+    walls = _walls(merged).withColumn("reach", F.least(F.lit(float(pad)), F.col("height") / lowest))
+    near = min(NEAR_M, pad)
+    lee = _lee(at, walls, lit, ["cell"], near)
+    if tall is not None and near < min(pad, tall / lowest):
+        lee = cut(lee)
+        # What may still change: rays that pass below the tallest prism beyond, where the densest isn't in the way already.
+        long = at.select(*place).join(lit.where(F.col("slope") * near < tall), "cell")
+        open_ = cut(long.join(lee.where(F.col("opacity") >= dense).select(*place, "slot"), [*place, "slot"], "left_anti"))
+        left = at.join(open_.select(*place).distinct(), place, "left_semi")
+        far = _lee(left, walls.where(F.col("reach") > near), open_, place, pad)
+        lee = lee.union(far).groupBy(*place, "slot").agg(F.max("opacity").alias("opacity"))
+    return points.select(*keys, *place).join(lee, place).select(*keys, "slot", "opacity")
 
 
 def edge_sweep(edges: DataFrame, prisms: DataFrame, directions: DataFrame, night: float = 1.0, pad: float = PAD_M) -> DataFrame:
