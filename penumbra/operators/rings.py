@@ -151,12 +151,17 @@ def point_in_polygon(x: Column, y: Column, outer: Column, holes: Column) -> Colu
 
 
 def polygon_owner(points: DataFrame, polygons: DataFrame, point_id: str, polygon_id: str, size: float) -> DataFrame:
-    """``(point_id, polygon_id)``: the smallest polygon (by area, then id) whose ``ring`` without its ``holes`` holds the point ``x, y``."""
+    """``(point_id, polygon_id)``: the smallest polygon (by area, then id) whose ``ring`` without its ``holes`` holds the point ``x, y``.
+
+    Points of one place are looked up once, and of polygons with the same rings the smallest id stands for all.
+    """
     xs, ys = F.col("ring.x"), F.col("ring.y")
-    laid = polygons.select(polygon_id, "ring", "holes", F.abs(geo.ring_area(F.col("ring"))).alias("_area"))
+    merged = polygons.groupBy("ring", "holes").agg(F.min(F.struct(polygon_id)).alias("_of")).select(F.col(f"_of.{polygon_id}").alias(polygon_id), "ring", "holes")
+    laid = merged.select(polygon_id, "ring", "holes", F.abs(geo.ring_area(F.col("ring"))).alias("_area"))
     for cell, v in (("_cx", xs), ("_cy", ys)):
         laid = laid.withColumn(cell, F.explode(F.sequence(geo.grid_cell(F.array_min(v), size), geo.grid_cell(F.array_max(v), size))))
-    probes = points.withColumn("_cx", geo.grid_cell(F.col("x"), size)).withColumn("_cy", geo.grid_cell(F.col("y"), size))
+    probes = points.select("x", "y").distinct().withColumn("_cx", geo.grid_cell(F.col("x"), size)).withColumn("_cy", geo.grid_cell(F.col("y"), size))
     held = probes.join(laid, ["_cx", "_cy"]).where(point_in_polygon(F.col("x"), F.col("y"), F.col("ring"), F.col("holes")))
-    best = held.groupBy(point_id).agg(F.min(F.struct("_area", polygon_id)).alias("b"))
+    owner = held.groupBy("x", "y").agg(F.min(F.struct("_area", polygon_id)).alias("b"))
+    best = points.select(point_id, "x", "y").join(owner, ["x", "y"]).groupBy(point_id).agg(F.min("b").alias("b"))
     return best.select(point_id, F.col(f"b.{polygon_id}").alias(polygon_id))
