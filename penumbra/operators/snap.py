@@ -115,8 +115,8 @@ def nearest_any(left: DataFrame, right: DataFrame, left_id: str, right_id: str,
 
     Right points lie in cubes in space, cubes in larger ones of four times the size, up to the whole earth. A left point goes down from the
     largest: of every cube one point's distance is an upper bound and the cube's own a lower one, and only cubes that may hold the
-    nearest are opened. So a far cluster costs a left point a few cubes a level, not its points. Points without coordinates are left
-    out; without right points the result is empty.
+    nearest are opened. So a far cluster costs a left point a few cubes a level, not its points. Points of one place go down as one, and of
+    right points of one place the smallest id stands for all. Points without coordinates are left out; without right points the result is empty.
     """
     from penumbra.operators.spatial import _on_sphere
 
@@ -131,12 +131,13 @@ def nearest_any(left: DataFrame, right: DataFrame, left_id: str, right_id: str,
     def cube(size: float) -> Column:
         return F.struct(*(F.floor(F.col(a) / size).cast("long").alias(a) for a in axes))
 
-    there = cut(placed(right, right_id).withColumn("_cube", cube(sizes[0])))
+    merged = right.groupBy("lon", "lat").agg(F.min(F.struct(right_id)).alias("_to")).select(F.col(f"_to.{right_id}").alias(right_id), "lon", "lat")
+    there = cut(placed(merged, right_id).withColumn("_cube", cube(sizes[0])))
     levels = [cut(there.groupBy("_cube").agg(F.min(F.struct(*axes)).alias("_one")))]
     for _ in sizes[1:]:
         up = F.struct(*(F.floor(F.col(f"_cube.{a}") / 4).cast("long").alias(a) for a in axes))
         levels.append(cut(levels[-1].groupBy(up.alias("_cube")).agg(F.min("_one").alias("_one"))))
-    here = placed(left, left_id)
+    here = placed(left.select("lon", "lat").distinct())
     # The largest cubes are the eight around the earth's middle.
     corners = F.array(*(F.struct(*(F.lit(c).cast("long").alias(a) for c, a in zip(cs, axes, strict=True))) for cs in product((-1, 0), repeat=3)))
     open_ = here.withColumn("_cube", F.explode(corners))
@@ -145,7 +146,7 @@ def nearest_any(left: DataFrame, right: DataFrame, left_id: str, right_id: str,
         far = lambda a, size=size: F.greatest(F.col(f"_cube.{a}") * size - F.col(a), F.col(a) - (F.col(f"_cube.{a}") + 1) * size, F.lit(0.0))
         length = lambda part: F.sqrt(sum((part(a) * part(a) for a in axes[1:]), part(axes[0]) * part(axes[0])))
         met = open_.join(cubes, "_cube").withColumn("_low", length(far)).withColumn("_high", length(lambda a: F.col(a) - F.col(f"_one.{a}")))
-        best = F.min("_high").over(Window.partitionBy(left_id, "lon", "lat"))
+        best = F.min("_high").over(Window.partitionBy("lon", "lat"))
         kept = met.withColumn("_best", best).where(F.col("_low") <= F.col("_best") * (1 + 1e-9) + 1e-3).drop("_low", "_high", "_best", "_one")
         if level:
             below = levels[level - 1].select(F.struct(*(F.floor(F.col(f"_cube.{a}") / 4).cast("long").alias(a) for a in axes)).alias("_cube"), F.col("_cube").alias("_child"))
@@ -154,4 +155,6 @@ def nearest_any(left: DataFrame, right: DataFrame, left_id: str, right_id: str,
     points = there.select("_cube", right_id, F.col("lon").alias("_lon"), F.col("lat").alias("_lat"))
     away = geo.haversine(F.col("lon"), F.col("lat"), F.col("_lon"), F.col("_lat"))
     best = F.min(F.struct(away.alias("metres"), right_id)).alias("b")
-    return open_.join(points, "_cube").groupBy(left_id).agg(best).select(left_id, F.col(f"b.{right_id}").alias(right_id), F.col("b.metres").alias("metres"))
+    near = open_.join(points, "_cube").groupBy("lon", "lat").agg(best)
+    found = left.select(left_id, "lon", "lat").join(near, ["lon", "lat"]).groupBy(left_id).agg(F.min("b").alias("b"))
+    return found.select(left_id, F.col(f"b.{right_id}").alias(right_id), F.col("b.metres").alias("metres"))
