@@ -20,6 +20,8 @@ from penumbra.llm.tokens import file_encoder
 
 #: Short pieces that a packing group holds on average.
 GROUP_PIECES = 4096
+#: Bytes of text that a task encodes at once; arrays over all their places and pieces are held beside them.
+SLICE = 1 << 20
 COLUMNS = ["doc_id", "piece", "start", "length", "ids", "sequence_id", "offset"]
 
 
@@ -85,7 +87,7 @@ def _cut(path: str, end_id: int, window: int, dtype: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end = file_encoder(path), np.array([end_id], np.uint32)
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, size=SLICE):
                 rows = []
                 for doc_id, raw in zip(part.column("doc_id").to_pylist(), encode(part.column("text")), strict=True):
                     ids = np.append(np.frombuffer(raw.as_buffer(), np.uint32), end).astype(dtype)

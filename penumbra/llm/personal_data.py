@@ -245,6 +245,8 @@ def all_spans(text: str) -> tuple[list[Span], list[Span]]:
     return base, added
 
 
+#: Bytes of text that a task redacts at once.
+SLICE = 1 << 20
 _SPANS = "array<struct<kind:string,start:bigint,end:bigint,base:boolean,value:string>>"
 _ARROW_SPAN = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("base", pa.bool_()), ("value", pa.string())])
 
@@ -297,7 +299,7 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for whole in batches for part in slices(whole, at)):
+        for batch in (part for whole in batches for part in slices(whole, at, SLICE)):
             texts = [None if t is None else redact_text(t) for t in batch.column(at).to_pylist()]
             columns = list(batch.columns)
             columns[at] = pa.array(texts, pa.string())
