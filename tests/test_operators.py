@@ -352,3 +352,29 @@ def test_graph_keeps_steps_between_nodes_of_one_place_where_asked(spark):
     steps = lambda least: {(r.from_id, r.to_id) for r in graph.build_graph(ways, nodes, least).collect()}
     assert steps(None) == {(2, 3), (3, 2)}
     assert steps(0.0) == {(1, 2), (2, 1), (2, 3), (3, 2)}
+
+
+def test_nearest_vectors_of_many_blocks_against_brute_force(spark):
+    import random
+
+    draw = random.Random(5)
+    vectors = [[draw.choice([-1.0, 0.0, 0.1, 0.2, 1e6]) for _ in range(4)] for _ in range(300)]
+    vectors += [vectors[7]] * 40 + [None, [1.0, None, 0.0, 0.0], [1.0], [0.1, 0.2, 0.3, 1e200]]
+    rows = list(enumerate(vectors))
+    frame = spark.createDataFrame(rows, "id long, v array<double>")
+    queries = frame.where("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("v").alias("q"))
+    found = {(r.query_id, r.rank): (r.id, r.distance) for r in topk.nearest_vectors(queries, frame, 6, block=64).collect()}
+
+    def away(a, b):
+        if a is None or b is None or len(b) != 4 or None in a or None in b:
+            return math.inf, None
+        total = 0.0
+        for x, y in zip(a, b, strict=True):
+            total += (x - y) * (x - y)
+        return total, total
+
+    expected = {}
+    for i, q in rows[::20]:
+        best = sorted((*away(q, v)[:1], j, away(q, v)[1]) for j, v in rows if j != i)[:6]
+        expected |= {(i, n + 1): (j, d) for n, (_, j, d) in enumerate(best)}
+    assert found == expected
