@@ -2,24 +2,38 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def nearest_in_time(left: DataFrame, right: DataFrame, left_id: str, left_time: Column, right_time: Column, columns: list[str], window: float, required: str | None = None) -> DataFrame:
     """Each left row with the right row nearest in time (seconds) within ``window``, the earlier one on ties.
 
-    Right rows without the ``required`` column don't count. Times are hashed to cells of the window's
-    length and a right row is repeated for the neighbouring cells, so the join is an equality join.
+    Right rows without the ``required`` column don't count. Only different instants meet: times are cut to cells of the window's
+    length, inside a cell a window carries the last instant before and the first one after, and each cell gets
+    those at the edges of its two neighbours. So work grows with the rows, however many lie within a window.
     """
-    a = left.select(left_id, left_time.alias("_t")).withColumn("_cell", F.floor(F.col("_t") / window).cast("long"))
+    a = left.select(left_id, left_time.alias("_t"))
     b = right.where(F.col(required).isNotNull()) if required else right
-    b = b.select(right_time.alias("right_time"), *columns).withColumn(
-        "_cell", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.floor(F.col("right_time") / window).cast("long") + d))
+    cell = F.floor(F.col("_t") / window).cast("long")
+    # Of right rows of one instant the smallest stands for all.
+    there = b.select(right_time.alias("_t"), F.struct(right_time.alias("right_time"), *columns).alias("_r")).where("_t is not null")
+    there = there.groupBy("_t").agg(F.min("_r").alias("_r"))
+    asked = a.where("_t is not null").select("_t").distinct()
+    instants = there.withColumn("_asked", F.lit(False)).unionByName(asked.withColumn("_asked", F.lit(True)), allowMissingColumns=True)
+    instants = instants.groupBy("_t").agg(F.max("_r").alias("_r"), F.max("_asked").alias("_asked")).withColumn("_cell", cell)
+    edges = there.groupBy(cell.alias("_cell")).agg(F.min("_r").alias("_first"), F.max("_r").alias("_last"))
+    on = lambda order: F.last("_r", True).over(Window.partitionBy("_cell").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    near = (
+        instants.withColumn("_before", on(F.asc("_t")))
+        .withColumn("_after", on(F.desc("_t")))
+        .where("_asked")
+        .join(edges.select((F.col("_cell") + 1).alias("_cell"), F.col("_last").alias("_left")), "_cell", "left")
+        .join(edges.select((F.col("_cell") - 1).alias("_cell"), F.col("_first").alias("_right")), "_cell", "left")
     )
-    away = F.abs(F.col("_t") - F.col("right_time"))
-    best = F.min(F.struct(away.alias("away"), "right_time", *columns))
-    met = a.join(b, "_cell").where(away <= window).groupBy(left_id).agg(best.alias("b"))
+    to = lambda r: F.when(F.abs(F.col("_t") - r["right_time"]) <= window, F.struct(F.abs(F.col("_t") - r["right_time"]).alias("away"), r["right_time"].alias("right_time"), *(r[c].alias(c) for c in columns)))
+    best = F.array_min(F.array_compact(F.array(*(to(F.col(c)) for c in ("_before", "_after", "_left", "_right")))))
+    met = a.join(near.select("_t", best.alias("b")).where("b is not null"), "_t").groupBy(left_id).agg(F.min("b").alias("b"))
     return a.select(left_id).join(met, left_id, "left").select(
         left_id, F.col("b.right_time").alias("right_time"), F.col("b.away").alias("away"), *[F.col(f"b.{c}").alias(c) for c in columns]
     )

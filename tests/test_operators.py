@@ -378,3 +378,16 @@ def test_nearest_vectors_of_many_blocks_against_brute_force(spark):
         best = sorted((*away(q, v)[:1], j, away(q, v)[1]) for j, v in rows if j != i)[:6]
         expected |= {(i, n + 1): (j, d) for n, (_, j, d) in enumerate(best)}
     assert found == expected
+
+
+def test_nearest_in_time_pairs_no_rows_of_a_window(spark):
+    # Twenty thousand instants within one window, three rows each: a join on cells would pair 1.2 billion rows.
+    left = spark.range(20000).select("id", (F.col("id") * 0.25).alias("t"))
+    right = spark.range(60000).select((F.floor(F.col("id") / 3) * 0.25 + F.when(F.col("id") % 2 == 0, 0.0625).otherwise(-0.0625)).alias("t"), F.col("id").alias("v"))
+    got = temporal.nearest_in_time(left, right, "id", F.col("t"), F.col("t"), ["v"], 5400.0, required="v")
+    assert got.where("away = 0.0625").count() == 20000
+    # The earlier of two as near, and of one instant the smallest value.
+    assert [tuple(r) for r in got.where("id in (0, 1, 2)").orderBy("id").collect()] == [(0, -0.0625, 0.0625, 1), (1, 0.1875, 0.0625, 3), (2, 0.4375, 0.0625, 7)]
+    edge = spark.createDataFrame([(1, 5400.0), (2, -1.0), (3, None)], "id int, t double")
+    some = spark.createDataFrame([(0.0, 1), (10800.0, 2), (-5401.0, 3), (None, 4)], "t double, v int")
+    assert sorted(tuple(r) for r in temporal.nearest_in_time(edge, some, "id", F.col("t"), F.col("t"), ["v"], 5400.0).collect()) == [(1, 0.0, 5400.0, 1), (2, 0.0, 1.0, 1), (3, None, None, None)]
