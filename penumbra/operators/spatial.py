@@ -25,22 +25,51 @@ def _on_sphere(lon: Column, lat: Column) -> list[Column]:
     return [r * F.cos(phi) * F.cos(lam), r * F.cos(phi) * F.sin(lam), r * F.sin(phi)]
 
 
-def radius_join(left: DataFrame, right: DataFrame, metres: float) -> DataFrame:
-    """All pairs of points at most ``metres`` apart, with ``metres``.
+#: Rows of one place that lie in one array, so that no array grows with a hot place.
+_PACK = 4096
+
+
+def _packed(df: DataFrame, key: list[str], name: str) -> DataFrame:
+    """Different ``key`` values with the other columns of their rows as arrays ``name``, of 4,096 rows at most each."""
+    place = F.floor((F.row_number().over(Window.partitionBy(*key).orderBy(*key)) - 1) / _PACK)
+    rest = F.struct(*(c for c in df.columns if c not in key)) if len(df.columns) > len(key) else F.struct(F.lit(True).alias("_one"))
+    numbered = df.withColumn("_pack", place)
+    return numbered.groupBy(*key, "_pack").agg(F.collect_list(rest).alias(name)).drop("_pack")
+
+
+def _spread(df: DataFrame, key: list[str]) -> DataFrame:
+    """``df`` over all shuffle partitions by ``key``: few bytes here are much work, so partitions mustn't be joined by their size."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *key)
+
+
+def _unpacked(met: DataFrame, left: DataFrame, key: list[str], name: str, right_columns: list[str], more: list[str]) -> DataFrame:
+    """Rows of ``left`` with all rows of the arrays that their ``key`` has met: nothing is tested or shuffled a pair of rows."""
+    pairs = left.join(_spread(met, key), key).select(*left.columns, *more, F.explode(name).alias("_row"))
+    return pairs.select(*left.columns, *(c if c in more else F.col(f"_row.{c}").alias(c) for c in right_columns), *(c for c in more if c not in right_columns))
+
+
+def radius_join(left: DataFrame, right: DataFrame, metres: float, digits: int | None = None) -> DataFrame:
+    """All pairs of points at most ``metres`` apart, with ``metres``, rounded to ``digits`` if given.
 
     Both sides have ``lon`` and ``lat`` and otherwise distinct columns; the right side's become ``right_lon`` and ``right_lat``.
     Cells are cubes in space of twice the distance, so poles and the date line need no care: a right point is repeated for the
-    cubes, eight at most, that its surroundings meet.
+    cubes, eight at most, that its surroundings meet. Places meet once, however many points share them; then each left point gets
+    the points of the places that its own has met.
     """
     reach = metres * 1.01 + 1e-3
     size = reach * 2
     names = ["_cx", "_cy", "_cz"]
-    one = left.select("*", *(geo.grid_cell(v, size).alias(n) for v, n in zip(_on_sphere(F.col("lon"), F.col("lat")), names, strict=True)))
-    two = right.withColumnRenamed("lon", "right_lon").withColumnRenamed("lat", "right_lat")
+    at = left.select("lon", "lat").distinct()
+    one = at.select("*", *(geo.grid_cell(v, size).alias(n) for v, n in zip(_on_sphere(F.col("lon"), F.col("lat")), names, strict=True)))
+    renamed = right.withColumnRenamed("lon", "right_lon").withColumnRenamed("lat", "right_lat")
+    two = _packed(renamed, ["right_lon", "right_lat"], "_rows")
     for v, n in zip(_on_sphere(F.col("right_lon"), F.col("right_lat")), names, strict=True):
         two = two.withColumn(n, F.explode(F.sequence(geo.grid_cell(v - reach, size), geo.grid_cell(v + reach, size))))
     away = geo.haversine(F.col("lon"), F.col("lat"), F.col("right_lon"), F.col("right_lat"))
-    return one.join(two, names).drop(*names).withColumn("metres", away).where(F.col("metres") <= metres)
+    met = _spread(one, names).join(_spread(two, names), names).drop(*names).withColumn("metres", away).where(F.col("metres") <= metres)
+    if digits is not None:
+        met = met.withColumn("metres", F.round("metres", digits))  # once two places, not once a pair
+    return _unpacked(met, left, ["lon", "lat"], "_rows", renamed.columns, ["right_lon", "right_lat", "metres"])
 
 
 def nearest_join(left: DataFrame, right: DataFrame, left_id: str, right_id: str, metres: float) -> DataFrame:
@@ -79,27 +108,31 @@ def nearest_segment(points: DataFrame, segments: DataFrame, point_id: str, segme
 
 
 def within_rings(points: DataFrame, shapes: DataFrame, size: float) -> DataFrame:
-    """Pairs of points ``x, y`` and shapes whose ``ring`` (array of {x, y}) holds them."""
+    """Pairs of points ``x, y`` and shapes whose ``ring`` (array of {x, y}) holds them. Places and rings meet once, however many share them."""
     xs, ys = F.col("ring.x"), F.col("ring.y")
-    boxes = _cells(shapes, F.array_min(xs), F.array_max(xs), F.array_min(ys), F.array_max(ys), size)
-    probes = points.withColumn("_cx", geo.grid_cell(F.col("x"), size)).withColumn("_cy", geo.grid_cell(F.col("y"), size))
-    return probes.join(boxes, ["_cx", "_cy"]).where(geo.point_in_ring(F.col("x"), F.col("y"), F.col("ring"))).drop("_cx", "_cy")
+    boxes = _cells(_packed(shapes, ["ring"], "_rows"), F.array_min(xs), F.array_max(xs), F.array_min(ys), F.array_max(ys), size)
+    places = points.select("x", "y").distinct()
+    probes = places.withColumn("_cx", geo.grid_cell(F.col("x"), size)).withColumn("_cy", geo.grid_cell(F.col("y"), size))
+    met = _spread(probes, ["_cx", "_cy"]).join(_spread(boxes, ["_cx", "_cy"]), ["_cx", "_cy"]).where(geo.point_in_ring(F.col("x"), F.col("y"), F.col("ring"))).drop("_cx", "_cy")
+    return _unpacked(met, points, ["x", "y"], "_rows", shapes.columns, ["ring"])
 
 
 def box_join(queries: DataFrame, shards: DataFrame, size: float) -> DataFrame:
     """Pairs of boxes that meet. Both sides have ``south, west, north, east``; the right side's get the prefix ``shard_``.
 
-    Boxes meet in the cells that both cover; of these only the lowest common one gives the pair.
+    Boxes meet in the cells that both cover; of these only the lowest common one gives the pair. Equal boxes meet once, however many there are.
     """
     names = ["south", "west", "north", "east"]
     right = shards.withColumnsRenamed({n: f"shard_{n}" for n in names})
-    a = _cells(queries, F.col("west"), F.col("east"), F.col("south"), F.col("north"), size)
-    b = _cells(right, F.col("shard_west"), F.col("shard_east"), F.col("shard_south"), F.col("shard_north"), size)
+    a = _cells(queries.select(*names).distinct(), F.col("west"), F.col("east"), F.col("south"), F.col("north"), size)
+    b = _packed(right, [f"shard_{n}" for n in names], "_rows")
+    b = _cells(b, F.col("shard_west"), F.col("shard_east"), F.col("shard_south"), F.col("shard_north"), size)
     first = (F.col("_cx") == geo.grid_cell(F.greatest("west", "shard_west"), size)) & (
         F.col("_cy") == geo.grid_cell(F.greatest("south", "shard_south"), size)
     )
     meet = geo.boxes_meet([F.col(n) for n in names], [F.col(f"shard_{n}") for n in names])
-    return a.join(b, ["_cx", "_cy"]).where(first & meet).drop("_cx", "_cy")
+    met = _spread(a, ["_cx", "_cy"]).join(_spread(b, ["_cx", "_cy"]), ["_cx", "_cy"]).where(first & meet).drop("_cx", "_cy")
+    return _unpacked(met, queries, names, "_rows", right.columns, [f"shard_{n}" for n in names])
 
 
 def tile_shards(edges: DataFrame, zoom: int) -> DataFrame:

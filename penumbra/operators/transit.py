@@ -113,12 +113,12 @@ def boarding_wait(headway: Column, has_service: Column) -> Column:
     return F.when(~has_service, F.lit(None).cast("double")).otherwise(F.coalesce(headway / 2.0, F.lit(0.0)))
 
 
-def walk_transfers(stations: DataFrame, stops: DataFrame, metres: float = 200.0) -> DataFrame:
-    """Transfers in both directions between stations and stops (``stop_id, lon, lat``) at most ``metres`` apart."""
+def walk_transfers(stations: DataFrame, stops: DataFrame, metres: float = 200.0, digits: int | None = None) -> DataFrame:
+    """Transfers in both directions between stations and stops (``stop_id, lon, lat``) at most ``metres`` apart, rounded to ``digits`` if given."""
     a = stations.select(F.col("stop_id").alias("from_id"), "lon", "lat")
     b = stops.select(F.col("stop_id").alias("to_id"), "lon", "lat")
-    one = radius_join(a, b, metres).select("from_id", "to_id", "metres")
-    return one.union(one.select("to_id", "from_id", "metres"))
+    way = lambda x, y: F.struct(F.col(x).alias("from_id"), F.col(y).alias("to_id"), "metres")
+    return radius_join(a, b, metres, digits).select(F.inline(F.array(way("from_id", "to_id"), way("to_id", "from_id"))))
 
 
 def boarding_graph(rides: DataFrame, headway: DataFrame, transfers: DataFrame, changes: DataFrame, boardings: int = 5) -> DataFrame:

@@ -74,8 +74,7 @@ SELECT s AS from_id, c AS to_id, metres FROM m UNION ALL SELECT c, s, metres FRO
 def walk_transfers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Transfers in both directions between suppliers and customers read as stations and stops."""
     named = lambda t, k, c: _points(spark, sf_dir, t, k).withColumn("stop_id", F.concat(F.lit(c), F.col(k).cast("string")))
-    out = transit.walk_transfers(named("supplier", "s_suppkey", "S"), named("customer", "c_custkey", "C"), 1500.0)
-    return out.withColumn("metres", F.round("metres", 4))
+    return transit.walk_transfers(named("supplier", "s_suppkey", "S"), named("customer", "c_custkey", "C"), 1500.0, 4)
 
 
 @register("""

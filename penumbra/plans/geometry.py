@@ -48,8 +48,8 @@ SELECT c_custkey, s_suppkey, round({_haversine('lon', 'lat', 'slon', 'slat')}, 4
 """)
 def radius_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers and suppliers at most two kilometres apart."""
-    pairs = spatial.radius_join(_points(spark, sf_dir, "customer", "c_custkey"), _points(spark, sf_dir, "supplier", "s_suppkey"), 2000.0)
-    return pairs.select("c_custkey", "s_suppkey", F.round("metres", 4).alias("metres"))
+    pairs = spatial.radius_join(_points(spark, sf_dir, "customer", "c_custkey"), _points(spark, sf_dir, "supplier", "s_suppkey"), 2000.0, 4)
+    return pairs.select("c_custkey", "s_suppkey", "metres")
 
 
 @register(f"""

@@ -391,3 +391,19 @@ def test_nearest_in_time_pairs_no_rows_of_a_window(spark):
     edge = spark.createDataFrame([(1, 5400.0), (2, -1.0), (3, None)], "id int, t double")
     some = spark.createDataFrame([(0.0, 1), (10800.0, 2), (-5401.0, 3), (None, 4)], "t double, v int")
     assert sorted(tuple(r) for r in temporal.nearest_in_time(edge, some, "id", F.col("t"), F.col("t"), ["v"], 5400.0).collect()) == [(1, 0.0, 5400.0, 1), (2, 0.0, 1.0, 1), (3, None, None, None)]
+
+
+def test_pairs_of_copies_share_one_meeting(spark):
+    """Forty thousand pairs from two places: the distance is worked out once, and every copy has its pair."""
+    a = spark.range(200).select(F.col("id").alias("a"), F.lit(0.0).alias("lon"), F.lit(0.0).alias("lat"))
+    b = spark.range(200).select(F.col("id").alias("b"), F.lit(0.0).alias("lon"), F.lit(0.0005).alias("lat"))
+    pairs = spatial.radius_join(a, b, 100.0)
+    assert pairs.columns == ["a", "lon", "lat", "b", "right_lon", "right_lat", "metres"]
+    assert pairs.select("a", "b").distinct().count() == pairs.count() == 40000
+    text = pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate explode(_rows" in text  # the pairs come from lists of a place's points
+    box = lambda n, at: spark.range(50).select(F.col("id").alias(n), *(F.lit(at + d).alias(c) for c, d in (("south", 0.0), ("west", 0.0), ("north", 1.0), ("east", 1.0))))
+    assert spatial.box_join(box("a", 0.0), box("b", 0.5), 0.4).select("a", "b").distinct().count() == 2500
+    ring = F.array(*(F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in ((0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 1.0))))
+    held = spatial.within_rings(spark.range(30).select("id", F.lit(0.5).alias("x"), F.lit(0.5).alias("y")), spark.range(30).select(F.col("id").alias("s"), ring.alias("ring")), 1.0)
+    assert sorted(held.columns) == ["id", "ring", "s", "x", "y"] and held.select("id", "s").distinct().count() == held.count() == 900
