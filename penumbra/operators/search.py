@@ -31,12 +31,12 @@ def shade_at(seconds: Column, series: Column, static: Column, bucket_seconds: fl
     return F.when(series.isNotNull() & (F.size(series) > 0), F.element_at(series, F.greatest(place, F.lit(1)))).otherwise(static)
 
 
-def least(edges: DataFrame, starts: DataFrame, limit: float | None, rounds: int = 10_000) -> DataFrame:
+def least(edges: DataFrame, starts: DataFrame, limit: float | None, rounds: int = 10_000, hops: int | None = None) -> DataFrame:
     """``(source, node, cost, before)``: the least sum of ``cost`` over ``edges(from_id, to_id, cost)`` from each start, up to
     ``limit``, and the node before (null at the start; of equal costs the smallest). Costs may be 0 but not negative.
 
     ``starts`` has ``source`` and may have ``node`` and ``cost``, several a source: what it takes to step onto the graph there.
-    Without a ``limit`` it has a ``limit`` of each source.
+    Without a ``limit`` it has a ``limit`` of each source. With ``hops`` only walks of at most so many edges count.
     """
     out = cut(edges.select(F.col("from_id").alias("node"), F.col("to_id").alias("next"), F.col("cost").alias("step")))
     none = F.lit(None).cast(out.schema["node"].dataType)
@@ -47,7 +47,9 @@ def least(edges: DataFrame, starts: DataFrame, limit: float | None, rounds: int
     # The smallest struct wins: the cost, then what was there before, then the smallest node before.
     first = starts.select("source", most.alias("limit"), node.alias("node"), F.struct(cost.alias("cost"), F.lit(False).alias("fresh"), none.alias("before")).alias("best"))
     state = cut(first.where("best.cost <= limit").groupBy(key).agg(F.min("best").alias("best")).withColumn("fresh", F.lit(True)))
-    for _ in range(rounds):
+    for turn in range(rounds):
+        if turn == hops:
+            return state.select("source", "node", "best.cost", "best.before")
         cost = F.col("best.cost") + F.col("step")
         moved = state.where("fresh").join(out, "node").where(cost <= F.col("limit"))
         moved = moved.select("source", "limit", F.col("next").alias("node"), F.struct(cost.alias("cost"), F.lit(True).alias("fresh"), F.col("node").alias("before")).alias("best"))
@@ -295,7 +297,10 @@ def round_trips(edges: DataFrame, starts: DataFrame, budget: Budget, dwell_secon
     shadiest = F.col("seconds") * (1 - (F.greatest(*shades) if buckets > 1 else shades[0]))
     back = plain.select(F.col("to_id").alias("from_id"), F.col("from_id").alias("to_id"), "seconds", shadiest.alias("least_sun"))
     fast = least(back.select("from_id", "to_id", F.col("seconds").alias("cost")), starts, budget.seconds - dwell_seconds)
-    shady = least(back.select("from_id", "to_id", F.col("least_sun").alias("cost")), starts, sun_budget)
+    # No walk home within the time has more edges than of the shortest fit into it; shade without end would lead far beyond.
+    shortest = plain.agg(F.min("seconds")).first()[0]
+    hops = int((budget.seconds - dwell_seconds) / shortest + 1e-9) + 1 if shortest else 0
+    shady = least(back.select("from_id", "to_id", F.col("least_sun").alias("cost")), starts, sun_budget, hops=max(hops, 0))
     home = cut(
         fast.select("source", "node", F.col("cost").alias("home_seconds"))
         .join(shady.select("source", "node", F.col("cost").alias("home_sun")), ["source", "node"])

@@ -216,3 +216,13 @@ def test_a_walk_that_takes_the_whole_sun_budget_fits(spark, waits):
     found = search.search(frame, spark.createDataFrame([(0,)], "source long"), budget)
     assert found.labels.where("node = 3").count() >= 1
     assert {r.from_id for r in search.reached(found.labels, frame, budget).where("share = 1").collect()} == {0, 1, 2}
+
+
+def test_round_trip_on_a_long_shaded_way_takes_rounds_by_time_not_by_length(spark, monkeypatch):
+    ways = [(a, b, 50.0, 1.0, [1.0]) for i in range(40) for a, b in ((i, i + 1), (i + 1, i))]
+    edges = spark.createDataFrame(ways, "from_id long, to_id long, seconds double, shade double, series array<double>")
+    turns, counted = [], search.cut_counted
+    monkeypatch.setattr(search, "cut_counted", lambda *a: turns.append(1) or counted(*a))
+    found = search.round_trips(edges, spark.createDataFrame([(0,)], "source long"), search.Budget(160.0, 10.0, 120.0), 60.0)
+    assert sorted((r.from_id, r.to_id, r.sun) for r in found.collect()) == [(0, 1, 0.0), (1, 0, 0.0)]
+    assert len(turns) < 20  # one for each of the 40 streets in full shade before
