@@ -8,12 +8,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from penumbra.functions import geo
-from penumbra.operators import search
+from penumbra.operators import overlay
 from penumbra.session import cut
 
 _ENDS = ["from_lon", "from_lat", "to_lon", "to_lat"]
 #: Metres in a degree of latitude of the plane that points are projected in; a fixed value.
 PLANE_DEGREE_M = 111195.0
+#: Width of the smallest cells of a street network in which distances are found together; a fixed value.
+CELL_DEG = 0.008
 
 
 class WalkLimits(NamedTuple):
@@ -58,8 +60,8 @@ def walks(transfers: DataFrame, doors: DataFrame, segments: DataFrame, limits: W
 
     ``transfers`` has ``transfer_id, station_id, station_lon, station_lat, stop_id, stop_lon, stop_lat, leaving``; ``doors`` has
     ``door_id, station_id, lon, lat, exit_only``; ``segments`` are walked both ways. Riders who don't leave can't use a door that is an exit
-    only. One search a stop, from all the nodes it can step onto and as far as the longest walk that any of its doors is
-    allowed, serves all its transfers. Of the doors within their own allowance the one with the least whole way counts, from the
+    only. Distances between stops and doors, from all the nodes they can step onto and up to the allowance, come from cells of the
+    network (``overlay.distances``), so a far stop costs no search of all that lies between. Of the doors within their own allowance the one with the least whole way counts, from the
     station's point on; metres are rounded, halves up.
 
     Refusals: ``no_door``, ``stop_off_network``, ``doors_off_network`` (no usable door is near a path), ``detour`` (too far round, or no way).
@@ -71,13 +73,11 @@ def walks(transfers: DataFrame, doors: DataFrame, segments: DataFrame, limits: W
     stops = transfers.groupBy("stop_id").agg(F.min(F.struct(F.col("stop_lon").alias("lon"), F.col("stop_lat").alias("lat"))).alias("p")).select("stop_id", "p.lon", "p.lat")
     stop_steps = cut(steps_onto(stops, segments, "stop_id", limits.snap))
     door_steps = cut(steps_onto(doors.select("door_id", "lon", "lat"), segments, "door_id", limits.snap))
-    metres = geo.haversine(*map(F.col, _ENDS))
-    ways = segments.select("from_id", "to_id", metres.alias("cost"))
-    both = ways.union(ways.select("to_id", "from_id", "cost"))
-    most = usable.groupBy("stop_id").agg(F.max("allowed").alias("limit"))
-    begun = stop_steps.join(most, "stop_id").select(F.col("stop_id").alias("source"), "node", "cost", "limit")
-    far = search.least(both, begun, None).select(F.col("source").alias("stop_id"), "node", F.col("cost").alias("walked"))
-    routed = usable.join(door_steps, "door_id").join(far, ["stop_id", "node"]).groupBy("transfer_id", "door_id", "allowed", "inside").agg(F.min(F.col("walked") + F.col("cost")).alias("routed"))
+    paths = segments.select("from_id", "to_id", *_ENDS, geo.haversine(*map(F.col, _ENDS)).alias("cost"))
+    begun, ended = stop_steps.withColumnRenamed("stop_id", "source"), door_steps.withColumnRenamed("door_id", "target")
+    pairs = usable.select(F.col("stop_id").alias("source"), F.col("door_id").alias("target"), F.col("allowed").alias("limit")).distinct()
+    found = overlay.distances(paths, begun, ended, pairs, CELL_DEG).select(F.col("source").alias("stop_id"), F.col("target").alias("door_id"), F.col("cost").alias("routed"))
+    routed = usable.join(found, ["stop_id", "door_id"])
     best = routed.where("routed <= allowed").groupBy("transfer_id").agg(F.min(F.col("inside") + F.col("routed")).alias("metres"))
     on_path = usable.join(door_steps.select("door_id").distinct(), "door_id", "left_semi").select("transfer_id").distinct().withColumn("near", F.lit(True))
     has_door = usable.select("transfer_id").distinct().withColumn("door", F.lit(True))
