@@ -13,6 +13,8 @@ from penumbra.operators.graph import components
 from penumbra.session import cut
 
 _ENDS = ["from_lon", "from_lat", "to_lon", "to_lat"]
+#: More edges than one cell holds; times a cap in micrometres it fits 64 bits.
+_PLACES = 1 << 24
 
 
 def nearest_edge(points: DataFrame, edges: DataFrame, point_id: str, cap: float, same: list[str] | None = None) -> DataFrame:
@@ -39,10 +41,18 @@ def nearest_edge(points: DataFrame, edges: DataFrame, point_id: str, cap: float,
     x = F.col("from_lon") + F.col("t") * (F.col("to_lon") - F.col("from_lon"))
     y = F.col("from_lat") + F.col("t") * (F.col("to_lat") - F.col("from_lat"))
     # Arrays of one element, exploded, keep what is computed once from being computed in every place of its use.
-    pairs = probes.join(laid, ["_cx", "_cy", *same]).where(near).withColumn("t", F.explode(F.array(t)))
-    away = geo.haversine(F.col("lon"), F.col("lat"), x, y)
-    pairs = pairs.withColumn("distance", F.explode(F.array(away))).where(F.col("distance") <= cap)
-    best = pairs.groupBy(point_id).agg(F.min(F.struct(F.round("distance", 6), "edge_id", "from_id", "to_id", "t", "distance")).alias("b"))
+    # A point's edges are all in its one cell, so their place there, in order of their ids, breaks ties in a number that holds the distance
+    # too. The least of such numbers needs no sort of the pairs, and a point stays in the task of its cell.
+    cell = ["_cx", "_cy", *same]
+    placed = laid.withColumn("_place", F.row_number().over(Window.partitionBy(*cell).orderBy("edge_id", "from_id", "to_id")))
+    pairs = probes.join(placed, cell).where(near).withColumn("t", F.explode(F.array(t)))
+    pairs = pairs.withColumn("distance", F.explode(F.array(geo.haversine(F.col("lon"), F.col("lat"), x, y)))).where(F.col("distance") <= cap)
+    rank = F.floor(F.col("distance") * 1e6 + 0.5).cast("long") * _PLACES + F.col("_place")
+    first = pairs.groupBy(point_id, "lon", "lat", *cell).agg(F.min(rank).alias("_first")).withColumn("_place", (F.col("_first") % _PLACES).cast("int"))
+    # A point given twice takes the nearer edge.
+    met = first.join(placed.drop("_x0", "_x1", "_y0", "_y1"), [*cell, "_place"]).withColumn("t", t)
+    met = met.withColumn("distance", geo.haversine(F.col("lon"), F.col("lat"), x, y))
+    best = met.groupBy(point_id).agg(F.min(F.struct(F.round("distance", 6), "edge_id", "from_id", "to_id", "t", "distance")).alias("b"))
     return best.select(point_id, *(F.col(f"b.{c}").alias(c) for c in ("edge_id", "from_id", "to_id", "t", "distance")))
 
 
