@@ -47,17 +47,17 @@ def continuity(df: DataFrame, keys: list[str], order: list[str], protected: Colu
 
 
 def encode_islands(df: DataFrame, keys: list[str], x: str) -> DataFrame:
-    """Runs ``x0`` to ``x1`` of consecutive integers."""
+    """Runs ``x0`` to ``x1`` of consecutive integers.
+
+    All steps look at neighbours in one order, so a task sorts its rows once and holds no table of them.
+    """
     w = Window.partitionBy(*keys).orderBy(x)
-    return (
-        df.select(*keys, x)
-        .where(F.col(x).isNotNull())
-        .distinct()
-        .withColumn("_island", F.col(x) - F.row_number().over(w))
-        .groupBy(*keys, "_island")
-        .agg(F.min(x).alias("x0"), F.max(x).alias("x1"))
-        .drop("_island")
-    )
+    before, after = F.lag(x).over(w), F.lead(x).over(w)
+    rows = df.select(*keys, x).where(F.col(x).isNotNull()).withColumn("_b", before).where(F.col("_b").isNull() | (F.col("_b") < F.col(x)))
+    ends = rows.withColumns({"_b": before, "_a": after}).withColumns({"_b": F.coalesce(F.col(x) - F.col("_b") > 1, F.lit(True)), "_a": F.coalesce(F.col("_a") - F.col(x) > 1, F.lit(True))})
+    # Of the runs' ends in order every beginning is followed by its end, unless it is that too.
+    ends = ends.where("_b or _a").withColumn("x1", F.when(F.col("_a"), F.col(x)).otherwise(after))
+    return ends.where("_b").select(*keys, F.col(x).alias("x0"), "x1")
 
 
 def decode_islands(df: DataFrame, keys: list[str], x: str) -> DataFrame:

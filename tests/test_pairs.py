@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from penumbra.operators import snap
+from penumbra.operators import sequences, snap
 
 EDGE = "edge_id long, from_id long, to_id long, from_lon double, from_lat double, to_lon double, to_lat double"
 
@@ -17,3 +17,10 @@ def test_snapping_doesnt_sort_its_pairs_and_keeps_ties_and_repeats(spark):
     found = snap.nearest_edge(points, edges, "p", 100.0)
     assert {r.p: (r.edge_id, round(r.t, 6)) for r in found.collect()} == {1: (3, 0.2), 2: (5, 0.5), 3: (5, 0.2)}
     assert "HashAggregate" in plan(found)  # a least struct a pair is a sort of all pairs
+
+
+def test_islands_hold_no_table_of_rows(spark):
+    rows = [(1, x) for x in (5, 3, 4, 4, 9, 9, 11, 12, 12, 3)] + [(2, 7), (2, 7), (None, 1), (None, 2), (1, None)]
+    made = sequences.encode_islands(spark.createDataFrame(rows, "k long, x long"), ["k"], "x")
+    assert sorted(map(tuple, made.collect()), key=str) == sorted([(1, 3, 5), (1, 9, 9), (1, 11, 12), (2, 7, 7), (None, 1, 2)], key=str)
+    assert "Aggregate" not in plan(made)
