@@ -59,6 +59,10 @@ class HierarchicalFit(NamedTuple):
 WEIGHTS, TAU_PRIOR, LIMITS = (0.02, 6.0), (12.5, 50.0), {"shape": (0.3, 40.0), "rate": (0.2, 40.0), "tau": (0.05, 5.0)}
 
 
+#: Nodes whose sums lie in one row.
+_NODES = 16
+
+
 def quadrature(nodes: int) -> list[tuple[float, float]]:
     """Gauss-Legendre points of the weight of sun and the logarithms of their weights."""
     x, w = np.polynomial.legendre.leggauss(nodes)
@@ -73,17 +77,26 @@ def marginals(rows: DataFrame, user: str, points: list[Hyper], nodes: int = 160)
     ``rows`` has the user, ``sun_gap, tree_gap, shade_gap`` (hundreds of metres, first less second) and ``picked`` (1 where the first was). Choices are added
     up by person, point and node before anything is integrated, so a person with many choices is a few sums a task.
     """
-    held = F.array(*(
-        F.struct(F.lit(i).alias("i"), F.lit(p.rho).alias("rho"), F.lit(p.tau).alias("tau"), F.lit(p.shape).alias("a"), F.lit(p.rate).alias("b"), F.lit(p.shape * math.log(p.rate) - math.lgamma(p.shape)).alias("c"))
-        for i, p in enumerate(points)
-    ))
-    grid = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(x).alias("x"), F.lit(w).alias("w")) for i, (x, w) in enumerate(quadrature(nodes))))
-    spread = rows.select(user, "sun_gap", "tree_gap", "shade_gap", "picked", F.explode(held).alias("p")).select("*", F.explode(grid).alias("q"))
-    z = -(F.col("q.x") * (F.col("sun_gap") + F.col("p.rho") * F.col("tree_gap")) + F.col("shade_gap") + (1 - F.col("p.rho")) * F.col("tree_gap")) / F.col("p.tau")
-    miss = F.when(F.col("picked") == 1, -z).otherwise(z)
-    sums = spread.groupBy(user, "p", "q").agg(F.sum(-(F.greatest(miss, F.lit(0.0)) + F.log1p(F.exp(-F.abs(miss))))).alias("lp"))
-    value = F.col("lp") + F.col("p.c") + (F.col("p.a") - 1) * F.log("q.x") - F.col("p.b") * F.col("q.x") + F.col("q.w")
-    each = sums.select(user, "p.i", F.struct(value.alias("v"), F.col("q.x").alias("x")).alias("t")).groupBy(user, "i").agg(F.collect_list("t").alias("ts"), F.max("t.v").alias("top"))
+    held = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(p.rho).alias("rho"), F.lit(p.tau).alias("tau")) for i, p in enumerate(points)))
+    grid = quadrature(nodes)
+    blocks = [grid[k : k + _NODES] for k in range(0, nodes, _NODES)]
+    dealt = F.array(*(F.struct(F.lit(j).alias("j"), F.array(*(F.lit(x) for x, _ in b)).alias("xs")) for j, b in enumerate(blocks)))
+    spread = rows.select(user, "sun_gap", "tree_gap", "shade_gap", "picked", F.explode(held).alias("p")).select("*", F.explode(dealt).alias("q"))
+    sun = (F.col("sun_gap") + F.col("p.rho") * F.col("tree_gap")) / F.col("p.tau")
+    rest = (F.col("shade_gap") + (1 - F.col("p.rho")) * F.col("tree_gap")) / F.col("p.tau")
+    side = F.when(F.col("picked") == 1, 1.0).otherwise(-1.0)
+    flat = spread.select(user, "p.i", "q.j", "q.xs", (side * sun).alias("_sun"), (side * rest).alias("_rest"))
+    miss = [F.get("xs", F.lit(k)) * F.col("_sun") + F.col("_rest") for k in range(min(_NODES, nodes))]
+    # A row of sums a person, point and block of nodes: few short rows, and no node or point travels with them.
+    lp = [F.sum(-(F.greatest(m, F.lit(0.0)) + F.log1p(F.exp(-F.abs(m))))).alias(f"_{k}") for k, m in enumerate(miss)]
+    added = flat.groupBy(user, "i", "j").agg(*lp)
+    at = lambda values: F.get(F.array(*(F.lit(v) for v in values)), F.col("i"))
+    added = added.withColumns({"_a": at([p.shape for p in points]), "_b": at([p.rate for p in points]), "_c": at([p.shape * math.log(p.rate) - math.lgamma(p.shape) for p in points])})
+    known = F.get(F.array(*(F.array(*(F.struct(F.lit(x).alias("x"), F.lit(w).alias("w")) for x, w in b)) for b in blocks)), F.col("j"))
+    value = lambda l, q: l + F.col("_c") + (F.col("_a") - 1) * F.log(q["x"]) - F.col("_b") * q["x"] + q["w"]  # noqa: E731, E741
+    ts = F.zip_with(F.slice(F.array(*(f"_{k}" for k in range(len(lp)))), 1, F.size("_q")), "_q", lambda l, q: F.struct(value(l, q).alias("v"), q["x"].alias("x")))  # noqa: E741
+    listed = added.withColumn("_q", known).select(user, "i", ts.alias("ts"))
+    each = listed.groupBy(user, "i").agg(F.flatten(F.collect_list("ts")).alias("ts")).withColumn("top", F.array_max(F.col("ts.v")))
     total = lambda f: F.aggregate("ts", F.lit(0.0), lambda s, t: s + F.exp(t["v"] - F.col("top")) * f(t))
     both = each.select(user, F.col("i").alias("point"), "top", total(lambda _: F.lit(1.0)).alias("m"), total(lambda t: t["x"]).alias("mx"))
     return both.select(user, "point", (F.col("top") + F.log("m")).alias("log_m"), (F.col("mx") / F.col("m")).alias("weight"))

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from penumbra.operators import sequences, snap
+import math
+import re
+
+from penumbra.operators import preference, sequences, snap
 
 EDGE = "edge_id long, from_id long, to_id long, from_lon double, from_lat double, to_lon double, to_lat double"
 
@@ -24,3 +27,21 @@ def test_islands_hold_no_table_of_rows(spark):
     made = sequences.encode_islands(spark.createDataFrame(rows, "k long, x long"), ["k"], "x")
     assert sorted(map(tuple, made.collect()), key=str) == sorted([(1, 3, 5), (1, 9, 9), (1, 11, 12), (2, 7, 7), (None, 1, 2)], key=str)
     assert "Aggregate" not in plan(made)
+
+
+def test_marginals_shuffle_a_short_row_a_person_and_block_of_nodes(spark):
+    rows = spark.createDataFrame([(u, 0.3 * u, 0.1, -0.2, u % 2) for u in (1, 1, 2, 3)], "u long, sun_gap double, tree_gap double, shade_gap double, picked int")
+    points = [preference.Hyper(2.5, 2.0, 0.4, 0.6), preference.Hyper(2.0, 1.7, 0.5, 0.5)]
+    made = preference.marginals(rows, "u", points, 20)  # the second block isn't full
+    told = {(r.u, r.point): r for r in made.collect()}
+    for (u, i), r in told.items():
+        p, sums = points[i], []
+        for x, w in preference.quadrature(20):
+            lp = 0.0
+            for v in rows.where(f"u = {u}").collect():
+                z = -(x * (v.sun_gap + p.rho * v.tree_gap) + v.shade_gap + (1 - p.rho) * v.tree_gap) / p.tau
+                lp -= math.log1p(math.exp(-z if v.picked == 1 else z))
+            sums.append((lp + p.shape * math.log(p.rate) - math.lgamma(p.shape) + (p.shape - 1) * math.log(x) - p.rate * x + w, x))
+        total = sum(math.exp(v) for v, _ in sums)
+        assert abs(r.log_m - math.log(total)) < 1e-9 and abs(r.weight - sum(math.exp(v) * x for v, x in sums) / total) < 1e-9
+    assert len(told) == 6 and re.search(r"hashpartitioning\(u#\d+L, i#\d+, j#\d+", plan(made))
