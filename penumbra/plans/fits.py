@@ -74,9 +74,8 @@ SELECT c AS c_custkey, round(a + (b - a) * (want - m) / 15, 6) AS altitude FROM
 """)
 def altitude_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sun's altitude at a minute of every customer's day, between the samples of a quarter-hour trace."""
-    rows = suntimes.traces(_places(spark, sf_dir), "c_custkey")
-    value = suntimes.value_at(F.col("trace"), F.col("c_custkey") * 17 % 1500 - 750)
-    return rows.select("c_custkey", F.round(value, 6).alias("altitude"))
+    rows = suntimes.altitudes_at(_places(spark, sf_dir), "c_custkey", F.col("c_custkey") * 17 % 1500 - 750)
+    return rows.select("c_custkey", F.round("altitude", 6).alias("altitude"))
 
 
 @register("""

@@ -5,7 +5,9 @@ from __future__ import annotations
 import math
 import re
 
-from penumbra.operators import preference, sequences, snap
+from pyspark.sql import functions as F
+
+from penumbra.operators import preference, sequences, snap, suntimes
 
 EDGE = "edge_id long, from_id long, to_id long, from_lon double, from_lat double, to_lon double, to_lat double"
 
@@ -45,3 +47,14 @@ def test_marginals_shuffle_a_short_row_a_person_and_block_of_nodes(spark):
         total = sum(math.exp(v) for v, _ in sums)
         assert abs(r.log_m - math.log(total)) < 1e-9 and abs(r.weight - sum(math.exp(v) * x for v, x in sums) / total) < 1e-9
     assert len(told) == 6 and re.search(r"hashpartitioning\(u#\d+L, i#\d+, j#\d+", plan(made))
+
+
+def test_altitudes_need_no_trace(spark):
+    rows = [(i, float(i * 37 % 360 - 180), float(i * 29 % 170 - 85), 1767225600 + i * 86000) for i in range(40)]
+    places = spark.createDataFrame(rows, "i long, lon double, lat double, s long").select("i", "lon", "lat", F.timestamp_seconds("s").alias("instant"))
+    want = F.col("i") * 41 - 760  # beyond both ends, at samples and between
+    made = suntimes.altitudes_at(places, "i", want)
+    traced = suntimes.traces(places, "i").select("i", suntimes.value_at(F.col("trace"), want).alias("v"))
+    expected = {r.i: r.v for r in traced.collect()}
+    assert all(abs(r.altitude - expected[r.i]) < 1e-9 for r in made.collect()) and len(expected) == 40
+    assert not re.search("Exchange|Generate", plan(made))
