@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from penumbra.session import cut
+
 _BOUNDS = ["west", "south", "east", "north"]
 _NODE = "struct<kind:string,id:bigint,lon:double,lat:double,from:bigint,to:bigint>"
 
@@ -35,9 +37,9 @@ def _parsed(files: DataFrame) -> DataFrame:
     return spread.select("shard", "place", F.from_json("line", _NODE).alias("row"))
 
 
-def manifest(files: DataFrame) -> DataFrame:
-    """``shard, bytes, sha256, nodes, edges`` and bounds of every file."""
-    rows = _parsed(files).groupBy("shard").agg(
+def manifest(files: DataFrame, parsed: DataFrame | None = None) -> DataFrame:
+    """``shard, bytes, sha256, nodes, edges`` and bounds of every file; ``parsed`` are its lines where they are known."""
+    rows = (_parsed(files) if parsed is None else parsed).groupBy("shard").agg(
         F.count_if(F.col("row.kind") == "node").alias("nodes"), F.count_if(F.col("row.kind") == "edge").alias("edges"),
         F.min("row.lon").alias("west"), F.min("row.lat").alias("south"), F.max("row.lon").alias("east"), F.max("row.lat").alias("north"),
     )
@@ -52,14 +54,14 @@ def verify(files: DataFrame, claimed: DataFrame) -> DataFrame:
     anew exactly); ``unreadable`` lines; ``unsorted`` node ids; ``conflict``: a node has another place in another shard; ``dangling``: an
     edge ends at a node that no shard holds. A generation without faults gives no rows.
     """
-    made = manifest(files)
+    rows = cut(_parsed(files))  # every check reads the lines; they are parsed once
+    made = cut(manifest(files, rows))
     other = lambda c: ~F.col(f"m.{c}").eqNullSafe(F.col(f"c.{c}"))
     held = made.alias("m").join(claimed.alias("c"), "shard")
     wrong = F.array_compact(F.array(
         F.when(other("bytes"), "length"), F.when(other("sha256"), "digest"), F.when(other("nodes"), "nodes"), F.when(other("edges"), "edges"),
         F.when(reduce(lambda a, b: a | b, map(other, _BOUNDS)), "bounds"),
     ))
-    rows = _parsed(files)
     nodes = rows.where("row.kind = 'node'").select("shard", "place", F.col("row.id").alias("id"), F.col("row.lon").alias("lon"), F.col("row.lat").alias("lat"))
     # Neighbours in the file: the ids in order of their places must ascend.
     order = nodes.groupBy("shard").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "id"))), lambda p: p["id"]).alias("ids"))

@@ -9,7 +9,7 @@ from penumbra.functions import clock
 from penumbra.operators import generations, preference, signatures, suntimes
 from penumbra.plans.networks import ROW, streets
 from penumbra.plans.registry import register
-from penumbra.session import shared_path, table
+from penumbra.session import cut, shared_path, table
 
 _ZONES = ["America/New_York", "Europe/Madrid", "Asia/Kolkata", "Australia/Lord_Howe", "UTC"]
 
@@ -105,7 +105,7 @@ def generation_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
     torn = nodes.where(number() % 7 == 5).select("shard").distinct().select("shard", F.lit(2).alias("_part"), F.lit(0).cast("long").alias("_key"), F.lit("{torn").alias("line"))
     folder = shared_path(spark, "generation")
     generations.write_shards(lines.union(torn), folder)
-    files = generations.read_files(spark, folder)
+    files = cut(generations.read_files(spark, folder))  # the many small files are read once
     k = number() % 11
     claimed = generations.manifest(files).where(number() % 5 != 0)
     claimed = claimed.withColumn("bytes", F.col("bytes") + F.when(k == 2, 1).otherwise(0)).withColumn("sha256", F.when(k == 3, F.reverse("sha256")).otherwise(F.col("sha256")))

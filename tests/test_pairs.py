@@ -7,7 +7,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from penumbra.operators import preference, sequences, snap, suntimes
+from penumbra.operators import generations, preference, sequences, snap, suntimes
 
 EDGE = "edge_id long, from_id long, to_id long, from_lon double, from_lat double, to_lon double, to_lat double"
 
@@ -58,3 +58,13 @@ def test_altitudes_need_no_trace(spark):
     expected = {r.i: r.v for r in traced.collect()}
     assert all(abs(r.altitude - expected[r.i]) < 1e-9 for r in made.collect()) and len(expected) == 40
     assert not re.search("Exchange|Generate", plan(made))
+
+
+def test_files_of_a_generation_are_parsed_once(spark, tmp_path):
+    nodes = spark.createDataFrame([("a", 1, 0.0, 0.0), ("b", 2, 1.0, 1.0)], "shard string, id long, lon double, lat double")
+    edges = spark.createDataFrame([("a", 1, 2), ("b", 2, 7)], "shard string, from long, to long")
+    generations.write_shards(generations.shard_lines(nodes, edges), f"{tmp_path}/g")
+    files = generations.read_files(spark, f"{tmp_path}/g")
+    found = generations.verify(files, generations.manifest(files))
+    assert [tuple(r) for r in found.collect()] == [("b", "dangling")]
+    assert plan(found).count("from_json") <= 1 + plan(generations.manifest(files)).count("from_json")
