@@ -13,6 +13,8 @@ from penumbra.session import cut, cut_counted
 SAME_DEG, LEAST_M2 = 1e-9, 1.0
 #: Sides of a turn smaller than this count as straight; a fixed value.
 STRAIGHT = 1e-12
+#: Rings of up to so many sides, and relations of up to so many ways, are worked out in their row; fixed values.
+FEW_SIDES, FEW_WAYS = 32, 64
 
 
 def _same(p: Column, q: Column) -> Column:
@@ -35,20 +37,45 @@ def ring_metres2(ring: Column) -> Column:
     return F.abs(geo.ring_area(ring)) * geo.METRES_PER_DEGREE * geo.METRES_PER_DEGREE * F.greatest(F.cos(F.radians(mid)), F.lit(0.05))
 
 
+def _meeting(pairs: DataFrame) -> DataFrame:
+    """Those ``pairs`` of sides ``s`` and ``t`` (``ax, ay, bx, by``) that have a point in common."""
+    a, b, c, d = ((F.col(f"{s}.{p}x"), F.col(f"{s}.{p}y")) for s, p in (("s", "a"), ("s", "b"), ("t", "a"), ("t", "b")))
+    turn = lambda p, q, r: (q[0] - p[0]) * (r[1] - p[1]) - (q[1] - p[1]) * (r[0] - p[0])
+    sign = lambda v: F.when(F.abs(v) < STRAIGHT, 0).otherwise(F.signum(v).cast("int"))
+    # Arrays of one element, exploded, keep each turn from being written out in every place of its use: such code is too long to be compiled.
+    turns = F.struct(*(turn(*of).alias(f"v{i}") for i, of in enumerate(((a, b, c), (a, b, d), (c, d, a), (c, d, b)))))
+    known = pairs.withColumn("_v", F.explode(F.array(turns)))
+    known = known.withColumn("_o", F.explode(F.array(F.struct(*(sign(F.col(f"_v.v{i}")).alias(f"o{i}") for i in range(4))))))
+    o = [F.col(f"_o.o{i}") for i in range(4)]
+
+    def on(p, q, r):
+        return r[0].between(F.least(p[0], q[0]) - STRAIGHT, F.greatest(p[0], q[0]) + STRAIGHT) & r[1].between(F.least(p[1], q[1]) - STRAIGHT, F.greatest(p[1], q[1]) + STRAIGHT)
+
+    met = ((o[0] != o[1]) & (o[2] != o[3])) | ((o[0] == 0) & on(a, b, c)) | ((o[1] == 0) & on(a, b, d)) | ((o[2] == 0) & on(c, d, a)) | ((o[3] == 0) & on(c, d, b))
+    return known.where(met).drop("_v", "_o")
+
+
 def crossings(rings: DataFrame, id_col: str) -> DataFrame:
     """``(id_col)`` of the closed rings two of whose sides meet though they are no neighbours.
 
-    A ring's box is cut into about as many cells as it has sides, a side is repeated for those that its own box meets, and only
-    sides of one cell are held against each other.
+    Of rings of up to ``FEW_SIDES`` sides every pair is tested where the ring lies, and only ids that crossed are shuffled. The box of a longer
+    one is cut into about as many cells as it has sides, a side is repeated for those that its own box meets, and only sides of
+    one cell are held against each other.
     """
     n = F.size("ring") - 1
     xs, ys = F.col("ring.x"), F.col("ring.y")
     across = F.ceil(F.sqrt(n.cast("double")))
-    box = rings.where(n >= 4).select(
+    box = rings.where(n > FEW_SIDES).select(
         F.col(id_col).alias("_id"), "ring", n.alias("_n"), F.array_min(xs).alias("_x"), F.array_min(ys).alias("_y"),
         F.greatest((F.array_max(xs) - F.array_min(xs)) / across, F.lit(1e-9)).alias("_w"), F.greatest((F.array_max(ys) - F.array_min(ys)) / across, F.lit(1e-9)).alias("_h"),
     )
-    pairs = F.zip_with(F.slice("ring", 1, F.col("_n")), F.slice("ring", 2, F.col("_n")), lambda a, b: F.struct(a["x"].alias("ax"), a["y"].alias("ay"), b["x"].alias("bx"), b["y"].alias("by")))
+    count = F.greatest("_n", F.lit(0))  # filters may be tried in another order
+    pairs = F.zip_with(F.slice("ring", 1, count), F.slice("ring", 2, count), lambda a, b: F.struct(a["x"].alias("ax"), a["y"].alias("ay"), b["x"].alias("bx"), b["y"].alias("by")))
+    few = rings.where(n.between(4, FEW_SIDES)).select(F.col(id_col).alias("_id"), "ring", n.alias("_n")).select("_id", "_n", pairs.alias("_all"))
+    few = few.select("_id", "_n", "_all", F.posexplode("_all").alias("i", "s"))
+    # Sides from the second after this one on; the last is a neighbour of the first.
+    later = F.slice("_all", F.col("i") + 3, F.greatest(F.col("_n") - F.col("i") - 2 - F.when(F.col("i") == 0, 1).otherwise(0), F.lit(0)))
+    crossed = _meeting(few.select("_id", "s", F.explode(later).alias("t"))).select("_id")
     sides = box.select("_id", "_n", "_x", "_y", "_w", "_h", F.posexplode(pairs).alias("i", "s"))
     for cell, low, size, a, b in (("_cx", "_x", "_w", "ax", "bx"), ("_cy", "_y", "_h", "ay", "by")):
         at = lambda v, low=low, size=size: F.floor((v - F.col(low)) / F.col(size))
@@ -57,18 +84,8 @@ def crossings(rings: DataFrame, id_col: str) -> DataFrame:
     one = sides.select("_id", "_n", "_cx", "_cy", "i", F.col("s").alias("s"))
     two = sides.select("_id", "_cx", "_cy", F.col("i").alias("j"), F.col("s").alias("t"))
     apart = (F.col("j") > F.col("i") + 1) & ~((F.col("i") == 0) & (F.col("j") == F.col("_n") - 1))
-
-    def turn(ax, ay, bx, by, cx, cy):
-        v = (bx - ax) * (cy - ay) - (by - ay) * (cx - ax)
-        return F.when(F.abs(v) < STRAIGHT, 0).otherwise(F.signum(v).cast("int"))
-
-    def on(ax, ay, bx, by, px, py):
-        return px.between(F.least(ax, bx) - STRAIGHT, F.greatest(ax, bx) + STRAIGHT) & py.between(F.least(ay, by) - STRAIGHT, F.greatest(ay, by) + STRAIGHT)
-
-    a, b, c, d = ((F.col(f"{s}.{p}x"), F.col(f"{s}.{p}y")) for s, p in (("s", "a"), ("s", "b"), ("t", "a"), ("t", "b")))
-    o = [turn(*a, *b, *c), turn(*a, *b, *d), turn(*c, *d, *a), turn(*c, *d, *b)]
-    meet = ((o[0] != o[1]) & (o[2] != o[3])) | ((o[0] == 0) & on(*a, *b, *c)) | ((o[1] == 0) & on(*a, *b, *d)) | ((o[2] == 0) & on(*c, *d, *a)) | ((o[3] == 0) & on(*c, *d, *b))
-    return one.join(two, ["_id", "_cx", "_cy"]).where(apart & meet).select(F.col("_id").alias(id_col)).distinct()
+    met = _meeting(one.join(two, ["_id", "_cx", "_cy"]).where(apart)).select("_id")
+    return met.union(crossed).select(F.col("_id").alias(id_col)).distinct()
 
 
 def repair(shapes: DataFrame, id_col: str) -> DataFrame:

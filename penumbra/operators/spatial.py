@@ -37,14 +37,14 @@ def _packed(df: DataFrame, key: list[str], name: str) -> DataFrame:
     return numbered.groupBy(*key, "_pack").agg(F.collect_list(rest).alias(name)).drop("_pack")
 
 
-def _spread(df: DataFrame, key: list[str]) -> DataFrame:
+def spread(df: DataFrame, key: list[str]) -> DataFrame:
     """``df`` over all shuffle partitions by ``key``: few bytes here are much work, so partitions mustn't be joined by their size."""
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *key)
 
 
 def _unpacked(met: DataFrame, left: DataFrame, key: list[str], name: str, right_columns: list[str], more: list[str]) -> DataFrame:
     """Rows of ``left`` with all rows of the arrays that their ``key`` has met: nothing is tested or shuffled a pair of rows."""
-    pairs = left.join(_spread(met, key), key).select(*left.columns, *more, F.explode(name).alias("_row"))
+    pairs = left.join(spread(met, key), key).select(*left.columns, *more, F.explode(name).alias("_row"))
     return pairs.select(*left.columns, *(c if c in more else F.col(f"_row.{c}").alias(c) for c in right_columns), *(c for c in more if c not in right_columns))
 
 
@@ -66,7 +66,7 @@ def radius_join(left: DataFrame, right: DataFrame, metres: float, digits: int |
     for v, n in zip(_on_sphere(F.col("right_lon"), F.col("right_lat")), names, strict=True):
         two = two.withColumn(n, F.explode(F.sequence(geo.grid_cell(v - reach, size), geo.grid_cell(v + reach, size))))
     away = geo.haversine(F.col("lon"), F.col("lat"), F.col("right_lon"), F.col("right_lat"))
-    met = _spread(one, names).join(_spread(two, names), names).drop(*names).withColumn("metres", away).where(F.col("metres") <= metres)
+    met = spread(one, names).join(spread(two, names), names).drop(*names).withColumn("metres", away).where(F.col("metres") <= metres)
     if digits is not None:
         met = met.withColumn("metres", F.round("metres", digits))  # once two places, not once a pair
     return _unpacked(met, left, ["lon", "lat"], "_rows", renamed.columns, ["right_lon", "right_lat", "metres"])
@@ -113,7 +113,7 @@ def within_rings(points: DataFrame, shapes: DataFrame, size: float) -> DataFrame
     boxes = _cells(_packed(shapes, ["ring"], "_rows"), F.array_min(xs), F.array_max(xs), F.array_min(ys), F.array_max(ys), size)
     places = points.select("x", "y").distinct()
     probes = places.withColumn("_cx", geo.grid_cell(F.col("x"), size)).withColumn("_cy", geo.grid_cell(F.col("y"), size))
-    met = _spread(probes, ["_cx", "_cy"]).join(_spread(boxes, ["_cx", "_cy"]), ["_cx", "_cy"]).where(geo.point_in_ring(F.col("x"), F.col("y"), F.col("ring"))).drop("_cx", "_cy")
+    met = spread(probes, ["_cx", "_cy"]).join(spread(boxes, ["_cx", "_cy"]), ["_cx", "_cy"]).where(geo.point_in_ring(F.col("x"), F.col("y"), F.col("ring"))).drop("_cx", "_cy")
     return _unpacked(met, points, ["x", "y"], "_rows", shapes.columns, ["ring"])
 
 
@@ -131,7 +131,7 @@ def box_join(queries: DataFrame, shards: DataFrame, size: float) -> DataFrame:
         F.col("_cy") == geo.grid_cell(F.greatest("south", "shard_south"), size)
     )
     meet = geo.boxes_meet([F.col(n) for n in names], [F.col(f"shard_{n}") for n in names])
-    met = _spread(a, ["_cx", "_cy"]).join(_spread(b, ["_cx", "_cy"]), ["_cx", "_cy"]).where(first & meet).drop("_cx", "_cy")
+    met = spread(a, ["_cx", "_cy"]).join(spread(b, ["_cx", "_cy"]), ["_cx", "_cy"]).where(first & meet).drop("_cx", "_cy")
     return _unpacked(met, queries, names, "_rows", right.columns, [f"shard_{n}" for n in names])
 
 

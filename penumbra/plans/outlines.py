@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from penumbra.operators import covers, linear, rings
+from penumbra.operators.spatial import spread
 from penumbra.plans.geometry import _haversine, _lat, _lon, lat_of, lon_of
 from penumbra.plans.networks import ROW
 from penumbra.plans.registry import register
@@ -32,7 +33,8 @@ def _ring_points(spark: SparkSession, sf_dir: str) -> DataFrame:
         turn = F.lit(2.0) * F.lit(3.141592653589793) * at / n
         return F.struct((lon_of(k) + r * F.cos(turn)).alias("x"), (lat_of(k) + r * F.sin(turn)).alias("y"))
 
-    return table(spark, sf_dir, "part").select(k.alias("k"), F.transform(F.sequence(F.lit(0), last), corner).alias("points"))
+    # The keys of the table are few bytes, so they are spread before the work on their rings.
+    return spread(table(spark, sf_dir, "part").select("p_partkey"), ["p_partkey"]).select(k.alias("k"), F.transform(F.sequence(F.lit(0), last), corner).alias("points"))
 
 
 @register(f"""

@@ -42,6 +42,22 @@ def test_crossings_of_a_large_ring(spark):
     assert [r.id for r in rings.crossings(frame, "id").collect()] == ["knot"]
 
 
+def test_short_and_long_rings_are_tested_alike(spark, monkeypatch):
+    rng, rows = random.Random(5), []
+    for i in range(60):
+        n = rng.randint(3, 9)
+        turn = sorted(rng.random() for _ in range(n)) if i % 3 else [rng.random() for _ in range(n)]
+        ring = [(math.cos(2 * math.pi * t), math.sin(2 * math.pi * t)) for t in turn]
+        rows.append((f"r{i}", [*ring, ring[0]]))
+    frame = spark.createDataFrame(rows, RING)
+    found = []
+    for few in (rings.FEW_SIDES, 5, 0):  # in their row, both ways, by cells
+        monkeypatch.setattr(rings, "FEW_SIDES", few)
+        found.append(sorted(r.id for r in rings.crossings(frame, "id").collect()))
+    assert found[0] == found[1] == found[2] and 10 < len(found[0]) < 30
+    assert all(int(i[1:]) % 3 == 0 for i in found[0])
+
+
 def test_assembly_in_any_order_and_direction(spark):
     rng, rows, area = random.Random(3), [], {}
     for relation, n in enumerate([1, 2, 3, 4, 17, 40]):
