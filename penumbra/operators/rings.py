@@ -108,10 +108,64 @@ def assemble(members: DataFrame, relation: str = "relation_id", way: str = "way_
 
     ``members`` has the relation, the way and its ``points`` (x, y), in either direction. Where every end meets exactly one other the set is
     ``closed`` and ``ring`` starts with its smallest way, forwards; otherwise it is ``open`` (an end meets none) or ``branching``, without a
-    ring. Ways go from one to the next by their ends; places along a ring follow from doubling steps, so a ring of n ways takes
-    log n rounds. Ways of fewer than two points are left out; ``ring_id`` is the smallest way.
+    ring. Relations of up to ``FEW_WAYS`` ways are put together in a row each. In larger ones ways go from one to the next by joins on their
+    ends; places along a ring follow from doubling steps, so a ring of n ways takes log n rounds. Ways of fewer than two points are
+    left out; ``ring_id`` is the smallest way.
     """
-    ways = cut(members.where("size(points) >= 2").select(F.col(relation).alias("r"), F.col(way).alias("w"), "points", F.element_at("points", 1).alias("a"), F.element_at("points", -1).alias("b")))
+    ways = cut(members.where("size(points) >= 2").select(F.col(relation).alias("r"), F.col(way).alias("w"), "points"))
+    # Ways without an id or an end are for the joins, which no null meets; so are relations that name a way twice.
+    odd = F.col("w").isNull() | F.element_at("points", 1).isNull() | F.element_at("points", -1).isNull()
+    named = ways.groupBy("r").agg(F.count("*").alias("n"), F.count_if(odd).alias("odd"), F.count_distinct("w").alias("different"))
+    large, some = cut_counted(named.where(f"r is not null and (n > {FEW_WAYS} or odd > 0 or different < n)").select("r"), F.lit(True))
+    names = {"r": relation}
+    small = _in_rows(ways.where("r is not null").join(large, "r", "left_anti"))
+    if not some:
+        return small.withColumnsRenamed(names)
+    return small.unionByName(_by_joins(ways.join(large, "r", "left_semi"), rounds)).withColumnsRenamed(names)
+
+
+def _in_rows(ways: DataFrame) -> DataFrame:
+    """``r, ring_id, status, ways, ring`` of ``ways(r, w, points)``, all ways of a relation in one row."""
+    once = lambda df, name, value: df.withColumn(name, F.explode(F.array(value)))  # noqa: E731  as a column it would be computed wherever it is used
+    rows = ways.groupBy("r").agg(F.sort_array(F.collect_list(F.struct("w", "points"))).alias("parts"))
+    ends = F.array_distinct(F.flatten(F.transform("parts", lambda p: F.array(F.element_at(p["points"], 1), F.element_at(p["points"], -1)))))
+    rows = once(rows, "ends", ends)
+    # Ways with the numbers of the points where they begin and end.
+    number = lambda p, i: F.array_position("ends", F.element_at(p["points"], i)).cast("int")
+    rows = once(rows, "links", F.transform("parts", lambda p, i: F.struct((i + 1).alias("i"), number(p, 1).alias("a"), number(p, -1).alias("b"))))
+
+    def joined(label: Column, q: Column) -> Column:
+        """Labels of the points after a way made those of its two ends one."""
+        a, b = F.get(label, q["a"] - 1), F.get(label, q["b"] - 1)
+        return F.transform(label, lambda v: F.when((v == a) | (v == b), F.least(a, b)).otherwise(v))
+
+    rows = once(rows, "label", F.aggregate("links", F.sequence(F.lit(1), F.size("ends")), joined))
+    rows = rows.withColumn("set", F.explode(F.array_distinct("label")))
+    # Ways are sorted, so the first of a set is its smallest.
+    rows = once(rows, "own", F.filter("links", lambda q: F.get("label", q["a"] - 1) == F.col("set")))
+    all_ = F.flatten(F.transform("own", lambda q: F.array(q["a"], q["b"])))
+    rows = once(rows, "met", F.transform(F.array(all_), lambda e: F.transform(e, lambda x: F.size(F.filter(e, lambda y: y == x))))[0])
+    rows = rows.withColumn("status", F.when(F.array_max("met") > 2, "branching").when(F.array_min("met") < 2, "open").otherwise("closed"))
+
+    def on(walked: Column, _: Column) -> Column:
+        """The walk with the other way that meets the point where it has come to."""
+        last = F.element_at(walked, -1)
+        ahead = F.filter("own", lambda q: (q["i"] != last["i"]) & ((q["a"] == last["at"]) | (q["b"] == last["at"])))
+        step = lambda q: F.struct(q["i"].alias("i"), F.when(q["a"] == last["at"], q["b"]).otherwise(q["a"]).alias("at"), (q["a"] == last["at"]).alias("forward"))
+        return F.concat(walked, F.slice(F.transform(ahead, step), 1, 1))
+
+    first = F.element_at("own", 1)
+    begun = F.array(F.struct(first["i"].alias("i"), first["b"].alias("at"), F.lit(True).alias("forward")))
+    walk = F.when(F.col("status") == "closed", F.aggregate(F.slice("own", 2, F.size("own")), begun, on))
+    rows = once(rows, "walk", walk)
+    laid = F.transform("walk", lambda h: F.when(h["forward"], F.get("parts", h["i"] - 1)["points"]).otherwise(F.reverse(F.get("parts", h["i"] - 1)["points"])))
+    rows = once(rows, "body", F.flatten(F.transform(laid, lambda p: F.slice(p, 1, F.size(p) - 1))))
+    return rows.select("r", F.get("parts", F.element_at("own", 1)["i"] - 1)["w"].alias("ring_id"), "status", F.size("own").cast("long").alias("ways"), F.concat("body", F.slice("body", 1, 1)).alias("ring"))
+
+
+def _by_joins(ways: DataFrame, rounds: int) -> DataFrame:
+    """As ``_in_rows``, for relations of any number of ways."""
+    ways = cut(ways.select("r", "w", "points", F.element_at("points", 1).alias("a"), F.element_at("points", -1).alias("b")))
     # A way in each direction; the next one begins where it ends and is another way.
     halves = ways.select("r", "w", F.lit(True).alias("forward"), F.col("a").alias("begin"), F.col("b").alias("end")).union(
         ways.select("r", "w", F.lit(False).alias("forward"), F.col("b").alias("begin"), F.col("a").alias("end"))
@@ -159,7 +213,7 @@ def assemble(members: DataFrame, relation: str = "relation_id", way: str = "way_
     rings = laid.groupBy("r", "ring_id").agg(F.sort_array(F.collect_list(F.struct("place", "points"))).alias("parts"))
     body = F.flatten(F.transform("parts", lambda p: F.slice(p["points"], 1, F.size(p["points"]) - 1)))
     rings = rings.select("r", "ring_id", F.concat(body, F.slice(body, 1, 1)).alias("ring"))
-    return told.join(rings, ["r", "ring_id"], "left").select(F.col("r").alias(relation), F.col("ring_id"), "status", "ways", "ring")
+    return told.join(rings, ["r", "ring_id"], "left").select("r", "ring_id", "status", "ways", "ring")
 
 
 def point_in_polygon(x: Column, y: Column, outer: Column, holes: Column) -> Column:

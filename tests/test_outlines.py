@@ -79,6 +79,31 @@ def test_assembly_in_any_order_and_direction(spark):
     assert found[90].ring is None
 
 
+def test_small_and_large_relations_are_put_together_alike(spark, monkeypatch):
+    rng, rows, point = random.Random(7), [], lambda i: (float(i), 0.5)
+    for relation in range(40):
+        # Several rings and chains a relation, with loops of one way, spurs and, in some, a way named twice.
+        at, ways = 0, []
+        for n in rng.choices(range(1, 6), k=rng.randint(1, 4)):
+            ways += [[point(at + i), point(at + i + 0.5), point(at + (i + 1) % n)] for i in range(n)]
+            at += n
+        del ways[rng.randint(1, 9) :: 9]
+        if relation % 4 == 1:
+            ways.append([point(0), point(-1)])
+        named = [(relation, w, q if rng.random() < 0.5 else q[::-1]) for w, q in zip(rng.sample(range(99), len(ways)), ways, strict=True)]
+        rows += named + (named[:1] if relation % 9 == 8 else [])
+    rows += [(50, 1, [None, point(1)]), (50, 2, [point(1), point(2)]), (51, None, [point(1), point(2)]), (51, 1, [point(2), point(1)]), (None, 1, [point(1), point(1)])]
+    nan = float("nan")
+    rows += [(52, 1, [(nan, 0.0), point(1)]), (52, 2, [point(1), (nan, -0.0)])]
+    frame = spark.createDataFrame(rows, "relation_id int, way_id int, points array<struct<x:double,y:double>>").repartition(4)
+    found = []
+    for few in (rings.FEW_WAYS, 3, 0):  # in a row each, both ways, by joins
+        monkeypatch.setattr(rings, "FEW_WAYS", few)
+        found.append(sorted(repr(r) for r in rings.assemble(frame).collect()))
+    assert found[0] == found[1] == found[2]
+    assert all(sum(f"'{status}'" in r for r in found[0]) > 5 for status in ("closed", "open", "branching"))
+
+
 def test_tiles_of_a_polygon_with_a_hole(spark):
     zoom = 10
     deg = 360 / 2**zoom
