@@ -8,8 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from penumbra.functions.clock import half_up
+from penumbra.operators.search import least
 from penumbra.operators.spatial import nearest_join, radius_join
 from penumbra.operators.stats import join_keys, percentile_linear
+from penumbra.session import cut
 
 
 def headways(first_departures: DataFrame, keys: list[str], departure: str, service: str, least: int = 4) -> DataFrame:
@@ -121,6 +123,15 @@ def walk_transfers(stations: DataFrame, stops: DataFrame, metres: float = 200.0,
     return radius_join(a, b, metres, digits).select(F.inline(F.array(way("from_id", "to_id"), way("to_id", "from_id"))))
 
 
+def within_reach(starts: DataFrame, rides: DataFrame, transfers: DataFrame, seconds: float) -> DataFrame:
+    """``(stop)``: the stops that rides and walks alone, without waits, lead to from any of the ``starts(stop)`` within the time. No search over
+    the same rides and walks with a budget of so many seconds comes to another one."""
+    moves = rides.select("from_stop", "to_stop", "seconds").union(transfers.select("from_stop", "to_stop", "seconds"))
+    begun = starts.select(F.lit(0).alias("source"), F.col("stop").alias("node"))
+    found = least(moves.select(F.col("from_stop").alias("from_id"), F.col("to_stop").alias("to_id"), F.col("seconds").cast("double").alias("cost")), begun, seconds)
+    return cut(found.select(F.col("node").alias("stop")))
+
+
 def boarding_graph(rides: DataFrame, headway: DataFrame, transfers: DataFrame, changes: DataFrame, boardings: int = 5) -> DataFrame:
     """Edges between states for the label search over a transit network, with at most ``boardings`` of them.
 

@@ -187,8 +187,12 @@ def transit_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     headway = lines.select("line", F.when(F.col("line") % 4 != 2, F.lit(240) + F.col("line") * 20).alias("headway_sec"))
     walks = stops.select(F.col("stop").alias("from_stop"), (F.col("stop") + 1).alias("to_stop"), F.lit(120).alias("seconds"))
     changes = stops.select("stop", F.when(F.col("stop") % 5 == 0, 45).alias("change_sec"))
-    edges = transit.boarding_graph(rides.join(there, "to_stop"), headway, walks.join(there, "to_stop"), changes)
-    begin = networks.starts(spark, sf_dir).select(F.concat(F.col("source").cast("string"), F.lit("#0")).alias("source"))
+    rides, walks, starts = rides.join(there, "to_stop"), walks.join(there, "to_stop"), networks.starts(spark, sf_dir)
+    # A state for every boarding is made only of stops that some start can reach.
+    near = transit.within_reach(starts.select(F.col("source").alias("stop")), rides, walks, 1500.0)
+    leaving = near.select(F.col("stop").alias("from_stop"))
+    edges = transit.boarding_graph(rides.join(leaving, "from_stop", "left_semi"), headway, walks.join(leaving, "from_stop", "left_semi"), changes)
+    begin = starts.select(F.concat(F.col("source").cast("string"), F.lit("#0")).alias("source"))
     found = graph.shortest(edges, begin, 1500.0).where(~F.col("node").contains("|"))
     number = lambda c: F.regexp_extract(c, "^[0-9]+", 0).cast("long")
     return found.groupBy(number("source").alias("source"), number("node").alias("node")).agg(F.round(F.min("seconds"), 1).alias("seconds"))

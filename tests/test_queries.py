@@ -175,6 +175,13 @@ def test_transit_search_against_dijkstra(spark, duck):
     assert found == pytest.approx({k: round(t, 1) for k, t in expected.items()}) and len(found) > 10
 
 
+def test_stops_within_reach_of_any_start(spark):
+    rides = spark.createDataFrame([("a", 1, 2, 60), ("a", 2, 3, 60), ("b", 3, 4, 61), ("b", 9, 1, 1), ("c", 20, 21, 180)], "line string, from_stop int, to_stop int, seconds int")
+    walks = spark.createDataFrame([(1, 5, 180), (5, 6, 1), (2, 20, 120), (30, 31, 1)], "from_stop int, to_stop int, seconds int")
+    starts = spark.createDataFrame([(1,), (30,), (30,)], "stop int")
+    assert sorted(r.stop for r in transit.within_reach(starts, rides, walks, 180.0).collect()) == [1, 2, 3, 5, 20, 30, 31]
+
+
 def test_boardings_are_limited_and_changes_priced(spark):
     rides = spark.createDataFrame([("a", 1, 2, 60), ("b", 2, 3, 60), ("c", 3, 4, 60)], "line string, from_stop int, to_stop int, seconds int")
     headway = spark.createDataFrame([("a", 100), ("b", None), ("c", 60)], "line string, headway_sec int")
