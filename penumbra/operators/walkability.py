@@ -123,14 +123,11 @@ def match_entrances(entrances: DataFrame, stations: DataFrame, named: float = 40
 
 def nearest_stations(points: DataFrame, stations: DataFrame, count: int, metres: float, accept: Column | None = None) -> DataFrame:
     """The ``count`` nearest stations within ``metres`` of every point, only those that ``accept`` holds for: ``(point_id, rank, station_id, metres)``."""
-    from pyspark.sql import Window
-
-    from penumbra.operators.spatial import radius_join
+    from penumbra.operators.spatial import nearest_few
 
     chosen = stations if accept is None else stations.where(accept)
-    pairs = radius_join(points.select("point_id", "lon", "lat"), chosen.select("station_id", "lon", "lat"), metres)
-    order = Window.partitionBy("point_id").orderBy("metres", "station_id")
-    return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= count).select("point_id", "rank", "station_id", "metres")
+    few = nearest_few(points, chosen, "point_id", "station_id", count, metres)
+    return few.select("point_id", F.posexplode("near").alias("_place", "_n")).select("point_id", (F.col("_place") + 1).alias("rank"), "_n.station_id", "_n.metres")
 
 
 def best_pair(trips: DataFrame, entries: DataFrame, exits: DataFrame, rides: DataFrame, walk_speed: float = 1.3, least_stations: int = 3) -> DataFrame:

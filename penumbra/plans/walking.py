@@ -10,7 +10,7 @@ from penumbra.plans.geometry import _haversine
 from penumbra.plans.networks import _STREETS, ROW, starts, streets
 from penumbra.plans.registry import register
 from penumbra.plans.snapping import _GRID, _ONE, _edges
-from penumbra.session import table
+from penumbra.session import cut, table
 
 #: Suppliers as stations, each at the crossing of a customer; up to three doors, two stops, and transfers both ways.
 _AT = "(s_suppkey * 15 - s_suppkey % 7)"
@@ -183,7 +183,7 @@ def best_train_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
     lat = F.lit(40.5) + F.floor(c / ROW) * 0.0006 + o % 60 * 0.00001
     points = table(spark, sf_dir, "orders").select(o.alias("point_id"), (F.lit(-74.0) + o * 7919 % 1000 * 0.000032).alias("lon"), lat.alias("lat"))
     stations = _stations(spark, sf_dir).select("station_id", F.col("station_lon").alias("lon"), F.col("station_lat").alias("lat"))
-    near = walkability.nearest_stations(points, stations, 3, 900.0, F.col("station_id") % 3 != 0)
+    near = cut(walkability.nearest_stations(points, stations, 3, 900.0, F.col("station_id") % 3 != 0))  # both ends are found once
     trips = points.select(F.col("point_id").alias("trip_id"), F.col("point_id").alias("origin_id"), (F.col("point_id") + 32).alias("target_id"))
     s = F.col("station_id")
     spread = stations.select(s.alias("from_id"), F.explode(F.sequence(F.lit(-40), F.lit(40))).alias("d"))

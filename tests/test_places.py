@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import functions as F
 
 from penumbra.operators import rings, shade, snap, spatial, sweep
@@ -57,3 +59,20 @@ def test_far_walls_count_where_near_ones_do_not_settle(spark):
     prisms = spark.sql(f"SELECT 1L AS prism_id, {SQUARE.format(x='10D')} AS ring, 40D AS height, 0.6D AS opacity UNION ALL SELECT 2L, {SQUARE.format(x='200D')}, 40D, CAST(NULL AS DOUBLE)")
     slots = spark.createDataFrame([(0, 1, 90.0, 5.0), (0, 2, 90.0, 45.0), (0, 3, 270.0, 5.0)], "cell int, slot int, azimuth double, altitude double")
     assert {tuple(r) for r in sweep.sweep(_points(spark).limit(1), prisms, slots, ["k"]).select("slot", "opacity").collect()} == {(1, 1.0), (2, 0.6)}
+
+
+def test_nearest_few_of_many_in_one_place_and_over_the_date_line(spark, monkeypatch):
+    from penumbra.operators import spatial
+
+    rng = random.Random(2)
+    at = lambda: (rng.choice([180.0, -180.0]) + rng.uniform(-0.01, 0.01), rng.choice([0.0, 60.0, 89.99]) + rng.uniform(-0.005, 0.005))
+    left, right = [(i, *at()) for i in range(60)], [(i, *at()) for i in range(150)]
+    right += [(i, *right[i % 3][1:]) for i in range(150, 180)]  # ties
+    one = spark.createDataFrame(left, "a long, lon double, lat double")
+    two = spark.createDataFrame(right, "b long, lon double, lat double")
+    pairs = sorted((r.a, r.metres, r.b) for r in spatial.radius_join(one, two, 700.0).collect())
+    expected = {a: [(m, b) for x, m, b in pairs if x == a][:4] for a in {x for x, _, _ in pairs}}
+    for pack in (4096, 2):  # with several arrays a cube
+        monkeypatch.setattr(spatial, "_PACK", pack)
+        found = {r.a: [(n.metres, n.b) for n in r.near] for r in spatial.nearest_few(one, two, "a", "b", 4, 700.0).collect()}
+        assert found == expected and len(found) > 20
