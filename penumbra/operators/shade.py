@@ -10,24 +10,31 @@ from pyspark.sql import functions as F
 from penumbra.functions import geo
 
 
-def edge_samples(edges: DataFrame, spacing: float = 25.0, offset: float = 4.0) -> DataFrame:
-    """Sample points on both sidewalks of plane edges ``edge_id, ax, ay, bx, by``: ``max(3, ceil(d / spacing)) + 1`` a side."""
+def sample_point(i: Column, n: Column, offset: Column) -> tuple[Column, Column]:
+    """Place of sample ``i`` of ``n + 1`` along the edge ``ax, ay, bx, by``, ``offset`` metres to its left."""
+    dx, dy = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
+    length = F.sqrt(dx * dx + dy * dy)
+    return F.col("ax") + dx * i / n - dy / length * offset, F.col("ay") + dy * i / n + dx / length * offset
+
+
+def sample_count(spacing: float = 25.0) -> tuple[Column, Column]:
+    """Length of the edge ``ax, ay, bx, by`` and the number of its steps, ``max(3, ceil(d / spacing))``."""
     dx, dy = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
     length = F.sqrt(dx * dx + dy * dy)
-    n = F.greatest(F.lit(3), F.ceil(length / spacing)).cast("int")
+    return length, F.greatest(F.lit(3), F.ceil(length / spacing)).cast("int")
+
+
+def edge_samples(edges: DataFrame, spacing: float = 25.0, offset: float = 4.0) -> DataFrame:
+    """Sample points on both sidewalks of plane edges ``edge_id, ax, ay, bx, by``: ``max(3, ceil(d / spacing)) + 1`` a side."""
+    length, n = sample_count(spacing)
     sides = F.array(F.struct(F.lit("left").alias("side"), F.lit(offset).alias("o")), F.struct(F.lit("right").alias("side"), F.lit(-offset).alias("o")))
+    x, y = sample_point(F.col("_i"), F.col("_n"), F.col("_s.o"))
     return (
         edges.where(length > 0)
         .withColumn("_n", n)
         .withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_n"))))
         .withColumn("_s", F.explode(sides))
-        .select(
-            "edge_id",
-            F.col("_s.side").alias("side"),
-            F.col("_i").alias("sample"),
-            (F.col("ax") + dx * F.col("_i") / F.col("_n") - dy / length * F.col("_s.o")).alias("x"),
-            (F.col("ay") + dy * F.col("_i") / F.col("_n") + dx / length * F.col("_s.o")).alias("y"),
-        )
+        .select("edge_id", F.col("_s.side").alias("side"), F.col("_i").alias("sample"), x.alias("x"), y.alias("y"))
     )
 
 

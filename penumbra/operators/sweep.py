@@ -1,26 +1,31 @@
 """Shade and shelter of many instants at once: one set of candidates serves all directions.
 
-A point meets the walls around it once. A wall seen from a point spans an interval of directions; only the directions within it
-are held against the wall, by the height that it rises to above the horizon there. So what a further instant costs is
-the walls in its own direction, not another search for them. Points of one place are one point, prisms of one outline and opacity the
-tallest of them, and a wall is held only against points that its height lets it reach at the lowest ray.
+Points go to tiles of the plane with all walls in reach of them, where each ray is held against the walls from near to far until the densest is in its
+way or it has passed above the tallest (``lee``, numpy in tasks by tile). So pairs of points and walls are neither written nor shuffled: an edge
+travels once with all its samples, and comes back with an array of values, one a slot. Edges and points of one place are one, and prisms of one outline and opacity
+the tallest of them.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from penumbra.functions import clock, exposure, geo
-from penumbra.operators.shade import edge_samples
-from penumbra.operators.spatial import within_rings
+from penumbra.operators import lee
+from penumbra.operators.shade import sample_count, sample_point
+from penumbra.operators.spatial import _packed, spread
 from penumbra.session import cut
 
 #: Farthest wall that counts, in metres; months, quarter hours of a day from 05:00, and the day and year that stand for a month; fixed values.
 PAD_M, MONTHS, DAY_SLOTS, DAY, YEAR = 400.0, 12, 64, 15, 2026
-#: Walls up to this distance are met first, farther ones only by points and slots that no densest prism shades from there; cells that outlines
-#: are hashed to, in metres.
-NEAR_M, RING_CELL_M = 60.0, 32.0
+#: Width of the tiles that points are dealt to, in metres; samples of an edge and points of a task that travel together. Samples up to ``EDGE_SPACING``
+#: metres apart lie up to ``PART_M`` from the middle one of their part.
+TILE_M, PART, TASK_POINTS, EDGE_SPACING, EDGE_OFFSET = 256.0, 16, 2048, 25.0, 4.0
+PART_M = PART / 2 * EDGE_SPACING + 2 * EDGE_OFFSET + 1
 #: Offsets of a point's probes in metres; fixed values.
 PROBES = [(0.0, 0.0), (-4.0, 0.0), (4.0, 0.0), (0.0, -4.0), (0.0, 4.0)]
 #: Rain lower than this angle docks the confidence of walls by the factor; fixed values.
@@ -49,34 +54,66 @@ def rain_prisms(prisms: DataFrame) -> DataFrame:
     return prisms.withColumn("opacity", exposure.rain_opacity(F.col("opacity")))
 
 
-def _walls(prisms: DataFrame) -> DataFrame:
-    after = F.concat(F.slice("ring", 2, F.greatest(F.size("ring") - 1, F.lit(0))), F.slice("ring", 1, 1))
-    sides = F.explode(F.zip_with("ring", after, lambda a, b: F.struct(a["x"].alias("ax"), a["y"].alias("ay"), b["x"].alias("bx"), b["y"].alias("by"))))
-    return prisms.select("prism_id", "height", F.coalesce("opacity", F.lit(1.0)).alias("opacity"), sides.alias("s")).select("prism_id", "height", "opacity", "s.*")
-
-
-def _lee(at: DataFrame, walls: DataFrame, lit: DataFrame, by: list[str], reach: float) -> DataFrame:
-    """``cell, x, y, slot, opacity``: the densest wall within ``reach`` in the way of every place ``cell, x, y, inside`` in the directions ``lit``, which
-    meet the places by ``by`` and the degree."""
-    size, reaches = max(reach, 1.0), F.least("reach", F.lit(reach)) + 1e-6
-    walls = walls.withColumn("reach", reaches)
-    at = at.withColumn("_cx", geo.grid_cell(F.col("x"), size)).withColumn("_cy", geo.grid_cell(F.col("y"), size))
-    for cell, a, b in (("_cx", "ax", "bx"), ("_cy", "ay", "by")):
-        walls = walls.withColumn(cell, F.explode(F.sequence(geo.grid_cell(F.least(a, b) - F.col("reach"), size), geo.grid_cell(F.greatest(a, b) + F.col("reach"), size))))
-    _, away = geo.project_on_segment(*map(F.col, ("x", "y", "ax", "ay", "bx", "by")))
-    met = at.join(walls, ["_cx", "_cy"]).where((away <= F.col("reach")) & ~F.coalesce(F.array_contains("inside", F.col("prism_id")), F.lit(False)))
-    # From here on the wall's ends are seen from the point.
-    met = met.select("cell", "x", "y", "height", "opacity", (F.col("ax") - F.col("x")).alias("ax"), (F.col("ay") - F.col("y")).alias("ay"), (F.col("bx") - F.col("ax")).alias("ex"), (F.col("by") - F.col("ay")).alias("ey"))
-    seen = lambda x, y: F.pmod(F.degrees(F.atan2(x, y)), F.lit(360.0))
-    ends = met.select("*", F.inline(F.array(F.struct(seen(F.col("ax"), F.col("ay")).alias("_a"), seen(F.col("ax") + F.col("ex"), F.col("ay") + F.col("ey")).alias("_b")))))
-    turn = F.pmod(F.col("_b") - F.col("_a"), F.lit(360.0))
-    first, width = F.when(turn > 180, F.col("_b")).otherwise(F.col("_a")), F.when(turn > 180, 360 - turn).otherwise(turn)
-    spread = ends.withColumn("degree", F.explode(F.sequence(F.floor(first - 1e-9), F.floor(first + width + 1e-9)))).withColumn("degree", F.pmod("degree", F.lit(360)).cast("int"))
-    cross = F.col("ux") * F.col("ey") - F.col("uy") * F.col("ex")
-    d = (F.col("ax") * F.col("ey") - F.col("ay") * F.col("ex")) / F.nullif(cross, F.lit(0.0))
-    s = (F.col("ax") * F.col("uy") - F.col("ay") * F.col("ux")) / F.nullif(cross, F.lit(0.0))
-    hit = (F.col("s") >= 0) & (F.col("s") < 1) & (F.col("d") > 0) & (F.col("d") <= reach) & (F.col("height") > F.col("d") * F.col("slope"))
-    return spread.join(lit, [*by, "degree"]).select("*", F.inline(F.array(F.struct(s.alias("s"), d.alias("d"))))).where(hit).groupBy("cell", "x", "y", "slot").agg(F.max("opacity").alias("opacity"))
+def _summed(halves: int, pad: float, schema: T.StructType):
+    """For the units of a task, its prisms and directions: the sums of each unit's points in every direction, null where it isn't lit."""
+
+    def run(units: pa.Table, rest: pa.Table) -> pa.Table:
+        out = {n: units.column(n) for n in schema.names if n not in ("slots", "sums")}
+        suns = rest.filter(rest.column("up").is_valid())
+        if not units.num_rows or not suns.num_rows:
+            return pa.table({n: c.slice(0, 0) for n, c in out.items()} | {"slots": rest.column("slots").slice(0, 0), "sums": pa.array([], pa.list_(pa.float64()))})
+        flat = lambda column, kind: np.asarray(column.combine_chunks().flatten().to_numpy(zero_copy_only=False), dtype=kind)
+        up = flat(suns.column("up").slice(0, 1), bool)
+        ux, uy, slope = (flat(suns.column(c).slice(0, 1), float)[up] for c in ("ux", "uy", "slope"))
+        rings = rest.column("walls").combine_chunks().flatten()
+        sizes = rings.field("xs").value_lengths().to_numpy()
+        corners = [np.asarray(rings.field(c).flatten().to_numpy(zero_copy_only=False), dtype=float) for c in ("xs", "ys")]
+        walls = lee.Walls(*corners, sizes, rings.field("height").to_numpy(zero_copy_only=False), rings.field("opacity").to_numpy(zero_copy_only=False))
+        best = lee.densest(flat(units.column("xs"), float), flat(units.column("ys"), float), walls, ux, uy, slope, pad)
+        lengths = np.repeat(units.column("xs").combine_chunks().value_lengths().to_numpy() // halves, halves)
+        sums = np.full((len(lengths), len(up)), np.nan)
+        sums[:, up] = np.add.reduceat(best, np.cumsum(lengths) - lengths, axis=0)
+        lists = lambda values, width: pa.ListArray.from_arrays(pa.array(np.arange(units.num_rows + 1, dtype=np.int32) * width), values)
+        slots = suns.column("slots").slice(0, 1).combine_chunks().flatten()
+        again = slots.take(pa.array(np.tile(np.arange(len(up)), units.num_rows)))
+        return pa.table(out | {"slots": lists(again, len(up)), "sums": lists(pa.array(sums.reshape(-1), from_pandas=True), len(up) * halves)})
+
+    return run
+
+
+def _swept(units: DataFrame, prisms: DataFrame, directions: DataFrame, halves: int, a_task: int, margin: float, pad: float) -> DataFrame:
+    """``units`` with ``slots``, those of their cell in order, and ``sums``: of their points' densest prisms in the way, for every slot, null where the altitude is
+    0 or less, one half of the points after the other. Units of cells without directions have no row.
+
+    ``units`` has ``cell`` and the points' ``xs`` and ``ys``, which lie within ``margin`` metres of the middle one. A task takes ``a_task`` units of a tile
+    that lie beside each other, and gets the prisms in reach of the tile.
+    """
+    slot = F.struct(
+        "slot", F.sin(F.radians("azimuth")).alias("ux"), F.cos(F.radians("azimuth")).alias("uy"), F.tan(F.radians("altitude")).alias("slope"), (F.coalesce("altitude", F.lit(0.0)) > 0).alias("up")
+    )
+    rows = directions.groupBy("cell").agg(F.sort_array(F.collect_list(slot)).alias("d"))
+    suns = rows.select("cell", *(F.col(f"d.{c}").alias(n) for c, n in (("slot", "slots"), ("ux", "ux"), ("uy", "uy"), ("slope", "slope"), ("up", "up"))))
+    # Of one outline and opacity the tallest prism is in the way wherever another is.
+    merged = prisms.where((F.col("height") > 0) & (F.size("ring") > 0)).groupBy("ring", F.coalesce("opacity", F.lit(1.0)).cast("double").alias("opacity")).agg(F.max("height").cast("double").alias("height"))
+    tile = lambda v: geo.grid_cell(v, TILE_M)
+    middle = lambda c: F.element_at(c, (F.floor(F.size(c) / (2 * halves)) + 1).cast("int"))
+    dealt = units.withColumn("_tx", tile(middle("xs"))).withColumn("_ty", tile(middle("ys")))
+    beside = Window.partitionBy("cell", "_tx", "_ty").orderBy(F.floor(middle("ys") / lee.STRIP), middle("xs"))
+    dealt = cut(dealt.withColumn("_pack", F.floor((F.row_number().over(beside) - 1) / a_task).cast("int")))
+    key = ["cell", "_tx", "_ty", "_pack"]
+    packs = cut(dealt.select(*key).distinct())
+    xs, ys = F.col("ring.x"), F.col("ring.y")
+    laid = merged.select(xs.alias("xs"), ys.alias("ys"), "height", "opacity")
+    for n, c in (("_tx", "xs"), ("_ty", "ys")):
+        laid = laid.withColumn(n, F.explode(F.sequence(tile(F.array_min(c) - pad - margin), tile(F.array_max(c) + pad + margin))))
+    # Few rows with long arrays: what a row costs on its way to Python grows with the rows before it.
+    near = _packed(laid.join(packs.select("_tx", "_ty").distinct(), ["_tx", "_ty"], "left_semi"), ["_tx", "_ty"], "walls")
+    names = {f.name: f.dataType for f in [near.schema["walls"], *suns.schema.fields] if f.name != "cell"}
+    filled = lambda df: df.select(*key, *(F.col(n) if n in df.columns else F.lit(None).cast(t).alias(n) for n, t in names.items()))
+    rest = filled(packs.join(near, ["_tx", "_ty"])).union(filled(packs.join(suns, "cell")))
+    slots = T.ArrayType(suns.schema["slots"].dataType.elementType)
+    schema = T.StructType([*dealt.drop(*key[1:]).schema.fields, T.StructField("slots", slots), T.StructField("sums", T.ArrayType(T.DoubleType()))])
+    return spread(dealt, key).groupBy(*key).cogroup(spread(rest, key).groupBy(*key)).applyInArrow(_summed(halves, pad, schema), schema)
 
 
 def sweep(points: DataFrame, prisms: DataFrame, directions: DataFrame, keys: list[str], pad: float = PAD_M) -> DataFrame:
@@ -84,46 +121,66 @@ def sweep(points: DataFrame, prisms: DataFrame, directions: DataFrame, keys: lis
 
     ``points`` has ``keys, cell, x, y`` in metres; ``prisms`` has ``prism_id, ring, height, opacity`` (null: opaque); ``directions`` has ``cell, slot,
     azimuth, altitude`` in degrees. A prism is in the way if the ray towards the azimuth crosses its outline within ``pad`` metres
-    where the prism is higher than the ray. A prism that the point lies in doesn't count. Slots with an altitude of 0 or less have no
-    rows. Walls are repeated for the cells of the size of their reach, points lie in one cell each.
+    where the prism is higher than the ray. A prism that the point lies in doesn't count, nor one of no opacity. Slots with an altitude of 0 or less have no
+    rows.
     """
-    lit = directions.where("altitude > 0").select(
-        "cell", "slot", F.sin(F.radians("azimuth")).alias("ux"), F.cos(F.radians("azimuth")).alias("uy"), F.tan(F.radians("altitude")).alias("slope"), F.floor(F.pmod("azimuth", F.lit(360.0))).cast("int").alias("degree")
-    )
-    # Of one outline and opacity the tallest prism is in the way wherever another is.
-    tallest = prisms.groupBy("ring", F.coalesce("opacity", F.lit(1.0)).alias("opacity")).agg(F.max("height").alias("height"), F.min("prism_id").alias("prism_id"))
-    merged = cut(tallest.where("height > 0"))
     place = ["cell", "x", "y"]
-    places = points.select(*place).distinct()
-    within = within_rings(places.select("x", "y").distinct(), merged.select("prism_id", "ring"), RING_CELL_M).groupBy("x", "y").agg(F.collect_set("prism_id").alias("inside"))
-    at = cut(places.join(within, ["x", "y"], "left"))
-    lowest = lit.agg(F.min("slope")).first()[0] or 1.0
-    dense, tall = merged.agg(F.max("opacity"), F.max("height")).first()
-    walls = _walls(merged).withColumn("reach", F.least(F.lit(float(pad)), F.col("height") / lowest))
-    near = min(NEAR_M, pad)
-    lee = _lee(at, walls, lit, ["cell"], near)
-    if tall is not None and near < min(pad, tall / lowest):
-        lee = cut(lee)
-        # What may still change: rays that pass below the tallest prism beyond, where the densest isn't in the way already.
-        long = at.select(*place).join(lit.where(F.col("slope") * near < tall), "cell")
-        open_ = cut(long.join(lee.where(F.col("opacity") >= dense).select(*place, "slot"), [*place, "slot"], "left_anti"))
-        left = at.join(open_.select(*place).distinct(), place, "left_semi")
-        far = _lee(left, walls.where(F.col("reach") > near), open_, place, pad)
-        lee = lee.union(far).groupBy(*place, "slot").agg(F.max("opacity").alias("opacity"))
-    return points.select(*keys, *place).join(lee, place).select(*keys, "slot", "opacity")
+    places = points.select(*place).distinct().where("x is not null and y is not null").select(*place, F.array(F.col("x").cast("double")).alias("xs"), F.array(F.col("y").cast("double")).alias("ys"))
+    found = _swept(places, prisms, directions, 1, TASK_POINTS, 0.0, pad)
+    hit = F.filter(F.arrays_zip("slots", "sums"), lambda v: v["sums"] > 0)
+    rows = cut(found.select(*place, hit.alias("_hit")))
+    return points.select(*keys, *place).join(rows, place).select(*keys, F.inline("_hit").alias("slot", "opacity"))
+
+
+def _sides(edges: DataFrame, prisms: DataFrame, directions: DataFrame, pad: float) -> DataFrame:
+    """``cell, ids, samples, slots, sums``: of all edges of one place (``ids`` holds up to 4,096 structs of their other columns) the sums of ``_swept`` on the left, then on the right,
+    over ``samples`` a side. Edges of no length have none.
+
+    Samples lie as in ``edge_samples``. A long edge is dealt out in parts of 16 samples, whose sums are put together again.
+    """
+    place = ["cell", "ax", "ay", "bx", "by"]
+    one = _packed(edges.where(sample_count(EDGE_SPACING)[0] > 0), place, "ids").withColumn("_n", sample_count(EDGE_SPACING)[1])
+    parts = one.withColumn("_part", F.explode(F.sequence(F.lit(0), F.floor(F.col("_n") / PART).cast("int"))))
+    steps = F.sequence(F.col("_part") * PART, F.least("_n", F.col("_part") * PART + PART - 1))
+    line = lambda axis, offset: F.transform(steps, lambda i: sample_point(i, F.col("_n"), F.lit(offset))[axis].cast("double"))
+    both = lambda axis: F.concat(line(axis, EDGE_OFFSET), line(axis, -EDGE_OFFSET))
+    units = parts.select("cell", *place[1:], "ids", "_n", "_part", both(0).alias("xs"), both(1).alias("ys"))
+    found = cut(_swept(units, prisms, directions, 2, max(1, TASK_POINTS // 8), PART_M, pad).drop("xs", "ys"))
+    samples = (F.col("_n") + 1).alias("samples")
+    whole = found.where(F.col("_n") < PART).select("cell", "ids", samples, "slots", "sums")
+    added = F.aggregate(F.slice("_p", 2, F.size("_p")), F.element_at("_p", 1)["sums"], lambda a, p: F.zip_with(a, p["sums"], lambda v, w: v + w))
+    long = found.where(F.col("_n") >= PART).groupBy(*place, "ids", "_n", "slots").agg(F.sort_array(F.collect_list(F.struct("_part", "sums"))).alias("_p"))
+    return whole.union(long.select("cell", "ids", samples, "slots", added.alias("sums")))
+
+
+def _half(left: bool) -> Column:
+    slots = F.size("slots")
+    return F.slice("sums", 1, slots) if left else F.slice("sums", slots + 1, slots)
 
 
 def edge_sweep(edges: DataFrame, prisms: DataFrame, directions: DataFrame, night: float = 1.0, pad: float = PAD_M) -> DataFrame:
     """Mean shade (or shelter) of both sides of every edge in every slot of its cell: ``cell, edge_id, side, slot, shade``.
 
-    ``edges`` has ``edge_id, cell, ax, ay, bx, by``; samples lie as in ``edge_samples``. Where the altitude is 0 or less the value is ``night``. Edges of
+    ``edges`` has ``edge_id, cell, ax, ay, bx, by`` (other columns are handed on); samples lie as in ``edge_samples``. Where the altitude is 0 or less the value is ``night``. Edges of
     no length have no samples and no rows.
     """
-    samples = edge_samples(edges).join(edges.select("edge_id", "cell"), "edge_id")
-    lee = sweep(samples, prisms, directions, ["edge_id", "side", "sample"], pad).groupBy("edge_id", "side", "slot").agg(F.sum("opacity").alias("sum"))
-    sides = samples.groupBy("cell", "edge_id", "side").agg(F.count("*").alias("n"))
-    every = sides.join(directions.select("cell", "slot", (F.col("altitude") > 0).alias("up")), "cell").join(lee, ["edge_id", "side", "slot"], "left")
-    return every.select("cell", "edge_id", "side", "slot", F.when(F.col("up"), F.coalesce("sum", F.lit(0.0)) / F.col("n")).otherwise(F.lit(night)).alias("shade"))
+    found = _sides(edges, prisms, directions, pad)
+    every = found.select("cell", "samples", "slots", "sums", F.explode("ids").alias("_id")).select("cell", "samples", "slots", "_id.*", F.posexplode("sums").alias("_place", "sum"))
+    side, slot = F.when(F.col("_place") < F.size("slots"), "left").otherwise("right"), F.get("slots", F.col("_place") % F.size("slots"))
+    rest = [c for c in edges.columns if c not in ("edge_id", "cell", "ax", "ay", "bx", "by")]
+    return every.select("cell", "edge_id", side.alias("side"), slot.alias("slot"), F.coalesce(F.col("sum") / F.col("samples"), F.lit(night)).alias("shade"), *rest)
+
+
+def _resolved(edges: DataFrame, resolved: DataFrame | None) -> DataFrame:
+    """``edges`` with ``_known``, whether ``resolved(cell)`` names their cell."""
+    if resolved is None:
+        return edges.withColumn("_known", F.lit(True))
+    return edges.join(resolved.select("cell").distinct().withColumn("_known", F.lit(True)), "cell", "left")
+
+
+def _unresolved(slot: Column) -> Column:
+    why = F.concat(F.lit("unresolved: cell "), F.col("cell").cast("string"), F.lit(", segment "), F.col("edge_id").cast("string"), F.lit(", slot "), slot.cast("string"))
+    return F.raise_error(why)
 
 
 def shade_cells(edges: DataFrame, prisms: DataFrame, directions: DataFrame, resolved: DataFrame | None = None, pad: float = PAD_M) -> DataFrame:
@@ -132,12 +189,8 @@ def shade_cells(edges: DataFrame, prisms: DataFrame, directions: DataFrame, reso
     A cell that ``resolved(cell)`` doesn't name has no geometry to measure with; an edge in it ends the job with an error, as a 0 there would
     be a sunny street that nothing measured.
     """
-    swept = edge_sweep(edges, prisms, directions, 1.0, pad)
-    byte = clock.fraction_byte(F.col("shade"))
-    if resolved is not None:
-        swept = swept.join(resolved.select("cell").distinct().withColumn("_known", F.lit(True)), "cell", "left")
-        why = F.concat(F.lit("unresolved: cell "), F.col("cell").cast("string"), F.lit(", segment "), F.col("edge_id").cast("string"), F.lit(", slot "), F.col("slot").cast("string"))
-        byte = F.when(F.col("_known"), byte).otherwise(F.raise_error(why).cast("int"))
+    swept = edge_sweep(_resolved(edges, resolved), prisms, directions, 1.0, pad)
+    byte = F.when(F.col("_known"), clock.fraction_byte(F.col("shade"))).otherwise(_unresolved(F.col("slot")).cast("int"))
     return swept.select("cell", "edge_id", "side", "slot", byte.alias("shade_byte"))
 
 
