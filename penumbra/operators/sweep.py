@@ -194,6 +194,17 @@ def shade_cells(edges: DataFrame, prisms: DataFrame, directions: DataFrame, reso
     return swept.select("cell", "edge_id", "side", "slot", byte.alias("shade_byte"))
 
 
+def shade_payloads(edges: DataFrame, prisms: DataFrame, directions: DataFrame, resolved: DataFrame | None = None, pad: float = PAD_M) -> DataFrame:
+    """``packed(shade_cells(...))`` without the rows in between: ``cell, edge_id, slots, payload``."""
+    found = _sides(_resolved(edges, resolved), prisms, directions, pad)
+    byte = lambda v: clock.fraction_byte(F.coalesce(v / F.col("samples"), F.lit(1.0)))
+    pairs = F.zip_with(_half(True), _half(False), lambda a, b: F.lpad(F.hex(byte(a) * 256 + byte(b)), 4, "0"))
+    # An array of one element, unrolled, is packed once for all edges of a place.
+    rows = found.select("cell", "ids", "slots", F.explode(F.array(F.unhex(F.array_join(pairs, "")))).alias("payload")).select("cell", "slots", "payload", F.inline("ids"))
+    payload = F.when(F.col("_known"), F.col("payload")).otherwise(_unresolved(F.element_at("slots", 1)).cast("binary"))
+    return rows.select("cell", "edge_id", F.size("slots").alias("slots"), payload.alias("payload"))
+
+
 def packed(table: DataFrame) -> DataFrame:
     """``cell, edge_id, slots, payload``: two bytes a slot in order, left and right, of every edge of the shade table; at most 1,536."""
     row = F.sort_array(F.collect_list(F.struct("slot", "side", "shade_byte")))

@@ -96,7 +96,7 @@ FROM bytes GROUP BY 1, 2""")
 def shade_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same table packed, two bytes a slot, and the digest of every edge's payload."""
     edges = _edges(spark, sf_dir)
-    rows = sweep.packed(sweep.shade_cells(edges, _prisms(spark, sf_dir), _suns(spark, sf_dir), edges.select("cell")))
+    rows = sweep.shade_payloads(edges, _prisms(spark, sf_dir), _suns(spark, sf_dir), edges.select("cell"))
     return rows.select("cell", "edge_id", "slots", F.sha2("payload", 256).alias("sha256"))
 
 

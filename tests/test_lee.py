@@ -77,5 +77,7 @@ def test_long_edges_and_edges_of_one_place(spark):
     assert {(r.edge_id, r.side, r.slot): r.shade_byte for r in frame.collect()} == expected
     made = frame._jdf.queryExecution().executedPlan().toString().split("posexplode")
     assert len(made) > 1 and "Exchange" not in made[0]
+    packed = {r.edge_id: (r.slots, bytes(r.payload)) for r in sweep.shade_payloads(edges, prisms, suns, known).collect()}
+    assert packed == {i: (5, bytes(expected[i, s, k] for k in range(5) for s in ("left", "right"))) for i in (1, 2, 3, 4)}
     rows = sweep.packed(sweep.shade_cells(edges, prisms, suns, known)).collect()
-    assert {r.edge_id: hashlib.sha256(r.payload).hexdigest() for r in rows} == {i: hashlib.sha256(bytes(expected[i, s, k] for k in range(5) for s in ("left", "right"))).hexdigest() for i in (1, 2, 3, 4)}
+    assert {r.edge_id: hashlib.sha256(r.payload).hexdigest() for r in rows} == {i: hashlib.sha256(p).hexdigest() for i, (_, p) in packed.items()}
