@@ -72,8 +72,9 @@ def radius_join(left: DataFrame, right: DataFrame, metres: float, digits: int |
     return _unpacked(met, left, ["lon", "lat"], "_rows", renamed.columns, ["right_lon", "right_lat", "metres"])
 
 
-def nearest_few(left: DataFrame, right: DataFrame, left_id: str, right_id: str, count: int, metres: float) -> DataFrame:
-    """``(left_id), near``: of every left point with right points within ``metres`` the ``count`` nearest as ``metres, (right_id)``, ties to the smaller id.
+def nearest_few(left: DataFrame, right: DataFrame, left_id: str, right_id: str, count: int, metres: float, keep: list[str] | None = None) -> DataFrame:
+    """``(left_id), near``: of every left point with right points within ``metres`` the ``count`` nearest as ``metres, (right_id)`` and the right columns in
+    ``keep``, ties to the smaller id.
 
     A left point goes to its cube in space, where it meets the right points around as arrays (of 4,096 at most), so only the nearest of each
     array are shuffled by left point, not all pairs.
@@ -81,16 +82,18 @@ def nearest_few(left: DataFrame, right: DataFrame, left_id: str, right_id: str,
     reach = metres * 1.01 + 1e-3
     size = reach  # small cubes: every left point is held against all that its cube's arrays have
     names, axes = ["_cx", "_cy", "_cz"], ["_x", "_y", "_z"]
-    placed = lambda df, i: df.select(F.col(i), "lon", "lat", *(v.alias(a) for v, a in zip(_on_sphere(F.col("lon"), F.col("lat")), axes, strict=True)))
-    one, two = placed(left, left_id), placed(right, right_id)
+    keep = keep or []
+    placed = lambda df, *columns: df.select(*columns, "lon", "lat", *(v.alias(a) for v, a in zip(_on_sphere(F.col("lon"), F.col("lat")), axes, strict=True)))
+    one, two = placed(left, left_id), placed(right, right_id, *keep)
     for n, v in zip(names, map(F.col, axes), strict=True):
         one = one.withColumn(n, geo.grid_cell(v, size))
         two = two.withColumn(n, F.explode(F.sequence(geo.grid_cell(v - reach, size), geo.grid_cell(v + reach, size))))
-    met = spread(one, names).join(_packed(two, names, "_rows"), names)
+    # What the cubes repeat isn't in the size that a plan expects, so the arrays must not be sent to all through the driver.
+    met = spread(one, names).join(_packed(two, names, "_rows").hint("merge"), names)
     # The straight way through the earth is no longer than the arc, and cheaper to tell.
     square = lambda v: v * v
     close = F.filter("_rows", lambda r: square(r["_x"] - F.col("_x")) + square(r["_y"] - F.col("_y")) + square(r["_z"] - F.col("_z")) <= reach * reach)
-    away = F.transform(close, lambda r: F.struct(geo.haversine(F.col("lon"), F.col("lat"), r["lon"], r["lat"]).alias("metres"), r[right_id].alias(right_id)))
+    away = F.transform(close, lambda r: F.struct(geo.haversine(F.col("lon"), F.col("lat"), r["lon"], r["lat"]).alias("metres"), *(r[c].alias(c) for c in (right_id, *keep))))
     first = lambda a: F.slice(F.sort_array(a), 1, count)
     near = met.select(left_id, F.explode(F.array(first(F.filter(away, lambda m: m["metres"] <= metres)))).alias("_near")).where(F.size("_near") > 0)
     return near.groupBy(left_id).agg(first(F.flatten(F.collect_list("_near"))).alias("near"))

@@ -121,13 +121,20 @@ def match_entrances(entrances: DataFrame, stations: DataFrame, named: float = 40
     return near.select("entrance_id", "best.station_id", F.when(F.col("best.rank") == 0, "name").otherwise("distance").alias("by"))
 
 
-def nearest_stations(points: DataFrame, stations: DataFrame, count: int, metres: float, accept: Column | None = None) -> DataFrame:
-    """The ``count`` nearest stations within ``metres`` of every point, only those that ``accept`` holds for: ``(point_id, rank, station_id, metres)``."""
+def nearest_stations(points: DataFrame, stations: DataFrame, count: int, metres: float, accept: Column | None = None, keep: list[str] | None = None) -> DataFrame:
+    """The ``count`` nearest stations within ``metres`` of every point, only those that ``accept`` holds for: ``(point_id, rank, station_id, metres)`` and the
+    stations' columns in ``keep``."""
     from penumbra.operators.spatial import nearest_few
 
     chosen = stations if accept is None else stations.where(accept)
-    few = nearest_few(points, chosen, "point_id", "station_id", count, metres)
-    return few.select("point_id", F.posexplode("near").alias("_place", "_n")).select("point_id", (F.col("_place") + 1).alias("rank"), "_n.station_id", "_n.metres")
+    few = nearest_few(points, chosen, "point_id", "station_id", count, metres, keep)
+    return few.select("point_id", F.posexplode("near").alias("_place", "_n")).select("point_id", (F.col("_place") + 1).alias("rank"), "_n.station_id", "_n.metres", *(f"_n.{c}" for c in keep or []))
+
+
+def ride_spans(stations: DataFrame, rides: DataFrame, least_stations: int = 3) -> DataFrame:
+    """``stations`` with ``to_low, to_high``, the smallest and largest station that a ride of at least ``least_stations`` stations leads to, null without any."""
+    ends = rides.where(F.col("stations") >= least_stations).groupBy(F.col("from_id").alias("station_id")).agg(F.min("to_id").alias("to_low"), F.max("to_id").alias("to_high"))
+    return stations.join(ends.hint("merge"), "station_id", "left")
 
 
 def best_pair(trips: DataFrame, entries: DataFrame, exits: DataFrame, rides: DataFrame, walk_speed: float = 1.3, least_stations: int = 3) -> DataFrame:
@@ -135,10 +142,19 @@ def best_pair(trips: DataFrame, entries: DataFrame, exits: DataFrame, rides: Dat
 
     ``trips`` has ``trip_id, origin_id, target_id``; ``entries`` and ``exits`` are ``nearest_stations`` of the origins and targets; ``rides`` has
     ``from_id, to_id, seconds, stations``. A ride of fewer than ``least_stations`` stations is no use. Ties go to nearer entries, then exits.
+
+    Rides are met by a sort-merge join: they may be many more than their plan's size tells, and to send them to all would take the driver's memory. If
+    entries have ``to_low, to_high`` (of ``ride_spans``), pairs whose exit lies outside have no ride and aren't shuffled.
     """
-    a = entries.select(F.col("point_id").alias("origin_id"), F.col("rank").alias("a"), F.col("station_id").alias("from_id"), F.col("metres").alias("walk_in"))
+    span = ["to_low", "to_high"] if "to_low" in entries.columns else []
+    a = entries.select(F.col("point_id").alias("origin_id"), F.col("rank").alias("a"), F.col("station_id").alias("from_id"), F.col("metres").alias("walk_in"), *span)
+    if span:
+        a = a.where("to_low is not null")
     b = exits.select(F.col("point_id").alias("target_id"), F.col("rank").alias("b"), F.col("station_id").alias("to_id"), F.col("metres").alias("walk_out"))
-    pairs = trips.join(a, "origin_id").join(b, "target_id").where("from_id <> to_id").join(rides.where(F.col("stations") >= least_stations), ["from_id", "to_id"])
+    pairs = trips.join(a, "origin_id").join(b, "target_id").where("from_id <> to_id")
+    if span:
+        pairs = pairs.where("to_id between to_low and to_high").drop(*span)
+    pairs = pairs.join(rides.where(F.col("stations") >= least_stations).hint("merge"), ["from_id", "to_id"])
     total = F.col("seconds") + (F.col("walk_in") + F.col("walk_out")) / walk_speed
     best = pairs.groupBy("trip_id").agg(F.min(F.struct(total.alias("total"), "a", "b", "from_id", "to_id")).alias("best"))
     return best.select("trip_id", F.col("best.from_id").alias("entry_id"), F.col("best.to_id").alias("exit_id"), F.col("best.total").alias("seconds"))

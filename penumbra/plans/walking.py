@@ -183,11 +183,12 @@ def best_train_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
     lat = F.lit(40.5) + F.floor(c / ROW) * 0.0006 + o % 60 * 0.00001
     points = table(spark, sf_dir, "orders").select(o.alias("point_id"), (F.lit(-74.0) + o * 7919 % 1000 * 0.000032).alias("lon"), lat.alias("lat"))
     stations = _stations(spark, sf_dir).select("station_id", F.col("station_lon").alias("lon"), F.col("station_lat").alias("lat"))
-    near = cut(walkability.nearest_stations(points, stations, 3, 900.0, F.col("station_id") % 3 != 0))  # both ends are found once
     trips = points.select(F.col("point_id").alias("trip_id"), F.col("point_id").alias("origin_id"), (F.col("point_id") + 32).alias("target_id"))
     s = F.col("station_id")
     spread = stations.select(s.alias("from_id"), F.explode(F.sequence(F.lit(-40), F.lit(40))).alias("d"))
     rides = spread.select("from_id", (F.col("from_id") + F.col("d")).alias("to_id"), (F.abs("d") * 45 + 60).alias("seconds"), (F.abs("d") + 1).alias("stations"))
+    spans = walkability.ride_spans(stations, rides)
+    near = cut(walkability.nearest_stations(points, spans, 3, 900.0, s % 3 != 0, ["to_low", "to_high"]))  # both ends are found once
     return walkability.best_pair(trips, near, near, rides).select(F.col("trip_id").alias("o_orderkey"), "entry_id", "exit_id", F.round("seconds", 4).alias("seconds"))
 
 

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import math
+import random
 import re
 
 from pyspark.sql import functions as F
+from support import DATA
 
-from penumbra.operators import generations, preference, sequences, snap, suntimes
+from penumbra.operators import generations, preference, sequences, snap, suntimes, walkability
+from penumbra.plans import catalogue
 
 EDGE = "edge_id long, from_id long, to_id long, from_lon double, from_lat double, to_lon double, to_lat double"
 
@@ -68,3 +71,23 @@ def test_files_of_a_generation_are_parsed_once(spark, tmp_path):
     found = generations.verify(files, generations.manifest(files))
     assert [tuple(r) for r in found.collect()] == [("b", "dangling")]
     assert plan(found).count("from_json") <= 1 + plan(generations.manifest(files)).count("from_json")
+
+
+def test_rides_are_not_sent_to_all(spark):
+    """Rides are made of stations, eighty of each: what a plan takes their size to be is far too small to send them through the driver."""
+    text = catalogue.QUERIES["best_train_pair"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"SortMergeJoin \[from_id", text) and not re.search(r"BroadcastHashJoin \[from_id", text), text
+
+
+def test_spans_of_rides_lose_no_pair(spark):
+    rng = random.Random(4)
+    spots = [(i, rng.random() * 0.02, rng.random() * 0.02) for i in range(40)]
+    stations = spark.createDataFrame(spots, "station_id long, lon double, lat double")
+    rides = spark.createDataFrame([(a, rng.randrange(40), rng.randrange(60, 900), rng.randrange(2, 6)) for a in range(38) for _ in range(4)], "from_id long, to_id long, seconds int, stations int")
+    points = spark.createDataFrame([(i, rng.random() * 0.02, rng.random() * 0.02) for i in range(60)], "point_id long, lon double, lat double")
+    trips = spark.createDataFrame([(i, i, (i * 7 + 3) % 60) for i in range(60)], "trip_id long, origin_id long, target_id long")
+    plain = walkability.nearest_stations(points, stations, 3, 900.0)
+    spans = walkability.nearest_stations(points, walkability.ride_spans(stations, rides), 3, 900.0, None, ["to_low", "to_high"])
+    assert sorted(map(tuple, spans.select(plain.columns).collect())) == sorted(map(tuple, plain.collect()))
+    expected = sorted(map(tuple, walkability.best_pair(trips, plain, plain, rides).collect()))
+    assert expected and sorted(map(tuple, walkability.best_pair(trips, spans, spans, rides).collect())) == expected
