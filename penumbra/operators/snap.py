@@ -23,19 +23,25 @@ def nearest_edge(points: DataFrame, edges: DataFrame, point_id: str, cap: float,
     ``points`` has ``lon, lat``; ``edges`` has ``edge_id, from_id, to_id`` and its ends' coordinates. A point is projected on an edge
     in degrees and the distance taken along the great circle; distances equal to a micrometre tie to the smaller edge. Columns in
     ``same`` must be equal on both sides. Points without an edge that near, or without coordinates, are left out. Edges are repeated
-    for the cells that their box, grown by the cap at their own latitude, meets; points lie in one cell each. Edges across the date
-    line must be cut there.
+    for the cells that their box, grown by the cap at their own latitude, meets; points lie in one cell each. Cells are wider in degrees towards the
+    poles. Edges across the date line must be cut there.
     """
     same = same or []
     dlat = cap / geo.METRES_PER_DEGREE * 1.01
-    widest = F.greatest(F.abs("from_lat"), F.abs("to_lat")) + dlat
-    dlon = F.lit(dlat) / F.greatest(F.cos(F.radians(F.least(widest, F.lit(89.9)))), F.lit(1e-3))
+    low, high = F.least("from_lat", "to_lat") - dlat, F.greatest("from_lat", "to_lat") + dlat
+    # Degrees of longitude are shortest at the end nearer to a pole; around a pole itself all are near.
+    away = lambda lat: F.abs(F.cos(F.radians(lat)))
+    pole = F.floor((high - 90) / 180) != F.floor((low - 90) / 180)
+    dlon = F.when(pole, F.lit(180.0)).otherwise(F.least(F.lit(dlat) / F.greatest(F.least(away(low), away(high)), F.lit(1e-12)), F.lit(180.0)))
     size = dlat * 2
-    box = [F.least("from_lon", "to_lon") - dlon, F.greatest("from_lon", "to_lon") + dlon, F.least("from_lat", "to_lat") - dlat, F.greatest("from_lat", "to_lat") + dlat]
+    # Cells of one row are as wide in metres as high, so an edge meets a few of them at any latitude.
+    width = F.lit(size) / F.greatest(away((F.col("_cy") + 0.5) * size), F.lit(1e-3))
+    box = [F.least("from_lon", "to_lon") - dlon, F.greatest("from_lon", "to_lon") + dlon, low, high]
     laid = edges.select("edge_id", "from_id", "to_id", *_ENDS, *same, *(c.alias(n) for c, n in zip(box, ("_x0", "_x1", "_y0", "_y1"), strict=True)))
-    for cell, low, high in (("_cx", "_x0", "_x1"), ("_cy", "_y0", "_y1")):
-        laid = laid.withColumn(cell, F.explode(F.sequence(geo.grid_cell(F.col(low), size), geo.grid_cell(F.col(high), size))))
-    probes = points.select(point_id, "lon", "lat", *same).withColumn("_cx", geo.grid_cell(F.col("lon"), size)).withColumn("_cy", geo.grid_cell(F.col("lat"), size))
+    cell_x = lambda c: F.floor(F.col(c) / width).cast("long")
+    laid = laid.withColumn("_cy", F.explode(F.sequence(geo.grid_cell(F.col("_y0"), size), geo.grid_cell(F.col("_y1"), size))))
+    laid = laid.withColumn("_cx", F.explode(F.sequence(cell_x("_x0"), cell_x("_x1"))))
+    probes = points.select(point_id, "lon", "lat", *same).withColumn("_cy", geo.grid_cell(F.col("lat"), size)).withColumn("_cx", cell_x("lon"))
     near = F.col("lon").between(F.col("_x0"), F.col("_x1")) & F.col("lat").between(F.col("_y0"), F.col("_y1"))
     t, _ = geo.project_on_segment(F.col("lon"), F.col("lat"), *map(F.col, _ENDS))
     x = F.col("from_lon") + F.col("t") * (F.col("to_lon") - F.col("from_lon"))

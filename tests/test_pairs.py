@@ -9,6 +9,7 @@ import re
 from pyspark.sql import functions as F
 from support import DATA
 
+from penumbra.functions import geo
 from penumbra.operators import generations, preference, sequences, snap, suntimes, walkability
 from penumbra.plans import catalogue
 
@@ -91,3 +92,34 @@ def test_spans_of_rides_lose_no_pair(spark):
     assert sorted(map(tuple, spans.select(plain.columns).collect())) == sorted(map(tuple, plain.collect()))
     expected = sorted(map(tuple, walkability.best_pair(trips, plain, plain, rides).collect()))
     assert expected and sorted(map(tuple, walkability.best_pair(trips, spans, spans, rides).collect())) == expected
+
+
+def _shuffled(spark):
+    """Rows that all stages so far have written to shuffles."""
+    sc = spark.sparkContext
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_edges_by_a_pole_meet_few_cells(spark):
+    """A degree of longitude is short there: cells of one width in degrees would repeat an edge for hundreds of them."""
+    edges = [(i, i, i + 1, i * 0.01, 89.9 + i % 7 * 0.01, i * 0.01 + 0.01, 89.9 + i % 7 * 0.01) for i in range(300)]
+    points = [(i, i * 0.011, 89.9 + i % 5 * 0.011) for i in range(200)] + [(900, 1.0, 120.0)]
+    rows = spark.createDataFrame(edges, EDGE)
+    before = _shuffled(spark)
+    found = {r.p: (r.edge_id, round(r.distance, 4)) for r in snap.nearest_edge(spark.createDataFrame(points, "p long, lon double, lat double"), rows, "p", 150.0).collect()}
+    assert _shuffled(spark) - before < 20 * (len(edges) + len(points))
+
+    def metres(lon, lat, x, y):
+        a, b = math.radians(lat), math.radians(y)
+        h = math.sin((b - a) / 2) ** 2 + math.cos(a) * math.cos(b) * math.sin(math.radians(x - lon) / 2) ** 2
+        return 2 * geo.EARTH_RADIUS_M * math.atan2(math.sqrt(h), math.sqrt(1 - h))
+
+    expected = {}
+    for p, lon, lat in points:
+        for e, _, _, ax, ay, bx, by in edges:
+            t = max(0.0, min(1.0, ((lon - ax) * (bx - ax) + (lat - ay) * (by - ay)) / ((bx - ax) ** 2 + (by - ay) ** 2)))
+            d = metres(lon, lat, ax + t * (bx - ax), ay + t * (by - ay))
+            if d <= 150:
+                expected[p] = min(expected.get(p, (math.inf, 0)), (round(d, 6), e))
+    assert found == {p: (e, round(d, 4)) for p, (d, e) in expected.items()} and len(found) > 50
